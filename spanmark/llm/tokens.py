@@ -12,8 +12,12 @@ import re
 from array import array
 from unicodedata import is_normalized
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # The code points with the Unicode property White_Space.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # The rule by which byte-level vocabularies spell bytes: printable Latin-1 as it is, the others from U+0100 on.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
