@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from .chat import chat_digests, format_chats
 from .common import documents
 from .packing import pack_documents
 from .token_output import token_digests
+from .urls import judge
+
+
+def op2_chat_format(spark, sf_dir):
+    chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_digests(format_chats(spark, chats.unionByName(own)))
 
 
 def op4_token_output(spark, sf_dir):
@@ -15,5 +24,9 @@ def op7_packing(spark, sf_dir):
     return pack_documents(spark, documents(spark, sf_dir))
 
 
-QUERIES = {"op4_token_output": op4_token_output, "op7_packing": op7_packing}
+def op9_url_filters(spark, sf_dir):
+    return judge(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {"op2_chat_format": op2_chat_format, "op4_token_output": op4_token_output, "op7_packing": op7_packing, "op9_url_filters": op9_url_filters}
 ORACLES: dict[str, str] = {}
