@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .chat import chat_digests, format_chats
 from .common import documents
+from .language import predict_languages
+from .media import media_digests, read_features, write_media
 from .packing import pack_documents
+from .quality import classify
 from .token_output import token_digests
 from .urls import judge
 
@@ -20,13 +23,33 @@ def op4_token_output(spark, sf_dir):
     return token_digests(spark, documents(spark, sf_dir))
 
 
+def op5_quality(spark, sf_dir):
+    return classify(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_media(spark, sf_dir):
+    return media_digests(read_features(write_media(spark, documents(spark, sf_dir))))
+
+
 def op7_packing(spark, sf_dir):
     return pack_documents(spark, documents(spark, sf_dir))
 
 
+def op8_language(spark, sf_dir):
+    return predict_languages(spark, documents(spark, sf_dir))
+
+
 def op9_url_filters(spark, sf_dir):
     return judge(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {"op2_chat_format": op2_chat_format, "op4_token_output": op4_token_output, "op7_packing": op7_packing, "op9_url_filters": op9_url_filters}
+QUERIES = {
+    "op2_chat_format": op2_chat_format,
+    "op4_token_output": op4_token_output,
+    "op5_quality": op5_quality,
+    "op6_media": op6_media,
+    "op7_packing": op7_packing,
+    "op8_language": op8_language,
+    "op9_url_filters": op9_url_filters,
+}
 ORACLES: dict[str, str] = {}
