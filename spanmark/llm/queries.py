@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .chat import chat_digests, format_chats
 from .common import documents
+from .decontaminate import decontaminate
 from .language import predict_languages
 from .media import media_digests, read_features, write_media
 from .packing import pack_documents
@@ -12,6 +14,10 @@ from .token_output import token_digests
 from .urls import judge
 
 
+def op1_decontamination(spark, sf_dir):
+    return decontaminate(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op2_chat_format(spark, sf_dir):
     chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -44,6 +50,7 @@ def op9_url_filters(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
     "op4_token_output": op4_token_output,
     "op5_quality": op5_quality,
@@ -52,4 +59,4 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_url_filters": op9_url_filters,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_decontamination": oracles.DECONTAMINATION}
