@@ -6,6 +6,7 @@ from . import oracles
 from .chat import chat_digests, format_chats
 from .common import documents
 from .decontaminate import decontaminate
+from .jaccard import jaccard_components
 from .language import predict_languages
 from .media import media_digests, read_features, write_media
 from .packing import pack_documents
@@ -49,6 +50,10 @@ def op9_url_filters(spark, sf_dir):
     return judge(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_jaccard(spark, sf_dir):
+    return jaccard_components(spark, documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
@@ -58,5 +63,6 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_language": op8_language,
     "op9_url_filters": op9_url_filters,
+    "op10_jaccard": op10_jaccard,
 }
-ORACLES = {"op1_decontamination": oracles.DECONTAMINATION}
+ORACLES = {"op1_decontamination": oracles.DECONTAMINATION, "op10_jaccard": oracles.JACCARD}
