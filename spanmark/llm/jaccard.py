@@ -6,13 +6,15 @@ regions are cut first by an exact sieve: sets within the threshold differ in at
 hence of k + 1 or more hash ranges of the shingles one is equal in both. Documents that share a
 range's signature are a root region; equal regions are one. Then, region by region:
 
-* pivots are its best-connected members; each member's distance to them is computed exactly, and
-  members within the threshold are linked to the pivot;
-* a pivot is done with its region; a region whose members are all in one component is done;
-* a large region is cut into the Voronoi cells of its pivots, a member also going into each cell
-  whose pivot is no more than twice the radius farther than its nearest (by the triangle
-  inequality no link is lost), and cells are regions of the next round;
-* small regions are joined by comparing their members that are in different components.
+* its pivot is its best-connected member; regions with the same pivot make up the pivot's cell. Each
+  member's distance to the pivot is computed exactly, and members within the threshold are linked
+  to it. The pivot is then done, and so is a region whose members are all in one component.
+* A region that is still large is joined again inside its pivot's cell, on the members' differences
+  from the pivot. Members within the threshold of each other differ in at most k shingles, and so do
+  their differences: either these share one of the k + 1 rarest shingles of each, and members that
+  do are a region of the next round, or both lie so near the pivot that the triangle inequality
+  leaves only those in a window of distances, which is one more region.
+* Small regions are joined by comparing their members that are in different components.
 
 Equal sets are one node throughout. Distances are never estimated.
 
@@ -24,18 +26,17 @@ are ignored. An empty table gives an empty one. Shingles are known by 64-bit cod
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, WordCodes, grams, mix, slices, written
 
-LEAF_NODES, LEAF_SHINGLES = 128, 2_000_000
-PIVOTS = 8
+LEAF_NODES, LEAF_SHINGLES = 48, 2_000_000
 BITMAP = 1 << 23
 SETS = "doc_id long, text_code long, n long, h1 long, h2 long, sigs array<long>"
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
@@ -146,25 +147,68 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (pivot, node) with the exact size of the intersection: pivot, node, common, n, pivot_n."""
+def _against(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (pivot, node) with the shingles of both."""
+    mine = pairs.join(sets.select("node", "shingles"), "node")
+    both = mine.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
+    return both.select("pivot", "node", "shingles", "pivot_shingles")
+
+
+def _each(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row: the node's set, its pivot's, where each of the node's would be there, and whether it is."""
+    last = p = None
+    for pivot, mine, its in zip(b["pivot"].to_pylist(), b["shingles"], b["pivot_shingles"]):
+        if pivot != last:
+            last, p = pivot, np.frombuffer(its.as_py(), np.uint64)
+        x = np.frombuffer(mine.as_py(), np.uint64)
+        at = np.minimum(np.searchsorted(p, x), len(p) - 1)
+        yield x, p, at, p[at] == x
+
+
+def _distances(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs (pivot, node) with `linked`: whether den * intersection >= num * union."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            common, n, pn = [], [], []
-            last, p = None, None
-            for pivot, mine, its in zip(b["pivot"].to_pylist(), b["shingles"], b["pivot_shingles"]):
-                if pivot != last:
-                    last, p = pivot, np.frombuffer(its.as_py(), np.uint64)
-                x = np.frombuffer(mine.as_py(), np.uint64)
-                at = np.searchsorted(p, x)
-                common.append(np.count_nonzero(p[np.minimum(at, len(p) - 1)] == x))
-                n.append(len(x)), pn.append(len(p))
-            yield pa.RecordBatch.from_arrays([b["pivot"], b["node"], *(pa.array(c, pa.int64()) for c in (common, n, pn))], names=["pivot", "node", "common", "n", "pivot_n"])
+            out = []
+            for x, p, _, same in _each(b):
+                m = int(np.count_nonzero(same))
+                out.append(den * m >= num * (len(x) + len(p) - m))
+            yield pa.RecordBatch.from_arrays([b["pivot"], b["node"], pa.array(out, pa.bool_())], names=["pivot", "node", "linked"])
+
+    return _against(pairs, sets).mapInArrow(count, "pivot long, node long, linked boolean")
 
-    mine = pairs.join(sets.select("node", "shingles"), "node")
-    both = mine.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
-    return both.select("pivot", "node", "shingles", "pivot_shingles").mapInArrow(count, "pivot long, node long, common long, n long, pivot_n long")
+
+def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs (pivot, node) with the difference of the two sets and the most, k, that a link's two ends differ in."""
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            delta, most = [], []
+            for x, p, at, same in _each(b):
+                only = np.ones(len(p), bool)
+                only[at[same]] = False
+                delta.append(np.concatenate([x[~same], p[only]]))
+                most.append((len(x) + len(x) * den // num) * (den - num) // (den + num))
+            ends = np.cumsum([0] + [len(d) for d in delta]).astype(np.int32)
+            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(delta).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b["pivot"], b["node"], pa.array(most, pa.int64()), flat], names=["pivot", "node", "k", "delta"])
+
+    return _against(pairs, sets).mapInArrow(differ, "pivot long, node long, k long, delta array<long>")
+
+
+def _cells(pairs: DataFrame, linked: DataFrame, sets: DataFrame, spark: SparkSession, num: int, den: int) -> DataFrame:
+    """The regions (region, node) that the cells of pairs (pivot, node) fall into."""
+    differ = written(spark, _differences(pairs, sets, num, den), "differences")
+    token = differ.select("pivot", "node", "k", F.explode("delta").alias("token"))
+    often = token.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("pivot", "node").orderBy("often", "token"))  # a document's own shingles
+    shared = token.join(often, ["pivot", "token"]).withColumn("rank", rank).where("often > 1 and rank <= k + 1").select(F.xxhash64("pivot", "token").alias("region"), "node")
+    # links of members whose differences share nothing: the two distances add up to k at most
+    near = differ.join(linked, ["pivot", "node"]).select("pivot", "node", "k", "linked", F.size("delta").alias("d")).where("d <= k")
+    window = near.groupBy("pivot").agg(F.max("k").alias("most"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("least")).where("least is not null")
+    near = near.join(window, "pivot").where("not linked or d + least <= most").select(F.xxhash64("pivot", F.lit("near")).alias("region"), "node")
+    return shared.union(near)
 
 
 def _leaf(num: int, den: int):
@@ -217,38 +261,25 @@ def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, nodes: DataFram
     found = found.join(w, F.expr("f.doc_id <=> w.doc_id and f.text_code = w.text_code")).select("node", "shingles").dropDuplicates(["node"])
     shingled = written(spark, found.select("node", "shingles", (F.octet_length("shingles") / 8).cast("long").alias("n")), "shingles")
     size = shingled.select("node", "n")
-    edges, labels, first = None, None, True
+    labels = spark.createDataFrame([], "node long, label long")
+    pools = []
     while True:
-        sized = regions.join(size, "node")
-        big = sized.groupBy("region").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")).select("region", "k", ((F.col("k") > LEAF_NODES) | (F.col("total") > LEAF_SHINGLES)).alias("large"))
-        if not first and not big.where("large").head(1):
-            break
-        # the best-connected member is the pivot; a large region has several
+        big = regions.join(size, "node").groupBy("region").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
         degree = regions.join(big, "region").groupBy("node").agg(F.sum("k").alias("degree"))
         ranked = regions.join(degree, "node").groupBy("region").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("pivot"))
-        hashed = regions.join(big.where("large"), "region").groupBy("region").agg(*(F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(1, PIVOTS)))
-        pivots = ranked.select("region", "pivot").union(hashed.select("region", F.explode(F.array(*(f"p{i}" for i in range(1, PIVOTS)))))).distinct()
-        pivots = written(spark, pivots, "pivots")
-        seen = regions.join(pivots, "region").where("node <> pivot")
-        d = written(spark, _distances(seen.select("pivot", "node").distinct(), shingled), "distances")
-        new = d.where(den * F.col("common") >= num * (F.col("n") + F.col("pivot_n") - F.col("common"))).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        edges = new if edges is None else edges.union(new)
+        seen = written(spark, regions.join(ranked, "region").where("node <> pivot").join(big, "region").select("region", "node", "pivot", ((F.col("k") > LEAF_NODES) | (F.col("total") > LEAF_SHINGLES)).alias("large")), "cells")
+        linked = written(spark, _distances(seen.select("pivot", "node").distinct(), shingled, num, den), "distances")
+        edges = linked.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(labels.select("label", "node"))
         labels = written(spark, components(spark, edges), "labels")
-        rest = regions.join(pivots.withColumnRenamed("pivot", "node"), ["region", "node"], "left_anti")
-        # Voronoi cells with windows, where they don't grow
-        apart = seen.join(d, ["pivot", "node"]).select("region", "pivot", "node", (1 - F.col("common") / (F.col("n") + F.col("pivot_n") - F.col("common"))).alias("d"))
-        nearest = apart.groupBy("region", "node").agg(F.min("d").alias("least"))
-        cells = apart.join(nearest, ["region", "node"]).where(F.col("d") <= F.col("least") + 2 * (den - num) / den + 1e-9).join(rest, ["region", "node"]).select("region", "pivot", "node")
-        cells = written(spark, cells, "cells")
-        grown = cells.groupBy("region").agg(F.count(F.lit(1)).alias("k"), F.count_distinct("node").alias("nodes"), F.count_distinct("pivot").alias("pivots"))
-        cut = grown.where("pivots > 1 and k <= 2 * nodes").select("region")
-        parts = cells.join(cut, "region").select(F.xxhash64("region", "pivot").alias("region"), "node").union(rest.join(cut, "region", "left_anti").select("region", "node"))
-        labelled = parts.join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label"))
-        alive = labelled.groupBy("region").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("region")
-        regions = written(spark, _merged(parts.join(alive, "region")), "regions")
-        first = False
-    leaves = regions.join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label")).join(shingled, "node")
-    return edges.union(leaves.groupBy("region").applyInPandas(_leaf(num, den), "a long, b long"))
+        alive = seen.join(labels, "node", "left").groupBy("region").agg(F.min(F.coalesce("label", "node")).alias("x"), F.max(F.coalesce("label", "node")).alias("y")).where("x < y").select("region")
+        seen = written(spark, seen.join(alive, "region"), "alive")
+        pools.append(seen.where("not large").select("region", "node"))
+        cells = seen.where("large").select("pivot", "node").distinct()
+        if not cells.head(1):
+            break
+        regions = written(spark, _merged(_cells(cells, linked, shingled, spark, num, den)), "regions")
+    leaves = _merged(reduce(DataFrame.union, pools)).join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label")).join(shingled, "node")
+    return labels.select(F.col("label").alias("a"), F.col("node").alias("b")).union(leaves.groupBy("region").applyInPandas(_leaf(num, den), "a long, b long"))
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
