@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, WordCodes, grams, mix, slices, written
 
-LEAF_NODES, LEAF_SHINGLES = 48, 2_000_000
+LEAF_NODES, LEAF_SHINGLES = 256, 2_000_000
 BITMAP = 1 << 23
 SETS = "doc_id long, text_code long, n long, h1 long, h2 long, sigs array<long>"
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
@@ -211,25 +211,33 @@ def _cells(pairs: DataFrame, linked: DataFrame, sets: DataFrame, spark: SparkSes
     return shared.union(near)
 
 
+def common_counts(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+    """Sizes of all intersections, as products of incidence matrices over blocks of shingles."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = often[at] > 1
+    row, at = row[kept], (np.cumsum(often > 1) - 1)[at[kept]]
+    order = np.argsort(at, kind="stable")
+    row, at, out = row[order], at[order], np.zeros((len(sets), len(sets)), np.int64)
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
+        a, b = np.searchsorted(at, (first, first + columns))
+        block = np.zeros((len(sets), columns), np.float32)
+        block[row[a:b], at[a:b] - first] = 1
+        out += (block @ block.T).astype(np.int64)
+    return out
+
+
 def _leaf(num: int, den: int):
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         """Links between the members of a region that are not yet in one component."""
-        rows = rows.sort_values("n")
-        x = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
-        node, label, out = rows["node"].tolist(), rows["label"].tolist(), []
-        for i in range(len(x)):
-            for j in range(i + 1, len(x)):
-                a, b = len(x[i]), len(x[j])
-                if den * a < num * b:
-                    break  # from here on all are too long
-                if label[i] == label[j]:
-                    continue
-                at = np.searchsorted(x[j], x[i])
-                m = np.count_nonzero(x[j][np.minimum(at, b - 1)] == x[i])
-                if den * m >= num * (a + b - m):
-                    out.append((node[i], node[j]))
-                    old, new = label[j], label[i]
-                    label = [new if v == old else v for v in label]
+        sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
+        node, label, out = rows["node"].to_numpy(), rows["label"].to_numpy().copy(), []
+        n, m = np.array([len(x) for x in sets]), common_counts(sets)
+        linked = (den * m >= num * (n[:, None] + n - m)) & (label[:, None] != label)
+        for i, j in zip(*np.nonzero(np.triu(linked, 1))):
+            if label[i] != label[j]:
+                out.append((node[i], node[j]))
+                label[label == label[j]] = label[i]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return join
@@ -262,12 +270,12 @@ def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, nodes: DataFram
     shingled = written(spark, found.select("node", "shingles", (F.octet_length("shingles") / 8).cast("long").alias("n")), "shingles")
     size = shingled.select("node", "n")
     labels = spark.createDataFrame([], "node long, label long")
-    pools = []
+    pools, most = [], 2  # root regions overlap much: each goes into its pivot's cell once
     while True:
         big = regions.join(size, "node").groupBy("region").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
         degree = regions.join(big, "region").groupBy("node").agg(F.sum("k").alias("degree"))
         ranked = regions.join(degree, "node").groupBy("region").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("pivot"))
-        seen = written(spark, regions.join(ranked, "region").where("node <> pivot").join(big, "region").select("region", "node", "pivot", ((F.col("k") > LEAF_NODES) | (F.col("total") > LEAF_SHINGLES)).alias("large")), "cells")
+        seen = written(spark, regions.join(ranked, "region").where("node <> pivot").join(big, "region").select("region", "node", "pivot", ((F.col("k") > most) | (F.col("total") > LEAF_SHINGLES)).alias("large")), "cells")
         linked = written(spark, _distances(seen.select("pivot", "node").distinct(), shingled, num, den), "distances")
         edges = linked.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(labels.select("label", "node"))
         labels = written(spark, components(spark, edges), "labels")
@@ -278,6 +286,7 @@ def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, nodes: DataFram
         if not cells.head(1):
             break
         regions = written(spark, _merged(_cells(cells, linked, shingled, spark, num, den)), "regions")
+        most = LEAF_NODES
     leaves = _merged(reduce(DataFrame.union, pools)).join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label")).join(shingled, "node")
     return labels.select(F.col("label").alias("a"), F.col("node").alias("b")).union(leaves.groupBy("region").applyInPandas(_leaf(num, den), "a long, b long"))
 

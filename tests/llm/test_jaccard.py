@@ -46,7 +46,7 @@ def made(seed, bases, copies, words):
     return rows
 
 
-@pytest.mark.parametrize("n,num,den,leaf", [(3, 90, 100, 48), (5, 80, 100, 4), (3, 90, 100, 3)])
+@pytest.mark.parametrize("n,num,den,leaf", [(3, 90, 100, 256), (5, 80, 100, 4), (3, 90, 100, 3)])
 def test_components_equal_all_pairs(spark, monkeypatch, n, num, den, leaf):
     monkeypatch.setattr(jaccard, "LEAF_NODES", leaf)
     rows = made(leaf, 6, 40, [8, 12, 30, 60, 200])
@@ -54,7 +54,7 @@ def test_components_equal_all_pairs(spark, monkeypatch, n, num, den, leaf):
     got = sorted((tuple(r) for r in jaccard_components(spark, docs, n, num, den).select("doc_id", "n_shingles", "component_id").collect()), key=str)
     assert got == brute(rows, n, num, den)
     assert len({c for _, _, c in got}) < len(rows) - 60
-    if leaf == 48:
+    if leaf == 256:
         assert jaccard_components(spark, docs.limit(0)).collect() == []
 
 
