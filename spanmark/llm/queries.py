@@ -11,6 +11,7 @@ from .language import predict_languages
 from .media import media_digests, read_features, write_media
 from .packing import pack_documents
 from .quality import classify
+from .substrings import find_repeats
 from .token_output import token_digests
 from .urls import judge
 
@@ -26,6 +27,10 @@ def op2_chat_format(spark, sf_dir):
     return chat_digests(format_chats(spark, chats.unionByName(own)))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return find_repeats(spark, documents(spark, sf_dir)).digests()
+
+
 def op4_token_output(spark, sf_dir):
     return token_digests(spark, documents(spark, sf_dir))
 
@@ -57,6 +62,7 @@ def op10_jaccard(spark, sf_dir):
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_token_output": op4_token_output,
     "op5_quality": op5_quality,
     "op6_media": op6_media,
@@ -65,4 +71,4 @@ QUERIES = {
     "op9_url_filters": op9_url_filters,
     "op10_jaccard": op10_jaccard,
 }
-ORACLES = {"op1_decontamination": oracles.DECONTAMINATION, "op10_jaccard": oracles.JACCARD}
+ORACLES = {"op1_decontamination": oracles.DECONTAMINATION, "op3_substring_dedup": oracles.REPEATS, "op10_jaccard": oracles.JACCARD}
