@@ -43,29 +43,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-
-
-class WordCodes(dict):
-    """Word (bytes) to a 64-bit code: blake2b, remembered for up to `most` distinct words."""
-
-    def __init__(self, most: int = 300_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        import hashlib
-
-        code = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = code
-        return code
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that sums of products spread over all bits."""
     x = x ^ (x >> np.uint64(30))
@@ -86,6 +63,78 @@ def grams(codes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def runs_of(codes: np.ndarray, n: int) -> np.ndarray:
+    """As grams, for n a power of two, in log n passes."""
+    out, width = codes, 1
+    while width < n and len(out) > width:
+        out = mix(out[:-width] * np.uint64(0x9E3779B97F4A7C15) + out[width:] + np.uint64(width))
+        width *= 2
+    return out if width == n else np.empty(0, np.uint64)
+
+
+_ODD = np.uint64(0xD1342543DE82EF95)
+_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+BLOCK_BYTES = 1 << 21
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_ODD, _INVERSE)):
+            _POWERS[k] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, BLOCK_BYTES), base)])
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def range_codes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A code of values[begin:end] for each range, the same wherever the same values stand."""
+    up, down = powers(len(values) + 1)
+    sums = np.r_[np.uint64(0), np.cumsum(values * down[1:])]
+    return mix((sums[end] - sums[begin]) * up[begin] + (end - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _byte_values(fold: bool) -> np.ndarray:
+    b = np.arange(256, dtype=np.uint64)
+    if fold:
+        b[65:91] += np.uint64(32)
+    return mix((b + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
+
+
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_VALUES = {fold: _byte_values(fold) for fold in (False, True)}
+
+
+def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an Arrow column of texts one after another, and where each begins and the last ends."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets - offsets[0]
+
+
+def word_codes(column, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit codes of the words (cut at x09-x0D and x20) of all texts of an Arrow column, and where each text's
+    begin and the last end. fold: A-Z count as a-z. The bytes are coded a block of words at a time."""
+    data, offsets = text_bytes(column)
+    inside = ~_WHITE[data]
+    before, after = np.r_[False, inside[:-1]][: len(data)], np.r_[inside[1:], False][: len(data)]
+    full = offsets[:-1][offsets[1:] > offsets[:-1]]
+    before[full] = False
+    after[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = False
+    begin, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    out, at = np.empty(len(begin), np.uint64), 0
+    while at < len(begin):
+        to = max(at + 1, int(np.searchsorted(end, begin[at] + BLOCK_BYTES, "right")))
+        low = begin[at]
+        out[at:to] = range_codes(_VALUES[fold][data[low : end[to - 1]]], begin[at:to] - low, end[at:to] - low)
+        at = to
+    return out, np.searchsorted(begin, offsets)
+
+
 def slices(batch, column: str = "text", most: int = 8 << 20):
     """Cut an Arrow batch so that each slice holds about `most` bytes of text, one row at least."""
     import pyarrow.compute as pc

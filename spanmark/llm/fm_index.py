@@ -44,30 +44,31 @@ class FMIndex:
         first = np.zeros(self.n, np.int64)
         first[ends] = np.arange(len(ends))
         first[inside] = ids + len(ends)
-        order, ranks, width = np.argsort(first, kind="stable"), first, 1
+        order, ranks, width = np.argsort(first), first, 1
         by_width = {1: first}
         longest = int(size.max())
         while width < max(longest, depth):
             later = np.zeros(self.n, np.int64)
             later[:-width] = ranks[width:] + 1
             key = ranks * (self.n + 1) + later
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.r_[True, key[order[1:]] != key[order[:-1]]]
             ranks = np.empty(self.n, np.int64)
             ranks[order] = np.cumsum(new) - 1
             width *= 2
             by_width[width] = ranks
         # groups of suffixes equal in depth - 1 codes, from the powers of two that sum up to it
-        part, at = np.zeros(self.n, np.int64), 0
+        part, at = None, 0
         for bit in range(depth.bit_length(), -1, -1):
             w = 1 << bit
             if (depth - 1) & w:
                 shifted = np.zeros(self.n, np.int64)
                 shifted[: self.n - at] = by_width[w][at:] + 1
-                key = part * (self.n + 2) + shifted
-                part = np.unique(key, return_inverse=True)[1]
-                at += w
-        grouped = part[order]
+                if part is not None:
+                    _, part = np.unique(part, return_inverse=True)
+                    shifted += part * (self.n + 2)
+                part, at = shifted, at + w
+        grouped = part[order] if depth > 1 else np.zeros(self.n, np.int64)
         edge = np.flatnonzero(np.r_[True, grouped[1:] != grouped[:-1]])
         of = np.cumsum(np.r_[False, grouped[1:] != grouped[:-1]])
         self.group_low = edge[of]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WordCodes, grams, mix, slices, written
+from .common import grams, mix, slices, word_codes, written
 
 LEAF_NODES, LEAF_SHINGLES = 256, 2_000_000
 BITMAP = 1 << 23
@@ -42,14 +42,17 @@ SETS = "doc_id long, text_code long, n long, h1 long, h2 long, sigs array<long>"
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 
 
-def shingles(text: str | None, n: int, codes: WordCodes) -> np.ndarray:
-    """The sorted distinct codes of the shingles of a whole text."""
-    words = (text or "").encode().translate(ASCII_LOWER).split()  # bytes.split cuts at x09-x0D and x20
-    if not words:
-        return np.empty(0, np.uint64)
-    c = codes.of(words)
-    g = grams(c, n) if len(c) >= n else grams(np.r_[c, np.uint64(len(c))], len(c) + 1)
-    return np.unique(g)
+def shingles(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The sorted distinct codes of the shingles of each whole text."""
+    codes, ends = word_codes(texts, fold=True)
+    runs = grams(codes, n)
+    for a, z in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        if z - a >= n:
+            yield np.unique(runs[a : z - n + 1])
+        elif z > a:  # the whole sequence as one, told apart from longer ones by its length
+            yield grams(np.r_[codes[a:z], np.uint64(z - a)], z - a + 1)
+        else:
+            yield np.empty(0, np.uint64)
 
 
 @cache
@@ -90,11 +93,9 @@ def signatures(x: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    codes = WordCodes()
-    for b in (x for batch in batches for x in slices(batch)):
+    for b in (x for batch in batches for x in slices(batch, most=1 << 21)):
         size, h1, h2, sigs = [], [], [], []
-        for t in b["text"]:
-            x = shingles(t.as_py(), n, codes)
+        for x in shingles(b["text"], n):
             size.append(len(x))
             h1.append(mix(x ^ _SEEDS[0]).sum(dtype=np.uint64))
             h2.append(mix(x ^ _SEEDS[1]).sum(dtype=np.uint64))
@@ -105,12 +106,11 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iter
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch], n: int, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
-    codes = WordCodes()
-    for b in (x for batch in batches for x in slices(batch)):
+    for b in (x for batch in batches for x in slices(batch, most=1 << 21)):
         at = np.asarray(b["text_code"]) & np.int64(BITMAP - 1)
         b = b.take(pa.array(np.flatnonzero(bitmap[at >> 6] >> (at & 63) & 1)))
         if b.num_rows:
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_code"], pa.array([shingles(t.as_py(), n, codes).tobytes() for t in b["text"]], pa.binary())], names=["doc_id", "text_code", "shingles"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_code"], pa.array([x.tobytes() for x in shingles(b["text"], n)], pa.binary())], names=["doc_id", "text_code", "shingles"])
 
 
 def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCodes, grams, mix, shared_folder, slices, written
+from .common import grams, mix, range_codes, runs_of, shared_folder, slices, word_codes, written
 from .fm_index import FMIndex
 from .jaccard import BITMAP, bitmap_of
 
@@ -40,40 +40,50 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()  # bytes.split cuts at x09-x0D and x20
 
 
-def minimiser_at(codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of codes, where its minimiser stands; and the codes of all runs of GRAM words."""
-    gram = min(GRAM, window)
-    g = grams(codes, gram)
-    span = window - gram + 1
-    if len(g) < span:
-        return np.empty(0, np.int64), g
-    # the leftmost least of each `span` runs: minima over doubled widths, value first, then place
-    order = np.argsort(g, kind="stable")
-    rank = np.empty(len(g), np.int64)
-    rank[order] = np.cumsum(np.r_[0, g[order[1:]] != g[order[:-1]]]) if len(g) else 0
-    key = rank * np.int64(len(g) + 1) + np.arange(len(g))
-    width = 1
-    while width * 2 <= span:
-        key = np.minimum(key[:-width], key[width:])
-        width *= 2
-    if width < span:
-        key = np.minimum(key[: len(g) - span + 1], key[span - width : span - width + len(g) - span + 1])
-    return key % np.int64(len(g) + 1), g
+class Windows:
+    """The windows of some texts: their text, their start in it, and the value and place of their minimiser."""
+
+    def __init__(self, texts: pa.Array, window: int):
+        self.codes, self.ends = word_codes(texts)
+        gram = min(GRAM, window)
+        g = runs_of(self.codes, gram) if gram == GRAM else grams(self.codes, gram)
+        span = window - gram + 1
+        # the leftmost least of each `span` runs: by the upper half of the code, then by place; minima over doubled widths
+        key = (g & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
+        width, m = 1, len(g) - span + 1
+        while width * 2 <= span and len(key) > width:
+            key = np.minimum(key[:-width], key[width:])
+            width *= 2
+        if m > 0 and width < span:
+            key = np.minimum(key[:m], key[span - width : span - width + m])
+        at = (key[: max(m, 0)] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        size = np.diff(self.ends)
+        # windows that lie within one text
+        count = np.maximum(size - window + 1, 0)
+        self.text = np.repeat(np.arange(len(size)), count)
+        self.place = np.arange(len(self.text)) - np.repeat(np.cumsum(count) - count, count) + self.ends[:-1][self.text]
+        self.start = self.place - self.ends[:-1][self.text]
+        self.at = at[self.place]
+        self.value = g[self.at]
+
+    def new(self) -> np.ndarray:
+        """Where a window's minimiser stands elsewhere than the last one's, or in another text."""
+        same = (self.at[1:] == self.at[:-1]) & (self.text[1:] == self.text[:-1])
+        return np.r_[True, ~same] if len(self.at) else np.empty(0, bool)
+
+
+def _lists(text: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """values, sorted by text, as a list for each of n texts."""
+    ends = np.searchsorted(text, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
 
 
 def _base(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    codes = WordCodes()
-    for b in (x for batch in batches for x in slices(batch)):
-        n, sha, kept = [], [], []
-        for t in b["text"]:
-            words = words_of(t.as_py())
-            at, g = minimiser_at(codes.of(words), window)
-            n.append(len(words))
-            sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            kept.append(g[at[np.r_[True, at[1:] != at[:-1]]]] if len(at) else np.empty(0, np.uint64))
-        ends = np.cumsum([0] + [len(k) for k in kept]).astype(np.int32)
-        flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_code"], pa.array(n, pa.int64()), pa.array(sha), flat], names=["doc_id", "text_code", "n_words", "whole_sha256", "minimisers"])
+    for b in (x for batch in batches for x in slices(batch, most=1 << 21)):
+        w = Windows(b["text"], window)
+        first = w.new()
+        sha = [hashlib.sha256(b" ".join(words_of(t.as_py()))).hexdigest() for t in b["text"]]
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_code"], pa.array(np.diff(w.ends).astype(np.int64)), pa.array(sha, pa.string()), _lists(w.text[first], w.value[first], b.num_rows)], names=["doc_id", "text_code", "n_words", "whole_sha256", "minimisers"])
 
 
 def _passing(bitmap: np.ndarray):
@@ -85,41 +95,42 @@ def _passing(bitmap: np.ndarray):
     return rows
 
 
+def _listed(lists: pa.Array, w: Windows) -> np.ndarray:
+    """Which windows' minimisers are in their text's list."""
+    row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+    value = np.asarray(lists.flatten()).view(np.uint64)
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    keys, code = np.unique(np.r_[value, w.value], return_inverse=True)
+    have = row * (len(keys) + 1) + code[: len(value)]
+    want = w.text * (len(keys) + 1) + code[len(value) :]
+    return np.isin(want, have)
+
+
 def _segments(batches: Iterator[pa.RecordBatch], window: int, with_codes: bool) -> Iterator[pa.RecordBatch]:
     """Segments of rows (uid, text, wanted: minimisers that repeat, frequent: those cut into windows).
 
     Without codes: uid, start, windows, h1, h2. With codes: shard key, h1, h2, codes."""
-    codes = WordCodes()
-    for b in (x for batch in batches for x in slices(batch, most=2 << 20)):
-        uids, starts, counts, keys, h1, h2, parts = [], [], [], [], [], [], []
-        for uid, t, wanted, frequent in zip(b["uid"].to_pylist(), b["text"], b["wanted"], b["frequent"]):
-            c = codes.of(words_of(t.as_py()))
-            at, g = minimiser_at(c, window)
-            if not len(at):
-                continue
-            value = g[at]
-            cut = np.r_[True, at[1:] != at[:-1]] | np.isin(value, np.asarray(frequent.values).view(np.uint64))
-            first = np.flatnonzero(cut)
-            m = np.diff(np.r_[first, len(at)])
-            use = np.isin(value[first], np.asarray(wanted.values).view(np.uint64))
-            first, m = first[use], m[use]
-            hot = np.isin(value[first], np.asarray(frequent.values).view(np.uint64))
-            # codes of whole segments, by their words and length: prefix sums of scrambled words would move with the place, so fold each
-            for f, k, v, h in zip(first.tolist(), m.tolist(), value[first].tolist(), hot.tolist()):
-                piece = c[f : f + k + window - 1]
-                raw = piece.tobytes()
-                digest = hashlib.blake2b(raw, digest_size=16).digest()
-                a, z = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-                h1.append(a), h2.append(z)
-                if with_codes:
-                    keys.append(a if h else int(np.uint64(v).view(np.int64)))
-                    parts.append(raw)
-                else:
-                    uids.append(uid), starts.append(f), counts.append(k)
+    for b in (x for batch in batches for x in slices(batch, most=1 << 21)):
+        w = Windows(b["text"], window)
+        hot = _listed(b["frequent"], w)
+        first = np.flatnonzero(w.new() | hot)
+        m = np.diff(np.r_[first, len(w.at)])
+        use = _listed(b["wanted"], w)[first]
+        first, m = first[use], m[use]
+        begin, end = w.place[first], w.place[first] + m + window - 1
+        h1 = range_codes(w.codes, begin, end).view(np.int64)
+        h2 = range_codes(mix(w.codes ^ np.uint64(0x452821E638D01377)), begin, end).view(np.int64)
         if with_codes:
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (keys, h1, h2)), pa.array(parts, pa.binary())], names=["key", "h1", "h2", "codes"])
+            key = np.where(hot[first], h1, w.value[first].view(np.int64))
+            size = end - begin
+            ends = np.cumsum(size)
+            flat = w.codes[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+            codes = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((8 * np.r_[0, ends]).astype(np.int32)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h1), pa.array(h2), codes], names=["key", "h1", "h2", "codes"])
         else:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (uids, starts, counts, h1, h2)], names=["uid", "start", "windows", "h1", "h2"])
+            uid = np.asarray(b["uid"])[w.text[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (uid, w.start[first], m, h1, h2)], names=["uid", "start", "windows", "h1", "h2"])
 
 
 def repeated_runs(sequences: list[np.ndarray], weight: np.ndarray, window: int) -> list[np.ndarray]:

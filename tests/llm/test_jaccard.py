@@ -6,13 +6,14 @@ import numpy as np
 import pytest
 
 from spanmark.llm import jaccard
-from spanmark.llm.common import WordCodes
-from spanmark.llm.jaccard import components, jaccard_components, shingles, signatures
+from spanmark.llm.jaccard import components, jaccard_components, signatures
 
 
 def brute(rows, n, num, den):
-    codes = WordCodes()
-    sets = [set(shingles(t, n, codes).tolist()) for _, t in rows]
+    sets = []
+    for _, t in rows:
+        w = "".join(c.lower() if c < "\x80" else c for c in t or "").encode().split()
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()})
     label = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
