@@ -135,6 +135,47 @@ def word_codes(column, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
     return out, np.searchsorted(begin, offsets)
 
 
+BITMAP = 1 << 23
+
+
+def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of the keys' low bits: 1 MB whatever their number; when full it lets all pass."""
+    low = F.col(column).bitwiseAND(F.lit(BITMAP - 1))
+    words = keys.select(F.shiftright(low, 6).alias("at"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
+    out = np.zeros(BITMAP >> 6, np.int64)
+    for r in words:
+        out[r["at"]] = r["bits"]
+    return out
+
+
+def marked(bitmap: np.ndarray, codes) -> np.ndarray:
+    """Whether the bits of codes are set."""
+    at = np.asarray(codes) & np.int64(BITMAP - 1)
+    return (bitmap[at >> 6] >> (at & 63) & 1).astype(bool)
+
+
+def passing(bitmap: np.ndarray, column: str, on: bool = True):
+    """For mapInArrow: the rows whose bit is set, or the others."""
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield b.take(pa.array(np.flatnonzero(marked(bitmap, b[column]) == on)))
+
+    return rows
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of gone (doc_id, text_code). Only rows that share a bit with one of them are shuffled."""
+    bitmap = bitmap_of(gone, "text_code")
+    coded = docs.withColumn("code of the text", F.xxhash64(F.col("text").cast("string")))
+    clear = coded.mapInArrow(passing(bitmap, "code of the text", False), coded.schema)
+    maybe = coded.mapInArrow(passing(bitmap, "code of the text"), coded.schema).alias("m")
+    stay = maybe.join(gone.alias("g"), (F.col("m.doc_id").cast("long").eqNullSafe(F.col("g.doc_id"))) & (F.col("m.code of the text") == F.col("g.text_code")), "left_anti")
+    return clear.union(stay).drop("code of the text")
+
+
 def slices(batch, column: str = "text", most: int = 8 << 20):
     """Cut an Arrow batch so that each slice holds about `most` bytes of text, one row at least."""
     import pyarrow.compute as pc

@@ -34,10 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import grams, mix, slices, word_codes, written
+from .common import bitmap_of, grams, marked, mix, slices, word_codes, written
 
 LEAF_NODES, LEAF_SHINGLES = 256, 2_000_000
-BITMAP = 1 << 23
 SETS = "doc_id long, text_code long, n long, h1 long, h2 long, sigs array<long>"
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 
@@ -107,22 +106,11 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iter
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch], n: int, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in (x for batch in batches for x in slices(batch, most=1 << 21)):
-        at = np.asarray(b["text_code"]) & np.int64(BITMAP - 1)
-        b = b.take(pa.array(np.flatnonzero(bitmap[at >> 6] >> (at & 63) & 1)))
+        b = b.take(pa.array(np.flatnonzero(marked(bitmap, b["text_code"]))))
         if b.num_rows:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_code"], pa.array([x.tobytes() for x in shingles(b["text"], n)], pa.binary())], names=["doc_id", "text_code", "shingles"])
 
 
-def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of the keys' low bits: 1 MB whatever their number; when full it lets all pass."""
-    low = F.col(column).bitwiseAND(F.lit(BITMAP - 1))
-    words = keys.select(F.shiftright(low, 6).alias("at"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()
-    out = np.zeros(BITMAP >> 6, np.int64)
-    for r in words:
-        out[r["at"]] = r["bits"]
-    return out
-
-
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, label) of every node of edges (a, b); the label is the smallest node reachable.
 
@@ -292,8 +280,8 @@ def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, nodes: DataFram
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """Per document: doc_id, text_code, n_shingles, component_id. Two documents link when
-    den * intersection >= num * union of their sets of n-word shingles."""
+    """Per document: doc_id, text_code, n_shingles, component_id, and keeper, true for one of each
+    component. Two documents link when den * intersection >= num * union of their n-word shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("*", F.xxhash64("text").alias("text_code"))
     sets = docs.mapInArrow(lambda it: _sets(it, n, num, den), SETS).select(F.monotonically_increasing_id().alias("rid"), "*")
     sets = written(spark, sets, "sets")
@@ -303,6 +291,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, num: in
     edges = links(spark, docs, sets, nodes, n, num, den)
     labels = written(spark, components(spark, edges), "labels")
     told = nodes.join(labels, "node", "left").select("rid", "first", F.coalesce("label", "node").alias("label"))
-    smallest = told.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = told.join(smallest, "label").select("rid", "component_id")
-    return sets.select("rid", "doc_id", "text_code", "n").join(named, "rid", "left").select("doc_id", "text_code", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    told = told.join(sets.select("rid", "doc_id"), "rid")
+    smallest = told.groupBy("label").agg(F.min("first").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("stays"))
+    named = told.join(smallest, "label").select("rid", "component_id", (F.col("rid") == F.col("stays")).alias("keeper"))
+    out = sets.select("rid", "doc_id", "text_code", "n").join(named, "rid", "left")
+    return out.select("doc_id", "text_code", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("keeper", F.lit(True)).alias("keeper"))

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import queries as q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(q.QUERIES)
+    return q.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:

@@ -25,10 +25,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import grams, mix, range_codes, runs_of, shared_folder, slices, word_codes, written
+from .common import bitmap_of, grams, mix, passing, range_codes, runs_of, shared_folder, slices, without, word_codes, written
 from .fm_index import FMIndex
-from .jaccard import BITMAP, bitmap_of
 
 GRAM = 8
 HOT = 20_000
@@ -86,15 +86,6 @@ def _base(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_code"], pa.array(np.diff(w.ends).astype(np.int64)), pa.array(sha, pa.string()), _lists(w.text[first], w.value[first], b.num_rows)], names=["doc_id", "text_code", "n_words", "whole_sha256", "minimisers"])
 
 
-def _passing(bitmap: np.ndarray):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.asarray(b["text_code"]) & np.int64(BITMAP - 1)
-            yield b.take(pa.array(np.flatnonzero(bitmap[at >> 6] >> (at & 63) & 1)))
-
-    return rows
-
-
 def _listed(lists: pa.Array, w: Windows) -> np.ndarray:
     """Which windows' minimisers are in their text's list."""
     row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
@@ -166,7 +157,7 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
             out.append((doc_id, len(words), len(words) - len(stay), hashlib.sha256(text).hexdigest(), text.decode()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         cols = zip(*out) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), b["rest"]], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "rest"])
 
 
 class Repeats:
@@ -183,9 +174,11 @@ class Repeats:
         return same.union(self.changed.select("doc_id", "n_words", "n_removed", "kept_sha256"))
 
 
-def find_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, hot: int = HOT, shard_words: int = SHARD_WORDS) -> Repeats:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("*", F.xxhash64("text").alias("text_code"))
-    base = docs.mapInArrow(lambda it: _base(it, window), BASE)
+def find_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, hot: int = HOT, shard_words: int = SHARD_WORDS, carried: tuple[str, ...] = ()) -> Repeats:
+    """Find what repeats in docs (doc_id, text); the columns `carried` come with the changed documents, in `rest`."""
+    rest = F.struct(*(F.lit(None).cast("int").alias(c) if c == "text" else F.col(c) for c in carried)) if carried else F.struct(F.lit(None).cast("int").alias("none"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest")).select("*", F.xxhash64("text").alias("text_code"))
+    base = docs.select("doc_id", "text", "text_code").mapInArrow(lambda it: _base(it, window), BASE)
     base = written(spark, base.select(F.monotonically_increasing_id().alias("rid"), "*"), "minimisers")
     often = base.select(F.explode("minimisers").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     often = written(spark, often, "repeated-minimisers")
@@ -195,21 +188,30 @@ def find_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, hot: in
     lists = some.groupBy("uid").agg(F.collect_set("m").alias("wanted"), F.collect_set(F.when(F.col("n") > hot, F.col("m"))).alias("frequent"))
     wanted = written(spark, lists.join(one.select("uid", "doc_id", "text_code"), "uid"), "wanted")
     bitmap = bitmap_of(wanted, "text_code")
-    d, w = docs.mapInArrow(_passing(bitmap), docs.schema).alias("d"), wanted.alias("w")
-    picked = d.join(w, F.expr("d.doc_id <=> w.doc_id and d.text_code = w.text_code")).select("uid", "d.doc_id", "d.text_code", "text", "wanted", "frequent")
+    d, w = docs.mapInArrow(passing(bitmap, "text_code"), docs.schema).alias("d"), wanted.alias("w")
+    picked = d.join(w, F.expr("d.doc_id <=> w.doc_id and d.text_code = w.text_code")).select("uid", "d.doc_id", "d.text_code", "text", "rest", "wanted", "frequent")
     path = f"{shared_folder(spark)}/picked-{uuid.uuid4().hex}"
     picked.write.option("compression", "zstd").parquet(path)
     picked = spark.read.schema(picked.schema).parquet(path)
 
-    coded = picked.mapInArrow(lambda it: _segments(it, window, True), "key long, h1 long, h2 long, codes binary")
+    use = picked.select("uid", "text", "wanted", "frequent")
+    coded = use.mapInArrow(lambda it: _segments(it, window, True), "key long, h1 long, h2 long, codes binary")
     distinct = coded.groupBy("key", "h1", "h2").agg(F.count(F.lit(1)).alias("weight"), F.first("codes").alias("codes"))
     distinct = written(spark, distinct, "segments")
     total = distinct.agg(F.sum(F.octet_length("codes")) / 8).first()[0] or 0
     shards = max(1, int(total / shard_words))
     sharded = distinct.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "h1", "h2", "weight", "codes")
     runs = written(spark, sharded.groupBy("shard").applyInPandas(_shard(window), "h1 long, h2 long, runs array<int>"), "runs")
-    placed = picked.mapInArrow(lambda it: _segments(it, window, False), "uid long, start long, windows long, h1 long, h2 long").join(runs, ["h1", "h2"])
+    placed = use.mapInArrow(lambda it: _segments(it, window, False), "uid long, start long, windows long, h1 long, h2 long").join(runs, ["h1", "h2"])
     per = placed.select("uid", F.transform("runs", lambda r: r + F.col("start")).alias("runs")).groupBy("uid").agg(F.flatten(F.collect_set("runs")).alias("runs"))
     per = written(spark, per, "removed")
-    changed = picked.join(per, "uid").select("doc_id", "text", "runs").mapInArrow(lambda it: _kept(it, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    schema = StructType([StructField(n, t) for n, t in zip(("doc_id", "n_words", "n_removed", "kept_sha256", "kept"), (LongType(), LongType(), LongType(), StringType(), StringType()))] + [picked.schema["rest"]])
+    changed = picked.join(per, "uid").select("doc_id", "text", "rest", "runs").mapInArrow(lambda it: _kept(it, window), schema)
     return Repeats(base, changed, wanted.join(per.select("uid"), "uid").select("doc_id", "text_code"))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, window: int = 35) -> DataFrame:
+    """docs with the repeated words removed: changed texts are their kept words joined by one space, others stay as they are."""
+    found = find_repeats(spark, docs, window, carried=tuple(docs.columns))
+    new = found.changed.select(*(F.col("kept").alias(c) if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+    return without(docs, found.affected).union(new)
