@@ -1,19 +1,296 @@
-"""All registered queries with their SQL twins."""
+"""All registered queries of the span engine with their SQL twins."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanmark.functions import codepoints as cp
+from spanmark.functions.normalize import normalized
+from spanmark.functions.notation import LATIN, compile_rule
+from spanmark.operators import corpus as co
+from spanmark.operators import editions, gates, spans
+from spanmark.sources.editions import from_positions
+
+KEY = ["doc_id"]
+
+
+def _docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lower("text").alias("text"), "lang", "source")
+
+
+def _rules(spark, dialect="python", **chosen):
+    demo = co.demo(spark)
+    lines = co.selected(co.lineage(demo), **chosen)
+    return lines, co.patterns(demo, lines, LATIN, dialect)
+
+
+def _spans(spark, sf_dir, **chosen):
+    lines, rules = _rules(spark, **chosen)
+    return lines, spans.find_spans(_docs(spark, sf_dir), rules, KEY)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Incidence of every demo rule over documents."""
+    lines, found = _spans(spark, sf_dir)
+    return spans.incidence(found, lines)
+
+
+def span_extract(spark, sf_dir):
+    return _spans(spark, sf_dir)[1]
+
+
+def span_native(spark, sf_dir):
+    return spans.find_spans_native(_docs(spark, sf_dir), _rules(spark, "java")[1], KEY)
+
+
+def span_slice(spark, sf_dir):
+    return spans.sliced(_spans(spark, sf_dir)[1], _docs(spark, sf_dir), KEY)
+
+
+def resolve_overlaps(spark, sf_dir):
+    return spans.resolve(_spans(spark, sf_dir)[1], KEY)
+
+
+def html_render(spark, sf_dir):
+    return spans.to_html(_docs(spark, sf_dir), _spans(spark, sf_dir)[1])
+
+
+def pack_unpack(spark, sf_dir):
+    ids = sorted(r[0] for r in co.DEMO_RULES)
+    return spans.unpacked(spans.packed(_spans(spark, sf_dir)[1], ids, KEY), ids, KEY)
+
+
+def matches_flag(spark, sf_dir):
+    rules = dict(_rules(spark, "java")[1])
+    return _docs(spark, sf_dir).select("doc_id", *(F.col("text").rlike(rules[r]).alias(r.replace(".", "_")) for r in ("th.1", "pair.1", "rare.1")))
+
+
+def only_filter(spark, sf_dir):
+    lines, found = _spans(spark, sf_dir, only=["joined", "vowel.1"])
+    return spans.incidence(found, lines)
+
+
+def school_filter(spark, sf_dir):
+    lines, found = _spans(spark, sf_dir, school="north")
+    return spans.incidence(found, lines)
+
+
+def incidence_digest(spark, sf_dir):
+    return spans.ordered_digest(_spans(spark, sf_dir)[1])
+
+
+def summary_per_doc(spark, sf_dir):
+    return _spans(spark, sf_dir)[1].groupBy("doc_id").agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("rule_id").alias("rules"))
+
+
+def first_appearance(spark, sf_dir):
+    at = F.struct("start_at", (-F.col("end_at")).alias("back"))
+    return _spans(spark, sf_dir)[1].groupBy("doc_id", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.min(at)["start_at"].alias("first_at"))
+
+
+def lineage_rollup(spark, sf_dir):
+    lines, found = _spans(spark, sf_dir)
+    return found.join(lines, "rule_id").rollup("topic_id", "category_id", "ruling_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def status_counts(spark, sf_dir):
+    return co.demo(spark)["rules"].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def gaps(spark, sf_dir):
+    return co.gaps(co.demo(spark)["rules"])
+
+
+def rule_search(spark, sf_dir):
+    return co.search(co.demo(spark)["rules"], "AS").select("id", "ruling")
+
+
+def constraints(spark, sf_dir):
+    return gates.violations(_broken(co.demo(spark), spark))
+
+
+def _broken(demo, spark):
+    bad = [("th.1", "th", "[a", "within-word", "stable", "x"), ("Odd.1", "none", "[a [b]]", "either", "disabled", None), ("pair.9", "th", "a]", "within-word", "stable", None)]
+    extra = spark.createDataFrame([(i, r, c, s, "normalized", st, g, None, False, {"en": i}) for i, r, c, s, st, g in bad], co.RULE)
+    more = spark.createDataFrame([("lost", "nowhere", None)], "id string, category string, school string")
+    return demo | {"rules": demo["rules"].union(extra), "rulings": demo["rulings"].union(more)}
+
+
+def lineage_strict(spark, sf_dir):
+    r, n, c = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "customer"))
+    return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("customers"))
+
+
+def lineage_left(spark, sf_dir):
+    n, s = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "supplier"))
+    return n.join(s, n.n_nationkey == s.s_nationkey, "left").groupBy("n_name").agg(F.count("s_suppkey").alias("suppliers"))
+
+
+def edition_digest(spark, sf_dir):
+    return editions.digest(_docs(spark, sf_dir), "lang", "doc_id", "text")
+
+
+def _other(docs):
+    """The other edition: some letters written otherwise, some passages missing."""
+    return docs.where("doc_id % 11 <> 3").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.translate("text", "é", "e")).when(F.col("doc_id") % 5 == 0, F.replace("text", F.lit("the "), F.lit("thy "))).otherwise(F.col("text")))
+
+
+def edition_compare(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return editions.compare(d, _other(d), "doc_id", [("accents", "é", "e"), ("vowels", "y", "e")])
+
+
+def edition_only_left(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.join(_other(d).select("doc_id"), "doc_id", "left_anti").select("doc_id")
+
+
+def first_difference(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    both = d.join(_other(d).select("doc_id", F.col("text").alias("other")), "doc_id").where("text <> other")
+    return both.select("doc_id", editions.first_difference(F.col("text"), F.col("other")).cast("long").alias("at"))
+
+
+def char_census(spark, sf_dir):
+    return editions.char_census(_docs(spark, sf_dir), "aeéüñ.")
+
+
+def unknown_chars(spark, sf_dir):
+    return editions.unknown_chars(_docs(spark, sf_dir), "a-z0-9 .,\\n")
+
+
+def byte_offsets(spark, sf_dir):
+    d = _docs(spark, sf_dir).where("lang = 'fr'")
+    return d.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(40), F.lit(5))).alias("byte")).join(d, "doc_id").select("doc_id", F.col("byte").cast("long").alias("byte"), editions.byte_to_codepoint(F.col("text"), F.col("byte")).cast("long").alias("at"))
+
+
+def _two(spark, sf_dir):
+    lines, found = _spans(spark, sf_dir)
+    return lines, found.where("doc_id % 2 = 0"), found.where("doc_id % 2 = 1")
+
+
+def drift_check(spark, sf_dir):
+    lines, even, odd = _two(spark, sf_dir)
+    return gates.drift(spans.incidence(even, lines), spans.incidence(odd, lines))
+
+
+def expectations(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    pinned = labels.select(F.lit("pair.2").alias("rule_id"), "doc_id", (F.col("quality") == 1).alias("wanted"))
+    return gates.expectations(_spans(spark, sf_dir)[1], pinned)
+
+
+def differential_span(spark, sf_dir):
+    _, rules = _rules(spark)
+    d = _docs(spark, sf_dir)
+    keys = ["doc_id", "rule_id", "start_at", "end_at"]
+    return gates.differential(spans.find_spans(d, rules, KEY), spans.find_spans(_other(d), rules, KEY), keys)
+
+
+def frozen_regression(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    short = lambda x: F.substring(F.sha2("text", 256), 1, 16).alias(x)
+    return d.select("doc_id", short("frozen")).join(_other(d).select("doc_id", short("actual")), "doc_id", "left").where(~F.col("frozen").eqNullSafe(F.col("actual")))
+
+
+def zero_width(spark, sf_dir):
+    return _spans(spark, sf_dir)[1].where("end_at <= start_at").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def positional_import(spark, sf_dir):
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.posexplode(F.split("text", " ")).alias("p", "word"))
+    words = words.select((F.col("item_id") * 1000 + F.col("p")).alias("pos"), "word")
+    starts = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select((F.col("item_id") * 1000).alias("start"), F.col("item_id").alias("ref"))
+    return from_positions(words, starts)
+
+
+_FROM, _TO = "aeioubtnkmlrw", "".join(map(chr, (0x64E, 0x650, 0x651, 0x652, 0x64F, 0x628, 0x62A, 0x646, 0x643, 0x645, 0x644, 0x631, 0x648)))
+
+
+def norm_full(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", F.translate("text", _FROM, _TO).alias("codepoint_stream"))
+    return normalized(d, "codepoint_stream").select("doc_id", "norm_text", F.size("norm_source").alias("n"))
+
+
+def norm_strip(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", F.translate("text", "aeio", "ۥۦـٓ").alias("codepoint_stream"))
+    return d.select("doc_id", F.translate("codepoint_stream", cp.OPTIONAL_MARKS, "").alias("stripped"))
+
+
+_QUERIES = {
+    "rule_incidence": flagship,
+    **{f.__name__: f for f in (span_extract, span_native, span_slice, resolve_overlaps, html_render, pack_unpack, matches_flag, only_filter, school_filter, incidence_digest, summary_per_doc, first_appearance, lineage_rollup, status_counts, gaps, rule_search, constraints, lineage_strict, lineage_left, edition_digest, edition_compare, edition_only_left, first_difference, char_census, unknown_chars, byte_offsets, drift_check, expectations, differential_span, frozen_regression, zero_width, positional_import, norm_full, norm_strip)},
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
+
+
+def _text(s: str | None) -> str:
+    return "cast(null as varchar)" if s is None else "'" + s.replace("'", "''") + "'"
+
+
+def _values(rows, names: str) -> str:
+    return f"(select * from (values {', '.join('(' + ', '.join(map(_text, r)) + ')' for r in rows)}) t({names}))"
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    enabled = [r for r in co.DEMO_RULES if r[4] != "disabled"]
+    low = "(select doc_id, lower(text) as text, lang, source from documents)"
+    fenced = [(r[0], compile_rule(r[2], r[3], LATIN, "re2")) for r in enabled]
+
+    def cte(docs: str = low, k: str = "") -> str:
+        """s{k}: the spans of all enabled rules; matches are fenced, places are running sums of the pieces."""
+        parts = "\nunion all ".join(f"select doc_id, {_text(i)} rule_id, string_split(regexp_replace(text, {_text(p)}, chr(1) || '\\0' || chr(2), 'g'), chr(1)) p from d{k}" for i, p in fenced)
+        return f"""d{k} as {docs},
+m{k} as ({parts}),
+u{k} as (select doc_id, rule_id, unnest(p) x, unnest(range(1, len(p) + 1)) k from m{k}),
+o{k} as (select *, coalesce(sum(length(replace(x, chr(2), ''))) over (partition by doc_id, rule_id order by k rows between unbounded preceding and 1 preceding), 0) begun from u{k}),
+s{k} as (select doc_id, rule_id, cast(begun as bigint) start_at, cast(begun + instr(x, chr(2)) - 1 as bigint) end_at from o{k} where k > 1)"""
+
+    s = f"with {cte()}"
+    category = dict((c, t) for c, t in co.DEMO_CATEGORIES)
+    of = {r[0]: r for r in co.DEMO_RULINGS}
+    lines = [(r[0], r[1], of[r[1]][1], category[of[r[1]][1]], of[r[1]][2]) for r in enabled]
+    line = _values(lines, "rule_id, ruling_id, category_id, topic_id, school")
+    count = "select rule_id, count(distinct doc_id) passages, count(*) occurrences from s group by 1"
+    told = f"select rule_id, topic_id, coalesce(passages, 0) passages, coalesce(occurrences, 0) occurrences from {line} l left join ({count}) c using (rule_id)"
+    other = f"(select doc_id, case when doc_id % 3 = 0 then translate(text, 'é', 'e') when doc_id % 5 = 0 then replace(text, 'the ', 'thy ') else text end as text from {low} where doc_id % 11 <> 3)"
+    rules = _values([r[:2] + r[4:6] for r in co.DEMO_RULES], "id, ruling, status, gap")
+    pattern = {r[0]: compile_rule(r[2], r[3], LATIN, "re2") for r in enabled}
+    return {
+        "rule_incidence": f"{s} {told}",
+        "span_extract": f"{s} select * from s",
+        "span_native": f"{s} select * from s",
+        "pack_unpack": f"{s} select * from s",
+        "span_slice": f"{s} select s.*, substring(text, start_at + 1, end_at - start_at) slice from s join d using (doc_id)",
+        "matches_flag": "select doc_id, " + ", ".join(f"regexp_matches(text, {_text(pattern[r])}) {r.replace('.', '_')}" for r in ("th.1", "pair.1", "rare.1")) + f" from {low}",
+        "only_filter": f"{s} select * from ({told}) where rule_id in (select rule_id from {line} where category_id = 'joined' or rule_id = 'vowel.1')",
+        "school_filter": f"{s} select * from ({told}) where rule_id in (select rule_id from {line} where school is null or school = 'north')",
+        "incidence_digest": f"{s} select rule_id, substring(sha256(string_agg(cast(doc_id as varchar), ',' order by doc_id)), 1, 16) digest from (select distinct rule_id, doc_id from s) group by 1",
+        "summary_per_doc": f"{s} select doc_id, count(*) spans, count(distinct rule_id) rules from s group by 1",
+        "first_appearance": f"{s} select doc_id, rule_id, count(*) n, min(start_at) first_at from s group by 1, 2",
+        "lineage_rollup": f"{s} select topic_id, category_id, ruling_id, rule_id, count(*) n from s join {line} l using (rule_id) group by rollup (topic_id, category_id, ruling_id, rule_id)",
+        "status_counts": f"select status, count(*) n from {rules} group by 1",
+        "gaps": f"select gap, count(*) n, 'because of ' || gap reason, string_agg(id, ',' order by id) ids from {rules} where status = 'disabled' group by 1, 3",
+        "rule_search": f"select id, ruling from {rules} where contains(lower(id), 'as') or contains(lower(ruling), 'as')",
+        "lineage_strict": "select r_name, n_name, count(*) customers from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1, 2",
+        "lineage_left": "select n_name, count(s_suppkey) suppliers from nation left join supplier on n_nationkey = s_nationkey group by 1",
+        "edition_digest": f"select lang, count(*) passages, sha256(string_agg(cast(doc_id as varchar) || chr(0) || text, chr(1) order by doc_id)) digest from {low} group by 1",
+        "edition_compare": f"with b as (select a.text a, b.text b from {low} a join {other} b using (doc_id)) select count(*) shared, count_if(a = b) identical, count_if(translate(a, 'é', 'e') = translate(b, 'é', 'e')) alike_accents, count_if(translate(a, 'éy', 'ee') = translate(b, 'éy', 'ee')) alike_vowels from b",
+        "edition_only_left": f"select doc_id from {low} where doc_id not in (select doc_id from {other})",
+        "first_difference": f"select doc_id, cast(list_min(list_filter(range(0, length(a.text) + 1), lambda i: substring(a.text, i + 1, 1) <> substring(b.text, i + 1, 1))) as bigint) as at from {low} a join {other} b using (doc_id) where a.text <> b.text",
+        "char_census": " union all ".join(f"select '{c}' ch, cast(sum(length(text) - length(replace(text, '{c}', ''))) as bigint) n from {low}" for c in "aeéüñ."),
+        "unknown_chars": f"select ch, count(*) n from (select unnest(string_split(regexp_replace(text, '[a-z0-9 .,\\n]', '', 'g'), '')) ch from {low}) where ch <> '' group by 1",
+        "drift_check": f"{s}, b as (select rule_id, coalesce(count(doc_id) filter (where doc_id % 2 = 0), 0) expected, coalesce(count(doc_id) filter (where doc_id % 2 = 1), 0) found from {line} l left join s using (rule_id) group by 1) select rule_id, expected, found, case when expected >= 20 and found = 0 then 'problem' when expected > 0 and (found < 0.5 * expected or found > 2 * expected) then 'warning' else 'ok' end severity from b",
+        "expectations": f"{s}, h as (select distinct doc_id from s where rule_id = 'pair.2') select 'pair.2' rule_id, doc_id, 'missing' fault from labels where quality = 1 and doc_id not in (select doc_id from h) union all select 'pair.2', doc_id, 'unwanted' from labels where not quality = 1 and doc_id in (select doc_id from h)",
+        "differential_span": f"{s}, {cte(other, '2')} select rule_id, count(s.doc_id + s2.doc_id) both, count_if(s2.doc_id is null) only_ours, count_if(s.doc_id is null) only_theirs from s full join s2 using (doc_id, rule_id, start_at, end_at) group by 1",
+        "frozen_regression": f"select doc_id, substring(sha256(a.text), 1, 16) frozen, substring(sha256(b.text), 1, 16) actual from {low} a left join {other} b using (doc_id) where substring(sha256(a.text), 1, 16) is distinct from substring(sha256(b.text), 1, 16)",
+        "zero_width": f"{s} select rule_id, count(*) n from s where end_at <= start_at group by 1",
+        "positional_import": "select item_id ref, text from benchmark",
+        "norm_strip": f"select doc_id, translate(translate(text, 'aeio', 'ۥۦـٓ'), '{cp.OPTIONAL_MARKS}', '') stripped from {low}",
+    }
