@@ -288,7 +288,7 @@ s{k} as (select doc_id, rule_id, cast(begun as bigint) start_at, cast(begun + in
         "unknown_chars": f"select ch, count(*) n from (select unnest(string_split(regexp_replace(text, '[a-z0-9 .,\\n]', '', 'g'), '')) ch from {low}) where ch <> '' group by 1",
         "drift_check": f"{s}, b as (select rule_id, coalesce(count(doc_id) filter (where doc_id % 2 = 0), 0) expected, coalesce(count(doc_id) filter (where doc_id % 2 = 1), 0) found from {line} l left join s using (rule_id) group by 1) select rule_id, expected, found, case when expected >= 20 and found = 0 then 'problem' when expected > 0 and (found < 0.5 * expected or found > 2 * expected) then 'warning' else 'ok' end severity from b",
         "expectations": f"{s}, h as (select distinct doc_id from s where rule_id = 'pair.2') select 'pair.2' rule_id, doc_id, 'missing' fault from labels where quality = 1 and doc_id not in (select doc_id from h) union all select 'pair.2', doc_id, 'unwanted' from labels where not quality = 1 and doc_id in (select doc_id from h)",
-        "differential_span": f"{s}, {cte(other, '2')} select rule_id, count(s.doc_id + s2.doc_id) both, count_if(s2.doc_id is null) only_ours, count_if(s.doc_id is null) only_theirs from s full join s2 using (doc_id, rule_id, start_at, end_at) group by 1",
+        "differential_span": f"{s}, {cte(other, '2')} select rule_id, count(s.doc_id + s2.doc_id) \"both\", count_if(s2.doc_id is null) only_ours, count_if(s.doc_id is null) only_theirs from s full join s2 using (doc_id, rule_id, start_at, end_at) group by 1",
         "frozen_regression": f"select doc_id, substring(sha256(a.text), 1, 16) frozen, substring(sha256(b.text), 1, 16) actual from {low} a left join {other} b using (doc_id) where substring(sha256(a.text), 1, 16) is distinct from substring(sha256(b.text), 1, 16)",
         "zero_width": f"{s} select rule_id, count(*) n from s where end_at <= start_at group by 1",
         "positional_import": "select item_id ref, text from benchmark",
