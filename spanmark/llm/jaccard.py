@@ -14,7 +14,8 @@ range's signature are a root region; equal regions are one. Then, region by regi
   their differences: either these share one of the k + 1 rarest shingles of each, and members that
   do are a region of the next round, or both lie so near the pivot that the triangle inequality
   leaves only those in a window of distances, which is one more region.
-* Small regions are joined by comparing their members that are in different components.
+* Small regions are joined member by member, where these are in different components and their sketches
+  (counts by hash cell, whose L1 distance is a lower bound) don't rule a link out.
 
 Equal sets are one node throughout. Distances are never estimated.
 
@@ -36,8 +37,10 @@ from pyspark.sql import functions as F
 
 from .common import bitmap_of, grams, marked, mix, slices, word_codes, written
 
-LEAF_NODES, LEAF_SHINGLES = 256, 2_000_000
-SETS = "doc_id long, text_code long, n long, h1 long, h2 long, sigs array<long>"
+LEAF_NODES = 256
+SETS = "doc_id long, text_code long, n long, h1 long, h2 long"
+PART_SIGNATURES = 1_000_000
+CELLS = 256
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 
 
@@ -91,24 +94,49 @@ def signatures(x: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for b in (x for batch in batches for x in slices(batch, most=1 << 21)):
-        size, h1, h2, sigs = [], [], [], []
+        size, h1, h2 = [], [], []
         for x in shingles(b["text"], n):
             size.append(len(x))
             h1.append(mix(x ^ _SEEDS[0]).sum(dtype=np.uint64))
             h2.append(mix(x ^ _SEEDS[1]).sum(dtype=np.uint64))
-            sigs.append(signatures(x, num, den) if len(x) else x)
-        ends = np.cumsum([0] + [len(s) for s in sigs]).astype(np.int32)
-        flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_code"], pa.array(size, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), flat], names=["doc_id", "text_code", "n", "h1", "h2", "sigs"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_code"], pa.array(size, pa.int64()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2))], names=["doc_id", "text_code", "n", "h1", "h2"])
+
+
+def _signed(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """All signatures of a slice of texts, packed by the part they go to: part, sigs, codes."""
+    for b in (x for batch in batches for x in slices(batch, most=1 << 21)):
+        sigs = [signatures(x, num, den) if len(x) else x for x in shingles(b["text"], n)]
+        code = np.repeat(np.asarray(b["text_code"]), [len(s) for s in sigs])
+        sig = np.concatenate(sigs)
+        part = ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        order = np.argsort(part, kind="stable")
+        used, first = np.unique(part[order], return_index=True)
+        ends = np.r_[first, len(sig)]
+        columns = [[x[order[a:z]].tobytes() for a, z in zip(ends[:-1], ends[1:])] for x in (sig, code)]
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "sigs", "codes"])
+
+
+def _shared(rows: pd.DataFrame) -> pd.DataFrame:
+    """The signatures of a part that two texts or more have: region, text_code."""
+    sig = np.frombuffer(b"".join(rows["sigs"]), np.int64)
+    code = np.frombuffer(b"".join(rows["codes"]), np.int64)
+    order = np.lexsort((code, sig))
+    sig, code = sig[order], code[order]
+    new = np.r_[True, (sig[1:] != sig[:-1]) | (code[1:] != code[:-1])]
+    sig, code = sig[new], code[new]
+    same = sig[1:] == sig[:-1]
+    kept = np.r_[same, False] | np.r_[False, same]
+    return pd.DataFrame({"region": sig[kept], "text_code": code[kept]})
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch], n: int, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in (x for batch in batches for x in slices(batch, most=1 << 21)):
         b = b.take(pa.array(np.flatnonzero(marked(bitmap, b["text_code"]))))
         if b.num_rows:
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_code"], pa.array([x.tobytes() for x in shingles(b["text"], n)], pa.binary())], names=["doc_id", "text_code", "shingles"])
+            sets = list(shingles(b["text"], n))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_code"], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(map(sketch, sets), pa.binary())], names=["doc_id", "text_code", "shingles", "sketch"])
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -142,6 +170,31 @@ def _against(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("pivot", "node", "shingles", "pivot_shingles")
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """How many shingles fall into each of CELLS hash cells, up to 255. The L1 distance of two sketches
+    is never more than the number of shingles in which the sets differ."""
+    return np.minimum(np.bincount((x & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def _may_link(a, n, b, m, num: int, den: int) -> np.ndarray:
+    """Whether sketches are as near as those of linked sets of n and m shingles must be."""
+    l1 = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(-1, dtype=np.int64)
+    return (l1 * (den + num) <= (n + m) * (den - num)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (pivot, node) whose sketches don't rule a link out."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("x", "y"))
+            ok = _may_link(x, np.asarray(b["n"]), y, np.asarray(b["m"]), num, den)
+            yield b.select(["pivot", "node"]).take(pa.array(np.flatnonzero(ok)))
+
+    both = pairs.join(sketches.select("node", F.col("sketch").alias("x"), "n"), "node").join(sketches.select(F.col("node").alias("pivot"), F.col("sketch").alias("y"), F.col("n").alias("m")), "pivot")
+    return both.select("pivot", "node", "x", "n", "y", "m").mapInArrow(keep, "pivot long, node long")
+
+
 def _each(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each row: the node's set, its pivot's, where each of the node's would be there, and whether it is."""
     last = p = None
@@ -193,50 +246,36 @@ def _cells(pairs: DataFrame, linked: DataFrame, sets: DataFrame, spark: SparkSes
     rank = F.row_number().over(Window.partitionBy("pivot", "node").orderBy("often", "token"))  # a document's own shingles
     shared = token.join(often, ["pivot", "token"]).withColumn("rank", rank).where("often > 1 and rank <= k + 1").select(F.xxhash64("pivot", "token").alias("region"), "node")
     # links of members whose differences share nothing: the two distances add up to k at most
-    near = differ.join(linked, ["pivot", "node"]).select("pivot", "node", "k", "linked", F.size("delta").alias("d")).where("d <= k")
+    near = differ.join(linked, ["pivot", "node"], "left").select("pivot", "node", "k", F.coalesce("linked", F.lit(False)).alias("linked"), F.size("delta").alias("d")).where("d <= k")
     window = near.groupBy("pivot").agg(F.max("k").alias("most"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("least")).where("least is not null")
     near = near.join(window, "pivot").where("not linked or d + least <= most").select(F.xxhash64("pivot", F.lit("near")).alias("region"), "node")
     return shared.union(near)
 
 
-def common_counts(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
-    """Sizes of all intersections, as products of incidence matrices over blocks of shingles."""
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    kept = often[at] > 1
-    row, at = row[kept], (np.cumsum(often > 1) - 1)[at[kept]]
-    order = np.argsort(at, kind="stable")
-    row, at, out = row[order], at[order], np.zeros((len(sets), len(sets)), np.int64)
-    for first in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
-        a, b = np.searchsorted(at, (first, first + columns))
-        block = np.zeros((len(sets), columns), np.float32)
-        block[row[a:b], at[a:b] - first] = 1
-        out += (block @ block.T).astype(np.int64)
-    return out
-
-
 def _leaf(num: int, den: int):
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links between the members of a region that are not yet in one component."""
-        sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
-        node, label, out = rows["node"].to_numpy(), rows["label"].to_numpy().copy(), []
-        n, m = np.array([len(x) for x in sets]), common_counts(sets)
-        linked = (den * m >= num * (n[:, None] + n - m)) & (label[:, None] != label)
-        for i, j in zip(*np.nonzero(np.triu(linked, 1))):
-            if label[i] != label[j]:
-                out.append((node[i], node[j]))
-                label[label == label[j]] = label[i]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        """Pairs of a small region that are in different components and may be linked by their sketches."""
+        x = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, CELLS)
+        n, node, label = (rows[c].to_numpy() for c in ("n", "node", "label"))
+        out = []
+        for i in range(len(x) - 1):
+            ok = _may_link(x[i + 1 :], n[i + 1 :], x[i], n[i], num, den) & (label[i + 1 :] != label[i])
+            out += [(node[i], node[i + 1 + j]) for j in np.flatnonzero(ok)]
+        return pd.DataFrame(out, columns=["pivot", "node"], dtype=np.int64)
 
     return join
 
 
-def _roots(spark: SparkSession, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The root regions (region, node): nodes that share a signature, equal regions once."""
-    signed = sets.select("rid", F.explode("sigs").alias("sig"))
-    live = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("sig")
-    members = written(spark, signed.join(live, "sig").join(nodes.select("rid", "node"), "rid").select("sig", "node").distinct(), "signed")
-    return _merged(members.withColumnRenamed("sig", "region"))
+def _roots(spark: SparkSession, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The root regions (region, node): nodes that share a signature, equal regions once.
+
+    Signatures go to their parts packed, about PART_SIGNATURES to a part; a part keeps those that texts share."""
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, int(0.6 * total / PART_SIGNATURES))
+    signed = docs.select("text", "text_code").mapInArrow(lambda it: _signed(it, n, num, den, parts), "part long, sigs binary, codes binary")
+    shared = signed.groupBy("part").applyInPandas(_shared, "region long, text_code long")
+    members = written(spark, shared.join(nodes.select("text_code", "node").distinct(), "text_code").select("region", "node").distinct(), "signed")
+    return _merged(members)
 
 
 def _merged(members: DataFrame) -> DataFrame:
@@ -246,25 +285,24 @@ def _merged(members: DataFrame) -> DataFrame:
     return members.join(kept, "region")
 
 
-def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between nodes, enough to connect all that similarity connects."""
-    regions = written(spark, _roots(spark, sets, nodes), "regions")
+    regions = written(spark, _roots(spark, docs, nodes, n, num, den), "regions")
     wanted = regions.select("node").distinct().join(nodes.where("rid = node").select("node", "doc_id", "text_code"), "node")
     wanted = written(spark, wanted, "wanted")
     bitmap = bitmap_of(wanted, "text_code")
-    found = docs.mapInArrow(lambda it: _wanted_sets(it, n, bitmap), "doc_id long, text_code long, shingles binary").alias("f")
+    found = docs.mapInArrow(lambda it: _wanted_sets(it, n, bitmap), "doc_id long, text_code long, shingles binary, sketch binary").alias("f")
     w = wanted.alias("w")
-    found = found.join(w, F.expr("f.doc_id <=> w.doc_id and f.text_code = w.text_code")).select("node", "shingles").dropDuplicates(["node"])
-    shingled = written(spark, found.select("node", "shingles", (F.octet_length("shingles") / 8).cast("long").alias("n")), "shingles")
-    size = shingled.select("node", "n")
+    found = found.join(w, F.expr("f.doc_id <=> w.doc_id and f.text_code = w.text_code")).select("node", "shingles", "sketch").dropDuplicates(["node"])
+    shingled = written(spark, found.select("node", "shingles", "sketch", (F.octet_length("shingles") / 8).cast("long").alias("n")), "shingles")
     labels = spark.createDataFrame([], "node long, label long")
-    pools, most = [], 2  # root regions overlap much: each goes into its pivot's cell once
+    pools = []
     while True:
-        big = regions.join(size, "node").groupBy("region").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"))
+        big = regions.groupBy("region").agg(F.count(F.lit(1)).alias("k"))
         degree = regions.join(big, "region").groupBy("node").agg(F.sum("k").alias("degree"))
         ranked = regions.join(degree, "node").groupBy("region").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("pivot"))
-        seen = written(spark, regions.join(ranked, "region").where("node <> pivot").join(big, "region").select("region", "node", "pivot", ((F.col("k") > most) | (F.col("total") > LEAF_SHINGLES)).alias("large")), "cells")
-        linked = written(spark, _distances(seen.select("pivot", "node").distinct(), shingled, num, den), "distances")
+        seen = written(spark, regions.join(ranked, "region").where("node <> pivot").join(big, "region").select("region", "node", "pivot", (F.col("k") > LEAF_NODES).alias("large")), "cells")
+        linked = written(spark, _distances(_near(seen.select("pivot", "node").distinct(), shingled, num, den), shingled, num, den), "distances")
         edges = linked.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(labels.select("label", "node"))
         labels = written(spark, components(spark, edges), "labels")
         alive = seen.join(labels, "node", "left").groupBy("region").agg(F.min(F.coalesce("label", "node")).alias("x"), F.max(F.coalesce("label", "node")).alias("y")).where("x < y").select("region")
@@ -274,21 +312,22 @@ def links(spark: SparkSession, docs: DataFrame, sets: DataFrame, nodes: DataFram
         if not cells.head(1):
             break
         regions = written(spark, _merged(_cells(cells, linked, shingled, spark, num, den)), "regions")
-        most = LEAF_NODES
-    leaves = _merged(reduce(DataFrame.union, pools)).join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label")).join(shingled, "node")
-    return labels.select(F.col("label").alias("a"), F.col("node").alias("b")).union(leaves.groupBy("region").applyInPandas(_leaf(num, den), "a long, b long"))
+    leaves = _merged(reduce(DataFrame.union, pools)).join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label")).join(shingled.select("node", "n", "sketch"), "node")
+    pairs = written(spark, leaves.groupBy("region").applyInPandas(_leaf(num, den), "pivot long, node long").select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct(), "pairs")
+    last = _distances(pairs, shingled, num, den).where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    return labels.select(F.col("label").alias("a"), F.col("node").alias("b")).union(last)
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Per document: doc_id, text_code, n_shingles, component_id, and keeper, true for one of each
     component. Two documents link when den * intersection >= num * union of their n-word shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("*", F.xxhash64("text").alias("text_code"))
-    sets = docs.mapInArrow(lambda it: _sets(it, n, num, den), SETS).select(F.monotonically_increasing_id().alias("rid"), "*")
+    sets = docs.mapInArrow(lambda it: _sets(it, n), SETS).select(F.monotonically_increasing_id().alias("rid"), "*")
     sets = written(spark, sets, "sets")
     key = ["n", "h1", "h2"]
     distinct = sets.where("n > 0").groupBy(*key).agg(F.min("rid").alias("node"), F.min("doc_id").alias("first"))
     nodes = written(spark, sets.where("n > 0").select("rid", "doc_id", "text_code", *key).join(distinct, key), "nodes")
-    edges = links(spark, docs, sets, nodes, n, num, den)
+    edges = links(spark, docs, nodes, n, num, den)
     labels = written(spark, components(spark, edges), "labels")
     told = nodes.join(labels, "node", "left").select("rid", "first", F.coalesce("label", "node").alias("label"))
     told = told.join(sets.select("rid", "doc_id"), "rid")
