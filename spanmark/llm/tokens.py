@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import text_bytes
+
 # The code points with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # The rule by which byte-level vocabularies spell bytes: printable Latin-1 as it is, the others from U+0100 on.
@@ -89,7 +91,8 @@ class ChunkEncoder(dict):
 
     def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another (uint32), and where each text's begin and the last end."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        data, begin = text_bytes(texts)  # rebased: lower-casing a slice of an array reads the wrong bytes
+        texts = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.ascontiguousarray(begin)), pa.py_buffer(data))
         if self.drops_space:
             lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
             plain = None

@@ -38,6 +38,17 @@ def test_encoder_equals_library(name):
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == direct(name, text)
 
 
+def test_encoder_on_slices():
+    import pyarrow as pa
+
+    whole = pa.array(TEXTS * 3)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        for a, n in ((1, 5), (4, 9), (9, 20)):
+            ids, offsets = encoder(name).encode_many(whole.slice(a, n))
+            for k in range(n):
+                assert ids[offsets[k] : offsets[k + 1]].tolist() == direct(name, whole[a + k].as_py())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=40), min_size=1, max_size=4))
 def test_encoder_on_any_text(texts):
