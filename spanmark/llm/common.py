@@ -75,7 +75,7 @@ def runs_of(codes: np.ndarray, n: int) -> np.ndarray:
 _ODD = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

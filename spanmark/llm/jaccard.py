@@ -131,12 +131,24 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"region": sig[kept], "text_code": code[kept]})
 
 
-def _wanted_sets(batches: Iterator[pa.RecordBatch], n: int, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _wanted_sets(batches: Iterator[pa.RecordBatch], n: int, bitmap: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
     for b in (x for batch in batches for x in slices(batch, most=1 << 21)):
         b = b.take(pa.array(np.flatnonzero(marked(bitmap, b["text_code"]))))
         if b.num_rows:
             sets = list(shingles(b["text"], n))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_code"], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(map(sketch, sets), pa.binary())], names=["doc_id", "text_code", "shingles", "sketch"])
+            told = [x.tobytes() if whole else sketch(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_code"], pa.array([len(x) for x in sets], pa.int64()), pa.array(told, pa.binary())], names=["doc_id", "text_code", "n", "told"])
+
+
+def _fetched(spark: SparkSession, docs: DataFrame, wanted: DataFrame, n: int, column: str) -> DataFrame:
+    """The written table (node, n, column) of wanted nodes (node, doc_id, text_code): their shingles or sketches."""
+    bitmap, whole = bitmap_of(wanted, "text_code"), column == "shingles"
+    found = docs.select("doc_id", "text", "text_code").mapInArrow(lambda it: _wanted_sets(it, n, bitmap, whole), "doc_id long, text_code long, n long, told binary")
+    f, w = found.alias("f"), wanted.alias("w")
+    # joined and made distinct by text_code alone, so the sets are shuffled once; the ids are compared as a filter
+    same = F.coalesce(F.col("f.doc_id") == F.col("w.doc_id"), F.col("f.doc_id").isNull() & F.col("w.doc_id").isNull())
+    rows = f.join(w, (F.col("f.text_code") == F.col("w.text_code")) & same).select("w.node", "w.text_code", "n", "told").dropDuplicates(["text_code", "node"])
+    return written(spark, rows.select("node", "n", F.col("told").alias(column)), column)
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -266,6 +278,20 @@ def _leaf(num: int, den: int):
     return join
 
 
+def _paired(num: int, den: int):
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        """The members of a small region that may be linked with another one of it."""
+        x = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, CELLS)
+        n, ok = rows["n"].to_numpy(), np.zeros(len(rows), bool)
+        for i in range(len(x) - 1):
+            near = _may_link(x[i + 1 :], n[i + 1 :], x[i], n[i], num, den)
+            ok[i + 1 :] |= near
+            ok[i] |= bool(near.any())
+        return rows.loc[ok, ["region", "node"]]
+
+    return keep
+
+
 def _roots(spark: SparkSession, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The root regions (region, node): nodes that share a signature, equal regions once.
 
@@ -288,13 +314,15 @@ def _merged(members: DataFrame) -> DataFrame:
 def links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between nodes, enough to connect all that similarity connects."""
     regions = written(spark, _roots(spark, docs, nodes, n, num, den), "regions")
-    wanted = regions.select("node").distinct().join(nodes.where("rid = node").select("node", "doc_id", "text_code"), "node")
-    wanted = written(spark, wanted, "wanted")
-    bitmap = bitmap_of(wanted, "text_code")
-    found = docs.mapInArrow(lambda it: _wanted_sets(it, n, bitmap), "doc_id long, text_code long, shingles binary, sketch binary").alias("f")
-    w = wanted.alias("w")
-    found = found.join(w, F.expr("f.doc_id <=> w.doc_id and f.text_code = w.text_code")).select("node", "shingles", "sketch").dropDuplicates(["node"])
-    shingled = written(spark, found.select("node", "shingles", "sketch", (F.octet_length("shingles") / 8).cast("long").alias("n")), "shingles")
+    of = nodes.where("rid = node").select("node", "doc_id", "text_code")
+    wanted = written(spark, regions.select("node").distinct().join(of, "node"), "wanted")
+    sketches = _fetched(spark, docs, wanted, n, "sketch")
+    # members of small regions stay where some other member's sketch doesn't rule a link out
+    sized = regions.join(regions.groupBy("region").agg(F.count(F.lit(1)).alias("k")), "region")
+    paired = sized.where(F.col("k") <= LEAF_NODES).select("region", "node").join(sketches, "node").groupBy("region").applyInPandas(_paired(num, den), "region long, node long")
+    regions = written(spark, _merged(paired.union(sized.where(F.col("k") > LEAF_NODES).select("region", "node"))), "regions")
+    wanted = written(spark, regions.select("node").distinct().join(of, "node"), "wanted")
+    shingled = _fetched(spark, docs, wanted, n, "shingles")
     labels = spark.createDataFrame([], "node long, label long")
     pools = []
     while True:
@@ -302,7 +330,7 @@ def links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, n: int, num: i
         degree = regions.join(big, "region").groupBy("node").agg(F.sum("k").alias("degree"))
         ranked = regions.join(degree, "node").groupBy("region").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("pivot"))
         seen = written(spark, regions.join(ranked, "region").where("node <> pivot").join(big, "region").select("region", "node", "pivot", (F.col("k") > LEAF_NODES).alias("large")), "cells")
-        linked = written(spark, _distances(_near(seen.select("pivot", "node").distinct(), shingled, num, den), shingled, num, den), "distances")
+        linked = written(spark, _distances(_near(seen.select("pivot", "node").distinct(), sketches, num, den), shingled, num, den), "distances")
         edges = linked.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(labels.select("label", "node"))
         labels = written(spark, components(spark, edges), "labels")
         alive = seen.join(labels, "node", "left").groupBy("region").agg(F.min(F.coalesce("label", "node")).alias("x"), F.max(F.coalesce("label", "node")).alias("y")).where("x < y").select("region")
@@ -312,7 +340,7 @@ def links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, n: int, num: i
         if not cells.head(1):
             break
         regions = written(spark, _merged(_cells(cells, linked, shingled, spark, num, den)), "regions")
-    leaves = _merged(reduce(DataFrame.union, pools)).join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label")).join(shingled.select("node", "n", "sketch"), "node")
+    leaves = _merged(reduce(DataFrame.union, pools)).join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label")).join(sketches, "node")
     pairs = written(spark, leaves.groupBy("region").applyInPandas(_leaf(num, den), "pivot long, node long").select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct(), "pairs")
     last = _distances(pairs, shingled, num, den).where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     return labels.select(F.col("label").alias("a"), F.col("node").alias("b")).union(last)
