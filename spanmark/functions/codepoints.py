@@ -22,3 +22,5 @@ NAMED_MARKS = {
     "ياء صغيرة": SMALL_YEH,
     "علامة المد": MADDAH,
 }
+# fixed: letters that are not written joined to the next one
+NOT_JOINING_ON = "".join(map(chr, (0x621, 0x622, 0x623, 0x624, 0x625, 0x627, 0x629, 0x62F, 0x630, 0x631, 0x632, 0x648, 0x671)))

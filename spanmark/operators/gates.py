@@ -53,3 +53,16 @@ def differential(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFra
     a, b = ours.select(*keys).distinct().withColumn("ours", F.lit(1)), theirs.select(*keys).distinct().withColumn("theirs", F.lit(1))
     j = a.join(b, keys, "full")
     return j.groupBy("rule_id").agg(F.count(F.col("ours") + F.col("theirs")).alias("both"), F.count_if(F.col("theirs").isNull()).alias("only_ours"), F.count_if(F.col("ours").isNull()).alias("only_theirs"))
+
+
+def start_from(slices: DataFrame, heads: list[tuple[str, str]], total: bool = False) -> DataFrame:
+    """Would spans shrink if they covered only what a rule's head (rule_id, pattern of the Java dialect) matches at
+    their beginning? Per rule with a head, or in total: matches, how many shrink, code points now and then. A span
+    that its head doesn't match stays as long as it is."""
+    head = F.lit(None).cast("string")
+    for rule, pattern in heads:
+        found = F.when(F.regexp_like("slice", F.lit(f"^(?:{pattern})")), F.regexp_extract("slice", f"^(?:{pattern})", 0)).otherwise(F.col("slice"))
+        head = F.when(F.col("rule_id") == rule, found).otherwise(head)
+    rows = slices.where(F.col("rule_id").isin([r for r, _ in heads])).select("rule_id", F.length("slice").alias("now"), F.length(head).alias("then"))
+    told = [F.count(F.lit(1)).alias("matches"), F.count_if(F.col("then") < F.col("now")).alias("shrunk"), F.sum("now").alias("code_points_now"), F.sum("then").alias("code_points_then")]
+    return rows.agg(*told) if total else rows.groupBy("rule_id").agg(*told)

@@ -50,18 +50,46 @@ def sliced(spans: DataFrame, passages: DataFrame, keys: list[str], text: str = "
     return spans.join(passages.select(*keys, text), keys).withColumn("slice", F.expr(f"substring({text}, cast(start_at + 1 as int), cast(end_at - start_at as int))")).drop(text)
 
 
+LAYER = "spans of the passage"
+
+
+def layered(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Per passage its spans by start, longer first, then rule, as one array (back: the end, negated)."""
+    return spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_at", (-F.col("end_at")).alias("back"), "rule_id"))).alias(LAYER))
+
+
+def first_come(start: list[int], end: list[int]) -> list[int]:
+    """Which of the spans, in order, begin at or after the end of the last one that stayed."""
+    kept, free = [], -1
+    for k, a in enumerate(start):
+        if a >= free:
+            kept.append(k)
+            free = end[k]
+    return kept
+
+
 def resolve(spans: DataFrame, keys: list[str]) -> DataFrame:
     """The greedy layer: by start, longer first, then rule; a span stays if it begins at or after the last kept end.
-    A passage's spans are one group; what is kept depends on what was kept, so no window function can say it."""
-    ordered = F.array_sort(F.collect_list(F.struct("start_at", (-F.col("end_at")).alias("back"), "rule_id")))
-    zero = F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast("array<struct<start_at:bigint,back:bigint,rule_id:string>>").alias("kept"))
-
-    def add(acc: Column, s: Column) -> Column:
-        ok = s["start_at"] >= acc["end"]
-        return F.struct(F.when(ok, -s["back"]).otherwise(acc["end"]).alias("end"), F.when(ok, F.concat(acc["kept"], F.array(s))).otherwise(acc["kept"]).alias("kept"))
+    A passage's spans are one group; what is kept depends on what was kept, so no window function can say it. One
+    shuffle, then one walk over each passage's sorted spans."""
 
-    kept = spans.groupBy(*keys).agg(ordered.alias("all")).select(*keys, F.explode(F.aggregate("all", zero, add)["kept"]).alias("s"))
-    return kept.select(*keys, "s.rule_id", "s.start_at", (-F.col("s.back")).alias("end_at"))
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            layer = b[LAYER]
+            flat, size = layer.flatten(), layer.value_lengths().fill_null(0).to_pylist()
+            start = flat.field("start_at").to_pylist()
+            end = [-z for z in flat.field("back").to_pylist()]
+            row, kept, at = [], [], 0
+            for k, n in enumerate(size):
+                stay = first_come(start[at : at + n], end[at : at + n])
+                row += [k] * len(stay)
+                kept += [at + i for i in stay]
+                at += n
+            columns = [b[c].take(pa.array(row, pa.int64())) for c in keys]
+            yield pa.RecordBatch.from_arrays([*columns, flat.field("rule_id").take(pa.array(kept, pa.int64())), pa.array([start[k] for k in kept], pa.int64()), pa.array([end[k] for k in kept], pa.int64())], names=[*keys, "rule_id", "start_at", "end_at"])
+
+    schema = spans.select(*keys).schema.add("rule_id", "string").add("start_at", "long").add("end_at", "long")
+    return layered(spans, keys).mapInArrow(walked, schema)
 
 
 def incidence(spans: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -87,21 +115,3 @@ def unpacked(packs: DataFrame, rule_ids: list[str], keys: list[str]) -> DataFram
     rows = packs.select(*keys, F.explode("spans").alias("s"))
     rule = F.get(F.array(*map(F.lit, rule_ids)), F.col("s")[2].cast("int"))
     return rows.select(*keys, F.coalesce(rule, F.raise_error(F.lit("a span's rule index is not in the dictionary"))).alias("rule_id"), F.col("s")[0].alias("start_at"), F.col("s")[1].alias("end_at"))
-
-
-def to_html(passages: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, html: resolved spans as <span data-rule>, everything escaped."""
-    layer = resolve(spans, [key]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_at", "end_at", "rule_id"))).alias("layer"))
-
-    def escaped(c: Column) -> Column:
-        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-            c = F.replace(c, F.lit(a), F.lit(b))
-        return c
-
-    def cut(a: Column, z: Column) -> Column:
-        return F.substring(F.col(text), (a + 1).cast("int"), (z - a).cast("int"))
-
-    rows = passages.select(key, text).join(layer, key, "left").withColumn("layer", F.coalesce("layer", F.array().cast("array<struct<start_at:bigint,end_at:bigint,rule_id:string>>")))
-    before = F.transform("layer", lambda s, i: F.concat(escaped(cut(F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(F.col("layer"), i - 1)["end_at"]), s["start_at"])), F.lit('<span data-rule="'), s["rule_id"], F.lit('">'), escaped(cut(s["start_at"], s["end_at"])), F.lit("</span>")))
-    last = F.coalesce(F.get("layer", F.size("layer") - 1)["end_at"], F.lit(0).cast("long"))
-    return rows.select(key, F.concat(F.array_join(before, ""), escaped(cut(last, F.length(text).cast("long")))).alias("html"))

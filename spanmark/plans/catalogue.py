@@ -11,7 +11,7 @@ from spanmark.functions import codepoints as cp
 from spanmark.functions.normalize import normalized
 from spanmark.functions.notation import LATIN, compile_rule
 from spanmark.operators import corpus as co
-from spanmark.operators import editions, gates, spans
+from spanmark.operators import editions, gates, render, spans
 from spanmark.sources.editions import from_positions
 
 KEY = ["doc_id"]
@@ -54,8 +54,38 @@ def resolve_overlaps(spark, sf_dir):
     return spans.resolve(_spans(spark, sf_dir)[1], KEY)
 
 
+def _told(lines):
+    """Topic and description of each rule; the corpus is small by its nature."""
+    return {r["rule_id"]: (r["topic_id"], f"{r['ruling_id']} \u2014 {r['rule_id']}") for r in lines.select("rule_id", "topic_id", "ruling_id").collect()}
+
+
 def html_render(spark, sf_dir):
-    return spans.to_html(_docs(spark, sf_dir), _spans(spark, sf_dir)[1])
+    lines, found = _spans(spark, sf_dir)
+    return render.to_html(_docs(spark, sf_dir), found, rules=_told(lines), colours={"letters": "#7e22ce", "sounds": "#0369a1"})
+
+
+def ansi_render(spark, sf_dir):
+    lines, found = _spans(spark, sf_dir)
+    return render.to_ansi(_docs(spark, sf_dir), found, rules=_told(lines), colours={"letters": 98, "sounds": 32})
+
+
+# the heads of the demo rules that have more than one group
+def _heads(dialect):
+    return [(r[0], compile_rule(r[2].split("+")[0].strip(), r[3], LATIN, dialect)) for r in co.DEMO_RULES if "+" in r[2] and r[4] != "disabled"]
+
+
+def start_from_study(spark, sf_dir):
+    return gates.start_from(span_slice(spark, sf_dir), _heads("java"))
+
+
+def start_from_total(spark, sf_dir):
+    return gates.start_from(span_slice(spark, sf_dir), _heads("java"), total=True)
+
+
+def describe_difference(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.lower("text").alias("text"))
+    other = d.select("item_id", F.replace(F.replace("text", F.lit("the "), F.lit("the")), F.lit("th"), F.lit("ht")).alias("other"))
+    return editions.described(d.join(other, "item_id").where("text <> other"), "text", "other").select("item_id", "difference")
 
 
 def pack_unpack(spark, sf_dir):
@@ -222,7 +252,7 @@ def norm_strip(spark, sf_dir):
 
 _QUERIES = {
     "rule_incidence": flagship,
-    **{f.__name__: f for f in (span_extract, span_native, span_slice, resolve_overlaps, html_render, pack_unpack, matches_flag, only_filter, school_filter, incidence_digest, summary_per_doc, first_appearance, lineage_rollup, status_counts, gaps, rule_search, constraints, lineage_strict, lineage_left, edition_digest, edition_compare, edition_only_left, first_difference, char_census, unknown_chars, byte_offsets, drift_check, expectations, differential_span, frozen_regression, zero_width, positional_import, norm_full, norm_strip)},
+    **{f.__name__: f for f in (span_extract, span_native, span_slice, resolve_overlaps, html_render, ansi_render, start_from_study, start_from_total, describe_difference, pack_unpack, matches_flag, only_filter, school_filter, incidence_digest, summary_per_doc, first_appearance, lineage_rollup, status_counts, gaps, rule_search, constraints, lineage_strict, lineage_left, edition_digest, edition_compare, edition_only_left, first_difference, char_census, unknown_chars, byte_offsets, drift_check, expectations, differential_span, frozen_regression, zero_width, positional_import, norm_full, norm_strip)},
 }
 
 
@@ -262,7 +292,13 @@ s{k} as (select doc_id, rule_id, cast(begun as bigint) start_at, cast(begun + in
     other = f"(select doc_id, case when doc_id % 3 = 0 then translate(text, 'é', 'e') when doc_id % 5 = 0 then replace(text, 'the ', 'thy ') else text end as text from {low} where doc_id % 11 <> 3)"
     rules = _values([r[:2] + r[4:6] for r in co.DEMO_RULES], "id, ruling, status, gap")
     pattern = {r[0]: compile_rule(r[2], r[3], LATIN, "re2") for r in enabled}
+    slices = "select s.*, substring(text, start_at + 1, end_at - start_at) slice from s join d using (doc_id)"
+    arms = " ".join(f"when rule_id = {_text(r)} and regexp_matches(slice, {_text(f'^(?:{p})')}) then length(regexp_extract(slice, {_text(f'^(?:{p})')}))" for r, p in _heads("re2"))
+    headed = f"select rule_id, length(slice) as was, case {arms} else length(slice) end as becomes from ({slices}) where rule_id in ({', '.join(_text(r) for r, _ in _heads('re2'))})"
+    shrinks = "count(*) matches, count_if(becomes < was) shrunk, cast(sum(was) as bigint) code_points_now, cast(sum(becomes) as bigint) code_points_then"
     return {
+        "start_from_study": f"{s} select rule_id, {shrinks} from ({headed}) group by 1",
+        "start_from_total": f"{s} select {shrinks} from ({headed})",
         "rule_incidence": f"{s} {told}",
         "span_extract": f"{s} select * from s",
         "span_native": f"{s} select * from s",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanmark.functions.normalize import normalized, source_range
 from spanmark.functions.notation import LATIN, UTHMANI, bracket_fault, compile_rule, parse
-from spanmark.operators import corpus, editions, gates, spans
+from spanmark.operators import corpus, editions, gates, render, spans
 from spanmark.sources.editions import from_positions, import_passages, read_edition
 
 VECTORS = """
@@ -108,7 +108,7 @@ def test_resolve(spark):
 def test_html_keeps_the_text(spark):
     docs = spark.createDataFrame([(1, 'a<b>&"the end"'), (2, ""), (3, "x")], "doc_id long, text string")
     found = spans.find_spans(docs, [("th", "th"), ("e", "e.")], ["doc_id"])
-    for r in spans.to_html(docs, found).join(docs, "doc_id").collect():
+    for r in render.to_html(docs, found).join(docs, "doc_id").collect():
         plain = re.sub(r"<[^>]*>", "", r["html"])
         for a, b in (("&quot;", '"'), ("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&")):
             plain = plain.replace(a, b)
@@ -149,3 +149,48 @@ def test_sources(spark, tmp_path):
     starts = spark.createDataFrame([(0, "1:1"), (2, "1:2")], "start long, ref string")
     marks = spark.createDataFrame([(1, 0, "after", "!"), (2, 0, "before", "~")], "pos long, k int, side string, sign string")
     assert sorted(tuple(r) for r in from_positions(words, starts, marks).collect()) == [("1:1", "a b!"), ("1:2", "~ c d e")]
+
+
+def test_rendering_joins_marks_and_pauses():
+    noon, beh, alef, fatha, pause = "\u0646", "\u0628", "\u0627", "\u064e", "\u06da"
+    told, colours = {"r": ("madd", "a \"b\"")}, render.COLOURS
+    text = noon + fatha + beh + fatha
+    got = render.html(text, [(0, 1, "r")], told, colours)
+    assert f">{noon}{fatha}\u200d</span>\u200d{beh}" in got and 'title="a &quot;b&quot;"' in got and "color:#be123c" in got
+    assert re.sub("<[^>]*>|\u200d", "", got) == text
+    assert "\u200d" not in render.html(alef + beh, [(0, 1, "r")], told, colours)
+    assert render.cuts(beh + pause + beh, [(0, 3, "r")]) == [(0, 1, "r"), (1, 2, None), (2, 3, "r")]
+    assert render.cuts("abcd", [(0, 3, "r"), (1, 4, "q")]) == [(0, 3, "r"), (3, 4, None)]
+    assert render.ansi("abc", [(1, 2, "r")], told, render.TERMINAL) == "a\x1b[38;5;161mb\x1b[0mc"
+    assert render.html("", [], told, colours) == ""
+
+
+def test_rendering_of_nulls_and_overlaps(spark):
+    docs = spark.createDataFrame([(1, "abcdef"), (2, None), (3, "x")], "doc_id long, text string")
+    found = spark.createDataFrame([(1, "a", 0, 3), (1, "b", 2, 5), (1, "c", 3, 4), (2, "a", 0, 1)], "doc_id long, rule_id string, start_at long, end_at long")
+    got = {r["doc_id"]: r["ansi"] for r in render.to_ansi(docs, found).collect()}
+    assert got == {1: "abc\x1b[0md\x1b[0mef", 2: None, 3: "x"}
+    assert [r["html"] for r in render.to_html(docs.where("doc_id > 1"), found).orderBy("doc_id").collect()] == [None, "x"]
+
+
+def test_describe_difference(spark):
+    assert editions.describe("abc", "abc") == ""
+    assert editions.describe("abc", "axc") == "U+0062 -> U+0078"
+    assert editions.describe("a b", "ab") == "U+0020 -> \u2014 (word separation only)"
+    assert editions.describe("", "z") == "\u2014 -> U+007A"
+    assert editions.describe(None, "z") is None
+    for left, right in (("kitten", "sitting"), ("abcabba", "cbabac"), ("aab", "ab")):
+        gone = sum(len(p.split(" -> ")[0].replace("\u2014", "").split()) for p in editions.describe(left, right).split(" ; "))
+        table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for i, c in enumerate(left):
+            for j, e in enumerate(right):
+                table[i + 1][j + 1] = table[i][j] + 1 if c == e else max(table[i][j + 1], table[i + 1][j])
+        assert len(left) - gone == table[-1][-1]
+    rows = spark.createDataFrame([(1, "ab", "b")], "k int, a string, b string")
+    assert editions.described(rows, "a", "b").first()["difference"] == "U+0061 -> \u2014"
+
+
+def test_start_from(spark):
+    rows = spark.createDataFrame([("r", "tth"), ("r", "xx"), ("s", "th")], "rule_id string, slice string")
+    assert tuple(gates.start_from(rows, [("r", "t")]).first()) == ("r", 2, 1, 5, 3)
+    assert tuple(gates.start_from(rows, [("r", "t")], total=True).first()) == (2, 1, 5, 3)
