@@ -22,6 +22,7 @@ from spanmark.operators.spans import LAYER, first_come, layered
 COLOURS = {"tafkheem-tarqeeq": "#c2410c", "letter-relations": "#7e22ce", "noon-tanween": "#0369a1", "meem-sakinah": "#0f766e", "mushaddadatan": "#a16207", "madd": "#be123c", "qalqalah": "#15803d"}
 TERMINAL = {"tafkheem-tarqeeq": 166, "letter-relations": 98, "noon-tanween": 32, "meem-sakinah": 30, "mushaddadatan": 136, "madd": 161, "qalqalah": 28}
 RESET = "\x1b[0m"
+FIRST_JOINING = "\u0600"  # no letter before it is of the script that joins
 
 
 def cluster_end(text: str, at: int) -> int:
@@ -64,7 +65,7 @@ def cuts(text: str, layer: list[tuple[int, int, str]], pauses: str = cp.PAUSE_MA
             out.append((at, start, None))
         at = start
         for k in range(start, end):
-            if text[k] in pauses:
+            if text[k] >= FIRST_JOINING and text[k] in pauses:
                 out += [(at, k, rule)] if at < k else []
                 out.append((k, k + 1, None))
                 at = k + 1
@@ -73,18 +74,23 @@ def cuts(text: str, layer: list[tuple[int, int, str]], pauses: str = cp.PAUSE_MA
     return out + ([(at, len(text), None)] if at < len(text) else [])
 
 
-def html(text: str, layer: list[tuple[int, int, str]], rules: dict[str, tuple[str, str]], colours: dict[str, str]) -> str:
+def tag(rule: str, rules: dict[str, tuple[str, str]], colours: dict[str, str]) -> str:
+    """What opens the element of a rule's spans."""
+    topic, told = rules.get(rule, ("", rule))
+    told = _escaped(told)
+    return f'<span class="rule" data-rule="{_escaped(rule)}" data-topic="{_escaped(topic)}" style="color:{colours.get(topic, "currentColor")}" title="{told}" aria-label="{told}">'
+
+
+def html(text: str, layer: list[tuple[int, int, str]], opens: Callable[[str], str]) -> str:
     """One passage; joiners keep letters in one shape where a boundary falls between them."""
     parts = cuts(text, layer)
-    bridges = [False, *(joined(text, a) for a, _, _ in parts[1:]), False]
-    out = []
-    for k, (a, z, rule) in enumerate(parts):
-        piece = _escaped(cp.ZWJ * bridges[k] + text[a:z] + cp.ZWJ * bridges[k + 1])
-        if rule is not None:
-            topic, told = rules.get(rule, ("", rule))
-            told = _escaped(told)
-            piece = f'<span class="rule" data-rule="{_escaped(rule)}" data-topic="{_escaped(topic)}" style="color:{colours.get(topic, "currentColor")}" title="{told}" aria-label="{told}">{piece}</span>'
-        out.append(piece)
+    joins = bool(text) and max(text) >= FIRST_JOINING
+    out, bridge = [], ""
+    for a, z, rule in parts:
+        after = cp.ZWJ if joins and z < len(text) and joined(text, z) else ""
+        piece = _escaped(bridge + text[a:z] + after)
+        out.append(piece if rule is None else f"{opens(rule)}{piece}</span>")
+        bridge = after
     return "".join(out)
 
 
@@ -109,9 +115,12 @@ def _written(passages: DataFrame, spans: DataFrame, key: str, text: str, flatten
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t, spans in zip(b["text of the passage"].to_pylist(), b[LAYER].to_pylist()):
-                layer = [(s["start_at"], -s["back"], s["rule_id"]) for s in spans or ()]
+            flat, size = b[LAYER].flatten(), b[LAYER].value_lengths().fill_null(0).to_pylist()
+            start, back, rule = (flat.field(c).to_pylist() for c in ("start_at", "back", "rule_id"))
+            out, at = [], 0
+            for t, n in zip(b["text of the passage"].to_pylist(), size):
+                layer = [(start[k], -back[k], rule[k]) for k in range(at, at + n)]
+                at += n
                 if flatten:
                     layer = [layer[k] for k in first_come([s[0] for s in layer], [s[1] for s in layer])]
                 out.append(None if t is None else draw(t, layer))
@@ -123,7 +132,8 @@ def _written(passages: DataFrame, spans: DataFrame, key: str, text: str, flatten
 def to_html(passages: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text", rules: dict[str, tuple[str, str]] | None = None, colours: dict[str, str] | None = None, flatten: bool = True) -> DataFrame:
     """key, html. rules: a rule's topic and description. Overlapping spans are resolved first (flatten) or the first come stays."""
     rules, colours = rules or {}, COLOURS if colours is None else colours
-    return _written(passages, spans, key, text, flatten, "html", lambda t, layer: html(t, layer, rules, colours))
+    opens = {r: tag(r, rules, colours) for r in rules}
+    return _written(passages, spans, key, text, flatten, "html", lambda t, layer: html(t, layer, lambda r: opens.get(r) or tag(r, rules, colours)))
 
 
 def to_ansi(passages: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text", rules: dict[str, tuple[str, str]] | None = None, colours: dict[str, int] | None = None) -> DataFrame:

@@ -55,7 +55,7 @@ LAYER = "spans of the passage"
 
 def layered(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Per passage its spans by start, longer first, then rule, as one array (back: the end, negated)."""
-    return spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_at", (-F.col("end_at")).alias("back"), "rule_id"))).alias(LAYER))
+    return spans.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start_at", (-F.col("end_at")).alias("back"), "rule_id"))).alias(LAYER))
 
 
 def first_come(start: list[int], end: list[int]) -> list[int]:

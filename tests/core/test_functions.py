@@ -155,14 +155,15 @@ def test_rendering_joins_marks_and_pauses():
     noon, beh, alef, fatha, pause = "\u0646", "\u0628", "\u0627", "\u064e", "\u06da"
     told, colours = {"r": ("madd", "a \"b\"")}, render.COLOURS
     text = noon + fatha + beh + fatha
-    got = render.html(text, [(0, 1, "r")], told, colours)
+    opens = lambda r: render.tag(r, told, colours)
+    got = render.html(text, [(0, 1, "r")], opens)
     assert f">{noon}{fatha}\u200d</span>\u200d{beh}" in got and 'title="a &quot;b&quot;"' in got and "color:#be123c" in got
     assert re.sub("<[^>]*>|\u200d", "", got) == text
-    assert "\u200d" not in render.html(alef + beh, [(0, 1, "r")], told, colours)
+    assert "\u200d" not in render.html(alef + beh, [(0, 1, "r")], opens)
     assert render.cuts(beh + pause + beh, [(0, 3, "r")]) == [(0, 1, "r"), (1, 2, None), (2, 3, "r")]
     assert render.cuts("abcd", [(0, 3, "r"), (1, 4, "q")]) == [(0, 3, "r"), (3, 4, None)]
     assert render.ansi("abc", [(1, 2, "r")], told, render.TERMINAL) == "a\x1b[38;5;161mb\x1b[0mc"
-    assert render.html("", [], told, colours) == ""
+    assert render.html("", [], opens) == ""
 
 
 def test_rendering_of_nulls_and_overlaps(spark):
