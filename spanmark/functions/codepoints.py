@@ -2,6 +2,7 @@
 
 BOM, ZWSP, ZWJ = "﻿", "​", "‍"
 HAMZA, ALEF_MADDA, ALEF_HAMZA, ALEF, WAW, YEH, LAM, TEH, TAH = "ء", "آ", "أ", "ا", "و", "ي", "ل", "ت", "ط"
+BEH, NOON, MEEM, REH = (chr(c) for c in (0x628, 0x646, 0x645, 0x631))
 FATHATAN, DAMMATAN, KASRATAN, FATHA, DAMMA, KASRA, SHADDA, SUKOON = (chr(c) for c in range(0x64B, 0x653))
 MADDAH, HAMZA_ABOVE, SUPERSCRIPT_ALEF, TATWEEL, QURANIC_SUKOON = "ٓ", "ٔ", "ٰ", "ـ", "ۡ"
 SMALL_MEEM, SMALL_SEEN, SMALL_LOW_SEEN, SMALL_WAW, SMALL_YEH = "ۢ", "ۜ", "ۣ", "ۥ", "ۦ"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanmark.functions import codepoints as cp
 from spanmark.functions.notation import LATIN, Profile, compile_rule
 
 RULE = "id string, ruling string, pattern_case string, scope string, subject string, status string, gap string, reason string, needs_review boolean, label map<string,string>"
@@ -32,6 +33,26 @@ def demo(spark: SparkSession) -> dict[str, DataFrame]:
     }
 
 
+# A demonstration corpus of marked text, for what normalisation is there for; shadda and fatha stand in this order in a text as it is only.
+MARKED_RULES = [
+    ("sakin.1", "sakin", f"[{cp.NOON}{cp.SUKOON}] + [{cp.BEH} {cp.MEEM}]", "either", "normalized"), ("sakin.2", "sakin", f"[{cp.LAM}{cp.SUKOON} {cp.REH}{cp.SUKOON}]", "within-word", "normalized"),
+    ("twofold.1", "twofold", f"{cp.BEH}{cp.SHADDA}", "within-word", "normalized"), ("twofold.2", "twofold", f"[{cp.SHADDA}{cp.FATHA}]", "within-word", "original"),
+    ("drawn.1", "drawn", f"[{cp.DAMMA}{cp.WAW} {cp.KASRA}{cp.YEH}]", "within-word", "normalized"), ("drawn.2", "drawn", f"[{cp.WAW} {cp.WAW}{cp.SUKOON}]", "within-word", "normalized"),
+]
+MARKED_RULINGS = [("sakin", "marks", None), ("twofold", "marks", None), ("drawn", "length", None)]
+MARKED_CATEGORIES = [("marks", "letters"), ("length", "sounds")]
+
+
+def marked(spark: SparkSession) -> dict[str, DataFrame]:
+    """The same for marked text, in the profile UTHMANI."""
+    rules = [(i, r, c, s, on, "stable", None, None, False, {"en": i}) for i, r, c, s, on in MARKED_RULES]
+    return {
+        "rules": spark.createDataFrame(rules, RULE),
+        "rulings": spark.createDataFrame(MARKED_RULINGS, "id string, category string, school string"),
+        "categories": spark.createDataFrame(MARKED_CATEGORIES, "id string, topic string"),
+    }
+
+
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """A corpus document of JSON (version, topics, categories, hukums, rules) as the same tables."""
     label = "map<string,string>"
@@ -72,6 +93,11 @@ def patterns(corpus: dict[str, DataFrame], lines: DataFrame, profile: Profile =
     return sorted((r["id"], compile_rule(r["pattern_case"], r["scope"], profile, dialect)) for r in rows)
 
 
+def originals(corpus: dict[str, DataFrame]) -> frozenset[str]:
+    """Ids of the rules that are written against the text as it is."""
+    return frozenset(r["id"] for r in corpus["rules"].where("subject = 'original'").select("id").collect())
+
+
 def search(rules: DataFrame, query: str) -> DataFrame:
     """Rules whose id or ruling contains the query in any case, or whose label has it as it is."""
     q = query.lower()

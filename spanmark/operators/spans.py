@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanmark.functions.normalize import is_touched, normalized_batch
+
 
 def find_spans(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], subject: str = "text") -> DataFrame:
     """keys, rule_id, start_at, end_at of all leftmost, non-overlapping matches. One Arrow pass, no shuffle:
@@ -30,6 +33,63 @@ def find_spans(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str
     return rows.mapInArrow(spans, schema)
 
 
+AT_ONCE = 1 << 20  # code points of a batch that are normalised together
+
+
+def _few(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that have AT_ONCE code points, or a text more."""
+    begin = size = 0
+    for k, text in enumerate(texts):
+        size += len(text or "")
+        if size >= AT_ONCE:
+            yield begin, k + 1
+            begin, size = k + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def analyzed(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], text: str = "text", original: frozenset[str] = frozenset()) -> DataFrame:
+    """keys, rule_id, start_at, end_at of all leftmost, non-overlapping matches in the normalised text, as ranges of
+    the text itself; rules in `original` are matched on the text as it is. A passage's spans stand by start, longer
+    first, then rule. One Arrow pass, no shuffle."""
+    compiled = [(i, re.compile(p), i in original) for i, p in rules]
+
+    def some(texts: list[str | None]) -> tuple[list[int], list[str], list[int], list[int]]:
+        touched = [k for k, t in enumerate(texts) if t and is_touched(t)]
+        changed = dict(zip(touched, normalized_batch([texts[k] for k in touched]))) if touched else {}
+        row, rule, start, end = [], [], [], []
+        for k, raw in enumerate(texts):
+            raw = raw or ""
+            norm, source = changed.get(k, (raw, None))
+            places = None if source is None else np.append(source, len(raw)).tolist()
+            found = []
+            for rule_id, pattern, as_is in compiled:
+                if as_is or places is None:
+                    found += [(m.start(), -m.end(), rule_id) for m in pattern.finditer(raw)]
+                else:
+                    for m in pattern.finditer(norm):
+                        a = places[m.start()]
+                        found.append((a, -max(a, places[m.end()]), rule_id))
+            found.sort()
+            row += [k] * len(found)
+            for a, z, i in found:
+                rule.append(i), start.append(a), end.append(-z)
+        return row, rule, start, end
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b["subject of rules"].to_pylist()
+            for begin, stop in _few(texts):
+                row, rule, start, end = some(texts[begin:stop])
+                at = pa.array([begin + k for k in row], pa.int64())
+                kept = [b[c].take(at) for c in keys]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(rule, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=[*keys, "rule_id", "start_at", "end_at"])
+
+    rows = passages.select(*keys, F.col(text).alias("subject of rules"))
+    schema = passages.select(*keys).schema.add("rule_id", "string").add("start_at", "long").add("end_at", "long")
+    return rows.mapInArrow(spans, schema)
+
+
 def find_spans_native(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], subject: str = "text") -> DataFrame:
     """The same in Spark's own functions, for a few literal patterns of the Java dialect: matches are fenced with
     control characters, which texts must not hold, and places are running sums of the pieces between."""

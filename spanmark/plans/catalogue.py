@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanmark.functions import codepoints as cp
 from spanmark.functions.normalize import normalized
-from spanmark.functions.notation import LATIN, compile_rule
+from spanmark.functions.notation import LATIN, UTHMANI, compile_rule
 from spanmark.operators import corpus as co
 from spanmark.operators import editions, gates, render, spans
 from spanmark.sources.editions import from_positions
@@ -29,7 +29,7 @@ def _rules(spark, dialect="python", **chosen):
 
 def _spans(spark, sf_dir, **chosen):
     lines, rules = _rules(spark, **chosen)
-    return lines, spans.find_spans(_docs(spark, sf_dir), rules, KEY)
+    return lines, spans.analyzed(_docs(spark, sf_dir), rules, KEY, original=co.originals(co.demo(spark)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +217,8 @@ def differential_span(spark, sf_dir):
     _, rules = _rules(spark)
     d = _docs(spark, sf_dir)
     keys = ["doc_id", "rule_id", "start_at", "end_at"]
-    return gates.differential(spans.find_spans(d, rules, KEY), spans.find_spans(_other(d), rules, KEY), keys)
+    original = co.originals(co.demo(spark))
+    return gates.differential(spans.analyzed(d, rules, KEY, original=original), spans.analyzed(_other(d), rules, KEY, original=original), keys)
 
 
 def frozen_regression(spark, sf_dir):
@@ -240,8 +241,19 @@ def positional_import(spark, sf_dir):
 _FROM, _TO = "aeioubtnkmlrw", "".join(map(chr, (0x64E, 0x650, 0x651, 0x652, 0x64F, 0x628, 0x62A, 0x646, 0x643, 0x645, 0x644, 0x631, 0x648)))
 
 
+def _marked_docs(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.translate("text", _FROM, _TO).alias("codepoint_stream"))
+
+
+def span_marked(spark, sf_dir):
+    corpus = co.marked(spark)
+    lines = co.selected(co.lineage(corpus))
+    found = spans.analyzed(_marked_docs(spark, sf_dir), co.patterns(corpus, lines, UTHMANI), KEY, "codepoint_stream", co.originals(corpus))
+    return found.join(F.broadcast(lines.select("rule_id", "ruling_id", "category_id", "topic_id")), "rule_id").select("doc_id", "rule_id", "ruling_id", "category_id", "topic_id", "start_at", "end_at")
+
+
 def norm_full(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", F.translate("text", _FROM, _TO).alias("codepoint_stream"))
+    d = _marked_docs(spark, sf_dir)
     return normalized(d, "codepoint_stream").select("doc_id", "norm_text", F.size("norm_source").alias("n"))
 
 
@@ -252,7 +264,7 @@ def norm_strip(spark, sf_dir):
 
 _QUERIES = {
     "rule_incidence": flagship,
-    **{f.__name__: f for f in (span_extract, span_native, span_slice, resolve_overlaps, html_render, ansi_render, start_from_study, start_from_total, describe_difference, pack_unpack, matches_flag, only_filter, school_filter, incidence_digest, summary_per_doc, first_appearance, lineage_rollup, status_counts, gaps, rule_search, constraints, lineage_strict, lineage_left, edition_digest, edition_compare, edition_only_left, first_difference, char_census, unknown_chars, byte_offsets, drift_check, expectations, differential_span, frozen_regression, zero_width, positional_import, norm_full, norm_strip)},
+    **{f.__name__: f for f in (span_extract, span_native, span_slice, resolve_overlaps, html_render, ansi_render, start_from_study, start_from_total, describe_difference, pack_unpack, matches_flag, only_filter, school_filter, incidence_digest, summary_per_doc, first_appearance, lineage_rollup, status_counts, gaps, rule_search, constraints, lineage_strict, lineage_left, edition_digest, edition_compare, edition_only_left, first_difference, char_census, unknown_chars, byte_offsets, drift_check, expectations, differential_span, frozen_regression, zero_width, positional_import, span_marked, norm_full, norm_strip)},
 }
 
 
