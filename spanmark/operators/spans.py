@@ -48,39 +48,41 @@ def _few(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def _found(texts: list[str | None], compiled: list[tuple[str, re.Pattern, bool]]) -> tuple[list[int], list[str], list[int], list[int]]:
+    """Index of the text, rule, start and end of all spans, in order; compiled: rule, pattern, whether for the text as it is."""
+    touched = [k for k, t in enumerate(texts) if t and is_touched(t)]
+    changed = dict(zip(touched, normalized_batch([texts[k] for k in touched]))) if touched else {}
+    row, rule, start, end = [], [], [], []
+    for k, raw in enumerate(texts):
+        raw = raw or ""
+        norm, source = changed.get(k, (raw, None))
+        places = None if source is None else np.append(source, len(raw)).tolist()
+        found = []
+        for rule_id, pattern, as_is in compiled:
+            if as_is or places is None:
+                found += [(m.start(), -m.end(), rule_id) for m in pattern.finditer(raw)]
+            else:
+                for m in pattern.finditer(norm):
+                    a = places[m.start()]
+                    found.append((a, -max(a, places[m.end()]), rule_id))
+        found.sort()
+        row += [k] * len(found)
+        for a, z, i in found:
+            rule.append(i), start.append(a), end.append(-z)
+    return row, rule, start, end
+
+
 def analyzed(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], text: str = "text", original: frozenset[str] = frozenset()) -> DataFrame:
     """keys, rule_id, start_at, end_at of all leftmost, non-overlapping matches in the normalised text, as ranges of
     the text itself; rules in `original` are matched on the text as it is. A passage's spans stand by start, longer
     first, then rule. One Arrow pass, no shuffle."""
     compiled = [(i, re.compile(p), i in original) for i, p in rules]
 
-    def some(texts: list[str | None]) -> tuple[list[int], list[str], list[int], list[int]]:
-        touched = [k for k, t in enumerate(texts) if t and is_touched(t)]
-        changed = dict(zip(touched, normalized_batch([texts[k] for k in touched]))) if touched else {}
-        row, rule, start, end = [], [], [], []
-        for k, raw in enumerate(texts):
-            raw = raw or ""
-            norm, source = changed.get(k, (raw, None))
-            places = None if source is None else np.append(source, len(raw)).tolist()
-            found = []
-            for rule_id, pattern, as_is in compiled:
-                if as_is or places is None:
-                    found += [(m.start(), -m.end(), rule_id) for m in pattern.finditer(raw)]
-                else:
-                    for m in pattern.finditer(norm):
-                        a = places[m.start()]
-                        found.append((a, -max(a, places[m.end()]), rule_id))
-            found.sort()
-            row += [k] * len(found)
-            for a, z, i in found:
-                rule.append(i), start.append(a), end.append(-z)
-        return row, rule, start, end
-
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b["subject of rules"].to_pylist()
             for begin, stop in _few(texts):
-                row, rule, start, end = some(texts[begin:stop])
+                row, rule, start, end = _found(texts[begin:stop], compiled)
                 at = pa.array([begin + k for k in row], pa.int64())
                 kept = [b[c].take(at) for c in keys]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(rule, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=[*keys, "rule_id", "start_at", "end_at"])
@@ -90,6 +92,46 @@ def analyzed(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str],
     return rows.mapInArrow(spans, schema)
 
 
+def byte_offsets(text: str) -> np.ndarray:
+    """Where each code point begins in UTF-8, and the size of all."""
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return np.r_[0, np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))]
+
+
+def codepoint_offsets(text: str, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code-point offset of each byte offset, and whether it has none, being off a character's boundary."""
+    begins = np.r_[(np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80, True]
+    near = np.clip(offsets, 0, len(begins) - 1)
+    return (np.cumsum(begins) - 1)[near], (near != offsets) | ~begins[near]
+
+
+def byte_ends(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], text: str = "text", original: frozenset[str] = frozenset()) -> DataFrame:
+    """keys, byte, at for each place where a span of `analyzed` begins or ends: its byte offset in UTF-8, each once in
+    a passage and in order, and the code-point offset that this byte offset is converted to. One Arrow pass; a passage
+    is read once for all of its offsets."""
+    compiled = [(i, re.compile(p), i in original) for i, p in rules]
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b["subject of rules"].to_pylist()
+            for begin, stop in _few(texts):
+                row, _, start, end = _found(texts[begin:stop], compiled)
+                first = np.searchsorted(row, np.arange(stop - begin + 1))
+                count, byte, at, off = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+                for k, (x, z) in enumerate(zip(first[:-1], first[1:])):
+                    places = np.union1d(start[x:z], end[x:z]).astype(np.int64)
+                    count.append(len(places))
+                    if len(places):
+                        byte.append(byte_offsets(texts[begin + k])[places])
+                        for out, found in zip((at, off), codepoint_offsets(texts[begin + k], byte[-1])):
+                            out.append(found)
+                rows = pa.array(np.repeat(np.arange(begin, stop), count), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b[c].take(rows) for c in keys), pa.array(np.concatenate(byte), pa.int64()), pa.array(np.concatenate(at), pa.int64(), mask=np.concatenate(off))], names=[*keys, "byte", "at"])
+
+    schema = passages.select(*keys).schema.add("byte", "long").add("at", "long")
+    return passages.select(*keys, F.col(text).alias("subject of rules")).mapInArrow(told, schema)
+
+
 def find_spans_native(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], subject: str = "text") -> DataFrame:
     """The same in Spark's own functions, for a few literal patterns of the Java dialect: matches are fenced with
     control characters, which texts must not hold, and places are running sums of the pieces between."""

@@ -83,9 +83,9 @@ def start_from_total(spark, sf_dir):
 
 
 def describe_difference(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.lower("text").alias("text"))
-    other = d.select("item_id", F.replace(F.replace("text", F.lit("the "), F.lit("the")), F.lit("th"), F.lit("ht")).alias("other"))
-    return editions.described(d.join(other, "item_id").where("text <> other"), "text", "other").select("item_id", "difference")
+    d = _docs(spark, sf_dir)
+    left = editions.residue(d, _other(d), "doc_id", [("accents", "é", "e")])
+    return editions.described(left, "text", "other").select("doc_id", "difference")
 
 
 def pack_unpack(spark, sf_dir):
@@ -193,8 +193,7 @@ def unknown_chars(spark, sf_dir):
 
 
 def byte_offsets(spark, sf_dir):
-    d = _docs(spark, sf_dir).where("lang = 'fr'")
-    return d.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(40), F.lit(5))).alias("byte")).join(d, "doc_id").select("doc_id", F.col("byte").cast("long").alias("byte"), editions.byte_to_codepoint(F.col("text"), F.col("byte")).cast("long").alias("at"))
+    return spans.byte_ends(_docs(spark, sf_dir), _rules(spark)[1], KEY, original=co.originals(co.demo(spark)))
 
 
 def _two(spark, sf_dir):
