@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanmark.functions.normalize import is_touched, normalized_batch
+from spanmark.operators import digests
 
 
 def find_spans(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], subject: str = "text") -> DataFrame:
@@ -202,8 +203,14 @@ def incidence(spans: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFr
 
 def ordered_digest(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per rule, 16 hex digits of the SHA-256 of its passages' keys in numeric order, joined by commas."""
-    keys = F.array_join(F.transform(F.array_sort(F.collect_set(key)), lambda k: k.cast("string")), ",")
-    return spans.groupBy("rule_id").agg(F.substring(F.sha2(keys, 256), 1, 16).alias("digest"))
+    found = digests.flat(spans.select("rule_id", key).distinct(), ["rule_id"], [key], F.col(key), ",")
+    return found.select("rule_id", F.substring("digest", 1, 16).alias("digest"))
+
+
+def block_digest(spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The same over the digests of blocks of keys; another value."""
+    found = digests.by_block(spans.select("rule_id", key).distinct(), "rule_id", key, [key], F.col(key), ",")
+    return found.select("rule_id", F.substring("digest", 1, 16).alias("digest"))
 
 
 def packed(spans: DataFrame, rule_ids: list[str], keys: list[str]) -> DataFrame:

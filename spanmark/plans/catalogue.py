@@ -112,6 +112,10 @@ def incidence_digest(spark, sf_dir):
     return spans.ordered_digest(_spans(spark, sf_dir)[1])
 
 
+def incidence_block_digest(spark, sf_dir):
+    return spans.block_digest(_spans(spark, sf_dir)[1])
+
+
 def summary_per_doc(spark, sf_dir):
     return _spans(spark, sf_dir)[1].groupBy("doc_id").agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("rule_id").alias("rules"))
 
@@ -163,6 +167,10 @@ def edition_digest(spark, sf_dir):
     return editions.digest(_docs(spark, sf_dir), "lang", "doc_id", "text")
 
 
+def edition_block_digest(spark, sf_dir):
+    return editions.block_digest(_docs(spark, sf_dir), "lang", "doc_id", "text")
+
+
 def _other(docs):
     """The other edition: some letters written otherwise, some passages missing."""
     return docs.where("doc_id % 11 <> 3").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.translate("text", "é", "e")).when(F.col("doc_id") % 5 == 0, F.replace("text", F.lit("the "), F.lit("thy "))).otherwise(F.col("text")))
@@ -263,7 +271,7 @@ def norm_strip(spark, sf_dir):
 
 _QUERIES = {
     "rule_incidence": flagship,
-    **{f.__name__: f for f in (span_extract, span_native, span_slice, resolve_overlaps, html_render, ansi_render, start_from_study, start_from_total, describe_difference, pack_unpack, matches_flag, only_filter, school_filter, incidence_digest, summary_per_doc, first_appearance, lineage_rollup, status_counts, gaps, rule_search, constraints, lineage_strict, lineage_left, edition_digest, edition_compare, edition_only_left, first_difference, char_census, unknown_chars, byte_offsets, drift_check, expectations, differential_span, frozen_regression, zero_width, positional_import, span_marked, norm_full, norm_strip)},
+    **{f.__name__: f for f in (span_extract, span_native, span_slice, resolve_overlaps, html_render, ansi_render, start_from_study, start_from_total, describe_difference, pack_unpack, matches_flag, only_filter, school_filter, incidence_digest, summary_per_doc, first_appearance, lineage_rollup, status_counts, gaps, rule_search, constraints, lineage_strict, lineage_left, edition_digest, edition_compare, edition_only_left, first_difference, char_census, unknown_chars, byte_offsets, drift_check, expectations, differential_span, frozen_regression, zero_width, positional_import, span_marked, norm_full, norm_strip, edition_block_digest, incidence_block_digest)},
 }
 
 
