@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,23 +16,65 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir; one of our own only where that is unset and all runs on one machine (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _OWN[app]
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_BYTES at most, if the session doesn't have smaller ones; its own setting comes back after."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name)
+    size = int(own.rstrip("bB")) if own.rstrip("bB").lstrip("-").isdigit() else BATCH_BYTES + 1
+    if 0 < size <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(name, f"{BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
+def written(spark: SparkSession, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts lineage, survives lost executors."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back to the system. Workers are kept for later stages, in which JVM and Python share what there is."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(rows: Iterator) -> Iterator:
+    """The rows of a task's function; when they end, freed memory goes back."""
+    try:
+        yield from rows
+    finally:
+        release()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -163,7 +207,7 @@ def passing(bitmap: np.ndarray, column: str, on: bool = True):
         for b in batches:
             yield b.take(pa.array(np.flatnonzero(marked(bitmap, b[column]) == on)))
 
-    return rows
+    return lambda batches: trimmed(rows(batches))
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:

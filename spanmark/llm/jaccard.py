@@ -9,11 +9,13 @@ range's signature are a root region; equal regions are one. Then, region by regi
 * its pivot is its best-connected member; regions with the same pivot make up the pivot's cell. Each
   member's distance to the pivot is computed exactly, and members within the threshold are linked
   to it. The pivot is then done, and so is a region whose members are all in one component.
-* A region that is still large is joined again inside its pivot's cell, on the members' differences
-  from the pivot. Members within the threshold of each other differ in at most k shingles, and so do
-  their differences: either these share one of the k + 1 rarest shingles of each, and members that
-  do are a region of the next round, or both lie so near the pivot that the triangle inequality
-  leaves only those in a window of distances, which is one more region.
+* A region that is still large is joined again inside its pivot's cell. By the triangle inequality
+  two linked members are both near the pivot or both far from it, if these two windows of distances
+  overlap by k. The near ones are joined on their differences from the pivot, which differ in at
+  most k shingles, too: either these share one of the k + 1 rarest shingles of each, and members that
+  do are a region of the next round, or both lie so near that only a window of distances is left,
+  which is one more region. The far ones are put through the sieve again with other hash ranges.
+  Regions all of whose members are in one component are done.
 * Small regions are joined member by member, where these are in different components and their sketches
   (counts by hash cell, whose L1 distance is a lower bound) don't rule a link out.
 
@@ -35,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, grams, marked, mix, slices, word_codes, written
+from .common import bitmap_of, grams, marked, mix, partitions, release, slices, trimmed, word_codes, written
 
 LEAF_NODES = 256
-SETS = "doc_id long, text_code long, n long, h1 long, h2 long"
+SETS = "doc_id long, text_code long, code long, n long, h1 long, h2 long, sketch binary, wide binary"
 PART_SIGNATURES = 1_000_000
-CELLS = 256
+CELLS, LONG = 256, 512
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 
 
@@ -77,8 +79,11 @@ def size_classes(num: int, den: int) -> tuple[list[int], list[int], list[int]]:
     return uppers, ranges, slack
 
 
-def signatures(x: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of a set: one for each hash range of its size class, and of the next if partners may be there."""
+def signatures(x: np.ndarray, num: int, den: int, seed: int = 0) -> np.ndarray:
+    """Signatures of a set: one for each hash range of its size class, and of the next if partners may be there.
+    Another seed puts the shingles into other ranges."""
+    if seed:
+        x = np.sort(mix(x ^ np.uint64(seed)))
     uppers, ranges, slack = size_classes(num, den)
     c = int(np.searchsorted(uppers, len(x)))
     sums = np.r_[np.uint64(0), np.cumsum(mix(x ^ _SEEDS[2]))]
@@ -96,59 +101,103 @@ def signatures(x: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for b in (x for batch in batches for x in slices(batch, most=1 << 21)):
-        size, h1, h2 = [], [], []
+        size, h1, h2, told, more = [], [], [], [], []
         for x in shingles(b["text"], n):
             size.append(len(x))
             h1.append(mix(x ^ _SEEDS[0]).sum(dtype=np.uint64))
             h2.append(mix(x ^ _SEEDS[1]).sum(dtype=np.uint64))
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_code"], pa.array(size, pa.int64()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2))], names=["doc_id", "text_code", "n", "h1", "h2"])
+            told.append(sketch(x))
+            more.append(sketch(x, 1 << len(x).bit_length() - 1) if len(x) > LONG else None)
+        columns = [pa.array(size, pa.int64()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)), pa.array(told, pa.binary()), pa.array(more, pa.binary())]
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_code"], b["code"], *columns], names=["doc_id", "text_code", "code", "n", "h1", "h2", "sketch", "wide"])
+
+
+class _Once:
+    """Which rows have a code that was not there before. What is remembered is 8 bytes for each row of a task's input."""
+
+    def __init__(self) -> None:
+        self.seen = np.empty(0, np.int64)
+
+    def new(self, codes: pa.Array) -> np.ndarray:
+        codes = np.asarray(codes)
+        fresh, at = np.unique(codes, return_index=True)
+        known = np.isin(fresh, self.seen, assume_unique=True)
+        self.seen = np.concatenate([self.seen, fresh[~known]])
+        return np.sort(at[~known])
+
+
+FREQUENT = 64
+
+
+def _packed(sig: np.ndarray, others: dict[str, np.ndarray], parts: int) -> pa.RecordBatch:
+    """Signatures with what goes along, as one row for each part they go to. Of a signature that a batch has FREQUENT
+    times only the least and the greatest by the last of `others` go there: enough for the part to see that it is
+    shared. The rest goes to a part beyond `parts` which takes all as shared, so no part grows with a frequent
+    signature."""
+    part = (((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    by = np.lexsort((list(others.values())[-1], sig))
+    begin = np.flatnonzero(np.r_[True, sig[by][1:] != sig[by][:-1]]) if len(sig) else np.empty(0, np.int64)
+    size = np.diff(np.r_[begin, len(sig)])
+    many = np.repeat(size >= FREQUENT, size)
+    many[begin] = many[begin + size - 1] = False
+    part[by[many]] = parts + np.flatnonzero(many) % parts
+    order = np.argsort(part, kind="stable")
+    used, first = np.unique(part[order], return_index=True)
+    ends = np.r_[first, len(sig)]
+    columns = [[x[order[a:z]].tobytes() for a, z in zip(ends[:-1], ends[1:])] for x in (sig, *others.values())]
+    return pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "sigs", *others])
 
 
 def _signed(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """All signatures of a slice of texts, packed by the part they go to: part, sigs, codes."""
+    """All signatures of a slice of texts, packed: part, sigs, codes. A text that a task meets again is not signed again."""
+    once = _Once()
     for b in (x for batch in batches for x in slices(batch, most=1 << 21)):
+        b = b.take(pa.array(once.new(b["text_code"])))
+        if not b.num_rows:
+            continue
         sigs = [signatures(x, num, den) if len(x) else x for x in shingles(b["text"], n)]
-        code = np.repeat(np.asarray(b["text_code"]), [len(s) for s in sigs])
-        sig = np.concatenate(sigs)
-        part = ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        used, first = np.unique(part[order], return_index=True)
-        ends = np.r_[first, len(sig)]
-        columns = [[x[order[a:z]].tobytes() for a, z in zip(ends[:-1], ends[1:])] for x in (sig, code)]
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "sigs", "codes"])
-
-
-def _shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """The signatures of a part that two texts or more have: region, text_code."""
-    sig = np.frombuffer(b"".join(rows["sigs"]), np.int64)
-    code = np.frombuffer(b"".join(rows["codes"]), np.int64)
-    order = np.lexsort((code, sig))
-    sig, code = sig[order], code[order]
-    new = np.r_[True, (sig[1:] != sig[:-1]) | (code[1:] != code[:-1])]
-    sig, code = sig[new], code[new]
-    same = sig[1:] == sig[:-1]
-    kept = np.r_[same, False] | np.r_[False, same]
-    return pd.DataFrame({"region": sig[kept], "text_code": code[kept]})
-
-
-def _wanted_sets(batches: Iterator[pa.RecordBatch], n: int, bitmap: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
+        yield _packed(np.concatenate(sigs), {"codes": np.repeat(np.asarray(b["text_code"]), [len(s) for s in sigs])}, parts)
+
+
+def _shared(parts: int):
+    def shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """The signatures of a part that two texts or more have: region, text_code."""
+        sig = np.frombuffer(b"".join(rows["sigs"]), np.int64)
+        code = np.frombuffer(b"".join(rows["codes"]), np.int64)
+        if key[0] < parts:
+            order = np.lexsort((code, sig))
+            sig, code = sig[order], code[order]
+            new = np.r_[True, (sig[1:] != sig[:-1]) | (code[1:] != code[:-1])]
+            sig, code = sig[new], code[new]
+            same = sig[1:] == sig[:-1]
+            kept = np.r_[same, False] | np.r_[False, same]
+            sig, code = sig[kept], code[kept]
+        out = pd.DataFrame({"region": sig, "text_code": code})
+        release()
+        return out
+
+    return shared
+
+
+def _wanted_sets(batches: Iterator[pa.RecordBatch], n: int, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    once = _Once()
     for b in (x for batch in batches for x in slices(batch, most=1 << 21)):
-        b = b.take(pa.array(np.flatnonzero(marked(bitmap, b["text_code"]))))
+        b = b.take(pa.array(np.flatnonzero(marked(bitmap, b["code"]))))
+        b = b.take(pa.array(once.new(b["code"])))
         if b.num_rows:
             sets = list(shingles(b["text"], n))
-            told = [x.tobytes() if whole else sketch(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_code"], pa.array([len(x) for x in sets], pa.int64()), pa.array(told, pa.binary())], names=["doc_id", "text_code", "n", "told"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_code"], b["code"], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "text_code", "code", "n", "shingles"])
 
 
-def _fetched(spark: SparkSession, docs: DataFrame, wanted: DataFrame, n: int, column: str) -> DataFrame:
-    """The written table (node, n, column) of wanted nodes (node, doc_id, text_code): their shingles or sketches."""
-    bitmap, whole = bitmap_of(wanted, "text_code"), column == "shingles"
-    found = docs.select("doc_id", "text", "text_code").mapInArrow(lambda it: _wanted_sets(it, n, bitmap, whole), "doc_id long, text_code long, n long, told binary")
+def _fetched(spark: SparkSession, docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The written table (node, n, shingles) of wanted nodes (node, doc_id, text_code, code). A node is found by the
+    code of its own row (doc_id and text), so its copies, which have other ids, are not moved."""
+    bitmap = bitmap_of(wanted, "code")
+    found = docs.select("doc_id", "text", "text_code", "code").mapInArrow(lambda it: trimmed(_wanted_sets(it, n, bitmap)), "doc_id long, text_code long, code long, n long, shingles binary")
     f, w = found.alias("f"), wanted.alias("w")
-    # joined and made distinct by text_code alone, so the sets are shuffled once; the ids are compared as a filter
-    same = F.coalesce(F.col("f.doc_id") == F.col("w.doc_id"), F.col("f.doc_id").isNull() & F.col("w.doc_id").isNull())
-    rows = f.join(w, (F.col("f.text_code") == F.col("w.text_code")) & same).select("w.node", "w.text_code", "n", "told").dropDuplicates(["text_code", "node"])
-    return written(spark, rows.select("node", "n", F.col("told").alias(column)), column)
+    same = F.col("f.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("f.text_code") == F.col("w.text_code"))
+    rows = f.join(w, (F.col("f.code") == F.col("w.code")) & same).select("w.node", "w.code", "n", "shingles").dropDuplicates(["code", "node"])
+    return written(spark, rows.select("node", "n", "shingles"), "shingles")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -175,36 +224,67 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
-def _against(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (pivot, node) with the shingles of both."""
+def _against(pairs: DataFrame, sets: DataFrame, *along: str) -> DataFrame:
+    """pairs (pivot, node) with the shingles of both; the columns `along` come too."""
     mine = pairs.join(sets.select("node", "shingles"), "node")
     both = mine.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
-    return both.select("pivot", "node", "shingles", "pivot_shingles")
+    return both.select("pivot", "node", *along, "shingles", "pivot_shingles")
 
 
-def sketch(x: np.ndarray) -> bytes:
-    """How many shingles fall into each of CELLS hash cells, up to 255. The L1 distance of two sketches
+def sketch(x: np.ndarray, cells: int = CELLS) -> bytes:
+    """How many shingles fall into each of a power of two of hash cells, up to 255. The L1 distance of two sketches
     is never more than the number of shingles in which the sets differ."""
-    return np.minimum(np.bincount((x & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+    return np.minimum(np.bincount((x & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def folded(wide: bytes, cells: int) -> np.ndarray:
+    """A sketch of more cells as one of `cells`."""
+    return np.frombuffer(wide, np.uint8).reshape(-1, cells).sum(0, dtype=np.int32)[None]
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The L1 distance of sketches."""
+    kind = np.int16 if a.dtype == np.uint8 else np.int32
+    return np.abs(a.astype(kind) - b.astype(kind)).sum(-1, dtype=np.int64)
 
 
 def _may_link(a, n, b, m, num: int, den: int) -> np.ndarray:
     """Whether sketches are as near as those of linked sets of n and m shingles must be."""
-    l1 = np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(-1, dtype=np.int64)
+    l1 = apart(a, b)
     return (l1 * (den + num) <= (n + m) * (den - num)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
 
 
-def _near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (pivot, node) whose sketches don't rule a link out."""
+def most_apart(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """In how many shingles a set of n and a set linked with it differ at most."""
+    return (n + n * den // num) * (den - num) // (den + num)
+
+
+def _near(spark: SparkSession, pairs: DataFrame, sketches: DataFrame, may_be_near) -> DataFrame:
+    """The pairs (pivot, node) whose sketches and sizes pass may_be_near(x, n, y, m); those of long sets, in which
+    CELLS cells tell little, are asked again with their wide sketches, of half as many cells as shingles or more."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("x", "y"))
-            ok = _may_link(x, np.asarray(b["n"]), y, np.asarray(b["m"]), num, den)
-            yield b.select(["pivot", "node"]).take(pa.array(np.flatnonzero(ok)))
+            ok = may_be_near(x, np.asarray(b["n"]), y, np.asarray(b["m"]))
+            yield b.select(["pivot", "node", "n", "m"]).take(pa.array(np.flatnonzero(ok)))
+
+    def keep_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, n, y, m in zip(b["x"].to_pylist(), np.asarray(b["n"]), b["y"].to_pylist(), np.asarray(b["m"])):
+                cells = min(len(x), len(y))
+                ok.append(bool(may_be_near(folded(x, cells), n, folded(y, cells), m)[0]))
+            yield b.select(["pivot", "node"]).take(pa.array(np.flatnonzero(ok), pa.int64()))
+
+    def both(pairs: DataFrame, column: str) -> DataFrame:
+        mine = sketches.select("node", F.col(column).alias("x"), "n")
+        its = sketches.select(F.col("node").alias("pivot"), F.col(column).alias("y"), F.col("n").alias("m"))
+        return pairs.select("pivot", "node").join(mine, "node").join(its, "pivot").select("pivot", "node", "x", "n", "y", "m")
 
-    both = pairs.join(sketches.select("node", F.col("sketch").alias("x"), "n"), "node").join(sketches.select(F.col("node").alias("pivot"), F.col("sketch").alias("y"), F.col("n").alias("m")), "pivot")
-    return both.select("pivot", "node", "x", "n", "y", "m").mapInArrow(keep, "pivot long, node long")
+    some = written(spark, both(pairs, "sketch").mapInArrow(lambda it: trimmed(keep(it)), "pivot long, node long, n long, m long"), "some")
+    long = F.least("n", "m") > LONG
+    return some.where(~long).select("pivot", "node").union(both(some.where(long), "wide").mapInArrow(lambda it: trimmed(keep_long(it)), "pivot long, node long"))
 
 
 def _each(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -229,119 +309,212 @@ def _distances(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
                 out.append(den * m >= num * (len(x) + len(p) - m))
             yield pa.RecordBatch.from_arrays([b["pivot"], b["node"], pa.array(out, pa.bool_())], names=["pivot", "node", "linked"])
 
-    return _against(pairs, sets).mapInArrow(count, "pivot long, node long, linked boolean")
+    return _against(pairs, sets).mapInArrow(lambda it: trimmed(count(it)), "pivot long, node long, linked boolean")
 
 
 def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (pivot, node) with the difference of the two sets and the most, k, that a link's two ends differ in."""
+    """The pairs (pivot, node) that are near: the number of shingles d in which they differ, these shingles (delta),
+    and the most, k, that a link's two ends differ in."""
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            delta, most = [], []
+            size, reach, delta = [], [], []
             for x, p, at, same in _each(b):
+                d, k = len(x) + len(p) - 2 * int(np.count_nonzero(same)), most_apart(len(x), num, den)
+                near = d <= most_apart(len(p), num, den) + k
                 only = np.ones(len(p), bool)
                 only[at[same]] = False
-                delta.append(np.concatenate([x[~same], p[only]]))
-                most.append((len(x) + len(x) * den // num) * (den - num) // (den + num))
+                size.append(d if near else -1), reach.append(k), delta.append(np.concatenate([x[~same], p[only]]) if near else x[:0])
             ends = np.cumsum([0] + [len(d) for d in delta]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(delta).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b["pivot"], b["node"], pa.array(most, pa.int64()), flat], names=["pivot", "node", "k", "delta"])
+            out = pa.RecordBatch.from_arrays([b["pivot"], b["node"], pa.array(size, pa.int64()), pa.array(reach, pa.int64()), flat], names=["pivot", "node", "d", "k", "delta"])
+            yield out.take(pa.array(np.flatnonzero(np.array(size) >= 0)))
 
-    return _against(pairs, sets).mapInArrow(differ, "pivot long, node long, k long, delta array<long>")
+    return _against(pairs, sets).mapInArrow(lambda it: trimmed(differ(it)), "pivot long, node long, d long, k long, delta array<long>")
 
 
-def _cells(pairs: DataFrame, linked: DataFrame, sets: DataFrame, spark: SparkSession, num: int, den: int) -> DataFrame:
-    """The regions (region, node) that the cells of pairs (pivot, node) fall into."""
-    differ = written(spark, _differences(pairs, sets, num, den), "differences")
-    token = differ.select("pivot", "node", "k", F.explode("delta").alias("token"))
-    often = token.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("often"))
+def _resigned(batches: Iterator[pa.RecordBatch], num: int, den: int, seed: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Signatures of another seed, packed: part, sigs, codes (of nodes)."""
+    for b in batches:
+        sigs = [signatures(np.frombuffer(x, np.uint64), num, den, seed) for x in b["shingles"].to_pylist()]
+        if b.num_rows:
+            yield _packed(np.concatenate(sigs), {"codes": np.repeat(np.asarray(b["node"]), [len(s) for s in sigs])}, parts)
+
+
+def _cells(spark: SparkSession, cells: DataFrame, sets: DataFrame, sketches: DataFrame, num: int, den: int, seed: int) -> DataFrame:
+    """The regions (region, node, label) that the cells of rows (pivot, node, label, inside, linked) fall into. Only
+    pairs of different labels are still looked for."""
+
+    def may_be_near(x, n, y, m):
+        return apart(x, y) <= most_apart(n, num, den) + most_apart(m, num, den)
+
+    close = written(spark, _near(spark, cells.select("pivot", "node"), sketches, may_be_near), "near")
+    differ = written(spark, _differences(close, sets, num, den).join(cells, ["pivot", "node"]), "differences")
+    token = differ.select("pivot", "node", "label", "k", F.explode("delta").alias("token"))
+    often = token.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("often"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("pivot", "token", "often")
     rank = F.row_number().over(Window.partitionBy("pivot", "node").orderBy("often", "token"))  # a document's own shingles
-    shared = token.join(often, ["pivot", "token"]).withColumn("rank", rank).where("often > 1 and rank <= k + 1").select(F.xxhash64("pivot", "token").alias("region"), "node")
+    shared = token.join(often, ["pivot", "token"]).withColumn("rank", rank).where("rank <= k + 1").select(F.xxhash64("pivot", "token").alias("region"), "node", "label")
     # links of members whose differences share nothing: the two distances add up to k at most
-    near = differ.join(linked, ["pivot", "node"], "left").select("pivot", "node", "k", F.coalesce("linked", F.lit(False)).alias("linked"), F.size("delta").alias("d")).where("d <= k")
-    window = near.groupBy("pivot").agg(F.max("k").alias("most"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("least")).where("least is not null")
-    near = near.join(window, "pivot").where("not linked or d + least <= most").select(F.xxhash64("pivot", F.lit("near")).alias("region"), "node")
-    return shared.union(near)
+    near = differ.where("d <= k").select("pivot", "node", "label", "k", "inside", "d")
+    window = near.groupBy("pivot").agg(F.max("k").alias("most"), F.min(F.when(~F.col("inside"), F.col("d"))).alias("least")).where("least is not null")
+    near = near.join(window, "pivot").where("not inside or d + least <= most").select(F.xxhash64("pivot", F.lit("near")).alias("region"), "node", "label")
+    # links of members that are both far from the pivot; who is linked with it is near
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, int(0.6 * total / PART_SIGNATURES))
+    again = sets.select("node", "shingles").mapInArrow(lambda it: trimmed(_resigned(it, num, den, seed, parts)), "part long, sigs binary, codes binary")
+    again = again.groupBy("part").applyInPandas(_shared(parts), "region long, text_code long").select(F.col("region").alias("sig"), F.col("text_code").alias("node"))
+    far = cells.where("not linked").join(again, "node").select(F.xxhash64("pivot", "sig").alias("region"), "node", "label")
+    return shared.union(near).union(far)
+
+
+AT_ONCE = 4096
+
+
+def _pairs(rows: dict[str, np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all pairs of rows of one region, ordered by region, that may be linked by their sketches."""
+    region, n, sketches = rows["region"], rows["n"], rows["sketch"]
+    at = np.arange(len(region))
+    for lag in range(1, len(region)):
+        at = at[: np.searchsorted(at, len(region) - lag)]
+        at = at[region[at] == region[at + lag]]
+        if not len(at):
+            return
+        small, large = np.minimum(n[at], n[at + lag]), np.maximum(n[at], n[at + lag])
+        i = at[den * small >= num * large]
+        if "label" in rows:
+            i = i[rows["label"][i] != rows["label"][i + lag]]
+        for k in range(0, len(i), AT_ONCE):
+            x = i[k : k + AT_ONCE]
+            x = x[_may_link(sketches[x], n[x], sketches[x + lag], n[x + lag], num, den)]
+            yield x, x + lag
+
+
+def _by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Whole regions of LEAF_NODES rows at most, from rows sorted by region: what a batch may have begun waits for the next."""
+    left = None
+    for b in batches:
+        rows = {c: np.asarray(b[c]) for c in b.schema.names if c != "sketch"}
+        rows["sketch"] = np.frombuffer(b"".join(b["sketch"].to_pylist()), np.uint8).reshape(-1, CELLS)
+        if left is not None:
+            rows = {c: np.concatenate([left[c], rows[c]]) for c in rows}
+        if not len(rows["region"]):
+            continue
+        cut = int(np.searchsorted(rows["region"], rows["region"][-1]))
+        left = {c: x[cut:] for c, x in rows.items()}
+        if cut:
+            yield {c: x[:cut] for c, x in rows.items()}
+    if left is not None:
+        yield left
 
 
 def _leaf(num: int, den: int):
-    def join(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a small region that are in different components and may be linked by their sketches."""
-        x = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, CELLS)
-        n, node, label = (rows[c].to_numpy() for c in ("n", "node", "label"))
-        out = []
-        for i in range(len(x) - 1):
-            ok = _may_link(x[i + 1 :], n[i + 1 :], x[i], n[i], num, den) & (label[i + 1 :] != label[i])
-            out += [(node[i], node[i + 1 + j]) for j in np.flatnonzero(ok)]
-        return pd.DataFrame(out, columns=["pivot", "node"], dtype=np.int64)
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of small regions that are in different components and may be linked by their sketches."""
+        for rows in _by_region(batches):
+            for i, j in _pairs(rows, num, den):
+                a, b = rows["node"][i], rows["node"][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["pivot", "node"])
 
-    return join
+    return lambda batches: trimmed(join(batches))
 
 
 def _paired(num: int, den: int):
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        """The members of a small region that may be linked with another one of it."""
-        x = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, CELLS)
-        n, ok = rows["n"].to_numpy(), np.zeros(len(rows), bool)
-        for i in range(len(x) - 1):
-            near = _may_link(x[i + 1 :], n[i + 1 :], x[i], n[i], num, den)
-            ok[i + 1 :] |= near
-            ok[i] |= bool(near.any())
-        return rows.loc[ok, ["region", "node"]]
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The members of small regions that may be linked with another one of theirs."""
+        for rows in _by_region(batches):
+            ok = np.zeros(len(rows["region"]), bool)
+            for i, j in _pairs(rows, num, den):
+                ok[i] = ok[j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c][ok]) for c in ("region", "node")], names=["region", "node"])
+
+    return lambda batches: trimmed(keep(batches))
 
-    return keep
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("region").sortWithinPartitions("region")
 
 
 def _roots(spark: SparkSession, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The root regions (region, node): nodes that share a signature, equal regions once.
+    """The root regions (region, node, k): nodes that share a signature, equal regions once.
 
     Signatures go to their parts packed, about PART_SIGNATURES to a part; a part keeps those that texts share."""
     total = nodes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, int(0.6 * total / PART_SIGNATURES))
-    signed = docs.select("text", "text_code").mapInArrow(lambda it: _signed(it, n, num, den, parts), "part long, sigs binary, codes binary")
-    shared = signed.groupBy("part").applyInPandas(_shared, "region long, text_code long")
-    members = written(spark, shared.join(nodes.select("text_code", "node").distinct(), "text_code").select("region", "node").distinct(), "signed")
-    return _merged(members)
-
-
-def _merged(members: DataFrame) -> DataFrame:
-    """Regions of two nodes or more, one of those with the same nodes."""
-    told = members.groupBy("region").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("k > 1")
-    kept = told.groupBy("k", "x", "y").agg(F.min("region").alias("region")).select("region")
-    return members.join(kept, "region")
-
-
-def links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between nodes, enough to connect all that similarity connects."""
-    regions = written(spark, _roots(spark, docs, nodes, n, num, den), "regions")
-    of = nodes.where("rid = node").select("node", "doc_id", "text_code")
-    wanted = written(spark, regions.select("node").distinct().join(of, "node"), "wanted")
-    sketches = _fetched(spark, docs, wanted, n, "sketch")
+    signed = docs.select("text", "text_code").mapInArrow(lambda it: trimmed(_signed(it, n, num, den, parts)), "part long, sigs binary, codes binary")
+    shared = signed.groupBy("part").applyInPandas(_shared(parts), "region long, text_code long")
+    return _merged(spark, shared.join(nodes.select("text_code", "node").distinct(), "text_code").select("region", "node").distinct())
+
+
+def _of_region(left: DataFrame, right: DataFrame, limit: int) -> DataFrame:
+    """left (region, k) joined with right, a row for each region. Regions of more than limit rows are joined by
+    broadcast, the others by a shuffle; limit is such that there are few of the former."""
+    large = F.col("k") > limit
+    some = left.where(large).join(F.broadcast(right.where(large).drop("k")), "region")
+    return some.unionByName(left.where(~large).join(right.where(~large).drop("k"), "region"))
+
+
+def _limit(spark: SparkSession, rows: int) -> int:
+    """Of a table of so many rows, fewer than four regions a partition have more than this."""
+    return max(LEAF_NODES, rows // (4 * partitions(spark)))
+
+
+def _merged(spark: SparkSession, members: DataFrame) -> DataFrame:
+    """The written table (region, node, k) of regions of two nodes or more, one of those with the same nodes. If
+    members have labels, regions with one label only go."""
+    members = written(spark, members, "members")
+    counts = [F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    if "label" in members.columns:
+        told = members.groupBy("region").agg(*counts, F.min("label").alias("from"), F.max("label").alias("to")).where("from < to")
+    else:
+        told = members.groupBy("region").agg(*counts)
+    kept = told.where("k > 1").groupBy("k", "x", "y").agg(F.min("region").alias("region")).select("region", "k")
+    kept, members = written(spark, kept, "kept"), members.select("region", "node")
+    large = kept.where(F.col("k") > _limit(spark, members.count()))
+    some = members.join(F.broadcast(large), "region")
+    rest = members.join(F.broadcast(large.select("region")), "region", "left_anti").join(kept, "region")
+    return written(spark, some.unionByName(rest), "regions")
+
+
+def links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, sketches: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between nodes, enough to connect all that similarity connects. sketches: node, n, sketch, wide."""
+    regions = _roots(spark, docs, nodes, n, num, den)
     # members of small regions stay where some other member's sketch doesn't rule a link out
-    sized = regions.join(regions.groupBy("region").agg(F.count(F.lit(1)).alias("k")), "region")
-    paired = sized.where(F.col("k") <= LEAF_NODES).select("region", "node").join(sketches, "node").groupBy("region").applyInPandas(_paired(num, den), "region long, node long")
-    regions = written(spark, _merged(paired.union(sized.where(F.col("k") > LEAF_NODES).select("region", "node"))), "regions")
+    small = F.col("k") <= LEAF_NODES
+    paired = _dealt(regions.where(small).select("region", "node").join(sketches.drop("wide"), "node")).mapInArrow(_paired(num, den), "region long, node long")
+    regions = _merged(spark, paired.union(regions.where(~small).select("region", "node")))
+    of = nodes.where("rid = node").select("node", "doc_id", "text_code", "code")
     wanted = written(spark, regions.select("node").distinct().join(of, "node"), "wanted")
-    shingled = _fetched(spark, docs, wanted, n, "shingles")
+    sketches = written(spark, wanted.select("node").join(sketches, "node"), "sketches", "zstd")
+    shingled = _fetched(spark, docs, wanted, n)
     labels = spark.createDataFrame([], "node long, label long")
     pools = []
+
+    def may_link(x, n, y, m):
+        return _may_link(x, n, y, m, num, den)
+
     while True:
-        big = regions.groupBy("region").agg(F.count(F.lit(1)).alias("k"))
-        degree = regions.join(big, "region").groupBy("node").agg(F.sum("k").alias("degree"))
-        ranked = regions.join(degree, "node").groupBy("region").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("pivot"))
-        seen = written(spark, regions.join(ranked, "region").where("node <> pivot").join(big, "region").select("region", "node", "pivot", (F.col("k") > LEAF_NODES).alias("large")), "cells")
-        linked = written(spark, _distances(_near(seen.select("pivot", "node").distinct(), sketches, num, den), shingled, num, den), "distances")
+        limit = _limit(spark, regions.count())
+        degree = regions.groupBy("node").agg(F.sum("k").alias("degree"))
+        ranked = regions.join(degree, "node").groupBy("region", "k").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("pivot"))
+        ranked = written(spark, ranked, "pivots")
+        seen = written(spark, _of_region(regions, ranked, limit).where("node <> pivot").select("region", "node", "k", "pivot"), "cells")
+        linked = written(spark, _distances(_near(spark, seen.select("pivot", "node").distinct(), sketches, may_link), shingled, num, den), "distances")
         edges = linked.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(labels.select("label", "node"))
         labels = written(spark, components(spark, edges), "labels")
-        alive = seen.join(labels, "node", "left").groupBy("region").agg(F.min(F.coalesce("label", "node")).alias("x"), F.max(F.coalesce("label", "node")).alias("y")).where("x < y").select("region")
-        seen = written(spark, seen.join(alive, "region"), "alive")
-        pools.append(seen.where("not large").select("region", "node"))
-        cells = seen.where("large").select("pivot", "node").distinct()
+        alive = seen.join(labels, "node", "left").groupBy("region", "k").agg(F.min(F.coalesce("label", "node")).alias("x"), F.max(F.coalesce("label", "node")).alias("y")).where("x < y").select("region", "k")
+        seen = written(spark, _of_region(seen, written(spark, alive, "alive"), limit), "alive")
+        pools.append(seen.where(small).select("region", "node"))
+        cells = seen.where(~small).select("pivot", "node").distinct()
         if not cells.head(1):
             break
-        regions = written(spark, _merged(_cells(cells, linked, shingled, spark, num, den)), "regions")
-    leaves = _merged(reduce(DataFrame.union, pools)).join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label")).join(sketches, "node")
-    pairs = written(spark, leaves.groupBy("region").applyInPandas(_leaf(num, den), "pivot long, node long").select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")).distinct(), "pairs")
+        named = labels.select(F.col("node").alias("pivot"), F.col("label").alias("of"))
+        label, of = F.coalesce("label", "node"), F.coalesce("of", "pivot")
+        cells = cells.join(labels, "node", "left").join(named, "pivot", "left").join(linked, ["pivot", "node"], "left")
+        cells = written(spark, cells.select("pivot", "node", label.alias("label"), (label == of).alias("inside"), F.coalesce("linked", F.lit(False)).alias("linked")), "cells")
+        regions = _merged(spark, _cells(spark, cells, shingled, sketches, num, den, len(pools)))
+    leaves = _merged(spark, reduce(DataFrame.union, pools)).join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label")).join(sketches.drop("wide"), "node")
+    pairs = written(spark, _dealt(leaves).mapInArrow(_leaf(num, den), "pivot long, node long").distinct(), "pairs")
+    pairs = _near(spark, pairs, sketches, may_link)
     last = _distances(pairs, shingled, num, den).where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     return labels.select(F.col("label").alias("a"), F.col("node").alias("b")).union(last)
 
@@ -350,12 +523,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, num: in
     """Per document: doc_id, text_code, n_shingles, component_id, and keeper, true for one of each
     component. Two documents link when den * intersection >= num * union of their n-word shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("*", F.xxhash64("text").alias("text_code"))
-    sets = docs.mapInArrow(lambda it: _sets(it, n), SETS).select(F.monotonically_increasing_id().alias("rid"), "*")
-    sets = written(spark, sets, "sets")
+    docs = docs.select("*", F.xxhash64("doc_id", "text_code").alias("code"))
+    sets = docs.mapInArrow(lambda it: trimmed(_sets(it, n)), SETS).select(F.monotonically_increasing_id().alias("rid"), "*")
+    sets = written(spark, sets, "sets", "zstd")
     key = ["n", "h1", "h2"]
     distinct = sets.where("n > 0").groupBy(*key).agg(F.min("rid").alias("node"), F.min("doc_id").alias("first"))
-    nodes = written(spark, sets.where("n > 0").select("rid", "doc_id", "text_code", *key).join(distinct, key), "nodes")
-    edges = links(spark, docs, nodes, n, num, den)
+    nodes = written(spark, sets.where("n > 0").select("rid", "doc_id", "text_code", "code", *key).join(distinct, key), "nodes")
+    edges = links(spark, docs, nodes, sets.select(F.col("rid").alias("node"), "n", "sketch", "wide"), n, num, den)
     labels = written(spark, components(spark, edges), "labels")
     told = nodes.join(labels, "node", "left").select("rid", "first", F.coalesce("label", "node").alias("label"))
     told = told.join(sets.select("rid", "doc_id"), "rid")

@@ -12,7 +12,6 @@ ignored; without any label all is "und"; an empty table gives an empty one.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 BITS = 15
 DIMS = 1 << BITS
 CHUNK = 1 << 20
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode category L); digits and numbers in other forms are none."""
+    return any(map(str.isalpha, text))
+
+
 def counts(text: str) -> np.ndarray:
     """How often each hashed 1-, 2- and 3-gram occurs in a text; a chunk at a time, grams over the cuts included."""
     text, out = text.lower(), np.zeros(DIMS, np.int64)
@@ -110,7 +115,7 @@ class Model:
         self.langs, self.idf, self.weights, self.t = langs, idf.astype(np.float32), weights.astype(np.float32), t
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return UND, 0.0
         at, value = weighed(counts(text), self.idf)
         p = softmax((value @ self.weights[at]).astype(np.float64) / self.t)
@@ -153,16 +158,17 @@ def train(spark: SparkSession, labelled: DataFrame, sample_rows: int = 2400) ->
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (doc_id by default) with lang_pred and score."""
     keep = keep or ["doc_id"]
+    text = "text" if "text" in keep and dict(docs.dtypes)["text"] == "string" else "whole text"
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [model.predict(t.as_py()) for t in b["whole text"]]
+            out = [model.predict(t.as_py()) for t in b[text]]
             cols = [b[c] for c in keep] + [pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score"])
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("whole text"))
+    rows = docs.select(*keep, *([] if text == "text" else [F.col("text").cast("string").alias(text)]))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(answers, schema)
+    return rows.mapInArrow(lambda it: trimmed(answers(it)), schema)
 
 
 def held_out() -> F.Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, trimmed, written
 from .tokens import encoder
 
 CAPACITY = 1024
@@ -102,7 +102,7 @@ def _pack(level: int, last: bool, capacity: int):
 def pieces(docs: DataFrame, name: str = "byte_bpe_50k.json", folder: str | None = None, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of all documents, with their start, length and checksum of ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _pieces(it, name, folder, end_id, capacity), PIECES)
+    return rows.mapInArrow(lambda it: trimmed(_pieces(it, name, folder, end_id, capacity)), PIECES)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, name: str = "byte_bpe_50k.json", folder: str | None = None, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:

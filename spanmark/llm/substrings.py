@@ -17,7 +17,6 @@ an empty one. Words are known by 64-bit codes.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import bitmap_of, grams, mix, passing, range_codes, runs_of, shared_folder, slices, without, word_codes, written
+from .common import bitmap_of, grams, mix, passing, range_codes, release, runs_of, slices, trimmed, without, word_codes, written
 from .fm_index import FMIndex
 
 GRAM = 8
@@ -138,7 +137,9 @@ def _shard(window: int):
     def index(rows: pd.DataFrame) -> pd.DataFrame:
         runs = repeated_runs([np.frombuffer(c, np.uint64) for c in rows["codes"]], rows["weight"].to_numpy(), window)
         out = pd.DataFrame({"h1": rows["h1"], "h2": rows["h2"], "runs": [r.astype(np.int32).tolist() for r in runs]})
-        return out[[len(r) > 0 for r in runs]]
+        out = out[[len(r) > 0 for r in runs]]
+        release()
+        return out
 
     return index
 
@@ -178,7 +179,7 @@ def find_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, hot: in
     """Find what repeats in docs (doc_id, text); the columns `carried` come with the changed documents, in `rest`."""
     rest = F.struct(*(F.lit(None).cast("int").alias(c) if c == "text" else F.col(c) for c in carried)) if carried else F.struct(F.lit(None).cast("int").alias("none"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest")).select("*", F.xxhash64("text").alias("text_code"))
-    base = docs.select("doc_id", "text", "text_code").mapInArrow(lambda it: _base(it, window), BASE)
+    base = docs.select("doc_id", "text", "text_code").mapInArrow(lambda it: trimmed(_base(it, window)), BASE)
     base = written(spark, base.select(F.monotonically_increasing_id().alias("rid"), "*"), "minimisers")
     often = base.select(F.explode("minimisers").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     often = written(spark, often, "repeated-minimisers")
@@ -190,23 +191,21 @@ def find_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, hot: in
     bitmap = bitmap_of(wanted, "text_code")
     d, w = docs.mapInArrow(passing(bitmap, "text_code"), docs.schema).alias("d"), wanted.alias("w")
     picked = d.join(w, F.expr("d.doc_id <=> w.doc_id and d.text_code = w.text_code")).select("uid", "d.doc_id", "d.text_code", "text", "rest", "wanted", "frequent")
-    path = f"{shared_folder(spark)}/picked-{uuid.uuid4().hex}"
-    picked.write.option("compression", "zstd").parquet(path)
-    picked = spark.read.schema(picked.schema).parquet(path)
+    picked = written(spark, picked, "picked", "zstd")
 
     use = picked.select("uid", "text", "wanted", "frequent")
-    coded = use.mapInArrow(lambda it: _segments(it, window, True), "key long, h1 long, h2 long, codes binary")
+    coded = use.mapInArrow(lambda it: trimmed(_segments(it, window, True)), "key long, h1 long, h2 long, codes binary")
     distinct = coded.groupBy("key", "h1", "h2").agg(F.count(F.lit(1)).alias("weight"), F.first("codes").alias("codes"))
     distinct = written(spark, distinct, "segments")
     total = distinct.agg(F.sum(F.octet_length("codes")) / 8).first()[0] or 0
     shards = max(1, int(total / shard_words))
     sharded = distinct.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "h1", "h2", "weight", "codes")
     runs = written(spark, sharded.groupBy("shard").applyInPandas(_shard(window), "h1 long, h2 long, runs array<int>"), "runs")
-    placed = use.mapInArrow(lambda it: _segments(it, window, False), "uid long, start long, windows long, h1 long, h2 long").join(runs, ["h1", "h2"])
+    placed = use.mapInArrow(lambda it: trimmed(_segments(it, window, False)), "uid long, start long, windows long, h1 long, h2 long").join(runs, ["h1", "h2"])
     per = placed.select("uid", F.transform("runs", lambda r: r + F.col("start")).alias("runs")).groupBy("uid").agg(F.flatten(F.collect_set("runs")).alias("runs"))
     per = written(spark, per, "removed")
     schema = StructType([StructField(n, t) for n, t in zip(("doc_id", "n_words", "n_removed", "kept_sha256", "kept"), (LongType(), LongType(), LongType(), StringType(), StringType()))] + [picked.schema["rest"]])
-    changed = picked.join(per, "uid").select("doc_id", "text", "rest", "runs").mapInArrow(lambda it: _kept(it, window), schema)
+    changed = picked.join(per, "uid").select("doc_id", "text", "rest", "runs").mapInArrow(lambda it: trimmed(_kept(it, window)), schema)
     return Repeats(base, changed, wanted.join(per.select("uid"), "uid").select("doc_id", "text_code"))
 
 
