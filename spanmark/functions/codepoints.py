@@ -6,6 +6,7 @@ BEH, NOON, MEEM, REH = (chr(c) for c in (0x628, 0x646, 0x645, 0x631))
 FATHATAN, DAMMATAN, KASRATAN, FATHA, DAMMA, KASRA, SHADDA, SUKOON = (chr(c) for c in range(0x64B, 0x653))
 MADDAH, HAMZA_ABOVE, SUPERSCRIPT_ALEF, TATWEEL, QURANIC_SUKOON = "ٓ", "ٔ", "ٰ", "ـ", "ۡ"
 SMALL_MEEM, SMALL_SEEN, SMALL_LOW_SEEN, SMALL_WAW, SMALL_YEH = "ۢ", "ۜ", "ۣ", "ۥ", "ۦ"
+SMALL_LOW_MEEM, ALEF_MAQSURA = chr(0x6ED), chr(0x649)
 # fixed: the marks that normalisation strips, and the pause and prostration marks
 OPTIONAL_MARKS = "".join(map(chr, (0x6E5, 0x6E6, 0x6E2, 0x6ED, 0x6E4, 0x6E7, 0x6E8, 0x6E0, 0x6EA, 0x65C, 0x6EC, 0x654, 0x655, 0x640, 0x6DB, 0x6DC, 0x6E3, 0x653)))
 PAUSE_MARKS = "".join(map(chr, (0x6DA, 0x6D7, 0x6D6, 0x6D9, 0x6D8, 0x6DE, 0x6E9)))

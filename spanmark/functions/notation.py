@@ -51,19 +51,23 @@ def parse(case: str, profile: Profile) -> list[list[str]]:
     """Groups of alternatives; an anchor stands alone in its group."""
     groups = []
     for raw in case.split("+"):
-        text = raw.strip()
-        if text in profile.anchors:
-            groups.append([text])
+        text = raw
+        if (name := _bare(text)) in profile.anchors:
+            groups.append([name])
             continue
         for name, mark in profile.named.items():
             text = text.replace(name, mark)
         if profile.decoration:
             text = re.sub(f"{re.escape(profile.decoration)}+", ".", text).replace(".]", "]")
-        text = " ".join(text.split()).removeprefix("[").removesuffix("]").strip()
-        groups.append(text.split(" "))
+        groups.append(_bare(text).split(" "))
     return groups
 
 
+def _bare(text: str) -> str:
+    """Without brackets, wherever they stand, and with single spaces between alternatives."""
+    return " ".join(text.split()).translate({ord("["): None, ord("]"): None}).strip()
+
+
 def _alternative(text: str, siblings: list[str], profile: Profile) -> str:
     wild = "[^" + cp.LINE_ENDS + "]"
     out, vowel = [], char_class(profile.vowels) if profile.vowels else ""

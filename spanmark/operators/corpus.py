@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmark.functions import codepoints as cp
 from spanmark.functions.notation import LATIN, Profile, compile_rule
 
-RULE = "id string, ruling string, pattern_case string, scope string, subject string, status string, gap string, reason string, needs_review boolean, label map<string,string>"
+RULE = "id string, ruling string, pattern_case string, scope string, subject string, status string, gap string, reason string, needs_review boolean, label map<string,string>, disputed struct<finding:string,raised_by:string,occurrences:array<string>,resolved_by:string>, corrections array<struct<field:string,was:string,reason:string>>"
 # A demonstration corpus of Latin letters, so that every table can be annotated. (id, ruling, case, scope, status, gap)
 DEMO_RULES = [
     ("th.1", "th", "[t d] + [h]", "within-word", "stable", None), ("th.2", "th", "[th dh]", "within-word", "disputed", None),
@@ -25,7 +27,7 @@ DEMO_CATEGORIES = [("joined", "letters"), ("doubled", "letters"), ("open", "soun
 
 def demo(spark: SparkSession) -> dict[str, DataFrame]:
     """The demonstration corpus: rules, rulings, categories."""
-    rules = [(i, r, c, s, "normalized", st, g, g and f"because of {g}", st == "disputed", {"en": i}) for i, r, c, s, st, g in DEMO_RULES]
+    rules = [(i, r, c, s, "normalized", st, g, g and f"because of {g}", st == "disputed", {"en": i}, ("made for the demonstration", "nobody", ["1"], None) if st == "disputed" else None, None) for i, r, c, s, st, g in DEMO_RULES]
     return {
         "rules": spark.createDataFrame(rules, RULE),
         "rulings": spark.createDataFrame(DEMO_RULINGS, "id string, category string, school string"),
@@ -45,7 +47,7 @@ MARKED_CATEGORIES = [("marks", "letters"), ("length", "sounds")]
 
 def marked(spark: SparkSession) -> dict[str, DataFrame]:
     """The same for marked text, in the profile UTHMANI."""
-    rules = [(i, r, c, s, on, "stable", None, None, False, {"en": i}) for i, r, c, s, on in MARKED_RULES]
+    rules = [(i, r, c, s, on, "stable", None, None, False, {"en": i}, None, None) for i, r, c, s, on in MARKED_RULES]
     return {
         "rules": spark.createDataFrame(rules, RULE),
         "rulings": spark.createDataFrame(MARKED_RULINGS, "id string, category string, school string"),
@@ -68,12 +70,70 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def lineage(corpus: dict[str, DataFrame], how: str = "inner") -> DataFrame:
-    """rule_id, ruling_id, category_id, topic_id, school, status. Dimensions are small and left to the planner."""
+def lineage(corpus: dict[str, DataFrame], how: str = "strict") -> DataFrame:
+    """rule_id, ruling_id, category_id, topic_id, school, status. Dimensions are small and left to the planner.
+    A rule whose ruling, or whose ruling's category, is missing is an error ("strict"), is left out ("inner") or has
+    nulls ("left")."""
     rules = corpus["rules"].select(F.col("id").alias("rule_id"), F.col("ruling").alias("ruling_id"), "status")
-    rulings = corpus["rulings"].select(F.col("id").alias("ruling_id"), F.col("category").alias("category_id"), "school")
-    categories = corpus["categories"].select(F.col("id").alias("category_id"), F.col("topic").alias("topic_id"))
-    return rules.join(rulings, "ruling_id", how).join(categories, "category_id", how).select("rule_id", "ruling_id", "category_id", "topic_id", "school", "status")
+    rulings = corpus["rulings"].select(F.col("id").alias("ruling_id"), F.col("category").alias("category_id"), "school", F.lit(True).alias("has ruling"))
+    categories = corpus["categories"].select(F.col("id").alias("category_id"), F.col("topic").alias("topic_id"), F.lit(True).alias("has category"))
+    kind = "inner" if how == "inner" else "left"
+    joined = rules.join(rulings, "ruling_id", kind).join(categories, "category_id", kind)
+    out = joined.select("rule_id", "ruling_id", "category_id", "topic_id", "school", "status")
+    if how != "strict":
+        return out
+    lost = F.concat(F.lit("rule "), F.col("rule_id"), F.lit(": no ruling "), F.col("ruling_id"), F.lit(" or no category of it"))
+    known = F.when(F.col("has ruling").isNotNull() & F.col("has category").isNotNull(), F.col("rule_id")).otherwise(F.raise_error(lost))
+    return joined.select(known.alias("rule_id"), *out.columns[1:])
+
+
+def stable(lines: DataFrame) -> DataFrame:
+    """Only settled rules: neither disputed nor disabled ones."""
+    return lines.where("status = 'stable'")
+
+
+def chosen_topics(lines: DataFrame, topics: list[str]) -> DataFrame:
+    """Rules of the topics that are switched on; with none on there is no rule (in `selected`, an empty list is no filter)."""
+    return lines.where(F.col("topic_id").isin(topics)) if topics else lines.where(F.lit(False))
+
+
+def review_mark(rules: DataFrame) -> DataFrame:
+    """id and mark: x for a disabled rule, ! for a disputed one, ? for one that awaits review, else blank."""
+    mark = F.when(F.col("status") == "disabled", "x").when(F.col("status") == "disputed", "!").when(F.col("needs_review"), "?").otherwise(" ")
+    return rules.select("id", mark.alias("mark"))
+
+
+def standing(rules: DataFrame) -> DataFrame:
+    """One row: all rules, disabled, disputed and those that await review; the last overlap with the others."""
+    return rules.agg(F.count(F.lit(1)).alias("rules"), F.count_if(F.col("status") == "disabled").alias("disabled"), F.count_if(F.col("status") == "disputed").alias("disputed"), F.count_if(F.col("needs_review")).alias("in_review"))
+
+
+def found_or_fail(rows: DataFrame, message: str) -> DataFrame:
+    """rows, or an error where there is none: one more row that can't be made stands for their absence."""
+    none = rows.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.raise_error(F.lit(message)).cast("string").alias("fault"))
+    return rows.join(none, F.lit(True), "left").where("fault is null").drop("fault")
+
+
+def labels_of(corpus: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
+    """ids (id) with their label: that of a rule, else of a ruling, a category, a topic. An unknown id has none."""
+    kinds = ["rules", "rulings", "categories", "topics"]
+    told = [corpus[k].select("id", "label", F.lit(n).alias("rank")) for n, k in enumerate(kinds) if k in corpus and "label" in corpus[k].columns]
+    first = reduce(DataFrame.union, told).groupBy("id").agg(F.min_by("label", "rank").alias("label"))
+    return ids.join(first, "id", "left")
+
+
+def explained(corpus: dict[str, DataFrame], rule_id: str) -> DataFrame:
+    """Everything known of one rule as one row; an unknown rule is an error."""
+    one = corpus["rules"].where(F.col("id") == rule_id)
+    lines = lineage(corpus, "left").where(F.col("rule_id") == rule_id).select(F.col("rule_id").alias("id"), "category_id", "topic_id", "school")
+    told = one.join(lines, "id").select("id", "topic_id", "category_id", F.col("ruling").alias("ruling_id"), "school", "pattern_case", "scope", "subject", "status", "gap", "reason", "needs_review")
+    return found_or_fail(told, f"no rule {rule_id}")
+
+
+def matches(passages: DataFrame, rules: list[tuple[str, str]], rule_ids: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and, for each of rule_ids, whether the rule (in the Java dialect) matches anywhere; an unknown rule never does."""
+    known = dict(rules)
+    return passages.select(key, *((F.coalesce(F.col(text).rlike(known[r]), F.lit(False)) if r in known else F.lit(False)).alias(r.replace(".", "_")) for r in rule_ids))
 
 
 def selected(lines: DataFrame, only: list[str] | None = None, school: str | None = None, include_disabled: bool = False) -> DataFrame:
@@ -106,5 +166,6 @@ def search(rules: DataFrame, query: str) -> DataFrame:
 
 
 def gaps(rules: DataFrame) -> DataFrame:
-    """Disabled rules by gap: how many, the first one's reason, their ids."""
-    return rules.where("status = 'disabled'").groupBy("gap").agg(F.count(F.lit(1)).alias("n"), F.min_by("reason", "id").alias("reason"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    """Disabled rules by gap, large groups first: how many, the first one's reason, their ids."""
+    told = rules.where("status = 'disabled'").groupBy("gap").agg(F.count(F.lit(1)).alias("n"), F.min_by("reason", "id").alias("reason"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    return told.orderBy(F.desc("n"), "gap")

@@ -10,48 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanmark.functions.normalize import is_touched, normalized_batch
+from spanmark.functions.normalize import in_parts, is_touched, normalized_batch
 from spanmark.operators import digests
 
 
-def find_spans(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], subject: str = "text") -> DataFrame:
-    """keys, rule_id, start_at, end_at of all leftmost, non-overlapping matches. One Arrow pass, no shuffle:
-    each passage is read once for all rules."""
-    compiled = [(i, re.compile(p)) for i, p in rules]
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, rule, start, end = [], [], [], []
-            for k, text in enumerate(b["subject of rules"].to_pylist()):
-                for rule_id, pattern in compiled:
-                    for m in pattern.finditer(text or ""):
-                        row.append(k), rule.append(rule_id), start.append(m.start()), end.append(m.end())
-            kept = [b[c].take(pa.array(row, pa.int64())) for c in keys]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(rule, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=[*keys, "rule_id", "start_at", "end_at"])
-
-    rows = passages.select(*keys, F.col(subject).alias("subject of rules"))
-    schema = passages.select(*keys).schema.add("rule_id", "string").add("start_at", "long").add("end_at", "long")
-    return rows.mapInArrow(spans, schema)
-
-
-AT_ONCE = 1 << 20  # code points of a batch that are normalised together
-
-
-def _few(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that have AT_ONCE code points, or a text more."""
-    begin = size = 0
-    for k, text in enumerate(texts):
-        size += len(text or "")
-        if size >= AT_ONCE:
-            yield begin, k + 1
-            begin, size = k + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+SPANS_AT_ONCE = 100_000
 
 
 def _found(texts: list[str | None], compiled: list[tuple[str, re.Pattern, bool]]) -> tuple[list[int], list[str], list[int], list[int]]:
     """Index of the text, rule, start and end of all spans, in order; compiled: rule, pattern, whether for the text as it is."""
-    touched = [k for k, t in enumerate(texts) if t and is_touched(t)]
+    touched = [k for k, t in enumerate(texts) if t and is_touched(t)] if not all(as_is for *_, as_is in compiled) else []
     changed = dict(zip(touched, normalized_batch([texts[k] for k in touched]))) if touched else {}
     row, rule, start, end = [], [], [], []
     for k, raw in enumerate(texts):
@@ -73,24 +41,36 @@ def _found(texts: list[str | None], compiled: list[tuple[str, re.Pattern, bool]]
     return row, rule, start, end
 
 
-def analyzed(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], text: str = "text", original: frozenset[str] = frozenset()) -> DataFrame:
+def analyzed(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], text: str = "text", original: frozenset[str] = frozenset(), slices: bool = False, layer: bool = False) -> DataFrame:
     """keys, rule_id, start_at, end_at of all leftmost, non-overlapping matches in the normalised text, as ranges of
     the text itself; rules in `original` are matched on the text as it is. A passage's spans stand by start, longer
-    first, then rule. One Arrow pass, no shuffle."""
+    first, then rule. slices: with the text that each covers; layer: only those that begin at or after the end of the
+    last one kept. One Arrow pass, no shuffle; a passage is read and normalised once for all rules."""
     compiled = [(i, re.compile(p), i in original) for i, p in rules]
+    names = [*keys, "rule_id", "start_at", "end_at", *["slice"] * slices]
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b["subject of rules"].to_pylist()
-            for begin, stop in _few(texts):
+            for begin, stop in in_parts(texts):
                 row, rule, start, end = _found(texts[begin:stop], compiled)
-                at = pa.array([begin + k for k in row], pa.int64())
-                kept = [b[c].take(at) for c in keys]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(rule, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=[*keys, "rule_id", "start_at", "end_at"])
+                if layer:
+                    stay = first_come(start, end, row)
+                    row, rule, start, end = ([x[k] for k in stay] for x in (row, rule, start, end))
+                for k in range(0, len(row), SPANS_AT_ONCE):
+                    part = slice(k, k + SPANS_AT_ONCE)
+                    kept = [b[c].take(pa.array([begin + r for r in row[part]], pa.int64())) for c in keys]
+                    cut = [pa.array([texts[begin + r][a:z] for r, a, z in zip(row[part], start[part], end[part])], pa.string())] if slices else []
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(rule[part], pa.string()), pa.array(start[part], pa.int64()), pa.array(end[part], pa.int64()), *cut], names=names)
 
     rows = passages.select(*keys, F.col(text).alias("subject of rules"))
     schema = passages.select(*keys).schema.add("rule_id", "string").add("start_at", "long").add("end_at", "long")
-    return rows.mapInArrow(spans, schema)
+    return rows.mapInArrow(spans, schema.add("slice", "string") if slices else schema)
+
+
+def find_spans(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], subject: str = "text") -> DataFrame:
+    """keys, rule_id, start_at, end_at of all leftmost, non-overlapping matches in a column as it is."""
+    return analyzed(passages, rules, keys, subject, frozenset(i for i, _ in rules))
 
 
 def byte_offsets(text: str) -> np.ndarray:
@@ -115,7 +95,7 @@ def byte_ends(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str]
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b["subject of rules"].to_pylist()
-            for begin, stop in _few(texts):
+            for begin, stop in in_parts(texts):
                 row, _, start, end = _found(texts[begin:stop], compiled)
                 first = np.searchsorted(row, np.arange(stop - begin + 1))
                 count, byte, at, off = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
@@ -161,10 +141,12 @@ def layered(spans: DataFrame, keys: list[str]) -> DataFrame:
     return spans.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start_at", (-F.col("end_at")).alias("back"), "rule_id"))).alias(LAYER))
 
 
-def first_come(start: list[int], end: list[int]) -> list[int]:
-    """Which of the spans, in order, begin at or after the end of the last one that stayed."""
-    kept, free = [], -1
+def first_come(start: list[int], end: list[int], passage: list[int] | None = None) -> list[int]:
+    """Which of the spans, in order, begin at or after the end of the last one of their passage that stayed."""
+    kept, free, last = [], -1, None
     for k, a in enumerate(start):
+        if passage is not None and passage[k] != last:
+            free, last = -1, passage[k]
         if a >= free:
             kept.append(k)
             free = end[k]
@@ -201,10 +183,19 @@ def incidence(spans: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFr
     return lines.join(told, "rule_id", "left").select("rule_id", "topic_id", F.coalesce("passages", F.lit(0)).alias("passages"), F.coalesce("occurrences", F.lit(0)).alias("occurrences"))
 
 
-def ordered_digest(spans: DataFrame, key: str = "doc_id") -> DataFrame:
+def _short(found: DataFrame, lines: DataFrame | None) -> DataFrame:
+    """Rules of `lines` without spans have the digest of the empty list."""
+    short = F.substring("digest", 1, 16).alias("digest")
+    if lines is None:
+        return found.select("rule_id", short)
+    none = F.sha2(F.lit(""), 256)
+    return lines.select("rule_id").join(found, "rule_id", "left").withColumn("digest", F.coalesce("digest", none)).select("rule_id", short)
+
+
+def ordered_digest(spans: DataFrame, key: str = "doc_id", lines: DataFrame | None = None) -> DataFrame:
     """Per rule, 16 hex digits of the SHA-256 of its passages' keys in numeric order, joined by commas."""
     found = digests.flat(spans.select("rule_id", key).distinct(), ["rule_id"], [key], F.col(key), ",")
-    return found.select("rule_id", F.substring("digest", 1, 16).alias("digest"))
+    return _short(found, lines)
 
 
 def block_digest(spans: DataFrame, key: str = "doc_id") -> DataFrame:

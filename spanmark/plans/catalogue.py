@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmark.functions import codepoints as cp
+from spanmark.functions import table
 from spanmark.functions.normalize import normalized
 from spanmark.functions.notation import LATIN, UTHMANI, compile_rule
 from spanmark.operators import corpus as co
-from spanmark.operators import editions, gates, render, spans
+from spanmark.operators import annotations, editions, gates, render, spans
 from spanmark.sources.editions import from_positions
 
 KEY = ["doc_id"]
@@ -47,11 +48,11 @@ def span_native(spark, sf_dir):
 
 
 def span_slice(spark, sf_dir):
-    return spans.sliced(_spans(spark, sf_dir)[1], _docs(spark, sf_dir), KEY)
+    return spans.analyzed(_docs(spark, sf_dir), _rules(spark)[1], KEY, original=co.originals(co.demo(spark)), slices=True)
 
 
 def resolve_overlaps(spark, sf_dir):
-    return spans.resolve(_spans(spark, sf_dir)[1], KEY)
+    return spans.analyzed(_docs(spark, sf_dir), _rules(spark)[1], KEY, original=co.originals(co.demo(spark)), layer=True)
 
 
 def _told(lines):
@@ -94,8 +95,8 @@ def pack_unpack(spark, sf_dir):
 
 
 def matches_flag(spark, sf_dir):
-    rules = dict(_rules(spark, "java")[1])
-    return _docs(spark, sf_dir).select("doc_id", *(F.col("text").rlike(rules[r]).alias(r.replace(".", "_")) for r in ("th.1", "pair.1", "rare.1")))
+    rules = _rules(spark, "java")[1]
+    return co.matches(_docs(spark, sf_dir), rules, [r for r, _ in rules] + ["none.1"])
 
 
 def only_filter(spark, sf_dir):
@@ -109,7 +110,8 @@ def school_filter(spark, sf_dir):
 
 
 def incidence_digest(spark, sf_dir):
-    return spans.ordered_digest(_spans(spark, sf_dir)[1])
+    lines, found = _spans(spark, sf_dir)
+    return spans.ordered_digest(found, lines=lines)
 
 
 def incidence_block_digest(spark, sf_dir):
@@ -148,7 +150,7 @@ def constraints(spark, sf_dir):
 
 def _broken(demo, spark):
     bad = [("th.1", "th", "[a", "within-word", "stable", "x"), ("Odd.1", "none", "[a [b]]", "either", "disabled", None), ("pair.9", "th", "a]", "within-word", "stable", None)]
-    extra = spark.createDataFrame([(i, r, c, s, "normalized", st, g, None, False, {"en": i}) for i, r, c, s, st, g in bad], co.RULE)
+    extra = spark.createDataFrame([(i, r, c, s, "normalized", st, g, None, False, {"en": i}, None, None) for i, r, c, s, st, g in bad], co.RULE)
     more = spark.createDataFrame([("lost", "nowhere", None)], "id string, category string, school string")
     return demo | {"rules": demo["rules"].union(extra), "rulings": demo["rulings"].union(more)}
 
@@ -189,7 +191,7 @@ def edition_only_left(spark, sf_dir):
 def first_difference(spark, sf_dir):
     d = _docs(spark, sf_dir)
     both = d.join(_other(d).select("doc_id", F.col("text").alias("other")), "doc_id").where("text <> other")
-    return both.select("doc_id", editions.first_difference(F.col("text"), F.col("other")).cast("long").alias("at"))
+    return editions.first_differences(both, KEY, "text", "other")
 
 
 def char_census(spark, sf_dir):
@@ -204,14 +206,11 @@ def byte_offsets(spark, sf_dir):
     return spans.byte_ends(_docs(spark, sf_dir), _rules(spark)[1], KEY, original=co.originals(co.demo(spark)))
 
 
-def _two(spark, sf_dir):
-    lines, found = _spans(spark, sf_dir)
-    return lines, found.where("doc_id % 2 = 0"), found.where("doc_id % 2 = 1")
-
-
 def drift_check(spark, sf_dir):
-    lines, even, odd = _two(spark, sf_dir)
-    return gates.drift(spans.incidence(even, lines), spans.incidence(odd, lines))
+    """Odd passages against even ones; both counts come from one pass over the texts."""
+    lines, found = _spans(spark, sf_dir)
+    told = lines.select("rule_id").join(found.groupBy("rule_id").agg(*(F.count_if(F.col("doc_id") % 2 == k).alias(n) for k, n in enumerate(("even", "odd")))), "rule_id", "left").fillna(0)
+    return gates.drift(told.select("rule_id", F.col("even").alias("occurrences")), told.select("rule_id", F.col("odd").alias("occurrences")))
 
 
 def expectations(spark, sf_dir):
@@ -225,7 +224,13 @@ def differential_span(spark, sf_dir):
     d = _docs(spark, sf_dir)
     keys = ["doc_id", "rule_id", "start_at", "end_at"]
     original = co.originals(co.demo(spark))
-    return gates.differential(spans.analyzed(d, rules, KEY, original=original), spans.analyzed(_other(d), rules, KEY, original=original), keys)
+    both = d.select("doc_id", "text").join(_other(d).select("doc_id", F.col("text").alias("other")), "doc_id", "full")
+    # passages that are the same are annotated once
+    same = spans.analyzed(both.where("text = other"), rules, KEY, original=original).groupBy("rule_id").agg(F.count(F.lit(1)).alias("both"))
+    apart = both.where("not text <=> other")
+    told = gates.differential(spans.analyzed(apart.where("text is not null"), rules, KEY, original=original), spans.analyzed(apart.where("other is not null"), rules, KEY, "other", original), keys)
+    zero = F.lit(0).cast("long")
+    return told.unionByName(same.select("rule_id", "both", zero.alias("only_ours"), zero.alias("only_theirs"))).groupBy("rule_id").agg(*(F.sum(c).alias(c) for c in ("both", "only_ours", "only_theirs")))
 
 
 def frozen_regression(spark, sf_dir):
@@ -239,10 +244,123 @@ def zero_width(spark, sf_dir):
 
 
 def positional_import(spark, sf_dir):
-    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.posexplode(F.split("text", " ")).alias("p", "word"))
-    words = words.select((F.col("item_id") * 1000 + F.col("p")).alias("pos"), "word")
-    starts = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select((F.col("item_id") * 1000).alias("start"), F.col("item_id").alias("ref"))
-    return from_positions(words, starts)
+    """Items cut into words that stand one after another, at positions of their own, and put together again; every
+    seventh word has a mark after it."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.split("text", " ").alias("words"))
+    starts = items.select(F.col("item_id").alias("ref"), F.shiftleft(F.col("item_id").cast("long"), 32).alias("start"))  # room for any item
+    words = items.select("item_id", F.posexplode("words").alias("p", "word")).select((F.shiftleft(F.col("item_id").cast("long"), 32) + F.col("p")).alias("pos"), "word", "p")
+    marks = words.where("p % 7 = 3").select("pos", F.lit(0).alias("k"), F.lit("after").alias("side"), F.lit("*").alias("sign"))
+    return from_positions(words.select("pos", "word"), starts, marks)
+
+
+def stable_filter(spark, sf_dir):
+    lines = co.stable(co.lineage(co.demo(spark)))
+    return spans.incidence(spans.analyzed(_docs(spark, sf_dir), co.patterns(co.demo(spark), lines), KEY), lines)
+
+
+def topic_toggle(spark, sf_dir):
+    lines = co.chosen_topics(co.selected(co.lineage(co.demo(spark))), ["sounds"])
+    return spans.incidence(spans.analyzed(_docs(spark, sf_dir), co.patterns(co.demo(spark), lines), KEY), lines)
+
+
+def review_marks(spark, sf_dir):
+    return co.review_mark(co.demo(spark)["rules"])
+
+
+def rules_standing(spark, sf_dir):
+    return co.standing(co.demo(spark)["rules"])
+
+
+def rule_lineage(spark, sf_dir):
+    return co.lineage(co.demo(spark)).fillna("", ["school"])
+
+
+def explain_rule(spark, sf_dir):
+    return co.explained(co.demo(spark), "nasal.2")
+
+
+def incidence_change(spark, sf_dir):
+    lines, ours = _spans(spark, sf_dir)
+    theirs = spans.analyzed(_other(_docs(spark, sf_dir)), _rules(spark)[1], KEY, original=co.originals(co.demo(spark)))
+    return editions.incidence_change(spans.incidence(ours, lines), spans.incidence(theirs, lines))
+
+
+def pinned_counts(spark, sf_dir):
+    lines, found = _spans(spark, sf_dir)
+    wanted = spark.createDataFrame(_PINNED, "rule_id string, passages long, occurrences long")
+    return gates.pinned(found, lines, wanted)
+
+
+_PINNED = [("rare.1", 0, 0), ("th.1", 1, None), ("th.2", None, 7), ("none.1", None, None), ("wild.1", None, None)]
+
+
+def rule_samples(spark, sf_dir):
+    return gates.samples(_spans(spark, sf_dir)[1])
+
+
+def frozen_rules(spark, sf_dir):
+    lines, ours = _spans(spark, sf_dir)
+    theirs = spans.analyzed(_other(_docs(spark, sf_dir)), _rules(spark)[1], KEY, original=co.originals(co.demo(spark)))
+    return gates.thawed(gates.frozen(ours, lines), gates.frozen(theirs, lines))
+
+
+def ill_formed_spans(spark, sf_dir):
+    """Spans of the texts against the same without spaces, so that some end past them."""
+    return gates.ill_formed(_spans(spark, sf_dir)[1], _docs(spark, sf_dir).withColumn("text", F.replace("text", F.lit(" "), F.lit(""))))
+
+
+def unequal_editions(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    short = lambda x: x.select("doc_id", F.substring(F.sha2("text", 256), 1, 16).alias("digest"))
+    return gates.unequal(short(d), short(_other(d)))
+
+
+def rule_agreement(spark, sf_dir):
+    """Against an edition annotated by a system with numbers for rules, of which two are not translated."""
+    _, ours = _spans(spark, sf_dir)
+    ids = spark.createDataFrame([(r[0], k) for k, r in enumerate(co.DEMO_RULES)], "rule_id string, number long")
+    theirs = spans.analyzed(_other(_docs(spark, sf_dir)), _rules(spark)[1], KEY, original=co.originals(co.demo(spark)))
+    theirs = theirs.join(F.broadcast(ids), "rule_id").select(F.col("number").alias("their_id"), "doc_id")
+    return gates.agreement(ours, theirs, ids.where("number > 1").select("rule_id", F.col("number").alias("their_id")))
+
+
+def annotated_refs(spark, sf_dir):
+    d = _docs(spark, sf_dir).withColumn("ref", F.concat_ws(":", F.expr("doc_id div 100 + 1"), F.expr("doc_id % 100 + 1")))
+    return annotations.references(spans.analyzed(d, _rules(spark)[1], ["ref"]), d)
+
+
+def annotation_totals(spark, sf_dir):
+    return annotations.totals(_spans(spark, sf_dir)[1], _docs(spark, sf_dir), "doc_id")
+
+
+def ayah_lists(spark, sf_dir):
+    d = _docs(spark, sf_dir).select(F.expr("doc_id div 100").alias("surah"), (F.col("doc_id") % 100).alias("ayah"))
+    return annotations.ayahs(d).select("surah", F.array_join("ayahs", ",").alias("ayahs"))
+
+
+def code_point_dump(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", editions.code_point_dump(F.col("text")).alias("dump"))
+
+
+def table_function(spark, sf_dir):
+    table.register(spark)
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").createOrReplaceTempView("items_of_benchmark")
+    return spark.sql("select item_id, start_at, end_at from items_of_benchmark, lateral rule_spans(text, '[aeiou]+t')")
+
+
+def expected_chars(spark, sf_dir):
+    return editions.checked(_docs(spark, sf_dir), _EXPECTED)
+
+
+_EXPECTED = [("e", "e", False), ("é", "e acute", True), ("ß", "sharp s", True), ("\u06e1", "a mark", False), ("\u06e5", "an optional mark", True)]
+
+
+def unknown_marks(spark, sf_dir):
+    return editions.surviving_marks(_marked_docs(spark, sf_dir), cp.FATHA + cp.DAMMA + cp.SUKOON, "codepoint_stream")
+
+
+def fold_marks(spark, sf_dir):
+    return _marked_docs(spark, sf_dir).select("doc_id", editions.folded(F.col("codepoint_stream")).alias("folded"))
 
 
 _FROM, _TO = "aeioubtnkmlrw", "".join(map(chr, (0x64E, 0x650, 0x651, 0x652, 0x64F, 0x628, 0x62A, 0x646, 0x643, 0x645, 0x644, 0x631, 0x648)))
@@ -271,7 +389,7 @@ def norm_strip(spark, sf_dir):
 
 _QUERIES = {
     "rule_incidence": flagship,
-    **{f.__name__: f for f in (span_extract, span_native, span_slice, resolve_overlaps, html_render, ansi_render, start_from_study, start_from_total, describe_difference, pack_unpack, matches_flag, only_filter, school_filter, incidence_digest, summary_per_doc, first_appearance, lineage_rollup, status_counts, gaps, rule_search, constraints, lineage_strict, lineage_left, edition_digest, edition_compare, edition_only_left, first_difference, char_census, unknown_chars, byte_offsets, drift_check, expectations, differential_span, frozen_regression, zero_width, positional_import, span_marked, norm_full, norm_strip, edition_block_digest, incidence_block_digest)},
+    **{f.__name__: f for f in (span_extract, span_native, span_slice, resolve_overlaps, html_render, ansi_render, start_from_study, start_from_total, describe_difference, pack_unpack, matches_flag, only_filter, school_filter, incidence_digest, summary_per_doc, first_appearance, lineage_rollup, status_counts, gaps, rule_search, constraints, lineage_strict, lineage_left, edition_digest, edition_compare, edition_only_left, first_difference, char_census, unknown_chars, byte_offsets, drift_check, expectations, differential_span, frozen_regression, zero_width, positional_import, span_marked, norm_full, norm_strip, edition_block_digest, incidence_block_digest, stable_filter, topic_toggle, review_marks, rules_standing, rule_lineage, explain_rule, incidence_change, pinned_counts, rule_samples, frozen_rules, ill_formed_spans, unequal_editions, rule_agreement, annotated_refs, annotation_totals, ayah_lists, code_point_dump, table_function, expected_chars, unknown_marks, fold_marks)},
 }
 
 
@@ -287,6 +405,37 @@ def _values(rows, names: str) -> str:
     return f"(select * from (values {', '.join('(' + ', '.join(map(_text, r)) + ')' for r in rows)}) t({names}))"
 
 
+def _refs(spans_of: str) -> str:
+    return f"select rule_id, string_agg(cast(doc_id as varchar), ',' order by doc_id) ids from (select distinct rule_id, doc_id from {spans_of}) group by 1"
+
+
+def _frozen(spans_of: str, line: str) -> str:
+    return f"select rule_id, coalesce(ids, '') ids, coalesce(n, 0) n from {line} l left join ({_refs(spans_of)}) using (rule_id) left join (select rule_id, count(*) n from {spans_of} group by 1) using (rule_id)"
+
+
+def _near(text: str) -> str:
+    part = f"substring({text}, greatest(k - 10, 0) + 1, k + 10 - greatest(k - 10, 0))"
+    return f"array_to_string(list_transform(list_filter(string_split({part}, ''), lambda c: c <> ''), lambda c: 'U+' || printf('%04X', unicode(c))), ' ')"
+
+
+def _normalised(low: str) -> str:
+    """n0, the code-point stream of documents, to n13, the same after all passes that its letters can meet."""
+    marks, vowels = cp.DIACRITICS + cp.SUPERSCRIPT_ALEF, cp.VOWELS
+
+    def among(c: str, chars: str) -> str:
+        return f"coalesce({c} in ({', '.join(_text(x) for x in chars)}), false)"
+
+    before = f"case when c[i - 1] = {_text(cp.SHADDA)} and i > 2 then c[i - 2] when i > 1 then c[i - 1] end"
+    long = f"coalesce((c[i] = {_text(cp.WAW)} and ({before}) = {_text(cp.DAMMA)}) or (c[i] = {_text(cp.YEH)} and ({before}) = {_text(cp.KASRA)}), false)"
+    apart = f"({among('c[i + 1]', cp.CONSONANTS)} and not {among('c[i + 2]', marks)})"
+    bare = f"{among('c[i]', cp.CONSONANTS)} and not {among('c[i + 1]', marks + cp.MADDAH)} and not {long} and not {apart}"
+    return f"""n0 as (select doc_id, translate(text, '{_FROM}', '{_TO}') t from {low}),
+n9 as (select doc_id, replace(t, '{cp.ALEF_HAMZA}{cp.DAMMA}{cp.WAW}{cp.SUKOON}{cp.LAM}', '{cp.ALEF_HAMZA}{cp.DAMMA}{cp.WAW}{cp.FATHA}{cp.LAM}') t from n0),
+l9 as (select doc_id, list_filter(string_split(t, ''), lambda x: x <> '') c from n9),
+n10 as (select doc_id, array_to_string(list_transform(range(1, len(c) + 1), lambda i: c[i] || case when {bare} then {_text(cp.SUKOON)} else '' end), '') t from l9),
+n13 as (select doc_id, regexp_replace(t, '{cp.SHADDA}([{vowels}])', '\\1{cp.SHADDA}', 'g') t from n10)"""
+
+
 def oracles() -> dict[str, str]:
     enabled = [r for r in co.DEMO_RULES if r[4] != "disabled"]
     low = "(select doc_id, lower(text) as text, lang, source from documents)"
@@ -314,6 +463,7 @@ s{k} as (select doc_id, rule_id, cast(begun as bigint) start_at, cast(begun + in
     slices = "select s.*, substring(text, start_at + 1, end_at - start_at) slice from s join d using (doc_id)"
     arms = " ".join(f"when rule_id = {_text(r)} and regexp_matches(slice, {_text(f'^(?:{p})')}) then length(regexp_extract(slice, {_text(f'^(?:{p})')}))" for r, p in _heads("re2"))
     headed = f"select rule_id, length(slice) as was, case {arms} else length(slice) end as becomes from ({slices}) where rule_id in ({', '.join(_text(r) for r, _ in _heads('re2'))})"
+    norm = _normalised(low)
     shrinks = "count(*) matches, count_if(becomes < was) shrunk, cast(sum(was) as bigint) code_points_now, cast(sum(becomes) as bigint) code_points_then"
     return {
         "start_from_study": f"{s} select rule_id, {shrinks} from ({headed}) group by 1",
@@ -323,10 +473,10 @@ s{k} as (select doc_id, rule_id, cast(begun as bigint) start_at, cast(begun + in
         "span_native": f"{s} select * from s",
         "pack_unpack": f"{s} select * from s",
         "span_slice": f"{s} select s.*, substring(text, start_at + 1, end_at - start_at) slice from s join d using (doc_id)",
-        "matches_flag": "select doc_id, " + ", ".join(f"regexp_matches(text, {_text(pattern[r])}) {r.replace('.', '_')}" for r in ("th.1", "pair.1", "rare.1")) + f" from {low}",
+        "matches_flag": "select doc_id, " + ", ".join(f"regexp_matches(text, {_text(p)}) {r.replace('.', '_')}" for r, p in pattern.items()) + f", false none_1 from {low}",
         "only_filter": f"{s} select * from ({told}) where rule_id in (select rule_id from {line} where category_id = 'joined' or rule_id = 'vowel.1')",
         "school_filter": f"{s} select * from ({told}) where rule_id in (select rule_id from {line} where school is null or school = 'north')",
-        "incidence_digest": f"{s} select rule_id, substring(sha256(string_agg(cast(doc_id as varchar), ',' order by doc_id)), 1, 16) digest from (select distinct rule_id, doc_id from s) group by 1",
+        "incidence_digest": f"{s} select rule_id, substring(sha256(coalesce(ids, '')), 1, 16) digest from {line} l left join ({_refs('s')}) using (rule_id)",
         "summary_per_doc": f"{s} select doc_id, count(*) spans, count(distinct rule_id) rules from s group by 1",
         "first_appearance": f"{s} select doc_id, rule_id, count(*) n, min(start_at) first_at from s group by 1, 2",
         "lineage_rollup": f"{s} select topic_id, category_id, ruling_id, rule_id, count(*) n from s join {line} l using (rule_id) group by rollup (topic_id, category_id, ruling_id, rule_id)",
@@ -338,7 +488,7 @@ s{k} as (select doc_id, rule_id, cast(begun as bigint) start_at, cast(begun + in
         "edition_digest": f"select lang, count(*) passages, sha256(string_agg(cast(doc_id as varchar) || chr(0) || text, chr(1) order by doc_id)) digest from {low} group by 1",
         "edition_compare": f"with b as (select a.text a, b.text b from {low} a join {other} b using (doc_id)) select count(*) shared, count_if(a = b) identical, count_if(translate(a, 'é', 'e') = translate(b, 'é', 'e')) alike_accents, count_if(translate(a, 'éy', 'ee') = translate(b, 'éy', 'ee')) alike_vowels from b",
         "edition_only_left": f"select doc_id from {low} where doc_id not in (select doc_id from {other})",
-        "first_difference": f"select doc_id, cast(list_min(list_filter(range(0, length(a.text) + 1), lambda i: substring(a.text, i + 1, 1) <> substring(b.text, i + 1, 1))) as bigint) as at from {low} a join {other} b using (doc_id) where a.text <> b.text",
+        "first_difference": f"with p as (select doc_id, a.text x, b.text y, list_min(list_filter(range(0, greatest(length(a.text), length(b.text)) + 1), lambda i: substring(a.text, i + 1, 1) <> substring(b.text, i + 1, 1))) as k from {low} a join {other} b using (doc_id) where a.text <> b.text) select doc_id, cast(k as bigint) as at, {_near('x')} left_near, {_near('y')} right_near from p",
         "char_census": " union all ".join(f"select '{c}' ch, cast(sum(length(text) - length(replace(text, '{c}', ''))) as bigint) n from {low}" for c in "aeéüñ."),
         "unknown_chars": f"select ch, count(*) n from (select unnest(string_split(regexp_replace(text, '[a-z0-9 .,\\n]', '', 'g'), '')) ch from {low}) where ch <> '' group by 1",
         "drift_check": f"{s}, b as (select rule_id, coalesce(count(doc_id) filter (where doc_id % 2 = 0), 0) expected, coalesce(count(doc_id) filter (where doc_id % 2 = 1), 0) found from {line} l left join s using (rule_id) group by 1) select rule_id, expected, found, case when expected >= 20 and found = 0 then 'problem' when expected > 0 and (found < 0.5 * expected or found > 2 * expected) then 'warning' else 'ok' end severity from b",
@@ -346,6 +496,29 @@ s{k} as (select doc_id, rule_id, cast(begun as bigint) start_at, cast(begun + in
         "differential_span": f"{s}, {cte(other, '2')} select rule_id, count(s.doc_id + s2.doc_id) \"both\", count_if(s2.doc_id is null) only_ours, count_if(s.doc_id is null) only_theirs from s full join s2 using (doc_id, rule_id, start_at, end_at) group by 1",
         "frozen_regression": f"select doc_id, substring(sha256(a.text), 1, 16) frozen, substring(sha256(b.text), 1, 16) actual from {low} a left join {other} b using (doc_id) where substring(sha256(a.text), 1, 16) is distinct from substring(sha256(b.text), 1, 16)",
         "zero_width": f"{s} select rule_id, count(*) n from s where end_at <= start_at group by 1",
-        "positional_import": "select item_id ref, text from benchmark",
+        "positional_import": "select item_id ref, array_to_string(list_transform(string_split(text, ' '), lambda w, i: case when i % 7 = 4 then w || '*' else w end), ' ') text from benchmark",
+        "stable_filter": f"{s} select * from ({told}) where rule_id in ({', '.join(_text(r[0]) for r in enabled if r[4] == 'stable')})",
+        "topic_toggle": f"{s} select * from ({told}) where topic_id = 'sounds'",
+        "review_marks": f"select id, case status when 'disabled' then 'x' when 'disputed' then '!' else ' ' end mark from {rules}",
+        "rules_standing": f"select count(*) rules, count_if(status = 'disabled') disabled, count_if(status = 'disputed') disputed, count_if(status = 'disputed') in_review from {rules}",
+        "rule_lineage": f"select id rule_id, ruling ruling_id, category category_id, topic topic_id, coalesce(school, '') school, status from {rules} join {_values(co.DEMO_RULINGS, 'ruling, category, school')} using (ruling) join {_values(co.DEMO_CATEGORIES, 'category, topic')} using (category)",
+        "explain_rule": "select 'nasal.2' id, 'letters' topic_id, 'joined' category_id, 'nasal' ruling_id, 'north' school, '[n] + [b m]' pattern_case, 'across-words' scope, 'normalized' subject, 'stable' status, cast(null as varchar) gap, cast(null as varchar) reason, false needs_review",
+        "incidence_change": f"{s}, {cte(other, '2')}, c1 as ({told}), c2 as (select rule_id, count(distinct doc_id) other from s2 group by 1) select rule_id, passages reference, coalesce(other, 0) other, coalesce(other, 0) - passages delta from c1 left join c2 using (rule_id)",
+        "pinned_counts": f"{s}, w as (select * from (values {', '.join('(' + ', '.join(_text(x) if isinstance(x, str) else 'null' if x is None else str(x) for x in r) + ')' for r in _PINNED)}) t(rule_id, p, o)), c as ({told}) select rule_id, case when c.rule_id is null then 'no such rule' when p <> passages then 'passages' when o <> occurrences then 'occurrences' end fault from w left join c using (rule_id) where fault is not null",
+        "rule_samples": f"{s} select * from (select rule_id, doc_id, row_number() over (partition by rule_id order by doc_id) nth from (select distinct rule_id, doc_id from s)) where nth <= 5",
+        "frozen_rules": f"{s}, {cte(other, '2')}, a as ({_frozen('s', line)}), b as ({_frozen('s2', line)}) select rule_id, case when a.ids <> b.ids then 'digest' when a.n <> b.n then 'occurrences' end fault from a join b using (rule_id) where fault is not null",
+        "ill_formed_spans": f"{s} select doc_id, rule_id, start_at, end_at, 'past the end' fault from s join d using (doc_id) where end_at > length(replace(text, ' ', ''))",
+        "unequal_editions": f"with a as (select doc_id, substring(sha256(text), 1, 16) digest from {low}), b as (select doc_id, substring(sha256(text), 1, 16) digest from {other}) select *, 'left' side from (from a except all from b) union all select *, 'right' from (from b except all from a)",
+        "rule_agreement": f"{s}, {cte(other, '2')}, a as (select distinct rule_id, doc_id, 1 x from s where rule_id not in ('th.1', 'th.2')), b as (select distinct rule_id, doc_id, 1 y from s2 where rule_id not in ('th.1', 'th.2')) select rule_id, count(x + y) \"both\", count_if(y is null) only_ours, count_if(x is null) only_theirs from a full join b using (rule_id, doc_id) group by 1",
+        "annotated_refs": f"{s} select concat_ws(':', doc_id // 100 + 1, doc_id % 100 + 1) as ref, doc_id in (select doc_id from s) annotated from d",
+        "annotation_totals": f"{s} select count(*) passages, count_if(doc_id in (select doc_id from s)) annotated from d",
+        "ayah_lists": "select doc_id // 100 surah, string_agg(cast(doc_id % 100 as varchar), ',' order by doc_id) ayahs from documents group by 1",
+        "code_point_dump": f"select item_id, array_to_string(list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: (case when c = ' ' then '{chr(0x2423)}' else c end) || '=' || printf('%04X', unicode(c))), ' ') dump from benchmark",
+        "table_function": "with p as (select item_id, string_split(regexp_replace(text, '[aeiou]+t', chr(1) || '\\0' || chr(2), 'g'), chr(1)) p from benchmark), u as (select item_id, unnest(p) x, unnest(range(1, len(p) + 1)) k from p), o as (select *, coalesce(sum(length(replace(x, chr(2), ''))) over (partition by item_id order by k rows between unbounded preceding and 1 preceding), 0) b from u) select item_id, cast(b as bigint) start_at, cast(b + instr(x, chr(2)) - 1 as bigint) end_at from o where k > 1",
+        "expected_chars": " union all ".join(f"select {_text(name)} as name, n found, case when n > 0 then 'present' else '{'absent' if optional else 'missing'}' end state from (select cast(sum(length(text) - length(replace(text, '{c}', ''))) as bigint) n from {low})" for c, name, optional in _EXPECTED),
+        "byte_offsets": f"{s}, p as (select distinct doc_id, unnest([start_at, end_at]) k from s) select doc_id, cast(strlen(substring(text, 1, k)) as bigint) as byte, k as at from p join d using (doc_id)",
+        "norm_full": f"with {norm} select doc_id, t norm_text, cast(length(t) as integer) n from n13",
+        "unknown_marks": f"with {norm}, b as (select unnest(string_split(t, '')) ch from n0), a as (select unnest(string_split(t, '')) ch from n13) select ch, count(*) n, any_value(survived) survived from b join (select ch, count(*) survived from a group by 1) using (ch) where regexp_matches(ch, '[{editions.WIDE_MARKS}]') and ch not in ('{cp.FATHA}', '{cp.DAMMA}', '{cp.SUKOON}') group by 1",
+        "fold_marks": f"with {norm} select doc_id, array_to_string(list_transform(regexp_extract_all(t, '[^{editions.WIDE_MARKS}][{editions.WIDE_MARKS}]*|^[{editions.WIDE_MARKS}]+'), lambda x: case when regexp_matches(substring(x, 1, 1), '[{editions.WIDE_MARKS}]') then x else substring(x, 1, 1) || array_to_string(list_sort(string_split(substring(x, 2), '')), '') end), '') folded from n0",
         "norm_strip": f"select doc_id, translate(translate(text, 'aeio', 'ۥۦـٓ'), '{cp.OPTIONAL_MARKS}', '') stripped from {low}",
     }

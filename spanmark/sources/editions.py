@@ -38,17 +38,30 @@ def import_passages(spark: SparkSession, path: str, edition_id: str) -> DataFram
     return last.select(F.lit(edition_id).alias("edition_id"), "ref", *_parts(F.col("ref")), "text")
 
 
-def from_positions(words: DataFrame, starts: DataFrame, marks: DataFrame | None = None) -> DataFrame:
-    """words (pos, word), starts (start, ref), marks (pos, k, side, sign): each word goes to the last start at or before it.
+POSITIONS = 1 << 16
 
-    One ordered pass over words and starts together, cut by nothing else: a package is one text."""
+
+def from_positions(words: DataFrame, starts: DataFrame, marks: DataFrame | None = None, block: int = POSITIONS) -> DataFrame:
+    """words (pos, word), starts (start, ref), marks (pos, k, side, sign): each word goes to the last start at or before
+    it; words before all starts are left out. A mark without a sign is an error.
+
+    An as-of join block by block: within a block of positions the last start is carried by a window, into a block by
+    a window over one row for each block."""
     if marks is not None:
+        marks = marks.withColumn("sign", F.coalesce("sign", F.raise_error(F.lit("a mark has no sign"))))
         sign = F.when(F.col("side") == "after", F.struct("k", "sign"))
         lead = F.when(F.col("side") == "before", F.struct("k", "sign"))
         told = marks.groupBy("pos").agg(*(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["sign"]), j).alias(n) for c, n, j in ((sign, "tail", ""), (lead, "head", " "))))
         words = words.join(told, "pos", "left").select("pos", F.concat(F.when(F.col("head") != "", F.concat("head", F.lit(" "))).otherwise(""), "word", F.coalesce("tail", F.lit(""))).alias("word"))
-    ranges = starts.withColumn("next", F.lead("start").over(Window.orderBy("start")))
-    both = words.join(ranges, (F.col("pos") >= F.col("start")) & (F.col("next").isNull() | (F.col("pos") < F.col("next"))))
+    at = F.floor(F.col("pos") / block).alias("block")
+    begun = starts.select(F.col("start").alias("pos"), "ref")
+    rows = begun.select("pos", at, F.lit(0).alias("kind"), "ref", F.lit(None).cast("string").alias("word")).union(words.select("pos", at, F.lit(1), F.lit(None), "word"))
+    inside = F.last("ref", True).over(Window.partitionBy("block").orderBy("pos", "kind"))
+    ends = begun.groupBy(at).agg(F.max_by("ref", "pos").alias("latest"))
+    blocks = words.select(at).distinct().join(ends, "block", "full")
+    carried = F.last("latest", True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    both = rows.withColumn("own", inside).where("kind = 1").join(blocks.select("block", carried.alias("carried")), "block")
+    both = both.select("pos", F.coalesce("own", "carried").alias("ref"), "word").where("ref is not null")
     return both.groupBy("ref").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("text"))
 
 

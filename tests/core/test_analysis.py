@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from spanmark.functions import codepoints as cp
-from spanmark.functions.normalize import normalized, normalized_batch, source_range
+from spanmark.functions.normalize import AT_ONCE, in_parts, normalized, normalized_batch, normalized_by_passes, source_range
 from spanmark.functions.notation import UTHMANI
 from spanmark.operators import corpus, spans
 
@@ -23,13 +23,17 @@ def texts(n):
 
 def test_batch_normalisation_is_the_same(spark):
     rows = texts(3000)
-    df = normalized(spark.createDataFrame(list(enumerate(rows)), "k int, text string").repartition(8))
+    made = spark.createDataFrame(list(enumerate(rows)), "k int, text string").repartition(8)
+    df = normalized_by_passes(made)
+    one_pass = {r["k"]: (r["norm_text"], r["norm_source"]) for r in normalized(made).collect()}
     want = {r["k"]: (r["norm_text"], r["norm_source"]) for r in df.select("k", "norm_text", "norm_source").collect()}
     got = normalized_batch(rows)
     assert len(got) == len(rows)
     for k, t in enumerate(rows):
         if t is not None:
-            assert (got[k][0], got[k][1].tolist()) == tuple(want[k]), ascii(t)
+            assert (got[k][0], got[k][1].tolist()) == tuple(want[k]) == one_pass[k], ascii(t)
+        else:
+            assert one_pass[k] == (None, [])
 
 
 def test_analysis_on_marked_text(spark):
@@ -57,6 +61,16 @@ def test_analysis_on_marked_text(spark):
 
 
 def test_batches_are_cut_between_texts():
-    half = "x" * (spans.AT_ONCE // 2)
-    assert list(spans._few([half, None, half, "y", half + half, "z"])) == [(0, 3), (3, 5), (5, 6)]
-    assert list(spans._few([])) == []
+    half = "x" * (AT_ONCE // 2)
+    assert list(in_parts([half, None, half, "y", half + half, "z"])) == [(0, 3), (3, 5), (5, 6)]
+    assert list(in_parts([])) == []
+
+
+def test_slices_and_layer_come_from_the_same_pass(spark):
+    rules, original = corpus.patterns(demo := corpus.marked(spark), corpus.lineage(demo), UTHMANI), corpus.originals(demo)
+    docs = spark.createDataFrame(list(enumerate(texts(1000))), "doc_id long, text string").repartition(8).cache()
+    every = spans.analyzed(docs, rules, ["doc_id"], original=original)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.slice == text[r.doc_id][r.start_at : r.end_at] for r in spans.analyzed(docs, rules, ["doc_id"], original=original, slices=True).collect())
+    layer = spans.analyzed(docs, rules, ["doc_id"], original=original, layer=True)
+    assert sorted(map(tuple, layer.collect())) == sorted(map(tuple, spans.resolve(every, ["doc_id"]).collect()))

@@ -1,14 +1,16 @@
 """Normalisation vectors by code point, the notation, and spans against a scalar model."""
 
+import hashlib
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from spanmark.functions.normalize import normalized, source_range
+from spanmark.functions.normalize import normalized, normalized_batch, source_range
 from spanmark.functions.notation import LATIN, UTHMANI, bracket_fault, compile_rule, parse
-from spanmark.operators import corpus, editions, gates, render, spans
+from spanmark.operators import annotations, corpus, editions, gates, render, spans
 from spanmark.sources.editions import from_positions, import_passages, read_edition
+from spanmark.streaming import annotate
 
 VECTORS = """
 FEFF 0628 064E > 0628 064E
@@ -94,6 +96,96 @@ def test_notation_in_both_dialects(spark, profile, case, scope, subject, n):
     assert len(one) == n and [tuple(r) for r in one] == [tuple(r) for r in two]
 
 
+def test_small_meem_under_a_kasra():
+    for old, new in (("0628 0650 06ED", "0628 064D"), ("0628 0650 0651 06ED", "0628 064D 0651"), ("0628 064E 06ED", "0628 064E")):
+        assert told(normalized_batch([chars(old)])[0][0]) == new
+
+
+def test_brackets_stand_anywhere():
+    assert parse("[a] [b] + [c", LATIN) == [["a", "b"], ["c"]]
+    for name in UTHMANI.anchors:
+        assert compile_rule(f"[ {name} ]", "either", UTHMANI) == compile_rule(name, "either", UTHMANI)
+
+
+def test_lineage_is_strict(spark):
+    demo = corpus.demo(spark)
+    lost = demo | {"rulings": demo["rulings"].where("id <> 'th'")}
+    with pytest.raises(Exception, match="th.1"):
+        corpus.lineage(lost).collect()
+    assert corpus.lineage(lost, "inner").count() == 11 and corpus.lineage(lost, "left").where("category_id is null").count() == 2
+
+
+def test_digest_in_numeric_order(spark):
+    rows = [("e", "10:1", "c"), ("e", "2:1", "a"), ("e", "2:10", "b")]
+    got = editions.digest(spark.createDataFrame(rows, "id string, ref string, text string"), "id", "ref", "text").first()
+    assert got["digest"] == hashlib.sha256(b"2:1\x00a\x012:10\x00b\x0110:1\x00c").hexdigest() and got["passages"] == 3
+
+
+def test_fold_and_first_difference(spark):
+    rows = [(1, "0622 0628 0651 064E", "0627 0653 0628 064E 0651"), (2, "0623 0650", "0627 0650 0654"), (3, "064E 0628", "064E 0628"), (4, "0628", "062A")]
+    df = spark.createDataFrame([(k, chars(a), chars(b)) for k, a, b in rows], "k int, a string, b string")
+    assert [r.k for r in df.where(editions.folded(F.col("a")) == editions.folded(F.col("b"))).orderBy("k").collect()] == [1, 2, 3]
+    assert [tuple(r) for r in editions.first_differences(df, ["k"], "a", "b").where("k = 4").collect()] == [(4, 0, "U+0628", "U+062A")]
+    assert df.where("k = 3").select(editions.code_point_dump(F.lit("a b"))).first()[0] == "a=0061 \u2423=0020 b=0062"
+
+
+def test_annotation_sets(spark, tmp_path):
+    corpus_rows = corpus.demo(spark) | {"meta": spark.createDataFrame([("1.0", "r")], "version string, riwayah string")}
+    docs = spark.createDataFrame([("1:1", "the north"), ("1:2", "zzz"), ("10:1", "that"), ("2:1", "...")], "ref string, text string")
+    lines = corpus.selected(corpus.lineage(corpus_rows))
+    rules = corpus.patterns(corpus_rows, lines)
+    found = spans.analyzed(docs, rules, ["ref"])
+    ids = [i for i, _ in rules]
+    annotations.write(spark, f"{tmp_path}/set", docs, found, ids, corpus_rows, "e", "r")
+    back = annotations.read(spark, f"{tmp_path}/set", corpus_rows)
+    assert sorted(map(tuple, back.select("ref", "rule_id", "start_at", "end_at").collect())) == sorted(map(tuple, found.collect()))
+    annotations.verify(spark, f"{tmp_path}/set", docs)
+    with pytest.raises(ValueError, match="digest"):
+        annotations.verify(spark, f"{tmp_path}/set", docs.where("ref <> '1:2'"))
+    with pytest.raises(ValueError, match="other"):
+        annotations.write(spark, f"{tmp_path}/bad", docs, found, ids, corpus_rows, "e", "other")
+    with pytest.raises(Exception, match="th.1"):
+        annotations.read(spark, f"{tmp_path}/set", corpus_rows | {"rules": corpus_rows["rules"].where("id <> 'th.1'")}).collect()
+    assert [tuple(r) for r in annotations.references(found, docs).collect()] == [("1:1", True), ("1:2", True), ("2:1", False), ("10:1", True)]
+    assert [r.text for r in annotations.asked(docs, ["2:1", "1:1"]).collect()] == ["...", "the north"]
+    with pytest.raises(Exception, match="9:9"):
+        annotations.asked(docs, ["1:1", "9:9"]).collect()
+
+
+def test_more_gates(spark):
+    old = corpus.demo(spark)["rules"]
+    row = lambda i, status, disputed, corrections=None: (i, "th", "[t]", "within-word", "normalized", status, None, None, False, {"en": i}, disputed, corrections)
+    new = spark.createDataFrame([row("th.7", "stable", ("f", "x", ["1"], None)), row("th.8", "disputed", ("f", "x", ["1"], "y")), row("th.9", "stable", None, [("case", "a", "b")])], old.schema)
+    topics = spark.createDataFrame([("letters",), ("letters",)], "id string")
+    got = {tuple(r) for r in gates.violations(corpus.demo(spark) | {"rules": old.where("status <> 'disputed'").union(new), "topics": topics}).collect()}
+    assert got == {("open-dispute-stable", "th.7"), ("settled-but-disputed", "th.8"), ("corrected-without-review", "th.9"), ("unique-topic", "letters"), ("category-without-topic", "open")}
+    marked = spark.createDataFrame([("a.1", f"[{chars('0628')}] + {chars('06E5')}")], "id string, pattern_case string")
+    assert marked.where(F.size(gates.stripped_marks(F.col("pattern_case"))) == 1).count() == 1
+    told_of = gates.undescribed(corpus.demo(spark)["rules"], [("th", ["th."], "z")], "en", LATIN)
+    assert {r.id for r in told_of.collect()} == {"th.1", "th.2"}
+    lines = corpus.lineage(corpus.demo(spark))
+    found = spark.createDataFrame([(1, "th.1", 0, 1), (1, "th.1", 2, 3), (2, "th.1", 0, 0)], "doc_id long, rule_id string, start_at long, end_at long")
+    wanted = spark.createDataFrame([("th.1", 2, 3), ("th.2", 1, None), ("none.1", None, None), ("rare.1", 0, 0)], "rule_id string, passages long, occurrences long")
+    assert {tuple(r) for r in gates.pinned(found, lines, wanted).collect()} == {("th.2", "passages"), ("none.1", "no such rule")}
+    docs = spark.createDataFrame([(1, "ab"), (2, "abc")], "doc_id long, text string")
+    assert {(r.doc_id, r.start_at, r.fault) for r in gates.ill_formed(found, docs).collect()} == {(1, 2, "past the end"), (2, 0, "empty")}
+    frozen = gates.frozen(found, lines)
+    assert gates.thawed(frozen, frozen).count() == 0 and frozen.count() == 13
+    assert {tuple(r) for r in gates.thawed(frozen, gates.frozen(found.where("start_at = 0"), lines)).collect()} == {("th.1", "occurrences")}
+    assert gates.unequal(docs, docs).count() == 0 and gates.unequal(docs, docs.where("doc_id = 1")).count() == 1
+    assert corpus.chosen_topics(lines, []).count() == 0 and corpus.chosen_topics(lines, ["letters"]).count() > 5
+
+
+def test_stream(spark, tmp_path):
+    rows = [(1, "the", "2024-01-01 00:00:01"), (1, "the", "2024-01-01 00:00:02"), (2, "that th", "2024-01-01 00:06:00")]
+    spark.createDataFrame(rows, "doc_id long, text string, at string").write.json(f"{tmp_path}/in")
+    stream = spark.readStream.schema("doc_id long, text string, at timestamp").json(f"{tmp_path}/in")
+    found = annotate.annotate_stream(stream, [("th", "th")], ["doc_id"], "at")
+    told_at = annotate.incidence_stream(found, "at")
+    told_at.writeStream.format("memory").queryName("told_at").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.occurrences for r in spark.table("told_at").collect()) == [1, 2]
+
+
 def test_parse_and_brackets():
     assert parse("[a b] + c", LATIN) == [["a", "b"], ["c"]]
     assert [bracket_fault(c) for c in ("[a]", "[a [b]]", "a]", "[a")] == [None, "nested", "stray", "unclosed"]
@@ -119,7 +211,7 @@ def test_html_keeps_the_text(spark):
 def test_gates_can_fail(spark):
     demo = corpus.demo(spark)
     assert gates.violations(demo).collect() == []
-    bad = demo | {"rules": demo["rules"].union(spark.createDataFrame([("th.1", "gone", "[a", "either", "normalized", "stable", "x", None, False, {"en": "x"})], corpus.RULE))}
+    bad = demo | {"rules": demo["rules"].union(spark.createDataFrame([("th.1", "gone", "[a", "either", "normalized", "stable", "x", None, False, {"en": "x"}, None, None)], corpus.RULE))}
     assert {r["gate"] for r in gates.violations(bad).collect()} == {"unique-rule", "rule-without-ruling", "namespace", "scope", "brackets", "gap-status"}
     flat = spark.createDataFrame([("r", 30), ("q", 10), ("s", 5)], "rule_id string, occurrences long")
     gone = spark.createDataFrame([("q", 4), ("s", 5)], "rule_id string, occurrences long")
