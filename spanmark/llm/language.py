@@ -7,7 +7,8 @@ of labelled rows, and a temperature is chosen on a part of the sample held back
 
 Null text, or one without a letter: "und", score 0. A null lang is no label; a null doc_id is never
 learnt from and not held out; repeated rows count and are answered row by row; other columns are
-ignored; without any label all is "und"; an empty table gives an empty one.
+ignored; without any label all is "und"; an empty table gives an empty one. More than MOST_LANGS distinct
+langs are an error: what the model takes on the driver and in each task grows with their number.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ BITS = 15
 DIMS = 1 << BITS
 CHUNK = 1 << 20
 UND = "und"
+MOST_LANGS = 500
 _ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
 
@@ -127,7 +129,10 @@ def train(spark: SparkSession, labelled: DataFrame, sample_rows: int = 2400) ->
     """Fit on rows (doc_id, text, lang). The sample takes about sample_rows rows in all, as many of each
     language as far as there are; a row is at most 6 bytes x 32,768, whatever its text's length."""
     rows = labelled.where(F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    kinds = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()
+    if len(kinds) > MOST_LANGS:  # weights take 256 KB a language on the driver and in each task
+        raise ValueError(f"more than {MOST_LANGS} distinct values of lang: these are no languages")
+    per = {r["lang"]: r["n"] for r in kinds}
     langs = sorted(per)
     if not langs:
         return Model([], np.zeros(DIMS), np.zeros((DIMS, 0)), 1.0)
@@ -155,8 +160,8 @@ def train(spark: SparkSession, labelled: DataFrame, sample_rows: int = 2400) ->
     return Model(langs, idf, w, temperature(logits, y[held]))
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (doc_id by default) with lang_pred and score."""
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of docs (doc_id by default) with the predicted language and its score, under `names`."""
     keep = keep or ["doc_id"]
     text = "text" if "text" in keep and dict(docs.dtypes)["text"] == "string" else "whole text"
 
@@ -164,10 +169,10 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
         for b in batches:
             out = [model.predict(t.as_py()) for t in b[text]]
             cols = [b[c] for c in keep] + [pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *names])
 
     rows = docs.select(*keep, *([] if text == "text" else [F.col("text").cast("string").alias(text)]))
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
     return rows.mapInArrow(lambda it: trimmed(answers(it)), schema)
 
 

@@ -4,8 +4,11 @@ Each document is encoded and ended; longer ones are cut into full sequences with
 first. Full pieces are sequences of their own. The others are spread over buckets by hash, so
 every bucket sees the same mix of sizes, and each bucket packs its own: a piece goes where the
 squared counts of open bins per residual gap sum up least. Bins that a bucket leaves too empty
-are dissolved and packed again in fewer, larger buckets, down to one; each round passes on a
-small share of the pieces, so the last round is small whatever the corpus.
+are dissolved and packed again, in buckets of about PER_BUCKET pieces each time. The last round, in
+which every bucket closes its bins as they are, is the one with a single bucket left, or the one
+after a round that closed less than LEAST_CLOSED of its pieces: if pieces can't fill bins, all
+buckets close theirs apart. No bucket grows with the corpus; pieces are dealt by row, so equal rows
+are spread like others.
 
 Null text is empty (its end id alone); rows with equal doc_id are documents of their own;
 other columns are ignored; an empty table gives no pieces.
@@ -28,9 +31,9 @@ from .tokens import encoder
 
 CAPACITY = 1024
 PER_BUCKET = 20_000
-FULL_ENOUGH = 0.99
+FULL_ENOUGH, LEAST_CLOSED = 0.99, 0.25
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = f"{PIECES}, sequence_id long, offset long"
+PACKED = f"{PIECES}, rid long, sequence_id long, offset long"
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -83,7 +86,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def _pack(level: int, last: bool, capacity: int):
     def bucket(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32", "rid"], ascending=[False, True, True, True, True], kind="stable")
         size = rows["length"].to_numpy()
         bins = sum_of_squares(size, capacity)
         order = np.argsort(bins, kind="stable")
@@ -94,7 +97,7 @@ def _pack(level: int, last: bool, capacity: int):
         fill = np.bincount(bins, size, minlength=1)[bins]
         kept = last | (fill >= FULL_ENOUGH * capacity)
         own = (level << 58) | (int(rows["bucket"].iloc[0]) << 26)
-        return rows.assign(sequence_id=np.where(kept, own + bins, -1), offset=np.where(kept, ends - size - begin, -1))[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+        return rows.assign(sequence_id=np.where(kept, own + bins, -1), offset=np.where(kept, ends - size - begin, -1))[["doc_id", "piece", "start", "length", "ids_crc32", "rid", "sequence_id", "offset"]]
 
     return bucket
 
@@ -107,16 +110,16 @@ def pieces(docs: DataFrame, name: str = "byte_bpe_50k.json", folder: str | None
 
 def pack_documents(spark: SparkSession, docs: DataFrame, name: str = "byte_bpe_50k.json", folder: str | None = None, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    table = written(spark, pieces(docs, name, folder, end_id, capacity), "pieces")
+    table = written(spark, pieces(docs, name, folder, end_id, capacity).withColumn("rid", F.monotonically_increasing_id()), "pieces")
     whole = F.col("length") == capacity
-    # a number that no two full pieces share and no packed sequence has: negative, by partition and row
-    parts = [table.where(whole).select("*", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    todo = table.where(~whole)
+    # a number that no two full pieces share and no packed sequence has: negative, by row
+    parts = [table.where(whole).select("*", (-F.col("rid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    todo, level, last = table.where(~whole), 0, False
     n = todo.count()
-    buckets, level = max(1, math.ceil(n / PER_BUCKET)), 0
     while True:
-        last = buckets == 1
-        spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(buckets)).cast("int")
+        buckets = max(1, math.ceil(n / PER_BUCKET))
+        last = last or buckets == 1
+        spread = F.pmod(F.xxhash64("rid", F.lit(level)), F.lit(buckets)).cast("int")
         packed = todo.select(*table.columns, spread.alias("bucket")).groupBy("bucket").applyInPandas(_pack(level, last, capacity), PACKED)
         packed = written(spark, packed, f"packed-{level}")
         if last:
@@ -124,8 +127,9 @@ def pack_documents(spark: SparkSession, docs: DataFrame, name: str = "byte_bpe_5
             break
         parts.append(packed.where("sequence_id >= 0"))
         todo = packed.where("sequence_id < 0").select(*table.columns)
-        buckets, level = min(buckets // 2, math.ceil(todo.count() / PER_BUCKET)) or 1, level + 1
+        left = todo.count()
+        n, level, last = left, level + 1, n - left < LEAST_CLOSED * n
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.drop("rid")

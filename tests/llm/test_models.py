@@ -69,11 +69,11 @@ def test_resampling_keeps_a_tone():
 
 def test_language_on_odd_rows(spark):
     rows = [(i, f"the house and {i} of the river walks" if i % 2 else f"la maison et {i} de la rivière où", "en" if i % 2 else "fr") for i in range(200)]
-    rows += [(300, None, "en"), (301, "", None), (302, "123 !!", "en"), (None, "the river and the house", "fr"), (303, "the house " * 200_000, None)]
+    rows += [(300, None, "en"), (301, "", None), (302, "123 !!", "en"), (304, "\u00bd \u00b2 \u2460", "en"), (5, "the house and 5 of the river walks", "en"), (None, "the river and the house", "fr"), (303, "the house " * 200_000, None)]
     df = spark.createDataFrame([(d, t, lang, "s") for d, t, lang in rows], "doc_id long, text string, lang string, score string")
     got = {r["doc_id"]: r for r in predict_languages(spark, df).collect()}
     assert all(got[i]["lang_pred"] == ("en" if i % 2 else "fr") for i in range(200))
-    assert [(got[i]["lang_pred"], got[i]["score"]) for i in (300, 301, 302)] == [("und", 0.0)] * 3
+    assert [(got[i]["lang_pred"], got[i]["score"]) for i in (300, 301, 302, 304)] == [("und", 0.0)] * 4
     assert got[None]["lang_pred"] == got[303]["lang_pred"] == "en" and not got[None]["held_out"]
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(200))
     assert predict_languages(spark, df.limit(0)).collect() == []

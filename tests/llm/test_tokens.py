@@ -1,7 +1,7 @@
 """Token output and packing against the library and brute force."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from spanmark.llm import packing
 from spanmark.llm.packing import cut, pack_documents, sum_of_squares
 from spanmark.llm.token_output import BLOCK, pack, token_digests, unpack
 from spanmark.llm.tokens import encoder
@@ -107,6 +108,26 @@ def test_packing(spark):
     assert pack_documents(spark, frame(spark, [])).collect() == []
 
 
+def test_packing_without_full_bins_stays_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PER_BUCKET", 500)
+    rows = [(i // 2, " ".join(["word"] * 600), "s", 1, 2) for i in range(4000)]  # no two fit together; each row twice
+    got = pack_documents(spark, frame(spark, rows)).select("sequence_id", "length").collect()
+    assert len({r[0] for r in got}) == len(got) == 4000 and {r[1] for r in got} == {601}
+    size = Counter(r[0] >> 26 for r in got)
+    assert max(size.values()) <= 1000 and len(size) >= 6
+
+
+def test_token_output_with_null_and_repeated_ids(spark):
+    rows = [(None, "b", "s", 1, 2), (None, "a", "s", 1, 2), *((7, f"text {i % 5}", "s", 1, 2) for i in range(300)), (8, None, "s", 1, 2)]
+    got = token_digests(spark, frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])][-1] == 8
+
+
 def test_sum_of_squares_fills_bins():
     size = np.sort(np.random.default_rng(1).integers(1, 700, 4000))[::-1]
     bins = sum_of_squares(size, 1024)
