@@ -41,7 +41,7 @@ from .common import bitmap_of, grams, marked, mix, partitions, release, slices,
 
 LEAF_NODES = 256
 SETS = "doc_id long, text_code long, code long, n long, h1 long, h2 long, sketch binary, wide binary"
-PART_SIGNATURES = 1_000_000
+PART_SIGNATURES = 400_000
 CELLS, LONG = 256, 512
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 

@@ -31,7 +31,7 @@ from .fm_index import FMIndex
 
 GRAM = 8
 HOT = 20_000
-SHARD_WORDS = 400_000
+SHARD_WORDS = 100_000
 BASE = "doc_id long, text_code long, n_words long, whole_sha256 string, minimisers array<long>"
 
 
