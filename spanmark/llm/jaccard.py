@@ -14,7 +14,9 @@ range's signature are a root region; equal regions are one. Then, region by regi
   overlap by k. The near ones are joined on their differences from the pivot, which differ in at
   most k shingles, too: either these share one of the k + 1 rarest shingles of each, and members that
   do are a region of the next round, or both lie so near that only a window of distances is left,
-  which is one more region. The far ones are put through the sieve again with other hash ranges.
+  which is one more region. The far ones are put through the sieve again with other hash ranges, once:
+  a sieve can't part members that have most of a long passage in common. Whom it leaves in a large
+  region again are from then on joined on their differences from the pivot, however far they are.
   Regions all of whose members are in one component are done.
 * Small regions are joined member by member, where these are in different components and their sketches
   (counts by hash cell, whose L1 distance is a lower bound) don't rule a link out.
@@ -179,6 +181,22 @@ def _shared(parts: int):
     return shared
 
 
+ROWS, SKETCHES, PAIRS = 1 << 18, 1 << 13, 1 << 12  # to a task: rows of numbers, of sketches, of two sets
+
+
+def fewer(spark: SparkSession, df: DataFrame, rows: int, each: int = ROWS) -> DataFrame:
+    """df in tasks of `each` rows, where a shuffle would make more of them than that. Rows that fit one task are
+    grouped and joined without any shuffle."""
+    tasks = max(1, -(-rows // each))
+    return df.coalesce(tasks) if tasks < partitions(spark) else df
+
+
+def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A written table of numbers, in no more tasks than it has use for."""
+    out = written(spark, df, name)
+    return fewer(spark, out, out.count())
+
+
 def _wanted_sets(batches: Iterator[pa.RecordBatch], n: int, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
     once = _Once()
     for b in (x for batch in batches for x in slices(batch, most=1 << 21)):
@@ -205,18 +223,20 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: each node's neighbours are joined to the smallest one.
     """
-    edges = written(spark, edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    edges = table(spark, edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
     told = None
     while True:
         for large in (True, False):
+            most = 2 * edges.count()
             both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))) if large else edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+            both = fewer(spark, both, most)
             least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
             near = both.join(least, "a")
             if large:
                 near = near.where("b > a").select("b", "m")
             else:
                 near = near.select("b", "m").union(least.select(F.col("a").alias("b"), "m"))
-            edges = written(spark, near.where("m <> b").select(F.least("b", "m").alias("a"), F.greatest("b", "m").alias("b")).distinct(), "edges")
+            edges = table(spark, fewer(spark, near, most).where("m <> b").select(F.least("b", "m").alias("a"), F.greatest("b", "m").alias("b")).distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == told:
             break
@@ -224,11 +244,12 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
-def _against(pairs: DataFrame, sets: DataFrame, *along: str) -> DataFrame:
-    """pairs (pivot, node) with the shingles of both; the columns `along` come too."""
-    mine = pairs.join(sets.select("node", "shingles"), "node")
+def _against(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The written table pairs (pivot, node) with the shingles of both."""
+    rows = pairs.count()
+    mine = fewer(spark, pairs.join(sets.select("node", "shingles"), "node"), rows, PAIRS)
     both = mine.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
-    return both.select("pivot", "node", *along, "shingles", "pivot_shingles")
+    return fewer(spark, both.select("pivot", "node", "shingles", "pivot_shingles"), rows, PAIRS)
 
 
 def sketch(x: np.ndarray, cells: int = CELLS) -> bytes:
@@ -278,12 +299,15 @@ def _near(spark: SparkSession, pairs: DataFrame, sketches: DataFrame, may_be_nea
             yield b.select(["pivot", "node"]).take(pa.array(np.flatnonzero(ok), pa.int64()))
 
     def both(pairs: DataFrame, column: str) -> DataFrame:
+        rows = pairs.count()
         mine = sketches.select("node", F.col(column).alias("x"), "n")
         its = sketches.select(F.col("node").alias("pivot"), F.col(column).alias("y"), F.col("n").alias("m"))
-        return pairs.select("pivot", "node").join(mine, "node").join(its, "pivot").select("pivot", "node", "x", "n", "y", "m")
+        some = fewer(spark, pairs.select("pivot", "node").join(mine, "node"), rows, SKETCHES)
+        return fewer(spark, some.join(its, "pivot").select("pivot", "node", "x", "n", "y", "m"), rows, SKETCHES)
 
     some = written(spark, both(pairs, "sketch").mapInArrow(lambda it: trimmed(keep(it)), "pivot long, node long, n long, m long"), "some")
     long = F.least("n", "m") > LONG
+    some = fewer(spark, some, some.count())
     return some.where(~long).select("pivot", "node").union(both(some.where(long), "wide").mapInArrow(lambda it: trimmed(keep_long(it)), "pivot long, node long"))
 
 
@@ -298,7 +322,7 @@ def _each(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         yield x, p, at, p[at] == x
 
 
-def _distances(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _distances(spark: SparkSession, pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """pairs (pivot, node) with `linked`: whether den * intersection >= num * union."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,11 +333,11 @@ def _distances(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
                 out.append(den * m >= num * (len(x) + len(p) - m))
             yield pa.RecordBatch.from_arrays([b["pivot"], b["node"], pa.array(out, pa.bool_())], names=["pivot", "node", "linked"])
 
-    return _against(pairs, sets).mapInArrow(lambda it: trimmed(count(it)), "pivot long, node long, linked boolean")
+    return _against(spark, pairs, sets).mapInArrow(lambda it: trimmed(count(it)), "pivot long, node long, linked boolean")
 
 
-def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (pivot, node) that are near: the number of shingles d in which they differ, these shingles (delta),
+def _differences(spark: SparkSession, pairs: DataFrame, sets: DataFrame, num: int, den: int, far: bool) -> DataFrame:
+    """The pairs (pivot, node) that are near (or all, with `far`): the number of shingles d in which they differ, these shingles (delta),
     and the most, k, that a link's two ends differ in."""
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +345,7 @@ def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
             size, reach, delta = [], [], []
             for x, p, at, same in _each(b):
                 d, k = len(x) + len(p) - 2 * int(np.count_nonzero(same)), most_apart(len(x), num, den)
-                near = d <= most_apart(len(p), num, den) + k
+                near = far or d <= most_apart(len(p), num, den) + k
                 only = np.ones(len(p), bool)
                 only[at[same]] = False
                 size.append(d if near else -1), reach.append(k), delta.append(np.concatenate([x[~same], p[only]]) if near else x[:0])
@@ -330,7 +354,7 @@ def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
             out = pa.RecordBatch.from_arrays([b["pivot"], b["node"], pa.array(size, pa.int64()), pa.array(reach, pa.int64()), flat], names=["pivot", "node", "d", "k", "delta"])
             yield out.take(pa.array(np.flatnonzero(np.array(size) >= 0)))
 
-    return _against(pairs, sets).mapInArrow(lambda it: trimmed(differ(it)), "pivot long, node long, d long, k long, delta array<long>")
+    return _against(spark, pairs, sets).mapInArrow(lambda it: trimmed(differ(it)), "pivot long, node long, d long, k long, delta array<long>")
 
 
 def _resigned(batches: Iterator[pa.RecordBatch], num: int, den: int, seed: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -343,26 +367,36 @@ def _resigned(batches: Iterator[pa.RecordBatch], num: int, den: int, seed: int,
 
 def _cells(spark: SparkSession, cells: DataFrame, sets: DataFrame, sketches: DataFrame, num: int, den: int, seed: int) -> DataFrame:
     """The regions (region, node, label) that the cells of rows (pivot, node, label, inside, linked) fall into. Only
-    pairs of different labels are still looked for."""
+    pairs of different labels are still looked for. Far members are sieved with seed 1, and joined on their differences
+    with later ones."""
+    sieved = seed == 1
 
     def may_be_near(x, n, y, m):
         return apart(x, y) <= most_apart(n, num, den) + most_apart(m, num, den)
 
-    close = written(spark, _near(spark, cells.select("pivot", "node"), sketches, may_be_near), "near")
-    differ = written(spark, _differences(close, sets, num, den).join(cells, ["pivot", "node"]), "differences")
-    token = differ.select("pivot", "node", "label", "k", F.explode("delta").alias("token"))
+    close = cells.select("pivot", "node")
+    if sieved:
+        close = table(spark, _near(spark, close, sketches, may_be_near), "near")
+    differ = written(spark, fewer(spark, _differences(spark, close, sets, num, den, not sieved), close.count()).join(cells, ["pivot", "node"]), "differences")
+    tokens, rows = differ.agg(F.coalesce(F.sum(F.size("delta")), F.lit(0)), F.count(F.lit(1))).first()
+    token = fewer(spark, differ.select("pivot", "node", "label", "k", "d", F.explode("delta").alias("token")), tokens)
     often = token.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("often"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("pivot", "token", "often")
-    rank = F.row_number().over(Window.partitionBy("pivot", "node").orderBy("often", "token"))  # a document's own shingles
+    own = Window.partitionBy("pivot", "node")  # a document's own shingles
+    # shingles that no other component has come first: each is one that a link's two ends differ in
+    rank = F.row_number().over(own.orderBy("often", "token")) + F.col("d") - F.count(F.lit(1)).over(own)
     shared = token.join(often, ["pivot", "token"]).withColumn("rank", rank).where("rank <= k + 1").select(F.xxhash64("pivot", "token").alias("region"), "node", "label")
     # links of members whose differences share nothing: the two distances add up to k at most
-    near = differ.where("d <= k").select("pivot", "node", "label", "k", "inside", "d")
+    near = fewer(spark, differ.where("d <= k").select("pivot", "node", "label", "k", "inside", "d"), rows)
     window = near.groupBy("pivot").agg(F.max("k").alias("most"), F.min(F.when(~F.col("inside"), F.col("d"))).alias("least")).where("least is not null")
     near = near.join(window, "pivot").where("not inside or d + least <= most").select(F.xxhash64("pivot", F.lit("near")).alias("region"), "node", "label")
+    if not sieved:
+        return shared.union(near)
     # links of members that are both far from the pivot; who is linked with it is near
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(1, int(0.6 * total / PART_SIGNATURES))
     again = sets.select("node", "shingles").mapInArrow(lambda it: trimmed(_resigned(it, num, den, seed, parts)), "part long, sigs binary, codes binary")
     again = again.groupBy("part").applyInPandas(_shared(parts), "region long, text_code long").select(F.col("region").alias("sig"), F.col("text_code").alias("node"))
+    again = again.coalesce(min(2 * parts, partitions(spark)))  # parts, and those of the frequent, are groups: more tasks have no rows
     far = cells.where("not linked").join(again, "node").select(F.xxhash64("pivot", "sig").alias("region"), "node", "label")
     return shared.union(near).union(far)
 
@@ -442,6 +476,7 @@ def _roots(spark: SparkSession, docs: DataFrame, nodes: DataFrame, n: int, num:
     parts = max(1, int(0.6 * total / PART_SIGNATURES))
     signed = docs.select("text", "text_code").mapInArrow(lambda it: trimmed(_signed(it, n, num, den, parts)), "part long, sigs binary, codes binary")
     shared = signed.groupBy("part").applyInPandas(_shared(parts), "region long, text_code long")
+    shared = shared.coalesce(min(2 * parts, partitions(spark)))
     return _merged(spark, shared.join(nodes.select("text_code", "node").distinct(), "text_code").select("region", "node").distinct())
 
 
@@ -461,18 +496,19 @@ def _limit(spark: SparkSession, rows: int) -> int:
 def _merged(spark: SparkSession, members: DataFrame) -> DataFrame:
     """The written table (region, node, k) of regions of two nodes or more, one of those with the same nodes. If
     members have labels, regions with one label only go."""
-    members = written(spark, members, "members")
+    members = table(spark, members, "members")
+    rows = members.count()
     counts = [F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
     if "label" in members.columns:
         told = members.groupBy("region").agg(*counts, F.min("label").alias("from"), F.max("label").alias("to")).where("from < to")
     else:
         told = members.groupBy("region").agg(*counts)
     kept = told.where("k > 1").groupBy("k", "x", "y").agg(F.min("region").alias("region")).select("region", "k")
-    kept, members = written(spark, kept, "kept"), members.select("region", "node")
-    large = kept.where(F.col("k") > _limit(spark, members.count()))
+    kept, members = table(spark, kept, "kept"), members.select("region", "node")
+    large = kept.where(F.col("k") > _limit(spark, rows))
     some = members.join(F.broadcast(large), "region")
     rest = members.join(F.broadcast(large.select("region")), "region", "left_anti").join(kept, "region")
-    return written(spark, some.unionByName(rest), "regions")
+    return table(spark, fewer(spark, some.unionByName(rest), rows), "regions")
 
 
 def links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, sketches: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -483,7 +519,7 @@ def links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, sketches: Data
     paired = _dealt(regions.where(small).select("region", "node").join(sketches.drop("wide"), "node")).mapInArrow(_paired(num, den), "region long, node long")
     regions = _merged(spark, paired.union(regions.where(~small).select("region", "node")))
     of = nodes.where("rid = node").select("node", "doc_id", "text_code", "code")
-    wanted = written(spark, regions.select("node").distinct().join(of, "node"), "wanted")
+    wanted = table(spark, regions.select("node").distinct().join(of, "node"), "wanted")
     sketches = written(spark, wanted.select("node").join(sketches, "node"), "sketches", "zstd")
     shingled = _fetched(spark, docs, wanted, n)
     labels = spark.createDataFrame([], "node long, label long")
@@ -496,13 +532,14 @@ def links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, sketches: Data
         limit = _limit(spark, regions.count())
         degree = regions.groupBy("node").agg(F.sum("k").alias("degree"))
         ranked = regions.join(degree, "node").groupBy("region", "k").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("pivot"))
-        ranked = written(spark, ranked, "pivots")
-        seen = written(spark, _of_region(regions, ranked, limit).where("node <> pivot").select("region", "node", "k", "pivot"), "cells")
-        linked = written(spark, _distances(_near(spark, seen.select("pivot", "node").distinct(), sketches, may_link), shingled, num, den), "distances")
+        ranked = table(spark, ranked, "pivots")
+        seen = table(spark, _of_region(regions, ranked, limit).where("node <> pivot").select("region", "node", "k", "pivot"), "cells")
+        close = table(spark, _near(spark, table(spark, seen.select("pivot", "node").distinct(), "compared"), sketches, may_link), "close")
+        linked = table(spark, _distances(spark, close, shingled, num, den), "distances")
         edges = linked.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(labels.select("label", "node"))
-        labels = written(spark, components(spark, edges), "labels")
+        labels = table(spark, components(spark, fewer(spark, edges, linked.count() + labels.count())), "labels")
         alive = seen.join(labels, "node", "left").groupBy("region", "k").agg(F.min(F.coalesce("label", "node")).alias("x"), F.max(F.coalesce("label", "node")).alias("y")).where("x < y").select("region", "k")
-        seen = written(spark, _of_region(seen, written(spark, alive, "alive"), limit), "alive")
+        seen = table(spark, _of_region(seen, table(spark, alive, "alive"), limit), "alive")
         pools.append(seen.where(small).select("region", "node"))
         cells = seen.where(~small).select("pivot", "node").distinct()
         if not cells.head(1):
@@ -510,12 +547,12 @@ def links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, sketches: Data
         named = labels.select(F.col("node").alias("pivot"), F.col("label").alias("of"))
         label, of = F.coalesce("label", "node"), F.coalesce("of", "pivot")
         cells = cells.join(labels, "node", "left").join(named, "pivot", "left").join(linked, ["pivot", "node"], "left")
-        cells = written(spark, cells.select("pivot", "node", label.alias("label"), (label == of).alias("inside"), F.coalesce("linked", F.lit(False)).alias("linked")), "cells")
+        cells = table(spark, cells.select("pivot", "node", label.alias("label"), (label == of).alias("inside"), F.coalesce("linked", F.lit(False)).alias("linked")), "cells")
         regions = _merged(spark, _cells(spark, cells, shingled, sketches, num, den, len(pools)))
     leaves = _merged(spark, reduce(DataFrame.union, pools)).join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label")).join(sketches.drop("wide"), "node")
     pairs = written(spark, _dealt(leaves).mapInArrow(_leaf(num, den), "pivot long, node long").distinct(), "pairs")
-    pairs = _near(spark, pairs, sketches, may_link)
-    last = _distances(pairs, shingled, num, den).where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    pairs = table(spark, _near(spark, fewer(spark, pairs, pairs.count()), sketches, may_link), "close")
+    last = _distances(spark, pairs, shingled, num, den).where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     return labels.select(F.col("label").alias("a"), F.col("node").alias("b")).union(last)
 
 
@@ -530,7 +567,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, num: in
     distinct = sets.where("n > 0").groupBy(*key).agg(F.min("rid").alias("node"), F.min("doc_id").alias("first"))
     nodes = written(spark, sets.where("n > 0").select("rid", "doc_id", "text_code", "code", *key).join(distinct, key), "nodes")
     edges = links(spark, docs, nodes, sets.select(F.col("rid").alias("node"), "n", "sketch", "wide"), n, num, den)
-    labels = written(spark, components(spark, edges), "labels")
+    labels = table(spark, components(spark, edges), "labels")
     told = nodes.join(labels, "node", "left").select("rid", "first", F.coalesce("label", "node").alias("label"))
     told = told.join(sets.select("rid", "doc_id"), "rid")
     smallest = told.groupBy("label").agg(F.min("first").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("stays"))
