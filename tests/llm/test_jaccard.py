@@ -76,3 +76,26 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7)]
     got = dict(tuple(r) for r in components(spark, spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 1 for i in range(1, 41)} | {90: 90, 95: 90, 100: 90}
+
+
+def test_a_long_passage_in_common(spark, monkeypatch):
+    """Documents that share most of a passage, some within the threshold, come to an end and lose no link."""
+    import random
+
+    monkeypatch.setattr(jaccard, "LEAF_NODES", 32)
+    draw = random.Random(5)
+    passage = [f"p{i}" for i in range(120)]
+    texts = []
+    for i in range(48):
+        own = [f"w{i if i % 3 else i // 9}x{j}" for j in range(draw.choice([2, 5, 9, 14, 40]))]
+        texts.append(" ".join(passage + own if i % 2 else own + passage))
+    sets = [{tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = jaccard.jaccard_components(spark, docs, 3, 90, 100).select("doc_id", "component_id").collect()
+    assert dict(map(tuple, found)) == dict(enumerate(root)) and 1 < len(set(root)) < len(texts)
