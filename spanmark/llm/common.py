@@ -28,23 +28,30 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19  # of text that a worker takes at a time: its arrays of words need some 30 times as much
+
+
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> str:
+    """Arrow batches of BATCH_BYTES at most from here on, if the session doesn't have smaller ones; what it had."""
+    own = spark.conf.get(BATCH_SETTING)
+    size = int(own.rstrip("bB")) if own.rstrip("bB").lstrip("-").isdigit() else BATCH_BYTES + 1
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+    return own
 
 
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of BATCH_BYTES at most, if the session doesn't have smaller ones; its own setting comes back after."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    own = spark.conf.get(name)
-    size = int(own.rstrip("bB")) if own.rstrip("bB").lstrip("-").isdigit() else BATCH_BYTES + 1
-    if 0 < size <= BATCH_BYTES:
-        yield
-        return
-    spark.conf.set(name, f"{BATCH_BYTES}b")
+    """bound_batches for a while; the session's own setting comes back after."""
+    own = bound_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(name, own)
+        spark.conf.set(BATCH_SETTING, own)
 
 
 def written(spark: SparkSession, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -119,7 +126,7 @@ def runs_of(codes: np.ndarray, n: int) -> np.ndarray:
 _ODD = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 17
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +227,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return clear.union(stay).drop("code of the text")
 
 
-def slices(batch, column: str = "text", most: int = 8 << 20):
+def slices(batch, column: str = "text", most: int = SLICE_BYTES):
     """Cut an Arrow batch so that each slice holds about `most` bytes of text, one row at least."""
     import pyarrow.compute as pc
 

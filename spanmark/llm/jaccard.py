@@ -44,6 +44,7 @@ from .common import bitmap_of, grams, marked, mix, partitions, release, slices,
 LEAF_NODES = 256
 SETS = "doc_id long, text_code long, code long, n long, h1 long, h2 long, sketch binary, wide binary"
 PART_SIGNATURES = 400_000
+PACKED_BYTES = 1 << 21  # of text whose signatures are packed together
 CELLS, LONG = 256, 512
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 
@@ -102,7 +103,7 @@ def signatures(x: np.ndarray, num: int, den: int, seed: int = 0) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for b in (x for batch in batches for x in slices(batch, most=1 << 21)):
+    for b in (x for batch in batches for x in slices(batch)):
         size, h1, h2, told, more = [], [], [], [], []
         for x in shingles(b["text"], n):
             size.append(len(x))
@@ -153,11 +154,11 @@ def _packed(sig: np.ndarray, others: dict[str, np.ndarray], parts: int) -> pa.Re
 def _signed(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, parts: int) -> Iterator[pa.RecordBatch]:
     """All signatures of a slice of texts, packed: part, sigs, codes. A text that a task meets again is not signed again."""
     once = _Once()
-    for b in (x for batch in batches for x in slices(batch, most=1 << 21)):
+    for b in (x for batch in batches for x in slices(batch, most=PACKED_BYTES)):
         b = b.take(pa.array(once.new(b["text_code"])))
         if not b.num_rows:
             continue
-        sigs = [signatures(x, num, den) if len(x) else x for x in shingles(b["text"], n)]
+        sigs = [signatures(x, num, den) if len(x) else x for part in slices(b) for x in shingles(part["text"], n)]
         yield _packed(np.concatenate(sigs), {"codes": np.repeat(np.asarray(b["text_code"]), [len(s) for s in sigs])}, parts)
 
 
@@ -199,7 +200,7 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch], n: int, bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
     once = _Once()
-    for b in (x for batch in batches for x in slices(batch, most=1 << 21)):
+    for b in (x for batch in batches for x in slices(batch)):
         b = b.take(pa.array(np.flatnonzero(marked(bitmap, b["code"]))))
         b = b.take(pa.array(once.new(b["code"])))
         if b.num_rows:
