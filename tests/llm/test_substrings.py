@@ -5,8 +5,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from spanmark.llm.common import BLOCK_BYTES, slices, word_codes
 from spanmark.llm.fm_index import FMIndex
 from spanmark.llm.substrings import find_repeats
 
@@ -21,6 +23,21 @@ def test_index_counts_windows():
             assert got.tolist() == [have[tuple(q[i : i + depth].tolist())] for i in range(max(0, len(q) - depth + 1))]
 
 
+def test_codes_and_slices_do_not_depend_on_blocks():
+    """Words are coded alike wherever blocks end, also one longer than a block; slices lose no row, empty and null included."""
+    rng = random.Random(5)
+    some = ["a", "bé", "ccc", "x" * (BLOCK_BYTES + 7)]
+    words = [rng.choice(some[:3]) for _ in range(BLOCK_BYTES)] + some + [rng.choice(some[:3]) for _ in range(999)]
+    codes, ends = word_codes(pa.array([" ".join(words), None, "", "ccc\ta"]))
+    own = {w: int(word_codes(pa.array([w]))[0][0]) for w in some}
+    assert codes.tolist() == [own[w] for w in [*words, "ccc", "a"]] and len(set(own.values())) == 4
+    assert ends.tolist() == [0, len(words), len(words), len(words), len(words) + 2]
+    batch = pa.RecordBatch.from_pydict({"text": ["y" * 40, None, "", "y" * 7, "y" * 99, "y"]})
+    parts = list(slices(batch, most=10))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert all(p.num_rows == 1 or sum(len(x or "") for x in p["text"].to_pylist()) <= 10 for p in parts)
+
+
 def brute(rows, window):
     split = [(t or "").encode().split() for _, t in rows]
     seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
