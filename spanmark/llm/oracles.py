@@ -38,3 +38,22 @@ l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where
 c as (select doc_id a, doc_id b from n union select c.a, l.b from c join l on c.b = l.a)
 select d.doc_id, coalesce(n.n, 0) n_shingles, coalesce(m.c, d.doc_id) component_id from d left join n using (doc_id) left join (select a doc_id, min(b) c from c group by 1) m using (doc_id)
 """
+
+_TEXT_LEAF = " || ".join(f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::bigint)), lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295::bigint)"
+_SIDES = "coalesce(string_agg(h, '') over (w rows between unbounded preceding and 1 preceding), '') l, coalesce(string_agg(h, '') over (w rows between 1 following and unbounded following), '') r"
+MANIFEST = f"""
+with recursive d as (select row_number() over () k, doc_id, coalesce('=' || lang, '') tree, sha256({_TEXT_LEAF}) leaf, coalesce({_CRC} % 3 = 0, false) changed, sha256({_TEXT_LEAF.replace("(text as", f"(translate(text, '{_UP}', '{_LOW}') as")}) other from documents),
+p as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf, k) - 1 i, count(*) over (partition by tree) n from d),
+t as (select tree, 0 lvl, i, n, leaf h from p union all select tree, lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' order by i)) from t where n > 1 group by tree, lvl, i // 8, n),
+s as (select tree, h subroot, row_number() over (order by tree) - 1 i, count(*) over () n from t where n = 1),
+u as (select 0 lvl, i, n, subroot h from s union all select lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' order by i)) from u where n > 1 group by lvl, i // 8, n),
+ts as (select tree, lvl, i, {_SIDES} from t where n > 1 window w as (partition by tree, lvl, i // 8 order by i)),
+us as (select lvl, i, {_SIDES} from u where n > 1 window w as (partition by lvl, i // 8 order by i)),
+steps as (select k, lvl, l, r from p join ts on ts.tree = p.tree and ts.i = p.i // cast(pow(8, lvl) as bigint) union all select k, 1000 + lvl, l, r from p join s on s.tree = p.tree join us on us.i = s.i // cast(pow(8, lvl) as bigint)),
+path as (select k, row_number() over (partition by k order by lvl) step, lvl, l, r from steps),
+f as (select k, 0 step, case when changed then other else leaf end h from p union all select f.k, path.step, sha256(l || h || r) from f join path on path.k = f.k and path.step = f.step + 1),
+ends as (select k, arg_max(h, step) h from f group by 1),
+proofs as (select k, string_agg(l || r, '' order by step) x from path group by 1)
+select doc_id, leaf, subroot, u.h root, sha256(coalesce(x, '')) proof_sha256, ends.h folded_root, ends.h = u.h verified from p join s using (tree) join u on u.n = 1 join ends using (k) left join proofs using (k)
+"""

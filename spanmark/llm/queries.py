@@ -8,12 +8,15 @@ from .common import documents
 from .decontaminate import decontaminate
 from .jaccard import jaccard_components
 from .language import predict_languages
+from .manifest import document_manifest
+from .outliers import judge_quality
 from .media import media_digests, read_features, write_media
 from .packing import pack_documents
 from .quality import classify
 from .substrings import find_repeats
 from .token_output import token_digests
 from .urls import judge
+from .whitening import whiten
 
 
 def op1_decontamination(spark, sf_dir):
@@ -59,6 +62,18 @@ def op10_jaccard(spark, sf_dir):
     return jaccard_components(spark, documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_manifest(spark, sf_dir):
+    return document_manifest(spark, documents(spark, sf_dir)).proved()
+
+
+def op12_whitening(spark, sf_dir):
+    return whiten(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_quality_rules(spark, sf_dir):
+    return judge_quality(spark, documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_format": op2_chat_format,
@@ -70,5 +85,8 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_url_filters": op9_url_filters,
     "op10_jaccard": op10_jaccard,
+    "op11_manifest": op11_manifest,
+    "op12_whitening": op12_whitening,
+    "op13_quality_rules": op13_quality_rules,
 }
-ORACLES = {"op1_decontamination": oracles.DECONTAMINATION, "op3_substring_dedup": oracles.REPEATS, "op10_jaccard": oracles.JACCARD}
+ORACLES = {"op1_decontamination": oracles.DECONTAMINATION, "op3_substring_dedup": oracles.REPEATS, "op10_jaccard": oracles.JACCARD, "op11_manifest": oracles.MANIFEST}
