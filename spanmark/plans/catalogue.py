@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from spanmark.functions import codepoints as cp
 from spanmark.functions import table
+from spanmark.functions.older import ACCENTS, OLDER_LATIN, older_pattern
 from spanmark.functions.normalize import normalized
 from spanmark.functions.notation import LATIN, UTHMANI, compile_rule
 from spanmark.operators import corpus as co
-from spanmark.operators import annotations, editions, gates, render, spans
+from spanmark.operators import annotations, editions, gates, older, render, spans
 from spanmark.sources.editions import from_positions
 
 KEY = ["doc_id"]
@@ -387,9 +388,46 @@ def norm_strip(spark, sf_dir):
     return d.select("doc_id", F.translate("codepoint_stream", cp.OPTIONAL_MARKS, "").alias("stripped"))
 
 
+# rules of the older dialect: the demo rules with white space of their own, and one that is no pattern
+OLDER_RULES = [(r[0], r[2].replace(" + ", "+"), r"\s" if r[3] != "within-word" else " ?") for r in co.DEMO_RULES if r[4] != "disabled"] + [("broken.1", "[a(b]", " ")]
+_ACCENTED, _FOLDED = "".join(v[1:] for v in ACCENTS.values()), "".join(k * (len(v) - 1) for k, v in ACCENTS.items())
+_NUMBERS = [(r[0], k) for k, r in enumerate(OLDER_RULES)] + [("gone.1", 99)]
+_EXCLUDED, _UNLISTED = [1], [2]
+
+
+def _older(spark, sf_dir):
+    d = _docs(spark, sf_dir).withColumn("folded", F.translate("text", _ACCENTED, _FOLDED))
+    return older.collected(d, OLDER_RULES, KEY, OLDER_LATIN, subject="folded")
+
+
+def older_spans(spark, sf_dir):
+    return _older(spark, sf_dir).select("doc_id", "rule_id", "nth", "start_at", "end_at", F.col("fault").isNotNull().alias("faulty"))
+
+
+def _compared(spark, sf_dir):
+    """Our spans of the folded texts, theirs, and the numbers of rules that can be compared."""
+    d = _docs(spark, sf_dir).withColumn("text", F.translate("text", _ACCENTED, _FOLDED))
+    lines, rules = _rules(spark)
+    number = lambda ns: spark.createDataFrame([(n,) for n in ns], "their_id long")
+    ids = older.comparable(spark.createDataFrame(_NUMBERS, "rule_id string, their_id long"), number(_EXCLUDED), number(_UNLISTED), lines)
+    return spans.analyzed(d, rules, KEY), _older(spark, sf_dir).where("fault is null"), ids
+
+
+def older_agreement(spark, sf_dir):
+    ours, theirs, ids = _compared(spark, sf_dir)
+    numbered = theirs.join(F.broadcast(spark.createDataFrame(_NUMBERS, "rule_id string, their_id long")), "rule_id").select("their_id", "doc_id")
+    return gates.agreement(ours, numbered, ids)
+
+
+def older_differential(spark, sf_dir):
+    ours, theirs, ids = _compared(spark, sf_dir)
+    known = F.broadcast(ids.select("rule_id"))
+    return older.driven(ours.join(known, "rule_id", "left_semi"), theirs.where("start_at is not null").join(known, "rule_id", "left_semi"))
+
+
 _QUERIES = {
     "rule_incidence": flagship,
-    **{f.__name__: f for f in (span_extract, span_native, span_slice, resolve_overlaps, html_render, ansi_render, start_from_study, start_from_total, describe_difference, pack_unpack, matches_flag, only_filter, school_filter, incidence_digest, summary_per_doc, first_appearance, lineage_rollup, status_counts, gaps, rule_search, constraints, lineage_strict, lineage_left, edition_digest, edition_compare, edition_only_left, first_difference, char_census, unknown_chars, byte_offsets, drift_check, expectations, differential_span, frozen_regression, zero_width, positional_import, span_marked, norm_full, norm_strip, edition_block_digest, incidence_block_digest, stable_filter, topic_toggle, review_marks, rules_standing, rule_lineage, explain_rule, incidence_change, pinned_counts, rule_samples, frozen_rules, ill_formed_spans, unequal_editions, rule_agreement, annotated_refs, annotation_totals, ayah_lists, code_point_dump, table_function, expected_chars, unknown_marks, fold_marks)},
+    **{f.__name__: f for f in (older_spans, older_agreement, older_differential, span_extract, span_native, span_slice, resolve_overlaps, html_render, ansi_render, start_from_study, start_from_total, describe_difference, pack_unpack, matches_flag, only_filter, school_filter, incidence_digest, summary_per_doc, first_appearance, lineage_rollup, status_counts, gaps, rule_search, constraints, lineage_strict, lineage_left, edition_digest, edition_compare, edition_only_left, first_difference, char_census, unknown_chars, byte_offsets, drift_check, expectations, differential_span, frozen_regression, zero_width, positional_import, span_marked, norm_full, norm_strip, edition_block_digest, incidence_block_digest, stable_filter, topic_toggle, review_marks, rules_standing, rule_lineage, explain_rule, incidence_change, pinned_counts, rule_samples, frozen_rules, ill_formed_spans, unequal_editions, rule_agreement, annotated_refs, annotation_totals, ayah_lists, code_point_dump, table_function, expected_chars, unknown_marks, fold_marks)},
 }
 
 
@@ -436,6 +474,23 @@ n10 as (select doc_id, array_to_string(list_transform(range(1, len(c) + 1), lamb
 n13 as (select doc_id, regexp_replace(t, '{cp.SHADDA}([{vowels}])', '\\1{cp.SHADDA}', 'g') t from n10)"""
 
 
+def _older_cte() -> str:
+    """older: the older engine's spans and the matches without any (nth 0), of documents in lower case."""
+    low = "(select doc_id, lower(text) as text from documents)"
+    hits = "\nunion all ".join(f"select doc_id, {_text(i)} rule_id, regexp_extract_all(folded, {_text(older_pattern(c, w, OLDER_LATIN))}) f from fd" for i, c, w in OLDER_RULES if i != "broken.1")
+    arms = " ".join(f"when {_text(k)} then {_text('(?:' + '|'.join(v) + ')')}" for k, v in ACCENTS.items())
+    wild = "array_to_string(list_transform(list_filter(string_split(f, ''), lambda c: c <> ''), lambda c: case c " + arms + " else regexp_replace(c, '([^\\p{L}\\p{N}\\s])', '\\\\\\1') end || '[*%]*'), '')"
+    return f"""fd as (select doc_id, text, translate(text, '{_ACCENTED}', '{_FOLDED}') folded from {low}),
+hs as ({hits}),
+hu as (select doc_id, rule_id, unnest(f) f, unnest(range(1, len(f) + 1)) k from hs where len(f) > 0),
+hd as (select doc_id, rule_id, f, min(k) k from hu group by 1, 2, 3),
+hp as (select doc_id, rule_id, k, string_split(regexp_replace(text, '(' || {wild} || '[.,]*)', chr(1) || '\\1' || chr(2), 'g'), chr(1)) p from hd join fd using (doc_id)),
+hx as (select doc_id, rule_id, k, unnest(p) x, unnest(range(1, len(p) + 1)) j from hp),
+hy as (select *, coalesce(sum(length(replace(x, chr(2), ''))) over (partition by doc_id, rule_id, k order by j rows between unbounded preceding and 1 preceding), 0) b from hx),
+hz as (select doc_id, rule_id, row_number() over (partition by doc_id, rule_id order by k, j) nth, cast(b as bigint) start_at, cast(b + instr(x, chr(2)) - 1 as bigint) end_at from hy where j > 1),
+older as (select * from hz union all select distinct doc_id, rule_id, 0, cast(null as bigint), cast(null as bigint) from hd where (doc_id, rule_id) not in (select (doc_id, rule_id) from hz))"""
+
+
 def oracles() -> dict[str, str]:
     enabled = [r for r in co.DEMO_RULES if r[4] != "disabled"]
     low = "(select doc_id, lower(text) as text, lang, source from documents)"
@@ -465,7 +520,12 @@ s{k} as (select doc_id, rule_id, cast(begun as bigint) start_at, cast(begun + in
     headed = f"select rule_id, length(slice) as was, case {arms} else length(slice) end as becomes from ({slices}) where rule_id in ({', '.join(_text(r) for r, _ in _heads('re2'))})"
     norm = _normalised(low)
     shrinks = "count(*) matches, count_if(becomes < was) shrunk, cast(sum(was) as bigint) code_points_now, cast(sum(becomes) as bigint) code_points_then"
+    folded = f"(select doc_id, translate(text, '{_ACCENTED}', '{_FOLDED}') as text from {low})"
+    asked = ", ".join(_text(i) for i, n in _NUMBERS if n not in _EXCLUDED + _UNLISTED and i in pattern)
     return {
+        "older_spans": f"with {_older_cte()} select *, false faulty from older union all select null, 'broken.1', null, null, null, true",
+        "older_agreement": f"with {cte(folded)}, {_older_cte()}, a as (select distinct rule_id, doc_id, 1 x from s where rule_id in ({asked})), b as (select distinct rule_id, doc_id, 1 y from older where rule_id in ({asked})) select rule_id, count(x + y) \"both\", count_if(y is null) only_ours, count_if(x is null) only_theirs from a full join b using (rule_id, doc_id) group by 1",
+        "older_differential": f"with {cte(folded)}, {_older_cte()}, t as (select distinct doc_id, rule_id, start_at, end_at, 1 y from older where start_at is not null and rule_id in ({asked})), a as (select s.*, 1 x from s where (doc_id, rule_id) in (select (doc_id, rule_id) from t)) select rule_id, count(x + y) \"both\", count_if(y is null) only_ours, count_if(x is null) only_theirs from a full join t using (doc_id, rule_id, start_at, end_at) group by 1",
         "start_from_study": f"{s} select rule_id, {shrinks} from ({headed}) group by 1",
         "start_from_total": f"{s} select {shrinks} from ({headed})",
         "rule_incidence": f"{s} {told}",
