@@ -56,15 +56,17 @@ def references(found: DataFrame, passages: DataFrame, ref: str = "ref") -> DataF
 
 def totals(found: DataFrame, passages: DataFrame, ref: str = "ref") -> DataFrame:
     """One row: passages, those with spans, and spans."""
-    return references(found, passages, ref).agg(F.count(F.lit(1)).alias("passages"), F.count_if("annotated").alias("annotated"))
+    per = found.groupBy(ref).agg(F.count(F.lit(1)).alias("spans"))
+    rows = passages.select(ref).join(per, ref, "left")
+    return rows.agg(F.count(F.lit(1)).alias("passages"), F.count("spans").alias("annotated"), F.coalesce(F.sum("spans"), F.lit(0)).cast("long").alias("spans"))
 
 
 def asked(passages: DataFrame, refs: list[str], ref: str = "ref") -> DataFrame:
     """The passages of refs, in the order given; one that isn't there is an error."""
     wanted = passages.sparkSession.createDataFrame(list(enumerate(refs)), f"nth long, {ref} string")
     rows = wanted.join(passages.withColumn("there", F.lit(True)), ref, "left")
-    known = F.when(F.col("there"), F.col(ref)).otherwise(F.raise_error(F.concat(F.lit("no passage "), F.col(ref))))
-    return rows.select("nth", known.alias(ref), *(c for c in passages.columns if c != ref)).orderBy("nth")
+    known = F.when(F.col("there"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no passage "), F.col(ref))).cast("boolean"))
+    return rows.where(known).select("nth", ref, *(c for c in passages.columns if c != ref)).orderBy("nth")
 
 
 def inline(spark: SparkSession, text: str) -> DataFrame:

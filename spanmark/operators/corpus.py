@@ -83,8 +83,8 @@ def lineage(corpus: dict[str, DataFrame], how: str = "strict") -> DataFrame:
     if how != "strict":
         return out
     lost = F.concat(F.lit("rule "), F.col("rule_id"), F.lit(": no ruling "), F.col("ruling_id"), F.lit(" or no category of it"))
-    known = F.when(F.col("has ruling").isNotNull() & F.col("has category").isNotNull(), F.col("rule_id")).otherwise(F.raise_error(lost))
-    return joined.select(known.alias("rule_id"), *out.columns[1:])
+    known = F.when(F.col("has ruling").isNotNull() & F.col("has category").isNotNull(), F.lit(True)).otherwise(F.raise_error(lost).cast("boolean"))
+    return joined.where(known).select(*out.columns)  # a filter, which no later choice of columns prunes
 
 
 def stable(lines: DataFrame) -> DataFrame:
@@ -109,9 +109,10 @@ def standing(rules: DataFrame) -> DataFrame:
 
 
 def found_or_fail(rows: DataFrame, message: str) -> DataFrame:
-    """rows, or an error where there is none: one more row that can't be made stands for their absence."""
-    none = rows.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.raise_error(F.lit(message)).cast("string").alias("fault"))
-    return rows.join(none, F.lit(True), "left").where("fault is null").drop("fault")
+    """rows, or a LookupError at once where there is none; for tables as small as a corpus."""
+    if rows.isEmpty():
+        raise LookupError(message)
+    return rows
 
 
 def labels_of(corpus: dict[str, DataFrame], ids: DataFrame) -> DataFrame:
@@ -159,10 +160,10 @@ def originals(corpus: dict[str, DataFrame]) -> frozenset[str]:
 
 
 def search(rules: DataFrame, query: str) -> DataFrame:
-    """Rules whose id or ruling contains the query in any case, or whose label has it as it is."""
+    """Rules whose id or ruling contains the query in any case, or whose label has it as it is; none is an error."""
     q = query.lower()
     in_label = F.exists(F.map_values("label"), lambda v: v.contains(query))
-    return rules.where(F.lower("id").contains(q) | F.lower("ruling").contains(q) | in_label)
+    return found_or_fail(rules.where(F.lower("id").contains(q) | F.lower("ruling").contains(q) | F.coalesce(in_label, F.lit(False))), f"no rule has {query}")
 
 
 def gaps(rules: DataFrame) -> DataFrame:

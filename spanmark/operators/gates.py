@@ -30,8 +30,8 @@ def violations(corpus: dict[str, DataFrame]) -> DataFrame:
         told("ruling-without-rule", rulings.join(rules.select(F.col("ruling").alias("id")), "id", "left_anti")),
         told("namespace", rules.where(~F.col("id").startswith(F.concat("ruling", F.lit("."))))),
         told("scope", rules.where((groups == 1) & (F.col("scope") != "within-word") & ~F.col("gap").eqNullSafe("not-a-pattern"))),
-        told("brackets", rules.where(depth != 0)),
-        told("gap-status", rules.where((F.col("status") == "disabled") != F.col("gap").isNotNull())),
+        told("brackets", rules.where((depth != 0) & ~F.col("gap").eqNullSafe("not-a-pattern"))),
+        told("gap-status", rules.where((F.col("status") == "disabled") & F.col("gap").isNull() | (F.col("status") == "stable") & F.col("gap").isNotNull())),
         told("open-dispute-stable", rules.where(dispute & ~settled & (F.col("status") == "stable"))),
         told("disputed-without-record", rules.where((F.col("status") == "disputed") & ~dispute)),
         told("settled-but-disputed", rules.where((F.col("status") == "disputed") & settled)),
@@ -55,12 +55,13 @@ def undescribed(rules: DataFrame, checks: list[tuple[str, list[str], str]], lang
     """id, check: enabled rules whose label has one of a check's phrases while no alternative is one of its letters,
     bare or followed by `sakin`. checks: name, phrases, letters. Patterns are a few hundred and parsed on the driver."""
     rows = rules.where("status <> 'disabled'").select("id", "pattern_case", F.coalesce(F.col("label")[language], F.lit("")).alias("label"))
-    alternatives = F.udf(lambda case: [a for group in parse(case, profile) for a in group], "array<string>")("pattern_case")
+    parsed = [(r["id"], r["label"], [a for group in parse(r["pattern_case"], profile) for a in group]) for r in rows.collect()]
+    rows = rules.sparkSession.createDataFrame(parsed, "id string, label string, alternatives array<string>")
     told = []
     for name, phrases, letters in checks:
         mentioned = F.exists(F.array(*map(F.lit, phrases)), lambda x: F.contains(F.col("label"), x))
         wanted = F.array(*(F.lit(x + end) for x in letters for end in dict.fromkeys(("", sakin))))
-        told.append(rows.where(mentioned).where(~F.arrays_overlap(alternatives, wanted)).select("id", F.lit(name).alias("check")))
+        told.append(rows.where(mentioned).where(~F.arrays_overlap("alternatives", wanted)).select("id", F.lit(name).alias("check")))
     return reduce(DataFrame.union, told)
 
 
@@ -115,11 +116,12 @@ def agreement(ours: DataFrame, theirs: DataFrame, ids: DataFrame, key: str = "do
 
 
 def drift(baseline: DataFrame, actual: DataFrame, low: float = 0.5, high: float = 2.0, least: int = 20) -> DataFrame:
-    """rule_id, occurrences of both, severity: a rule that was common and is gone is a problem, a large change a warning."""
-    b = baseline.select("rule_id", F.col("occurrences").alias("expected"))
-    both = b.join(actual.select("rule_id", F.col("occurrences").alias("found")), "rule_id", "left").withColumn("found", F.coalesce("found", F.lit(0).cast("long")))
+    """rule_id, passages that it matches in both, severity: of rules that matched at least `least` passages, one that matches none is a
+    problem and one that matches far less or more a warning."""
+    b = baseline.select("rule_id", F.col("passages").alias("expected"))
+    both = b.join(actual.select("rule_id", F.col("passages").alias("found")), "rule_id", "left").withColumn("found", F.coalesce("found", F.lit(0).cast("long")))
     ratio = F.try_divide("found", "expected")
-    severity = F.when((F.col("expected") >= least) & (F.col("found") == 0), "problem").when((ratio < low) | (ratio > high), "warning").otherwise("ok")
+    severity = F.when(F.col("expected") < least, "ok").when(F.col("found") == 0, "problem").when((ratio < low) | (ratio > high), "warning").otherwise("ok")
     return both.select("rule_id", "expected", "found", severity.alias("severity"))
 
 

@@ -115,8 +115,9 @@ def byte_ends(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str]
 
 def find_spans_native(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], subject: str = "text") -> DataFrame:
     """The same in Spark's own functions, for a few literal patterns of the Java dialect: matches are fenced with
-    control characters, which texts must not hold, and places are running sums of the pieces between."""
-    marked = F.array(*(F.struct(F.lit(i).alias("rule_id"), F.regexp_replace(F.col(subject), p, "\x01$0\x02").alias("m")) for i, p in rules))
+    control characters (a text that holds one is an error), and places are running sums of the pieces between."""
+    clear = F.when(F.col(subject).rlike("[\x01\x02]"), F.raise_error(F.lit("a text holds the control characters that fence matches"))).otherwise(F.col(subject))
+    marked = F.array(*(F.struct(F.lit(i).alias("rule_id"), F.regexp_replace(clear, p, "\x01$0\x02").alias("m")) for i, p in rules))
     rows = passages.select(*keys, F.explode(marked).alias("r")).select(*keys, "r.rule_id", F.split("r.m", "\x01").alias("pieces"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,z:int>>").alias("spans"))
 
@@ -205,8 +206,9 @@ def block_digest(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def packed(spans: DataFrame, rule_ids: list[str], keys: list[str]) -> DataFrame:
-    """Per passage its spans as [start, end, index in rule_ids], in order; passages without spans are absent."""
-    index = F.array_position(F.array(*map(F.lit, rule_ids)), F.col("rule_id")) - 1
+    """Per passage its spans as [start, end, index in rule_ids], in order; passages without spans are absent. A rule outside rule_ids is an error."""
+    at = F.array_position(F.array(*map(F.lit, rule_ids)), F.col("rule_id"))
+    index = F.when(at > 0, at - 1).otherwise(F.raise_error(F.concat(F.lit("the dictionary has no rule "), F.coalesce("rule_id", F.lit("null")))))
     return spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.array(F.col("start_at"), F.col("end_at"), index))).alias("spans"))
 
 

@@ -210,8 +210,9 @@ def byte_offsets(spark, sf_dir):
 def drift_check(spark, sf_dir):
     """Odd passages against even ones; both counts come from one pass over the texts."""
     lines, found = _spans(spark, sf_dir)
-    told = lines.select("rule_id").join(found.groupBy("rule_id").agg(*(F.count_if(F.col("doc_id") % 2 == k).alias(n) for k, n in enumerate(("even", "odd")))), "rule_id", "left").fillna(0)
-    return gates.drift(told.select("rule_id", F.col("even").alias("occurrences")), told.select("rule_id", F.col("odd").alias("occurrences")))
+    per = found.groupBy("rule_id", "doc_id").agg(F.count(F.lit(1)))
+    told = lines.select("rule_id").join(per.groupBy("rule_id").agg(*(F.count_if(F.col("doc_id") % 2 == k).alias(n) for k, n in enumerate(("even", "odd")))), "rule_id", "left").fillna(0)
+    return gates.drift(told.select("rule_id", F.col("even").alias("passages")), told.select("rule_id", F.col("odd").alias("passages")))
 
 
 def expectations(spark, sf_dir):
@@ -246,11 +247,12 @@ def zero_width(spark, sf_dir):
 
 def positional_import(spark, sf_dir):
     """Items cut into words that stand one after another, at positions of their own, and put together again; every
-    seventh word has a mark after it."""
+    seventh word has a mark after it, every fifth two marks, the first of them before it."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.split("text", " ").alias("words"))
     starts = items.select(F.col("item_id").alias("ref"), F.shiftleft(F.col("item_id").cast("long"), 32).alias("start"))  # room for any item
     words = items.select("item_id", F.posexplode("words").alias("p", "word")).select((F.shiftleft(F.col("item_id").cast("long"), 32) + F.col("p")).alias("pos"), "word", "p")
-    marks = words.where("p % 7 = 3").select("pos", F.lit(0).alias("k"), F.lit("after").alias("side"), F.lit("*").alias("sign"))
+    mark = lambda where, k, side, sign: words.where(where).select("pos", F.lit(k).alias("k"), F.lit(side).alias("side"), F.lit(sign).alias("sign"))
+    marks = mark("p % 7 = 3", 0, "after", "*").union(mark("p % 5 = 2", 1, "before", "~")).union(mark("p % 5 = 2", 2, "before", "+"))
     return from_positions(words.select("pos", "word"), starts, marks)
 
 
@@ -546,17 +548,17 @@ s{k} as (select doc_id, rule_id, cast(begun as bigint) start_at, cast(begun + in
         "lineage_strict": "select r_name, n_name, count(*) customers from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1, 2",
         "lineage_left": "select n_name, count(s_suppkey) suppliers from nation left join supplier on n_nationkey = s_nationkey group by 1",
         "edition_digest": f"select lang, count(*) passages, sha256(string_agg(cast(doc_id as varchar) || chr(0) || text, chr(1) order by doc_id)) digest from {low} group by 1",
-        "edition_compare": f"with b as (select a.text a, b.text b from {low} a join {other} b using (doc_id)) select count(*) shared, count_if(a = b) identical, count_if(translate(a, 'é', 'e') = translate(b, 'é', 'e')) alike_accents, count_if(translate(a, 'éy', 'ee') = translate(b, 'éy', 'ee')) alike_vowels from b",
+        "edition_compare": f"with b as (select a.text a, b.text b from {low} a join {other} b using (doc_id)) select count(*) shared, count_if(a = b) identical, count_if(a = b) alike_folded, count_if(translate(a, 'é', 'e') = b) alike_accents, count_if(translate(a, 'éy', 'ee') = b) alike_vowels from b",
         "edition_only_left": f"select doc_id from {low} where doc_id not in (select doc_id from {other})",
         "first_difference": f"with p as (select doc_id, a.text x, b.text y, list_min(list_filter(range(0, greatest(length(a.text), length(b.text)) + 1), lambda i: substring(a.text, i + 1, 1) <> substring(b.text, i + 1, 1))) as k from {low} a join {other} b using (doc_id) where a.text <> b.text) select doc_id, cast(k as bigint) as at, {_near('x')} left_near, {_near('y')} right_near from p",
         "char_census": " union all ".join(f"select '{c}' ch, cast(sum(length(text) - length(replace(text, '{c}', ''))) as bigint) n from {low}" for c in "aeéüñ."),
         "unknown_chars": f"select ch, count(*) n from (select unnest(string_split(regexp_replace(text, '[a-z0-9 .,\\n]', '', 'g'), '')) ch from {low}) where ch <> '' group by 1",
-        "drift_check": f"{s}, b as (select rule_id, coalesce(count(doc_id) filter (where doc_id % 2 = 0), 0) expected, coalesce(count(doc_id) filter (where doc_id % 2 = 1), 0) found from {line} l left join s using (rule_id) group by 1) select rule_id, expected, found, case when expected >= 20 and found = 0 then 'problem' when expected > 0 and (found < 0.5 * expected or found > 2 * expected) then 'warning' else 'ok' end severity from b",
+        "drift_check": f"{s}, b as (select rule_id, count(distinct doc_id) filter (where doc_id % 2 = 0) expected, count(distinct doc_id) filter (where doc_id % 2 = 1) found from {line} l left join s using (rule_id) group by 1) select rule_id, expected, found, case when expected < 20 then 'ok' when found = 0 then 'problem' when found < 0.5 * expected or found > 2 * expected then 'warning' else 'ok' end severity from b",
         "expectations": f"{s}, h as (select distinct doc_id from s where rule_id = 'pair.2') select 'pair.2' rule_id, doc_id, 'missing' fault from labels where quality = 1 and doc_id not in (select doc_id from h) union all select 'pair.2', doc_id, 'unwanted' from labels where not quality = 1 and doc_id in (select doc_id from h)",
         "differential_span": f"{s}, {cte(other, '2')} select rule_id, count(s.doc_id + s2.doc_id) \"both\", count_if(s2.doc_id is null) only_ours, count_if(s.doc_id is null) only_theirs from s full join s2 using (doc_id, rule_id, start_at, end_at) group by 1",
         "frozen_regression": f"select doc_id, substring(sha256(a.text), 1, 16) frozen, substring(sha256(b.text), 1, 16) actual from {low} a left join {other} b using (doc_id) where substring(sha256(a.text), 1, 16) is distinct from substring(sha256(b.text), 1, 16)",
         "zero_width": f"{s} select rule_id, count(*) n from s where end_at <= start_at group by 1",
-        "positional_import": "select item_id ref, array_to_string(list_transform(string_split(text, ' '), lambda w, i: case when i % 7 = 4 then w || '*' else w end), ' ') text from benchmark",
+        "positional_import": "select item_id ref, array_to_string(list_transform(string_split(text, ' '), lambda w, i: case when i % 5 = 3 then '+ ~ ' else '' end || w || case when i % 7 = 4 then '*' else '' end), ' ') text from benchmark",
         "stable_filter": f"{s} select * from ({told}) where rule_id in ({', '.join(_text(r[0]) for r in enabled if r[4] == 'stable')})",
         "topic_toggle": f"{s} select * from ({told}) where topic_id = 'sounds'",
         "review_marks": f"select id, case status when 'disabled' then 'x' when 'disputed' then '!' else ' ' end mark from {rules}",
@@ -571,7 +573,7 @@ s{k} as (select doc_id, rule_id, cast(begun as bigint) start_at, cast(begun + in
         "unequal_editions": f"with a as (select doc_id, substring(sha256(text), 1, 16) digest from {low}), b as (select doc_id, substring(sha256(text), 1, 16) digest from {other}) select *, 'left' side from (from a except all from b) union all select *, 'right' from (from b except all from a)",
         "rule_agreement": f"{s}, {cte(other, '2')}, a as (select distinct rule_id, doc_id, 1 x from s where rule_id not in ('th.1', 'th.2')), b as (select distinct rule_id, doc_id, 1 y from s2 where rule_id not in ('th.1', 'th.2')) select rule_id, count(x + y) \"both\", count_if(y is null) only_ours, count_if(x is null) only_theirs from a full join b using (rule_id, doc_id) group by 1",
         "annotated_refs": f"{s} select concat_ws(':', doc_id // 100 + 1, doc_id % 100 + 1) as ref, doc_id in (select doc_id from s) annotated from d",
-        "annotation_totals": f"{s} select count(*) passages, count_if(doc_id in (select doc_id from s)) annotated from d",
+        "annotation_totals": f"{s} select count(*) passages, count_if(doc_id in (select doc_id from s)) annotated, (select count(*) from s) spans from d",
         "ayah_lists": "select doc_id // 100 surah, string_agg(cast(doc_id % 100 as varchar), ',' order by doc_id) ayahs from documents group by 1",
         "code_point_dump": f"select item_id, array_to_string(list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: (case when c = ' ' then '{chr(0x2423)}' else c end) || '=' || printf('%04X', unicode(c))), ' ') dump from benchmark",
         "table_function": "with p as (select item_id, string_split(regexp_replace(text, '[aeiou]+t', chr(1) || '\\0' || chr(2), 'g'), chr(1)) p from benchmark), u as (select item_id, unnest(p) x, unnest(range(1, len(p) + 1)) k from p), o as (select *, coalesce(sum(length(replace(x, chr(2), ''))) over (partition by item_id order by k rows between unbounded preceding and 1 preceding), 0) b from u) select item_id, cast(b as bigint) start_at, cast(b + instr(x, chr(2)) - 1 as bigint) end_at from o where k > 1",

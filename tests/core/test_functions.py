@@ -6,10 +6,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from spanmark.functions.normalize import normalized, normalized_batch, source_range
+from spanmark.functions.normalize import hamzas, normalized, normalized_batch, source_range
 from spanmark.functions.notation import LATIN, UTHMANI, bracket_fault, compile_rule, parse
 from spanmark.operators import annotations, corpus, editions, gates, render, spans
-from spanmark.sources.editions import from_positions, import_passages, read_edition
+from spanmark.sources.editions import as_of, from_positions, import_passages, read_edition
 from spanmark.streaming import annotate
 
 VECTORS = """
@@ -45,6 +45,14 @@ SAME = """
 0644 0651 064F 0648 0646 = 0644 064F 0651 0648 0646
 0631 06EA 0649 0670 = 0631 065C 0649 0670
 """
+# a maddah after a tatweel is a base of its own, and so is one between two hamzas: normalised texts before implied marks
+HAMZAS = """
+0640 0653 0654 > 0640 0653 0621
+0628 0654 0653 0654 > 0628 0621 0653 0621
+0628 064E 0654 0650 > 0628 064E 0621 0650
+0628 0650 0654 0627 > 0628 0621 0650 0627
+0644 0670 0652 0654 0646 > 0644 0652 0621 0670 0646
+"""
 
 
 def chars(hexes):
@@ -55,6 +63,12 @@ def told(text):
     return " ".join(f"{ord(c):04X}" for c in text)
 
 
+def test_hamza_vectors():
+    for before, after in (line.split(" > ") for line in HAMZAS.strip().split("\n")):
+        text, source = hamzas(chars(before))
+        assert told(text) == after and len(source) == len(text), before
+
+
 def test_normalisation_vectors(spark):
     pairs = [line.split(" > ") for line in VECTORS.strip().split("\n")]
     same = [line.split(" = ") for line in SAME.strip().split("\n")]
@@ -213,9 +227,31 @@ def test_gates_can_fail(spark):
     assert gates.violations(demo).collect() == []
     bad = demo | {"rules": demo["rules"].union(spark.createDataFrame([("th.1", "gone", "[a", "either", "normalized", "stable", "x", None, False, {"en": "x"}, None, None)], corpus.RULE))}
     assert {r["gate"] for r in gates.violations(bad).collect()} == {"unique-rule", "rule-without-ruling", "namespace", "scope", "brackets", "gap-status"}
-    flat = spark.createDataFrame([("r", 30), ("q", 10), ("s", 5)], "rule_id string, occurrences long")
-    gone = spark.createDataFrame([("q", 4), ("s", 5)], "rule_id string, occurrences long")
-    assert {r["rule_id"]: r["severity"] for r in gates.drift(flat, gone).collect()} == {"r": "problem", "q": "warning", "s": "ok"}
+    flat = spark.createDataFrame([("r", 30), ("q", 10), ("s", 5), ("t", 20), ("u", 40), ("v", 19)], "rule_id string, passages long")
+    gone = spark.createDataFrame([("q", 4), ("t", 9), ("u", 20), ("s", 500)], "rule_id string, passages long")
+    assert {r["rule_id"]: r["severity"] for r in gates.drift(flat, gone).collect()} == {"r": "problem", "q": "ok", "s": "ok", "t": "warning", "u": "ok", "v": "ok"}
+    more = [("th.8", "th", "[a", "within-word", "normalized", "disabled", "not-a-pattern", None, False, {}, None, None), ("th.9", "th", "a", "within-word", "normalized", "disputed", "lookahead", None, False, {}, ("f", "r", [], None), None)]
+    assert gates.violations(demo | {"rules": demo["rules"].union(spark.createDataFrame(more, corpus.RULE))}).collect() == []
+
+
+def test_errors_are_not_pruned_away(spark):
+    demo = corpus.demo(spark)
+    with pytest.raises(LookupError, match="none.9"):
+        corpus.explained(demo, "none.9")
+    with pytest.raises(LookupError, match="qqq"):
+        corpus.search(demo["rules"], "qqq")
+    lost = demo | {"rules": demo["rules"].union(spark.createDataFrame([("x.1", "gone", "[a]", "either", "normalized", "stable", None, None, False, {"en": "x"}, None, None)], corpus.RULE))}
+    with pytest.raises(Exception, match="x.1"):
+        corpus.lineage(lost).count()
+    docs = spark.createDataFrame([("1:1", "a")], "ref string, text string")
+    assert annotations.asked(docs, ["1:1"]).count() == 1
+    with pytest.raises(Exception, match="no passage 9:9"):
+        annotations.asked(docs, ["1:1", "9:9"]).count()
+    found = spark.createDataFrame([(1, "a", 0, 1)], "doc_id long, rule_id string, start_at long, end_at long")
+    with pytest.raises(Exception, match="no rule a"):
+        spans.packed(found, ["b"], ["doc_id"]).collect()
+    with pytest.raises(Exception, match="control characters"):
+        spans.find_spans_native(spark.createDataFrame([(1, "a\x02th th")], "doc_id long, text string"), [("th", "th")], ["doc_id"]).collect()
 
 
 def test_edition_digest_is_ordered_by_number(spark):
@@ -237,10 +273,51 @@ def test_sources(spark, tmp_path):
     for body in ('{"1:1": "x", "1:2": "y"}', '[{"surah": 1, "ayah": 1, "text": "x"}, {"surah": 1, "ayah": 2, "text": "y"}]', '[{"chapter": 1, "verse": 1, "arabic": "x"}, {"chapter": 1, "verse": 2, "arabic": "y"}]', '{"1": {"1": "x", "2": "y"}}'):
         (tmp_path / "i.json").write_text(body)
         assert sorted((r["ref"], r["text"]) for r in import_passages(spark, str(tmp_path / "i.json"), "e").collect()) == [("1:1", "x"), ("1:2", "y")], body
+    for body in ('{"1:1": 5, "1:2": "b"}', '{"1:1": "x", "2": {"1": "y"}}', '{"1": {"1": 3}}', '[{"surah": 1, "text": "x"}]', '[{"surah": 1, "ayah": 1, "text": null}]', '{"a:1": "x"}', "{}", "[]", '"text"', "[4]"):
+        (tmp_path / "i.json").write_text(body)
+        with pytest.raises(Exception, match="could not read|no passages|neither"):
+            import_passages(spark, str(tmp_path / "i.json"), "e").collect()
+    (tmp_path / "i.json").write_text('[{"surah": "01", "ayah": 1, "text": "x"}, {"surah": 1, "ayah": 1, "text": "later"}]')
+    assert [(r["ref"], r["text"]) for r in import_passages(spark, str(tmp_path / "i.json"), "e").collect()] == [("1:1", "later")]
     words = spark.createDataFrame(list(enumerate("a b c d e".split())), "pos long, word string")
     starts = spark.createDataFrame([(0, "1:1"), (2, "1:2")], "start long, ref string")
     marks = spark.createDataFrame([(1, 0, "after", "!"), (2, 0, "before", "~")], "pos long, k int, side string, sign string")
-    assert sorted(tuple(r) for r in from_positions(words, starts, marks).collect()) == [("1:1", "a b!"), ("1:2", "~ c d e")]
+    assert sorted(tuple(r) for r in from_positions(words, starts, marks, 2).collect()) == [("1:1", "a b!"), ("1:2", "~ c d e")]
+    two = spark.createDataFrame([(0, 0, "before", "1"), (0, 1, "after", "2"), (0, 2, "before", "3"), (0, 3, "after", "4")], marks.schema)
+    assert from_positions(words, starts, two).where("ref = '1:1'").first()["text"] == "3 1 a24 b"
+    with pytest.raises(ValueError, match="2 starts, but 3"):
+        from_positions(words, starts, marks, 3)
+    with pytest.raises(Exception, match="no sign"):
+        from_positions(words, starts, spark.createDataFrame([(1, 0, "after", None)], marks.schema)).collect()
+
+
+def test_as_of_equals_a_search_in_sorted_starts(spark):
+    """Dense, sparse, negative and very far positions; blocks without starts; points before all starts; equal places."""
+    import bisect
+    import random
+
+    rng = random.Random(7)
+    place = lambda: rng.choice((rng.randint(-300_000, 300_000), rng.randint(-(1 << 62), 1 << 62), rng.randint(0, 50)))
+    starts = [(place(), f"s{k:03d}") for k in range(250)]
+    points = [(place(), k) for k in range(900)] + [(p, 1000 + k) for k, (p, _) in enumerate(starts[:100])] + [(-(1 << 63), 5000), ((1 << 63) - 1, 5001)]
+    last = {}
+    for p, v in starts:
+        last[p] = max(v, last.get(p, ""))
+    at = sorted(last)
+    wanted = {k: last[at[i - 1]] if (i := bisect.bisect_right(at, p)) else None for p, k in points}
+    got = as_of(spark.createDataFrame(points, "pos long, k long"), spark.createDataFrame(starts, "pos long, v string"), "v")
+    assert {r["k"]: r["v"] for r in got.collect()} == wanted
+
+
+def test_compare_folds_both_and_rewrites_the_left(spark):
+    left = spark.createDataFrame([(1, "\u0628\u0651\u064e"), (2, "\u0622"), (3, "x\u0657"), (4, "x\u08f0"), (5, "q")], "ref int, text string")
+    right = spark.createDataFrame([(1, "\u0628\u064e\u0651"), (2, "\u0627\u0653"), (3, "x\u08f0"), (4, "x\u0657"), (6, "q")], "ref int, text string")
+    assert tuple(editions.compare(left, right, "ref", [("tanween", "\u0657", "\u08f0")]).first()) == (4, 0, 2, 3)
+
+
+def test_marks_without_declared_ones(spark):
+    docs = spark.createDataFrame([(1, "\u0628\u064e\u0628\u06e5")], "doc_id int, text string")
+    assert [tuple(r) for r in editions.surviving_marks(docs, "").collect()] == [("\u064e", 1, 1)]
 
 
 def test_rendering_joins_marks_and_pauses():
