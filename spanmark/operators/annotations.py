@@ -61,6 +61,16 @@ def totals(found: DataFrame, passages: DataFrame, ref: str = "ref") -> DataFrame
     return rows.agg(F.count(F.lit(1)).alias("passages"), F.count("spans").alias("annotated"), F.coalesce(F.sum("spans"), F.lit(0)).cast("long").alias("spans"))
 
 
+def summary(found: DataFrame, lines: DataFrame, key: str = "doc_id", name: str = "ruling_id") -> DataFrame:
+    """Per passage with spans: how many, of how many rulings, and the names of the rulings whose spans show, in the order in which they are
+    first seen. found: spans with `kept`, as from spans.analyzed. A passage's rulings are combined before the shuffle, so its spans aren't moved."""
+    of = found.join(lines.select("rule_id", "ruling_id", F.col(name).alias("name of it")), "rule_id")
+    seen = F.min(F.when(F.col("kept"), F.struct("start_at", (-F.col("end_at")).alias("back"), "rule_id")))
+    per = of.groupBy(key, "ruling_id").agg(F.count(F.lit(1)).alias("n"), seen.alias("first"), F.first("name of it").alias("name of it"))
+    shown = F.array_sort(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("first", "name of it"))))
+    return per.groupBy(key).agg(F.sum("n").alias("spans"), F.count(F.lit(1)).alias("rulings"), F.transform(shown, lambda x: x["name of it"]).alias("seen"))
+
+
 def asked(passages: DataFrame, refs: list[str], ref: str = "ref") -> DataFrame:
     """The passages of refs, in the order given; one that isn't there is an error."""
     wanted = passages.sparkSession.createDataFrame(list(enumerate(refs)), f"nth long, {ref} string")

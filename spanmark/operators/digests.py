@@ -12,31 +12,32 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 
 
-def flat(rows: DataFrame, groups: list[str], order: list[str], piece: Column, between: str) -> DataFrame:
-    """groups, n, digest: how many rows, and the SHA-256 of their pieces in order, joined; null pieces are left out.
+def flat(rows: DataFrame, groups: list[str], order: list[str], piece: Column, between: str, weight: Column | None = None) -> DataFrame:
+    """groups, n, digest: how many rows, and the SHA-256 of their pieces in order, joined; null pieces are left out. weight: a whole number,
+    of which the sum comes too.
 
     A group is sorted on disk and read row by row, so memory is bounded; its time is not, since one SHA-256 is one
     sequence: a group is a task's."""
     names = [f"group {k}" for k in range(len(groups))]
-    held = rows.select(*(F.col(g).alias(n) for g, n in zip(groups, names)), *order, piece.cast("string").alias("piece of the digest"))
-    dealt = held.repartition(*names).sortWithinPartitions(*names, *order).select(*names, "piece of the digest")
-    schema = held.select(*names).schema.add("n", "long").add("digest", "string")
+    held = rows.select(*(F.col(g).alias(n) for g, n in zip(groups, names)), *order, piece.cast("string").alias("piece of the digest"), (F.lit(0) if weight is None else weight).cast("long").alias("weight"))
+    dealt = held.repartition(*names).sortWithinPartitions(*names, *order).select(*names, "piece of the digest", "weight")
+    schema = held.select(*names).schema.add("n", "long").add("digest", "string").add("weight", "long")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, key, n, begun, sha = None, None, 0, False, hashlib.sha256()
+        kinds, key, n, heavy, begun, sha = None, None, 0, 0, False, hashlib.sha256()
 
         def row() -> pa.RecordBatch:
             columns = [pa.array([k], t) for k, t in zip(key, kinds)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([n], pa.int64()), pa.array([sha.hexdigest()])], names=[*names, "n", "digest"])
+            return pa.RecordBatch.from_arrays([*columns, pa.array([n], pa.int64()), pa.array([sha.hexdigest()]), pa.array([heavy], pa.int64())], names=[*names, "n", "digest", "weight"])
 
         for b in batches:
             kinds = [b[c].type for c in names]
-            for now, text in zip(zip(*(b[c].to_pylist() for c in names)), b["piece of the digest"]):
+            for now, text, w in zip(zip(*(b[c].to_pylist() for c in names)), b["piece of the digest"], b["weight"].to_pylist()):
                 if now != key:
                     if key is not None:
                         yield row()
-                    key, n, begun, sha = now, 0, False, hashlib.sha256()
-                n += 1
+                    key, n, heavy, begun, sha = now, 0, 0, False, hashlib.sha256()
+                n, heavy = n + 1, heavy + w
                 if text.is_valid:
                     if begun:
                         sha.update(between.encode())
@@ -46,7 +47,7 @@ def flat(rows: DataFrame, groups: list[str], order: list[str], piece: Column, be
             yield row()
 
     out = dealt.mapInArrow(hashed, schema)
-    return out.select(*(F.col(n).alias(g) for g, n in zip(groups, names)), "n", "digest")
+    return out.select(*(F.col(n).alias(g) for g, n in zip(groups, names)), "n", "digest", *["weight"] * (weight is not None))
 
 
 def by_block(rows: DataFrame, group: str, ref: str, order: list[str], piece: Column, between: str, size: int = BLOCK) -> DataFrame:

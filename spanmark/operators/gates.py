@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanmark.functions import codepoints as cp
 from spanmark.functions.notation import Profile, parse
-from spanmark.operators.spans import incidence, ordered_digest
+from spanmark.operators import digests
 
 
 def violations(corpus: dict[str, DataFrame]) -> DataFrame:
@@ -82,7 +82,16 @@ def samples(spans: DataFrame, key: str = "doc_id", most: int = 5) -> DataFrame:
 
 def frozen(spans: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """What a rule's matches are frozen as: rule_id, passages, occurrences and the digest of the passages' keys."""
-    return incidence(spans, lines, key).select("rule_id", "passages", "occurrences").join(ordered_digest(spans, key, lines), "rule_id")
+    return frozen_of(spans.groupBy("rule_id", key).agg(F.count(F.lit(1)).alias("n")), lines, key)
+
+
+def frozen_of(counts: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The same from the counts of `spans.counted`, which are read once for numbers and digest."""
+    per = counts.groupBy("rule_id", key).agg(F.sum("n").alias("n"))
+    found = digests.flat(per, ["rule_id"], [key], F.col(key), ",", F.col("n"))
+    told = lines.select("rule_id").join(found, "rule_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return told.select("rule_id", zero("n").alias("passages"), zero("weight").alias("occurrences"), F.substring(F.coalesce("digest", F.sha2(F.lit(""), 256)), 1, 16).alias("digest"))
 
 
 def thawed(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
-"""Passages with their spans marked, as HTML or for a terminal. One grouping of spans and one join; each passage is
-then written from left to right, in time linear in its length and its number of spans.
+"""Passages with their spans marked, as HTML or for a terminal: in the pass that finds the spans (`annotated`), or from a table of spans by one
+grouping and one join (`to_html`, `to_ansi`). Each passage is written from left to right, in time linear in its length and its number of spans.
 
 A null text gives a null rendering; a passage without spans is its text. Spans outside the text cover what there is of them.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -16,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanmark.functions import codepoints as cp
-from spanmark.operators.spans import LAYER, first_come, layered
+from spanmark.functions.normalize import in_parts
+from spanmark.operators.spans import LAYER, _found, first_come, layered
 
 # fixed: colours of topics, in HTML and as the terminal's 256
 COLOURS = {"tafkheem-tarqeeq": "#c2410c", "letter-relations": "#7e22ce", "noon-tanween": "#0369a1", "meem-sakinah": "#0f766e", "mushaddadatan": "#a16207", "madd": "#be123c", "qalqalah": "#15803d"}
@@ -81,8 +83,8 @@ def tag(rule: str, rules: dict[str, tuple[str, str]], colours: dict[str, str]) -
     return f'<span class="rule" data-rule="{_escaped(rule)}" data-topic="{_escaped(topic)}" style="color:{colours.get(topic, "currentColor")}" title="{told}" aria-label="{told}">'
 
 
-def html(text: str, layer: list[tuple[int, int, str]], opens: Callable[[str], str]) -> str:
-    """One passage; joiners keep letters in one shape where a boundary falls between them."""
+def html(text: str, layer: list[tuple], opens: Callable) -> str:
+    """One passage; opens is asked about the third of a layer's items, the rule or whatever stands for the span; joiners keep letters in one shape where a boundary falls between them."""
     parts = cuts(text, layer)
     joins = bool(text) and max(text) >= FIRST_JOINING
     out, bridge = [], ""
@@ -129,6 +131,38 @@ def _written(passages: DataFrame, spans: DataFrame, key: str, text: str, flatten
     return rows.mapInArrow(drawn, passages.select(key).schema.add(name, "string"))
 
 
+def annotated(passages: DataFrame, rules: list[tuple[str, str]], key: str = "doc_id", text: str = "text", original: frozenset[str] = frozenset(), told: dict[str, tuple[str, str]] | None = None, colours: dict[str, str] | None = None, describe: Callable[[pa.RecordBatch], pa.Array] | None = None, terminal: bool = False) -> DataFrame:
+    """key, html (terminal: ansi) of passages annotated with rules: spans are found, resolved and drawn in one Arrow pass, and none leaves
+    it. told: a rule's topic and description. describe: called in the workers with spans (rule_id, start_at, end_at, slice), many at once; it
+    returns the text of each, a null leaves the rule's own."""
+    told, name = told or {}, "ansi" if terminal else "html"
+    colours = (TERMINAL if terminal else COLOURS) if colours is None else colours
+    compiled = [(i, re.compile(p), i in original) for i, p in rules]
+    opening = {i: tag(i, told, colours) for i, _ in rules}
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b["text of the passage"].to_pylist()
+            out: list[str | None] = []
+            for begin, stop in in_parts(texts):
+                row, rule, start, end = _found(texts[begin:stop], compiled)
+                layers: list[list[tuple]] = [[] for _ in range(begin, stop)]
+                stay = first_come(start, end, row)
+                opens = [opening[rule[k]] for k in stay]
+                if describe and stay:
+                    of = [pa.array([rule[k] for k in stay]), pa.array([start[k] for k in stay], pa.int64()), pa.array([end[k] for k in stay], pa.int64()), pa.array([texts[begin + row[k]][start[k] : end[k]] for k in stay])]
+                    said = describe(pa.RecordBatch.from_arrays(of, names=["rule_id", "start_at", "end_at", "slice"])).to_pylist()
+                    opens = [o if t is None else tag(rule[k], {rule[k]: (told.get(rule[k], ("",))[0], t)}, colours) for k, o, t in zip(stay, opens, said, strict=True)]
+                for n, k in enumerate(stay):
+                    layers[row[k]].append((start[k], end[k], rule[k] if terminal else n))
+                draw = (lambda t, layer: ansi(t, layer, told, colours)) if terminal else (lambda t, layer, opens=opens: html(t, layer, opens.__getitem__))
+                out += [None if t is None else draw(t, layer) for t, layer in zip(texts[begin:stop], layers, strict=True)]
+            yield pa.RecordBatch.from_arrays([b[key], pa.array(out, pa.string())], names=[key, name])
+
+    rows = passages.select(key, F.col(text).cast("string").alias("text of the passage"))
+    return rows.mapInArrow(drawn, passages.select(key).schema.add(name, "string"))
+
+
 def to_html(passages: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text", rules: dict[str, tuple[str, str]] | None = None, colours: dict[str, str] | None = None, flatten: bool = True) -> DataFrame:
     """key, html. rules: a rule's topic and description. Overlapping spans are resolved first (flatten) or the first come stays."""
     rules, colours = rules or {}, COLOURS if colours is None else colours

@@ -41,31 +41,82 @@ def _found(texts: list[str | None], compiled: list[tuple[str, re.Pattern, bool]]
     return row, rule, start, end
 
 
-def analyzed(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], text: str = "text", original: frozenset[str] = frozenset(), slices: bool = False, layer: bool = False) -> DataFrame:
+def analyzed(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], text: str = "text", original: frozenset[str] = frozenset(), slices: bool = False, layer: bool = False, kept: bool = False) -> DataFrame:
     """keys, rule_id, start_at, end_at of all leftmost, non-overlapping matches in the normalised text, as ranges of
     the text itself; rules in `original` are matched on the text as it is. A passage's spans stand by start, longer
     first, then rule. slices: with the text that each covers; layer: only those that begin at or after the end of the
-    last one kept. One Arrow pass, no shuffle; a passage is read and normalised once for all rules."""
+    last one kept; kept: all, and whether they would be. One Arrow pass, no shuffle; a passage is read and normalised once for all rules."""
     compiled = [(i, re.compile(p), i in original) for i, p in rules]
-    names = [*keys, "rule_id", "start_at", "end_at", *["slice"] * slices]
+    names = [*keys, "rule_id", "start_at", "end_at", *["slice"] * slices, *["kept"] * kept]
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b["subject of rules"].to_pylist()
             for begin, stop in in_parts(texts):
                 row, rule, start, end = _found(texts[begin:stop], compiled)
+                stay = first_come(start, end, row) if layer or kept else []
+                if kept:
+                    stays = np.zeros(len(row), bool)
+                    stays[stay] = True
                 if layer:
-                    stay = first_come(start, end, row)
                     row, rule, start, end = ([x[k] for k in stay] for x in (row, rule, start, end))
                 for k in range(0, len(row), SPANS_AT_ONCE):
                     part = slice(k, k + SPANS_AT_ONCE)
-                    kept = [b[c].take(pa.array([begin + r for r in row[part]], pa.int64())) for c in keys]
+                    of = [b[c].take(pa.array([begin + r for r in row[part]], pa.int64())) for c in keys]
+                    more = [pa.array(stays[part])] if kept else []
                     cut = [pa.array([texts[begin + r][a:z] for r, a, z in zip(row[part], start[part], end[part])], pa.string())] if slices else []
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(rule[part], pa.string()), pa.array(start[part], pa.int64()), pa.array(end[part], pa.int64()), *cut], names=names)
+                    yield pa.RecordBatch.from_arrays([*of, pa.array(rule[part], pa.string()), pa.array(start[part], pa.int64()), pa.array(end[part], pa.int64()), *cut, *more], names=names)
 
     rows = passages.select(*keys, F.col(text).alias("subject of rules"))
     schema = passages.select(*keys).schema.add("rule_id", "string").add("start_at", "long").add("end_at", "long")
-    return rows.mapInArrow(spans, schema.add("slice", "string") if slices else schema)
+    schema = schema.add("slice", "string") if slices else schema
+    return rows.mapInArrow(spans, schema.add("kept", "boolean") if kept else schema)
+
+
+def _numbers(texts: list[str | None], compiled: list[tuple[str, re.Pattern, bool]]) -> np.ndarray:
+    """How many matches each rule has in each text: a row a text. Equal texts are matched once."""
+    place: dict[str, int] = {}
+    which = [place.setdefault(t or "", len(place)) for t in texts]
+    once = list(place)
+    touched = [k for k, t in enumerate(once) if is_touched(t)] if not all(as_is for *_, as_is in compiled) else []
+    subjects = list(once)
+    for k, (norm, _) in zip(touched, normalized_batch([once[k] for k in touched]) if touched else [], strict=True):
+        subjects[k] = norm
+    n = np.array([[sum(1 for _ in p.finditer(raw if as_is else norm)) for _, p, as_is in compiled] for raw, norm in zip(once, subjects, strict=True)], np.int64)
+    return n.reshape(len(once), len(compiled))[which]
+
+
+def counted(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], text: str = "text", original: frozenset[str] = frozenset(), other: str | None = None) -> DataFrame:
+    """keys, rule_id, n: how many spans `analyzed` would give for each passage and rule, where there are any. other: a second text of the
+    passage; then n and n_other, and a row where either is over 0. Only counts leave the Arrow pass, and texts that are equal within a
+    batch (both texts of an unchanged passage among them) are normalised and matched once."""
+    compiled = [(i, re.compile(p), i in original) for i, p in rules]
+    ids, columns = np.array([i for i, _ in rules], object), [c for c in (text, other) if c]
+    counts = ["n", "n_other"][: len(columns)]
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = [b[f"subject {k}"].to_pylist() for k in range(len(columns))]
+            for begin, stop in in_parts(sides[0]):
+                n = _numbers([t for side in sides for t in side[begin:stop]], compiled).reshape(len(sides), stop - begin, len(ids))
+                row, rule = np.nonzero(n.any(axis=0))
+                kept = [b[c].take(pa.array(begin + row)) for c in keys]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(ids[rule], pa.string()), *(pa.array(side[row, rule]) for side in n)], names=[*keys, "rule_id", *counts])
+
+    schema = passages.select(*keys).schema.add("rule_id", "string")
+    for c in counts:
+        schema = schema.add(c, "long")
+    return passages.select(*keys, *(F.col(c).alias(f"subject {k}") for k, c in enumerate(columns))).mapInArrow(told, schema)
+
+
+def analyzed_once(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], text: str = "text", original: frozenset[str] = frozenset()) -> DataFrame:
+    """As analyzed, for tables with many copies: each distinct text is normalised and matched once, its spans are joined back to all passages
+    that have it by the text's digest. Costs a shuffle of the distinct texts; a text's copies can be a large part of the rows, since the
+    join only multiplies what the result holds anyway."""
+    coded = passages.where(F.col(text).isNotNull()).select(*keys, F.sha2(F.col(text).cast("binary"), 256).alias("digest of the text"), F.col(text).alias("the text"))
+    once = coded.groupBy("digest of the text").agg(F.first("the text").alias("the text"))
+    found = analyzed(once, rules, ["digest of the text"], "the text", original)
+    return coded.drop("the text").join(found, "digest of the text").select(*keys, "rule_id", "start_at", "end_at")
 
 
 def find_spans(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], subject: str = "text") -> DataFrame:
@@ -180,7 +231,12 @@ def resolve(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 def incidence(spans: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per rule of lines, the ones without a span included: passages and occurrences."""
-    told = spans.groupBy("rule_id", key).agg(F.count(F.lit(1)).alias("n")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("passages"), F.sum("n").alias("occurrences"))
+    return incidence_of(spans.groupBy("rule_id", key).agg(F.count(F.lit(1)).alias("n")), lines, key)
+
+
+def incidence_of(counts: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The same from the counts of `counted`."""
+    told = counts.groupBy("rule_id", key).agg(F.sum("n").alias("n")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("passages"), F.sum("n").alias("occurrences"))
     return lines.join(told, "rule_id", "left").select("rule_id", "topic_id", F.coalesce("passages", F.lit(0)).alias("passages"), F.coalesce("occurrences", F.lit(0)).alias("occurrences"))
 
 

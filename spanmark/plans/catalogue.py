@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from spanmark.functions.older import ACCENTS, OLDER_LATIN, older_pattern
 from spanmark.functions.normalize import normalized
 from spanmark.functions.notation import LATIN, UTHMANI, compile_rule
 from spanmark.operators import corpus as co
-from spanmark.operators import annotations, editions, gates, older, render, spans
+from spanmark.operators import annotations, editions, gates, older, render, report, spans
 from spanmark.sources.editions import from_positions
 
 KEY = ["doc_id"]
@@ -34,10 +36,15 @@ def _spans(spark, sf_dir, **chosen):
     return lines, spans.analyzed(_docs(spark, sf_dir), rules, KEY, original=co.originals(co.demo(spark)))
 
 
+def _counts(spark, sf_dir, **chosen):
+    lines, rules = _rules(spark, **chosen)
+    return lines, spans.counted(_docs(spark, sf_dir), rules, KEY, original=co.originals(co.demo(spark)))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidence of every demo rule over documents."""
-    lines, found = _spans(spark, sf_dir)
-    return spans.incidence(found, lines)
+    lines, counts = _counts(spark, sf_dir)
+    return spans.incidence_of(counts, lines)
 
 
 def span_extract(spark, sf_dir):
@@ -62,13 +69,37 @@ def _told(lines):
 
 
 def html_render(spark, sf_dir):
-    lines, found = _spans(spark, sf_dir)
-    return render.to_html(_docs(spark, sf_dir), found, rules=_told(lines), colours={"letters": "#7e22ce", "sounds": "#0369a1"})
+    lines, rules = _rules(spark)
+    return render.annotated(_docs(spark, sf_dir), rules, original=co.originals(co.demo(spark)), told=_told(lines), colours=_HTML)
 
 
 def ansi_render(spark, sf_dir):
-    lines, found = _spans(spark, sf_dir)
-    return render.to_ansi(_docs(spark, sf_dir), found, rules=_told(lines), colours={"letters": 98, "sounds": 32})
+    lines, rules = _rules(spark)
+    return render.annotated(_docs(spark, sf_dir), rules, original=co.originals(co.demo(spark)), told=_told(lines), colours=_TERMINAL, terminal=True)
+
+
+def html_described(spark, sf_dir):
+    """With a callback that tells of each span how long it is, but of none of one code point or two."""
+
+    def describe(spans_of: pa.RecordBatch) -> pa.Array:
+        size = pc.subtract(spans_of["end_at"], spans_of["start_at"])
+        return pc.if_else(pc.greater(size, 2), pc.binary_join_element_wise(spans_of["slice"], pc.cast(size, pa.string()), ": "), pa.scalar(None, pa.string()))
+
+    lines, rules = _rules(spark)
+    return render.annotated(_docs(spark, sf_dir), rules, original=co.originals(co.demo(spark)), told=_told(lines), colours=_HTML, describe=describe)
+
+
+_HTML, _TERMINAL = {"letters": "#7e22ce", "sounds": "#0369a1"}, {"letters": 98, "sounds": 32}
+
+
+def span_once(spark, sf_dir):
+    return spans.analyzed_once(_docs(spark, sf_dir), _rules(spark)[1], KEY, original=co.originals(co.demo(spark)))
+
+
+def passage_summary(spark, sf_dir):
+    lines, rules = _rules(spark)
+    found = spans.analyzed(_docs(spark, sf_dir), rules, KEY, original=co.originals(co.demo(spark)), kept=True)
+    return annotations.summary(found, lines).withColumn("seen", F.array_join("seen", ","))
 
 
 # the heads of the demo rules that have more than one group
@@ -101,13 +132,13 @@ def matches_flag(spark, sf_dir):
 
 
 def only_filter(spark, sf_dir):
-    lines, found = _spans(spark, sf_dir, only=["joined", "vowel.1"])
-    return spans.incidence(found, lines)
+    lines, counts = _counts(spark, sf_dir, only=["joined", "vowel.1"])
+    return spans.incidence_of(counts, lines)
 
 
 def school_filter(spark, sf_dir):
-    lines, found = _spans(spark, sf_dir, school="north")
-    return spans.incidence(found, lines)
+    lines, counts = _counts(spark, sf_dir, school="north")
+    return spans.incidence_of(counts, lines)
 
 
 def incidence_digest(spark, sf_dir):
@@ -120,7 +151,8 @@ def incidence_block_digest(spark, sf_dir):
 
 
 def summary_per_doc(spark, sf_dir):
-    return _spans(spark, sf_dir)[1].groupBy("doc_id").agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("rule_id").alias("rules"))
+    per = _counts(spark, sf_dir)[1].groupBy("doc_id", "rule_id").agg(F.sum("n").alias("n"))
+    return per.groupBy("doc_id").agg(F.sum("n").alias("spans"), F.count(F.lit(1)).alias("rules"))
 
 
 def first_appearance(spark, sf_dir):
@@ -129,8 +161,8 @@ def first_appearance(spark, sf_dir):
 
 
 def lineage_rollup(spark, sf_dir):
-    lines, found = _spans(spark, sf_dir)
-    return found.join(lines, "rule_id").rollup("topic_id", "category_id", "ruling_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+    lines, counts = _counts(spark, sf_dir)
+    return counts.join(lines, "rule_id").rollup("topic_id", "category_id", "ruling_id", "rule_id").agg(F.sum("n").alias("n"))
 
 
 def status_counts(spark, sf_dir):
@@ -179,11 +211,53 @@ def _other(docs):
     return docs.where("doc_id % 11 <> 3").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.translate("text", "é", "e")).when(F.col("doc_id") % 5 == 0, F.replace("text", F.lit("the "), F.lit("thy "))).otherwise(F.col("text")))
 
 
+def _pairs(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", "text").join(_other(d).select("doc_id", F.col("text").alias("other")), "doc_id", "full")
+
+
+def _both_counts(spark, sf_dir):
+    """Counts of documents and of the other edition, from one pass over both texts of a passage."""
+    lines, rules = _rules(spark)
+    both = spans.counted(_pairs(spark, sf_dir), rules, KEY, original=co.originals(co.demo(spark)), other="other")
+    return lines, both.where("n > 0").select("doc_id", "rule_id", "n"), both.where("n_other > 0").select("doc_id", "rule_id", F.col("n_other").alias("n"))
+
+
 def edition_compare(spark, sf_dir):
     d = _docs(spark, sf_dir)
     return editions.compare(d, _other(d), "doc_id", [("accents", "é", "e"), ("vowels", "y", "e")])
 
 
+_CLASSES = [("accents", "é", "e"), ("vowels", "y", "e")]
+
+
+def edition_report(spark, sf_dir):
+    lines, rules = _rules(spark)
+    return report.between(_pairs(spark, sf_dir), "doc_id", _CLASSES, lines, rules, co.originals(co.demo(spark)))
+
+
+def edition_frozen(spark, sf_dir):
+    lines, rules = _rules(spark)
+    return report.frozen(_docs(spark, sf_dir), "doc_id", lines, rules, "1", "documents", co.originals(co.demo(spark)))
+
+
+def edition_regression(spark, sf_dir):
+    """Documents as they were frozen, against the other edition and a later corpus."""
+    lines, rules = _rules(spark)
+    now = report.frozen(_other(_docs(spark, sf_dir)), "doc_id", lines.where("rule_id <> 'th.1'"), rules, "2", "documents", co.originals(co.demo(spark)))
+    return report.regression(edition_frozen(spark, sf_dir), now)
+
+
+def edition_check(spark, sf_dir):
+    """The other edition against a corpus for another text: what it lacks, what it has too much, which rules have drifted from documents."""
+    lines, ours, theirs = _both_counts(spark, sf_dir)
+    per = lambda counts: spans.incidence_of(counts, lines)
+    theirs = theirs.where("rule_id <> 'pause.1' and (rule_id <> 'wild.1' or doc_id % 3 = 0)")  # one is gone, one is rarer
+    other = _other(_docs(spark, sf_dir)).withColumn("text", F.translate("text", "q", cp.FATHA))
+    expected = [("e", "e", False), (cp.QURANIC_SUKOON, "a mark", False), (cp.SMALL_WAW, "an optional mark", True)]
+    return editions.edition_faults(other, "other", "own", 1000, expected, editions.declared_marks(expected[:1], "").replace(cp.FATHA, ""), gates.drift(per(ours), per(theirs)), composed="ß")
+
+
 def edition_only_left(spark, sf_dir):
     d = _docs(spark, sf_dir)
     return d.join(_other(d).select("doc_id"), "doc_id", "left_anti").select("doc_id")
@@ -209,8 +283,8 @@ def byte_offsets(spark, sf_dir):
 
 def drift_check(spark, sf_dir):
     """Odd passages against even ones; both counts come from one pass over the texts."""
-    lines, found = _spans(spark, sf_dir)
-    per = found.groupBy("rule_id", "doc_id").agg(F.count(F.lit(1)))
+    lines, counts = _counts(spark, sf_dir)
+    per = counts.groupBy("rule_id", "doc_id").agg(F.sum("n"))
     told = lines.select("rule_id").join(per.groupBy("rule_id").agg(*(F.count_if(F.col("doc_id") % 2 == k).alias(n) for k, n in enumerate(("even", "odd")))), "rule_id", "left").fillna(0)
     return gates.drift(told.select("rule_id", F.col("even").alias("passages")), told.select("rule_id", F.col("odd").alias("passages")))
 
@@ -258,12 +332,12 @@ def positional_import(spark, sf_dir):
 
 def stable_filter(spark, sf_dir):
     lines = co.stable(co.lineage(co.demo(spark)))
-    return spans.incidence(spans.analyzed(_docs(spark, sf_dir), co.patterns(co.demo(spark), lines), KEY), lines)
+    return spans.incidence_of(spans.counted(_docs(spark, sf_dir), co.patterns(co.demo(spark), lines), KEY), lines)
 
 
 def topic_toggle(spark, sf_dir):
     lines = co.chosen_topics(co.selected(co.lineage(co.demo(spark))), ["sounds"])
-    return spans.incidence(spans.analyzed(_docs(spark, sf_dir), co.patterns(co.demo(spark), lines), KEY), lines)
+    return spans.incidence_of(spans.counted(_docs(spark, sf_dir), co.patterns(co.demo(spark), lines), KEY), lines)
 
 
 def review_marks(spark, sf_dir):
@@ -283,9 +357,8 @@ def explain_rule(spark, sf_dir):
 
 
 def incidence_change(spark, sf_dir):
-    lines, ours = _spans(spark, sf_dir)
-    theirs = spans.analyzed(_other(_docs(spark, sf_dir)), _rules(spark)[1], KEY, original=co.originals(co.demo(spark)))
-    return editions.incidence_change(spans.incidence(ours, lines), spans.incidence(theirs, lines))
+    lines, ours, theirs = _both_counts(spark, sf_dir)
+    return editions.incidence_change(spans.incidence_of(ours, lines), spans.incidence_of(theirs, lines))
 
 
 def pinned_counts(spark, sf_dir):
@@ -302,9 +375,8 @@ def rule_samples(spark, sf_dir):
 
 
 def frozen_rules(spark, sf_dir):
-    lines, ours = _spans(spark, sf_dir)
-    theirs = spans.analyzed(_other(_docs(spark, sf_dir)), _rules(spark)[1], KEY, original=co.originals(co.demo(spark)))
-    return gates.thawed(gates.frozen(ours, lines), gates.frozen(theirs, lines))
+    lines, ours, theirs = _both_counts(spark, sf_dir)
+    return gates.thawed(gates.frozen_of(ours, lines), gates.frozen_of(theirs, lines))
 
 
 def ill_formed_spans(spark, sf_dir):
@@ -429,7 +501,7 @@ def older_differential(spark, sf_dir):
 
 _QUERIES = {
     "rule_incidence": flagship,
-    **{f.__name__: f for f in (older_spans, older_agreement, older_differential, span_extract, span_native, span_slice, resolve_overlaps, html_render, ansi_render, start_from_study, start_from_total, describe_difference, pack_unpack, matches_flag, only_filter, school_filter, incidence_digest, summary_per_doc, first_appearance, lineage_rollup, status_counts, gaps, rule_search, constraints, lineage_strict, lineage_left, edition_digest, edition_compare, edition_only_left, first_difference, char_census, unknown_chars, byte_offsets, drift_check, expectations, differential_span, frozen_regression, zero_width, positional_import, span_marked, norm_full, norm_strip, edition_block_digest, incidence_block_digest, stable_filter, topic_toggle, review_marks, rules_standing, rule_lineage, explain_rule, incidence_change, pinned_counts, rule_samples, frozen_rules, ill_formed_spans, unequal_editions, rule_agreement, annotated_refs, annotation_totals, ayah_lists, code_point_dump, table_function, expected_chars, unknown_marks, fold_marks)},
+    **{f.__name__: f for f in (edition_report, edition_frozen, edition_regression, edition_check, html_described, span_once, passage_summary, older_spans, older_agreement, older_differential, span_extract, span_native, span_slice, resolve_overlaps, html_render, ansi_render, start_from_study, start_from_total, describe_difference, pack_unpack, matches_flag, only_filter, school_filter, incidence_digest, summary_per_doc, first_appearance, lineage_rollup, status_counts, gaps, rule_search, constraints, lineage_strict, lineage_left, edition_digest, edition_compare, edition_only_left, first_difference, char_census, unknown_chars, byte_offsets, drift_check, expectations, differential_span, frozen_regression, zero_width, positional_import, span_marked, norm_full, norm_strip, edition_block_digest, incidence_block_digest, stable_filter, topic_toggle, review_marks, rules_standing, rule_lineage, explain_rule, incidence_change, pinned_counts, rule_samples, frozen_rules, ill_formed_spans, unequal_editions, rule_agreement, annotated_refs, annotation_totals, ayah_lists, code_point_dump, table_function, expected_chars, unknown_marks, fold_marks)},
 }
 
 
@@ -524,7 +596,56 @@ s{k} as (select doc_id, rule_id, cast(begun as bigint) start_at, cast(begun + in
     shrinks = "count(*) matches, count_if(becomes < was) shrunk, cast(sum(was) as bigint) code_points_now, cast(sum(becomes) as bigint) code_points_then"
     folded = f"(select doc_id, translate(text, '{_ACCENTED}', '{_FOLDED}') as text from {low})"
     asked = ", ".join(_text(i) for i, n in _NUMBERS if n not in _EXCLUDED + _UNLISTED and i in pattern)
+    # r: the spans that show, one list a passage: a span stays that begins at or after the end of the last one that stayed
+    kept = "r as (select doc_id, unnest(list_reduce(list_prepend({'free': -1::bigint, 'kept': []::struct(a bigint, z bigint, rule varchar)[]}, l), lambda acc, x: case when x.kept[1].a >= acc.free then {'free': x.free, 'kept': list_concat(acc.kept, x.kept)} else acc end).kept) k from (select doc_id, list({'free': end_at, 'kept': [{'a': start_at, 'z': end_at, 'rule': rule_id}]} order by start_at, end_at desc, rule_id) l from s group by 1)), kr as (select doc_id, k.a start_at, k.z end_at, k.rule rule_id from r)"
+    esc = lambda t: f"replace(replace(replace(replace({t}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+    topics = f"select rule_id, topic_id, ruling_id || ' \u2014 ' || rule_id told from {line}"
+
+    pair = f"pr as (select doc_id, a.text x, b.text y from {low} a full join {other} b using (doc_id))"
+    brought = [("alike_folded", "x"), ("alike_accents", "translate(x, 'é', 'e')"), ("alike_vowels", "translate(x, 'éy', 'ee')")]
+    edition = lambda docs, name: f"select '{name}' as name, count(*) n, sha256(string_agg(cast(doc_id as varchar) || chr(0) || text, chr(1) order by doc_id)) digest from {docs}"
+    row = "select '{}' section, {} as name, cast({} as bigint) reference, cast({} as bigint) other, {} note from {}"
+    differ = f"(select doc_id, t, y, list_min(list_filter(range(0, greatest(length(t), length(y)) + 1), lambda i: substring(t, i + 1, 1) <> substring(y, i + 1, 1))) as k from (select doc_id, {brought[-1][1]} t, y from pr) where t <> y)"
+    told_report = " union all ".join([
+        row.format("passages", "'shared'", "count(x || y)", "null", "null", "pr"), row.format("passages", "'identical'", "count_if(x = y)", "null", "null", "pr"),
+        *(row.format("passages", f"'{n}'", f"count_if({e} = y)", "null", "null", "pr") for n, e in brought),
+        row.format("passages", "'differing'", "count(*)", "null", "null", differ), row.format("passages", "'normalised_alike'", "count_if(x = y)", "null", "null", "pr"),
+        row.format("missing", "cast(doc_id as varchar)", "null", "null", "null", "pr where y is null"), row.format("apart", "cast(doc_id as varchar)", "null", "null", "null", "pr where x <> y"),
+        row.format("differing", "cast(doc_id as varchar)", "k", "null", f"{_near('t')} || ' | ' || {_near('y')}", differ),
+        row.format("totals", "'rules'", "count(*)", "null", "null", line), row.format("totals", "'spans'", "(select count(*) from s)", "(select count(*) from s2)", "null", "range(1)"),
+        row.format("rules", "rule_id", "a", "b", "null", f"(select l.rule_id, (select count(distinct doc_id) from s where s.rule_id = l.rule_id) a, (select count(distinct doc_id) from s2 where s2.rule_id = l.rule_id) b from {line} l) where a <> b"),
+        row.format("edition", "name", "n", "null", "digest", f"({edition(low, 'reference')} union all {edition(other, 'other')})"),
+    ])
+
+    def froze(docs: str, spans_of: str, version: str, of: str) -> str:
+        short = "substring(sha256({}), 1, 16)"
+        return f"""select 'corpus' section, '{version}' as name, cast(null as bigint) passages, cast(null as bigint) occurrences, cast(null as varchar) digest
+union all select 'edition', name, n, null, digest from ({edition(docs, 'documents')})
+union all select 'normalization', cast(doc_id as varchar), null, null, {short.format('text')} from {docs}
+union all select 'incidence', rule_id, (select count(distinct doc_id) from {spans_of} q where q.rule_id = l.rule_id), n, {short.format('ids')} from ({_frozen(spans_of, of)}) l"""
+
+    fewer = _values([r for r in lines if r[0] != "th.1"], "rule_id, ruling_id, category_id, topic_id, school")
+    drifted = f"(select rule_id, (select count(distinct doc_id) from s where s.rule_id = l.rule_id) e, (select count(distinct doc_id) from s2 where s2.rule_id = l.rule_id and rule_id <> 'pause.1' and (rule_id <> 'wild.1' or doc_id % 3 = 0)) f from {line} l)"
+
+    def drawn(name: str, piece: str, other: str) -> str:
+        """The text between spans and the spans, one after another."""
+        return f"""{s}, {kept}, q as (select kr.*, topic_id, told, text, substring(text, start_at + 1, end_at - start_at) slice, coalesce(lag(end_at) over (partition by doc_id order by start_at), 0) was from kr join d using (doc_id) join ({topics}) using (rule_id)),
+g as (select doc_id, max(end_at) last, string_agg({other.format(t="substring(text, was + 1, start_at - was)")} || {piece}, '' order by start_at) body from q group by 1)
+select doc_id, coalesce(body, '') || {other.format(t="substring(text, coalesce(last, 0) + 1)")} {name} from d left join g using (doc_id)"""
+
+    colour = f"case topic_id when 'letters' then '{_HTML['letters']}' when 'sounds' then '{_HTML['sounds']}' else 'currentColor' end"
+    element = lambda told: f"'<span class=\"rule\" data-rule=\"' || rule_id || '\" data-topic=\"' || topic_id || '\" style=\"color:' || {colour} || '\" title=\"' || {told} || '\" aria-label=\"' || {told} || '\">' || {esc('slice')} || '</span>'"
     return {
+        "edition_report": f"{s}, {cte(other, '2')}, {pair} {told_report}",
+        "edition_frozen": f"{s} {froze(low, 's', '1', line)}",
+        "edition_regression": f"{s}, {cte(other, '2')}, was as ({froze(low, 's', '1', line)}), now as ({froze(other, 's2', '2', fewer)}) select section, name, case when b is null then 'not frozen' when c is null then 'gone' when was.digest is distinct from now.digest then 'digest' when was.passages is distinct from now.passages then 'passages' when was.occurrences is distinct from now.occurrences then 'occurrences' end fault from (select *, 1 b from was) was full join (select *, 1 c from now) now using (section, name) where fault is not null",
+        "edition_check": f"{s}, {cte(other, '2')}, e as (select translate(text, 'q', '{cp.FATHA}') text from {other}) select 'problem' severity, 'riwayah' fault, 'other' about union all select 'warning', 'count', cast(count(*) as varchar) from e having count(*) <> 1000 union all select 'problem', 'missing', 'a mark' union all select 'problem', 'unknown mark', 'U+064E' where (select count(*) from e where contains(text, '{cp.FATHA}')) > 0 union all select 'warning', 'composed', 'U+00DF' where (select count(*) from e where contains(text, 'ß')) > 0 union all select case when f = 0 then 'problem' else 'warning' end, 'rule', rule_id from {drifted} where e >= 20 and (f < 0.5 * e or f > 2 * e)",
+        "span_once": f"{s} select * from s",
+        "resolve_overlaps": f"{s}, {kept} select * from kr",
+        "html_render": drawn("html", element("told"), esc("{t}")),
+        "html_described": drawn("html", element(esc("case when length(slice) > 2 then slice || ': ' || length(slice) else told end")), esc("{t}")),
+        "ansi_render": drawn("ansi", f"case topic_id when 'letters' then chr(27) || '[38;5;{_TERMINAL['letters']}m' when 'sounds' then chr(27) || '[38;5;{_TERMINAL['sounds']}m' else '' end || slice || chr(27) || '[0m'", "{t}"),
+        "passage_summary": f"{s}, {kept}, v as (select doc_id, ruling_id, min((start_at, -end_at, rule_id)) f from kr join {line} using (rule_id) group by 1, 2), sn as (select doc_id, string_agg(ruling_id, ',' order by f) seen from v group by 1) select doc_id, count(*) spans, count(distinct ruling_id) rulings, any_value(seen) seen from s join {line} using (rule_id) join sn using (doc_id) group by 1",
         "older_spans": f"with {_older_cte()} select *, false faulty from older union all select null, 'broken.1', null, null, null, true",
         "older_agreement": f"with {cte(folded)}, {_older_cte()}, a as (select distinct rule_id, doc_id, 1 x from s where rule_id in ({asked})), b as (select distinct rule_id, doc_id, 1 y from older where rule_id in ({asked})) select rule_id, count(x + y) \"both\", count_if(y is null) only_ours, count_if(x is null) only_theirs from a full join b using (rule_id, doc_id) group by 1",
         "older_differential": f"with {cte(folded)}, {_older_cte()}, t as (select distinct doc_id, rule_id, start_at, end_at, 1 y from older where start_at is not null and rule_id in ({asked})), a as (select s.*, 1 x from s where (doc_id, rule_id) in (select (doc_id, rule_id) from t)) select rule_id, count(x + y) \"both\", count_if(y is null) only_ours, count_if(x is null) only_theirs from a full join t using (doc_id, rule_id, start_at, end_at) group by 1",
