@@ -97,6 +97,20 @@ def compile_rule(case: str, scope: str, profile: Profile = LATIN, dialect: str =
     return _separator(scope, profile).join(groups)
 
 
+def required(case: str, profile: Profile = LATIN) -> list[frozenset[str]]:
+    """What a text must hold for a rule to match: of each set one string at least. A set has, for each alternative of a group, the longest
+    part of it that stands in any match as it is; a group with an alternative that has no such part asks for nothing."""
+    cut = "." + profile.doubling
+    out = []
+    for alternatives in parse(case, profile):
+        if len(alternatives) == 1 and alternatives[0] in profile.anchors:
+            continue
+        parts = [max(a.translate({ord(c): "\0" for c in cut}).split("\0"), key=len) for a in alternatives]
+        if all(parts):
+            out.append(frozenset(parts))
+    return out
+
+
 def bracket_fault(case: str) -> str | None:
     """"nested", "stray" or "unclosed", or None."""
     open_ = False

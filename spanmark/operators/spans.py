@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,26 @@ from spanmark.operators import digests
 SPANS_AT_ONCE = 100_000
 
 
+class Gate:
+    """Which rules can match a text at all, from what they require of it: single characters by the text's set of them, longer strings by one run
+    of an Aho-Corasick automaton over those of all rules. For many rules on short passages, most of which hold few of them."""
+
+    def __init__(self, needs: dict[str, list[frozenset[str]]]) -> None:
+        self.needs = needs
+        longer = {s for sets in needs.values() for of in sets for s in of if len(s) > 1}
+        self.automaton = ahocorasick.Automaton()
+        for s in longer:
+            self.automaton.add_word(s, s)
+        if longer:
+            self.automaton.make_automaton()
+
+    def open(self, text: str) -> set[str]:
+        there = set(text)
+        if len(self.automaton):
+            there.update(s for _, s in self.automaton.iter(text))
+        return {rule for rule, sets in self.needs.items() if not any(there.isdisjoint(of) for of in sets)}
+
+
 def _found(texts: list[str | None], compiled: list[tuple[str, re.Pattern, bool]]) -> tuple[list[int], list[str], list[int], list[int]]:
     """Index of the text, rule, start and end of all spans, in order; compiled: rule, pattern, whether for the text as it is."""
     touched = [k for k, t in enumerate(texts) if t and is_touched(t)] if not all(as_is for *_, as_is in compiled) else []
@@ -73,8 +94,8 @@ def analyzed(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str],
     return rows.mapInArrow(spans, schema.add("kept", "boolean") if kept else schema)
 
 
-def _numbers(texts: list[str | None], compiled: list[tuple[str, re.Pattern, bool]]) -> np.ndarray:
-    """How many matches each rule has in each text: a row a text. Equal texts are matched once."""
+def _numbers(texts: list[str | None], compiled: list[tuple[str, re.Pattern, bool]], gate: Gate | None = None) -> np.ndarray:
+    """How many matches each rule has in each text: a row a text. Equal texts are matched once, rules that a gate rules out not at all."""
     place: dict[str, int] = {}
     which = [place.setdefault(t or "", len(place)) for t in texts]
     once = list(place)
@@ -82,23 +103,30 @@ def _numbers(texts: list[str | None], compiled: list[tuple[str, re.Pattern, bool
     subjects = list(once)
     for k, (norm, _) in zip(touched, normalized_batch([once[k] for k in touched]) if touched else [], strict=True):
         subjects[k] = norm
-    n = np.array([[sum(1 for _ in p.finditer(raw if as_is else norm)) for _, p, as_is in compiled] for raw, norm in zip(once, subjects, strict=True)], np.int64)
+    n = np.zeros((len(once), len(compiled)), np.int64)
+    for k, (raw, norm) in enumerate(zip(once, subjects, strict=True)):
+        ours, theirs = (gate.open(norm), gate.open(raw) if raw is not norm else None) if gate else (None, None)
+        for j, (i, p, as_is) in enumerate(compiled):
+            if gate is None or i in (theirs if as_is and theirs is not None else ours):
+                n[k, j] = sum(1 for _ in p.finditer(raw if as_is else norm))
     return n.reshape(len(once), len(compiled))[which]
 
 
-def counted(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], text: str = "text", original: frozenset[str] = frozenset(), other: str | None = None) -> DataFrame:
+def counted(passages: DataFrame, rules: list[tuple[str, str]], keys: list[str], text: str = "text", original: frozenset[str] = frozenset(), other: str | None = None, needs: dict[str, list[frozenset[str]]] | None = None) -> DataFrame:
     """keys, rule_id, n: how many spans `analyzed` would give for each passage and rule, where there are any. other: a second text of the
     passage; then n and n_other, and a row where either is over 0. Only counts leave the Arrow pass, and texts that are equal within a
-    batch (both texts of an unchanged passage among them) are normalised and matched once."""
+    batch (both texts of an unchanged passage among them) are normalised and matched once. needs: what rules require of a text, as from
+    notation.required; a rule without an entry there is then left out."""
     compiled = [(i, re.compile(p), i in original) for i, p in rules]
     ids, columns = np.array([i for i, _ in rules], object), [c for c in (text, other) if c]
     counts = ["n", "n_other"][: len(columns)]
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gate = Gate(needs) if needs is not None else None
         for b in batches:
             sides = [b[f"subject {k}"].to_pylist() for k in range(len(columns))]
             for begin, stop in in_parts(sides[0]):
-                n = _numbers([t for side in sides for t in side[begin:stop]], compiled).reshape(len(sides), stop - begin, len(ids))
+                n = _numbers([t for side in sides for t in side[begin:stop]], compiled, gate).reshape(len(sides), stop - begin, len(ids))
                 row, rule = np.nonzero(n.any(axis=0))
                 kept = [b[c].take(pa.array(begin + row)) for c in keys]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(ids[rule], pa.string()), *(pa.array(side[row, rule]) for side in n)], names=[*keys, "rule_id", *counts])

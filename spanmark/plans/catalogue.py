@@ -13,7 +13,7 @@ from spanmark.functions import codepoints as cp
 from spanmark.functions import table
 from spanmark.functions.older import ACCENTS, OLDER_LATIN, older_pattern
 from spanmark.functions.normalize import normalized
-from spanmark.functions.notation import LATIN, UTHMANI, compile_rule
+from spanmark.functions.notation import LATIN, UTHMANI, compile_rule, required
 from spanmark.operators import corpus as co
 from spanmark.operators import annotations, editions, gates, older, render, report, spans
 from spanmark.sources.editions import from_positions
@@ -165,27 +165,50 @@ def lineage_rollup(spark, sf_dir):
     return counts.join(lines, "rule_id").rollup("topic_id", "category_id", "ruling_id", "rule_id").agg(F.sum("n").alias("n"))
 
 
+# A corpus drawn from documents, a rule a document, with every kind of fault in some; these expressions make its columns in Spark and in the SQL twins.
+_K = "(case when doc_id % 103 = 1 then doc_id - 1 else doc_id end)"
+_DRAWN = {
+    "ruling": f"case when doc_id % 89 = 3 then 'none' else 'r' || cast({_K} % 40 as string) end",
+    "id": f"case when doc_id % 97 = 5 then 'Odd_' || cast(doc_id as string) when doc_id % 89 = 3 then 'none.' || cast(doc_id as string) else 'r' || cast({_K} % 40 as string) || '.' || cast({_K} as string) end",
+    "pattern_case": "case when doc_id % 83 = 2 then '[' else '' end || '[' || left(translate(lower(text), '.,[]+', '     '), 12) || ']' || case when doc_id % 79 = 4 then '" + cp.SMALL_WAW + "' else '' end || case when doc_id % 5 = 0 then ' + [b]' else '' end",
+    "scope": "case when doc_id % 5 = 0 then 'either' when doc_id % 71 = 6 then 'across-words' else 'within-word' end",
+    "subject": "case when doc_id % 61 = 9 then 'original' else 'normalized' end",
+    "status": "case when doc_id % 7 = 0 then 'disabled' when doc_id % 11 = 0 then 'disputed' else 'stable' end",
+    "gap": "case when doc_id % 7 = 0 and doc_id % 49 <> 0 then case doc_id % 3 when 0 then 'lookahead' when 1 then 'not-a-pattern' else 'negation' end when doc_id % 67 = 8 then 'lookahead' end",
+    "reason": "case when doc_id % 7 = 0 then 'because of ' || cast(doc_id % 4 as string) end",
+    "needs_review": "doc_id % 11 = 0",
+}
+_DISPUTE, _SETTLED, _CORRECTED = "(doc_id % 11 = 0 and doc_id % 121 <> 0 or doc_id % 113 = 7)", "doc_id % 55 = 0", "doc_id % 59 = 1"
+_DRAWN_RULINGS = {"id": "'r' || cast(j as string)", "category": "case when j % 13 = 12 then 'nowhere' else 'c' || cast(j % 9 as string) end", "school": "case when j % 3 = 0 then 'north' end"}
+_DRAWN_CATEGORIES = {"id": "'c' || cast(i as string)", "topic": "'t' || cast(i % 3 as string)"}
+
+
+def _drawn_corpus(spark, sf_dir):
+    """Rules, rulings r0 to r42 (the last three without rules) and categories c0 to c7."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rules = d.selectExpr(
+        *(f"{e} as {c}" for c, e in _DRAWN.items()), "map('en', source || ' ' || lang) as label",
+        f"case when {_DISPUTE} then named_struct('finding', 'f', 'raised_by', 'x', 'occurrences', array('1'), 'resolved_by', case when {_SETTLED} then 'y' end) end as disputed",
+        f"case when {_CORRECTED} then array(named_struct('field', 'case', 'was', 'w', 'reason', 'r')) end as corrections",
+    )
+    of = lambda n, name: d.selectExpr(f"doc_id % {n} as {name}").distinct()
+    return {"rules": rules, "rulings": of(43, "j").selectExpr(*(f"{e} as {c}" for c, e in _DRAWN_RULINGS.items())), "categories": of(8, "i").selectExpr(*(f"{e} as {c}" for c, e in _DRAWN_CATEGORIES.items()))}
+
+
 def status_counts(spark, sf_dir):
-    return co.demo(spark)["rules"].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return _drawn_corpus(spark, sf_dir)["rules"].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def gaps(spark, sf_dir):
-    return co.gaps(co.demo(spark)["rules"])
+    return co.gaps(_drawn_corpus(spark, sf_dir)["rules"])
 
 
 def rule_search(spark, sf_dir):
-    return co.search(co.demo(spark)["rules"], "AS").select("id", "ruling")
+    return co.search(_drawn_corpus(spark, sf_dir)["rules"], "R1").select("id", "ruling")
 
 
 def constraints(spark, sf_dir):
-    return gates.violations(_broken(co.demo(spark), spark))
-
-
-def _broken(demo, spark):
-    bad = [("th.1", "th", "[a", "within-word", "stable", "x"), ("Odd.1", "none", "[a [b]]", "either", "disabled", None), ("pair.9", "th", "a]", "within-word", "stable", None)]
-    extra = spark.createDataFrame([(i, r, c, s, "normalized", st, g, None, False, {"en": i}, None, None) for i, r, c, s, st, g in bad], co.RULE)
-    more = spark.createDataFrame([("lost", "nowhere", None)], "id string, category string, school string")
-    return demo | {"rules": demo["rules"].union(extra), "rulings": demo["rulings"].union(more)}
+    return gates.violations(_drawn_corpus(spark, sf_dir))
 
 
 def lineage_strict(spark, sf_dir):
@@ -341,19 +364,19 @@ def topic_toggle(spark, sf_dir):
 
 
 def review_marks(spark, sf_dir):
-    return co.review_mark(co.demo(spark)["rules"])
+    return co.review_mark(_drawn_corpus(spark, sf_dir)["rules"])
 
 
 def rules_standing(spark, sf_dir):
-    return co.standing(co.demo(spark)["rules"])
+    return co.standing(_drawn_corpus(spark, sf_dir)["rules"])
 
 
 def rule_lineage(spark, sf_dir):
-    return co.lineage(co.demo(spark)).fillna("", ["school"])
+    return co.lineage(_drawn_corpus(spark, sf_dir), "left").fillna("", ["school"])
 
 
 def explain_rule(spark, sf_dir):
-    return co.explained(co.demo(spark), "nasal.2")
+    return co.explained(_drawn_corpus(spark, sf_dir), "r9.9")
 
 
 def incidence_change(spark, sf_dir):
@@ -457,6 +480,27 @@ def norm_full(spark, sf_dir):
     return normalized(d, "codepoint_stream").select("doc_id", "norm_text", F.size("norm_source").alias("n"))
 
 
+# as many rules as a full corpus has: a letter, then another across a mark or not
+MANY_RULES = [(f"pair.{k}", f"[{a}{b} {b}{a}{a}]" if k % 3 else f"[{a}{b}] + [{b} {a}n]", "within-word" if k % 3 else "across-words") for k, (a, b) in enumerate([(a, b) for a in "aeinorstlzqjx" for b in "bcdfghkmpuvwyw"][:182])]
+
+
+def many_rules(spark, sf_dir):
+    """Incidence of 182 rules, of which most can be ruled out for most passages."""
+    needs = {i: required(case) for i, case, _ in MANY_RULES}
+    counts = spans.counted(_docs(spark, sf_dir), [(i, compile_rule(case, scope, LATIN, "python")) for i, case, scope in MANY_RULES], KEY, needs=needs)
+    return spans.incidence_of(counts, spark.createDataFrame([(i, "pairs") for i, *_ in MANY_RULES], "rule_id string, topic_id string"))
+
+
+# letters of documents become every letter and mark that a pass acts on
+_ALL_FROM = _FROM + "ghysdcfpvzxjq"
+_ALL_TO = _TO + cp.ALEF + cp.HAMZA_ABOVE + cp.MADDAH + cp.SUPERSCRIPT_ALEF + cp.TATWEEL + cp.SMALL_MEEM + cp.QURANIC_SUKOON + cp.SMALL_SEEN + cp.ALEF_HAMZA + cp.BOM + chr(0x657) + cp.SMALL_LOW_MEEM + cp.ALEF_MADDA
+
+
+def norm_letters(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", F.translate("text", _ALL_FROM, _ALL_TO).alias("codepoint_stream"))
+    return normalized(d, "codepoint_stream").select("doc_id", "norm_text", F.size("norm_source").alias("n"))
+
+
 def norm_strip(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", F.translate("text", "aeio", "ۥۦـٓ").alias("codepoint_stream"))
     return d.select("doc_id", F.translate("codepoint_stream", cp.OPTIONAL_MARKS, "").alias("stripped"))
@@ -501,7 +545,7 @@ def older_differential(spark, sf_dir):
 
 _QUERIES = {
     "rule_incidence": flagship,
-    **{f.__name__: f for f in (edition_report, edition_frozen, edition_regression, edition_check, html_described, span_once, passage_summary, older_spans, older_agreement, older_differential, span_extract, span_native, span_slice, resolve_overlaps, html_render, ansi_render, start_from_study, start_from_total, describe_difference, pack_unpack, matches_flag, only_filter, school_filter, incidence_digest, summary_per_doc, first_appearance, lineage_rollup, status_counts, gaps, rule_search, constraints, lineage_strict, lineage_left, edition_digest, edition_compare, edition_only_left, first_difference, char_census, unknown_chars, byte_offsets, drift_check, expectations, differential_span, frozen_regression, zero_width, positional_import, span_marked, norm_full, norm_strip, edition_block_digest, incidence_block_digest, stable_filter, topic_toggle, review_marks, rules_standing, rule_lineage, explain_rule, incidence_change, pinned_counts, rule_samples, frozen_rules, ill_formed_spans, unequal_editions, rule_agreement, annotated_refs, annotation_totals, ayah_lists, code_point_dump, table_function, expected_chars, unknown_marks, fold_marks)},
+    **{f.__name__: f for f in (many_rules, norm_letters, edition_report, edition_frozen, edition_regression, edition_check, html_described, span_once, passage_summary, older_spans, older_agreement, older_differential, span_extract, span_native, span_slice, resolve_overlaps, html_render, ansi_render, start_from_study, start_from_total, describe_difference, pack_unpack, matches_flag, only_filter, school_filter, incidence_digest, summary_per_doc, first_appearance, lineage_rollup, status_counts, gaps, rule_search, constraints, lineage_strict, lineage_left, edition_digest, edition_compare, edition_only_left, first_difference, char_census, unknown_chars, byte_offsets, drift_check, expectations, differential_span, frozen_regression, zero_width, positional_import, span_marked, norm_full, norm_strip, edition_block_digest, incidence_block_digest, stable_filter, topic_toggle, review_marks, rules_standing, rule_lineage, explain_rule, incidence_change, pinned_counts, rule_samples, frozen_rules, ill_formed_spans, unequal_editions, rule_agreement, annotated_refs, annotation_totals, ayah_lists, code_point_dump, table_function, expected_chars, unknown_marks, fold_marks)},
 }
 
 
@@ -565,6 +609,44 @@ hz as (select doc_id, rule_id, row_number() over (partition by doc_id, rule_id o
 older as (select * from hz union all select distinct doc_id, rule_id, 0, cast(null as bigint), cast(null as bigint) from hd where (doc_id, rule_id) not in (select (doc_id, rule_id) from hz))"""
 
 
+def _all_passes(low: str) -> str:
+    """z, the normalised texts of norm_letters: the passes one after another as patterns, the implied marks by neighbours in a list."""
+    marks = cp.DIACRITICS + cp.SUPERSCRIPT_ALEF
+    other = cp.STACKED.replace(cp.HAMZA_ABOVE, "")
+    new = chr(0xE000)  # a hamza that a pattern has put there, which is no base for the next
+    base = f"([^{cp.DIACRITICS}{cp.SUPERSCRIPT_ALEF}{cp.TATWEEL}{cp.HAMZA_ABOVE}{new}])"
+
+    def among(c: str, chars: str) -> str:
+        return f"coalesce({c} in ({', '.join(_text(x) for x in chars)}), false)"
+
+    def each(t: str, *pairs: tuple[str, str]) -> str:
+        for old, new in pairs:
+            t = f"regexp_replace({t}, {_text(old)}, {_text(new)}, 'g')"
+        return t
+
+    tanween = [(cp.FATHA, cp.SMALL_MEEM, cp.FATHATAN), (cp.DAMMA, cp.SMALL_MEEM, cp.DAMMATAN), (cp.KASRA, f"[{cp.SMALL_MEEM}{cp.SMALL_LOW_MEEM}]", cp.KASRATAN)]
+    one = each("t", (cp.BOM, ""), (cp.QURANIC_SUKOON, cp.SUKOON), (cp.ALEF + cp.MADDAH, cp.ALEF_MADDA), (cp.ALEF_HAMZA + cp.MADDAH, cp.ALEF_HAMZA + cp.FATHA + cp.ALEF), (chr(0x657), cp.FATHATAN))
+    two = each(one, *((f"{v}({cp.SHADDA}?){m}", f"{n}\\1") for v, m, n in tanween), (f"{cp.TATWEEL}([{marks}]*){cp.HAMZA_ABOVE}", f"{cp.HAMZA}\\1"))
+    # a hamza with a vowel of its own after it; one after a sukoon, which stays with its letter; one after other marks, of which the first is its own
+    three = each(two, (f"{base}([{other}]*){cp.HAMZA_ABOVE}([{cp.DIACRITICS}])", f"\\1\\2{new}\\3"), (f"{base}([{other}]*){cp.SUKOON}{cp.HAMZA_ABOVE}", f"\\1{cp.SUKOON}{new}\\2"), (f"{base}([{other}]?)([{other}]*){cp.HAMZA_ABOVE}", f"\\1\\3{new}\\2"), (new, cp.HAMZA))
+    four = each(three, (f"{cp.SMALL_SEEN}([{cp.WS}]|$)", f"{cp.ZWSP}\\1"), (f"{cp.ALEF_HAMZA}{cp.DAMMA}{cp.WAW}{cp.SUKOON}{cp.LAM}", f"{cp.ALEF_HAMZA}{cp.DAMMA}{cp.WAW}{cp.FATHA}{cp.LAM}"))
+    before = f"case when c[i - 1] = {_text(cp.SHADDA)} and i > 2 then c[i - 2] when i > 1 then c[i - 1] end"
+    long = f"coalesce((c[i] = {_text(cp.WAW)} and ({before}) = {_text(cp.DAMMA)}) or (c[i] = {_text(cp.YEH)} and ({before}) = {_text(cp.KASRA)}), false)"
+    bare = f"{among('c[i]', cp.CONSONANTS)} and not {among('c[i + 1]', marks + cp.MADDAH)} and not {long} and not ({among('c[i + 1]', cp.CONSONANTS)} and not {among('c[i + 2]', marks)})"
+    last = each("t", (f"[{cp.ALEF_MADDA}{cp.SUPERSCRIPT_ALEF}]", cp.ALEF), (f"[{cp.OPTIONAL_MARKS}]", ""), (f"{cp.SHADDA}([{cp.VOWELS}])", f"\\1{cp.SHADDA}"))
+    return f"""z0 as (select doc_id, translate(text, '{_ALL_FROM}', '{_ALL_TO}') t from {low}),
+z8 as (select doc_id, list_filter(string_split({four}, ''), lambda x: x <> '') c from z0),
+z10 as (select doc_id, array_to_string(list_transform(range(1, len(c) + 1), lambda i: c[i] || case when {bare} then {_text(cp.SUKOON)} else '' end), '') t from z8),
+z as (select doc_id, {last} t from z10)"""
+
+
+def _drawn_cte() -> str:
+    """dr, dg, dc: the rules, rulings and categories of the corpus that is drawn from documents."""
+    return f"""dr as (select {', '.join(f'{e} as {c}' for c, e in _DRAWN.items())}, coalesce({_DISPUTE}, false) dispute, {_DISPUTE} and {_SETTLED} settled, {_CORRECTED} corrected, source || ' ' || lang as label from documents),
+dg as (select distinct {', '.join(f'{e} as {c}' for c, e in _DRAWN_RULINGS.items())} from (select doc_id % 43 j from documents)),
+dc as (select distinct {', '.join(f'{e} as {c}' for c, e in _DRAWN_CATEGORIES.items())} from (select doc_id % 8 i from documents))"""
+
+
 def oracles() -> dict[str, str]:
     enabled = [r for r in co.DEMO_RULES if r[4] != "disabled"]
     low = "(select doc_id, lower(text) as text, lang, source from documents)"
@@ -587,7 +669,6 @@ s{k} as (select doc_id, rule_id, cast(begun as bigint) start_at, cast(begun + in
     count = "select rule_id, count(distinct doc_id) passages, count(*) occurrences from s group by 1"
     told = f"select rule_id, topic_id, coalesce(passages, 0) passages, coalesce(occurrences, 0) occurrences from {line} l left join ({count}) c using (rule_id)"
     other = f"(select doc_id, case when doc_id % 3 = 0 then translate(text, 'é', 'e') when doc_id % 5 = 0 then replace(text, 'the ', 'thy ') else text end as text from {low} where doc_id % 11 <> 3)"
-    rules = _values([r[:2] + r[4:6] for r in co.DEMO_RULES], "id, ruling, status, gap")
     pattern = {r[0]: compile_rule(r[2], r[3], LATIN, "re2") for r in enabled}
     slices = "select s.*, substring(text, start_at + 1, end_at - start_at) slice from s join d using (doc_id)"
     arms = " ".join(f"when rule_id = {_text(r)} and regexp_matches(slice, {_text(f'^(?:{p})')}) then length(regexp_extract(slice, {_text(f'^(?:{p})')}))" for r, p in _heads("re2"))
@@ -635,6 +716,8 @@ select doc_id, coalesce(body, '') || {other.format(t="substring(text, coalesce(l
 
     colour = f"case topic_id when 'letters' then '{_HTML['letters']}' when 'sounds' then '{_HTML['sounds']}' else 'currentColor' end"
     element = lambda told: f"'<span class=\"rule\" data-rule=\"' || rule_id || '\" data-topic=\"' || topic_id || '\" style=\"color:' || {colour} || '\" title=\"' || {told} || '\" aria-label=\"' || {told} || '\">' || {esc('slice')} || '</span>'"
+    drawn_cte = _drawn_cte()
+    lined = "select dr.id rule_id, ruling ruling_id, category category_id, topic topic_id, coalesce(school, '') school, status from dr left join dg on dg.id = ruling left join dc on dc.id = category"
     return {
         "edition_report": f"{s}, {cte(other, '2')}, {pair} {told_report}",
         "edition_frozen": f"{s} {froze(low, 's', '1', line)}",
@@ -663,9 +746,20 @@ select doc_id, coalesce(body, '') || {other.format(t="substring(text, coalesce(l
         "summary_per_doc": f"{s} select doc_id, count(*) spans, count(distinct rule_id) rules from s group by 1",
         "first_appearance": f"{s} select doc_id, rule_id, count(*) n, min(start_at) first_at from s group by 1, 2",
         "lineage_rollup": f"{s} select topic_id, category_id, ruling_id, rule_id, count(*) n from s join {line} l using (rule_id) group by rollup (topic_id, category_id, ruling_id, rule_id)",
-        "status_counts": f"select status, count(*) n from {rules} group by 1",
-        "gaps": f"select gap, count(*) n, 'because of ' || gap reason, string_agg(id, ',' order by id) ids from {rules} where status = 'disabled' group by 1, 3",
-        "rule_search": f"select id, ruling from {rules} where contains(lower(id), 'as') or contains(lower(ruling), 'as')",
+        "many_rules": "select rule_id, 'pairs' topic_id, cast(count_if(n > 0) as bigint) passages, cast(sum(n) as bigint) occurrences from (" + " union all ".join(f"select '{i}' rule_id, len(regexp_extract_all(text, {_text(compile_rule(case, scope, LATIN, 're2'))})) n from {low}" for i, case, scope in MANY_RULES) + ") group by 1",
+        "norm_letters": f"with {_all_passes(low)} select doc_id, t norm_text, cast(length(t) as integer) n from z",
+        "status_counts": f"with {drawn_cte} select status, count(*) n from dr group by 1",
+        "gaps": f"with {drawn_cte} select gap, count(*) n, arg_min(reason, id) reason, string_agg(id, ',' order by id) ids from dr where status = 'disabled' group by 1",
+        "rule_search": f"with {drawn_cte} select id, ruling from dr where contains(lower(id), 'r1') or contains(lower(ruling), 'r1') or contains(label, 'R1')",
+        "constraints": f"with {drawn_cte} " + " union all ".join(f"select '{gate}' gate, id from {of}" for gate, of in {
+            "unique-rule": "(select id from dr group by 1 having count(*) > 1)", "unique-ruling": "(select id from dg group by 1 having count(*) > 1)", "unique-category": "(select id from dc group by 1 having count(*) > 1)",
+            "rule-without-ruling": "dr where ruling not in (select id from dg)", "ruling-without-category": "dg where category not in (select id from dc)", "ruling-without-rule": "dg where id not in (select ruling from dr)",
+            "namespace": "dr where not starts_with(id, ruling || '.')", "scope": "dr where not contains(pattern_case, '+') and scope <> 'within-word' and gap is distinct from 'not-a-pattern'",
+            "brackets": "dr where length(replace(pattern_case, ']', '')) <> length(replace(pattern_case, '[', '')) and gap is distinct from 'not-a-pattern'",
+            "gap-status": "dr where status = 'disabled' and gap is null or status = 'stable' and gap is not null", "open-dispute-stable": "dr where dispute and not settled and status = 'stable'",
+            "disputed-without-record": "dr where status = 'disputed' and not dispute", "settled-but-disputed": "dr where status = 'disputed' and dispute and settled", "corrected-without-review": "dr where corrected and not needs_review",
+            "stripped-mark": f"dr where gap is distinct from 'not-a-pattern' and subject <> 'original' and contains(pattern_case, '{cp.SMALL_WAW}')", "id-form": "dr where not regexp_full_match(id, '[a-z0-9]+(-[a-z0-9]+)*\\.[0-9]+')",
+        }.items()),
         "lineage_strict": "select r_name, n_name, count(*) customers from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1, 2",
         "lineage_left": "select n_name, count(s_suppkey) suppliers from nation left join supplier on n_nationkey = s_nationkey group by 1",
         "edition_digest": f"select lang, count(*) passages, sha256(string_agg(cast(doc_id as varchar) || chr(0) || text, chr(1) order by doc_id)) digest from {low} group by 1",
@@ -682,10 +776,10 @@ select doc_id, coalesce(body, '') || {other.format(t="substring(text, coalesce(l
         "positional_import": "select item_id ref, array_to_string(list_transform(string_split(text, ' '), lambda w, i: case when i % 5 = 3 then '+ ~ ' else '' end || w || case when i % 7 = 4 then '*' else '' end), ' ') text from benchmark",
         "stable_filter": f"{s} select * from ({told}) where rule_id in ({', '.join(_text(r[0]) for r in enabled if r[4] == 'stable')})",
         "topic_toggle": f"{s} select * from ({told}) where topic_id = 'sounds'",
-        "review_marks": f"select id, case status when 'disabled' then 'x' when 'disputed' then '!' else ' ' end mark from {rules}",
-        "rules_standing": f"select count(*) rules, count_if(status = 'disabled') disabled, count_if(status = 'disputed') disputed, count_if(status = 'disputed') in_review from {rules}",
-        "rule_lineage": f"select id rule_id, ruling ruling_id, category category_id, topic topic_id, coalesce(school, '') school, status from {rules} join {_values(co.DEMO_RULINGS, 'ruling, category, school')} using (ruling) join {_values(co.DEMO_CATEGORIES, 'category, topic')} using (category)",
-        "explain_rule": "select 'nasal.2' id, 'letters' topic_id, 'joined' category_id, 'nasal' ruling_id, 'north' school, '[n] + [b m]' pattern_case, 'across-words' scope, 'normalized' subject, 'stable' status, cast(null as varchar) gap, cast(null as varchar) reason, false needs_review",
+        "review_marks": f"with {drawn_cte} select id, case when status = 'disabled' then 'x' when status = 'disputed' then '!' when needs_review then '?' else ' ' end mark from dr",
+        "rules_standing": f"with {drawn_cte} select count(*) rules, count_if(status = 'disabled') disabled, count_if(status = 'disputed') disputed, count_if(needs_review) in_review from dr",
+        "rule_lineage": f"with {drawn_cte} {lined}",
+        "explain_rule": f"with {drawn_cte} select dr.id, topic topic_id, category category_id, ruling ruling_id, school, pattern_case, scope, subject, status, gap, reason, needs_review from dr left join dg on dg.id = ruling left join dc on dc.id = category where dr.id = 'r9.9'",
         "incidence_change": f"{s}, {cte(other, '2')}, c1 as ({told}), c2 as (select rule_id, count(distinct doc_id) other from s2 group by 1) select rule_id, passages reference, coalesce(other, 0) other, coalesce(other, 0) - passages delta from c1 left join c2 using (rule_id)",
         "pinned_counts": f"{s}, w as (select * from (values {', '.join('(' + ', '.join(_text(x) if isinstance(x, str) else 'null' if x is None else str(x) for x in r) + ')' for r in _PINNED)}) t(rule_id, p, o)), c as ({told}) select rule_id, case when c.rule_id is null then 'no such rule' when p <> passages then 'passages' when o <> occurrences then 'occurrences' end fault from w left join c using (rule_id) where fault is not null",
         "rule_samples": f"{s} select * from (select rule_id, doc_id, row_number() over (partition by rule_id order by doc_id) nth from (select distinct rule_id, doc_id from s)) where nth <= 5",

@@ -10,10 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanmark.functions import codepoints as cp
-from spanmark.functions.notation import UTHMANI
+from spanmark.functions.notation import UTHMANI, compile_rule, required
 from spanmark.operators import annotations, corpus, editions, gates, render, report, spans
 from spanmark.plans import catalogue
 from spanmark.sources import document
+from spanmark.sources.editions import write_json_spans, write_tsv
 
 RULES = [("a.1", "th|dh"), ("b.1", "h ?e"), ("c.1", "[aeiou]")]
 TEXTS = ["the dhow", "", None, "the dhow", "xyz", "o th e"]
@@ -47,6 +48,41 @@ def test_counts_of_marked_texts_and_of_texts_as_they_are(spark):
     assert rows(counts) == rows(found.groupBy("doc_id", "rule_id").count()) and counts.count() > 100
 
 
+def test_a_gate_only_leaves_out_what_cannot_match(spark):
+    """182 rules over documents, and rules of marked text with vowels before the doubling mark, wildcards and anchors."""
+    d = catalogue._docs(spark, "/root/testdata/sf0.001")
+    rules = [(i, compile_rule(case, scope, dialect="python")) for i, case, scope in catalogue.MANY_RULES]
+    needs = {i: required(case) for i, case, _ in catalogue.MANY_RULES}
+    assert len(rules) == 182 and rows(spans.counted(d, rules, ["doc_id"], needs=needs)) == rows(spans.counted(d, rules, ["doc_id"]))
+    marked = corpus.marked(spark)
+    on, cases = corpus.originals(marked), {r["id"]: r["pattern_case"] for r in marked["rules"].collect()}
+    m = catalogue._marked_docs(spark, "/root/testdata/sf0.001")
+    rules = corpus.patterns(marked, corpus.selected(corpus.lineage(marked)), UTHMANI)
+    plain = spans.counted(m, rules, ["doc_id"], "codepoint_stream", on)
+    assert rows(plain) == rows(spans.counted(m, rules, ["doc_id"], "codepoint_stream", on, needs={i: required(cases[i], UTHMANI) for i, _ in rules}))
+    assert required("[q_e ab] + [c]") == [frozenset({"q", "ab"}), frozenset({"c"})] and required("[_ a] + [word-end]") == []
+    assert required(f"[{chr(0x646)}{cp.SHADDA}]", UTHMANI) == [frozenset({chr(0x646)})]
+
+
+def test_sinks_and_lookups(spark, docs, tmp_path):
+    found = spans.analyzed(docs, RULES, ["doc_id"], slices=True)
+    write_json_spans(found, docs, str(tmp_path / "j"))
+    lines = [json.loads(x) for p in sorted((tmp_path / "j").glob("*.json")) for x in p.read_text().splitlines()]
+    of = {x["doc_id"]: [(s["start_at"], s["end_at"], s["rule_id"]) for s in x["spans"]] for x in lines}
+    assert set(of) == set(range(6)) and of[4] == [] and of[5] == [(0, 1, "c.1"), (2, 4, "a.1"), (3, 6, "b.1"), (5, 6, "c.1")]
+    write_tsv(found, str(tmp_path / "t"))
+    told = {tuple(x.split("\t")) for p in (tmp_path / "t").glob("*.txt") for x in p.read_text().splitlines()}
+    assert ("5", "3", "6", "b.1", "h e") in told and len(told) == found.count()
+    assert tuple(annotations.inline(spark, " the \n").first()) == ("-", "the")
+    whole = {"version": "1", "riwayah": "r", "topics": [{"id": "t", "label": {"en": "T"}}], "categories": [{"id": "c", "topic": "t", "label": {"en": "C"}}], "hukums": [{"id": "h", "category": "c", "label": {"en": "H"}, "school": {"id": "north"}}], "rules": [{"id": "h.1", "hukum": "h", "case": "[th]", "scope": "within-word", "status": "stable", "label": {"en": "R"}}]}
+    (tmp_path / "c.json").write_text(json.dumps(whole))
+    read = corpus.load(spark, str(tmp_path / "c.json"))
+    assert tuple(read["meta"].first()) == ("1", "r") and rows(corpus.lineage(read)) == [("h.1", "h", "c", "t", "north", "stable")]
+    ids = spark.createDataFrame([(x,) for x in ("h.1", "h", "c", "t", "none")], "id string")
+    assert {r["id"]: r["label"] and r["label"]["en"] for r in corpus.labels_of(read, ids).collect()} == {"h.1": "R", "h": "H", "c": "C", "t": "T", "none": None}
+    assert corpus.patterns(read, corpus.lineage(read)) == [("h.1", compile_rule("[th]", "within-word", dialect="python"))] and gates.violations(read).collect() == []
+
+
 def test_copies_are_annotated_once(spark, docs):
     copies = spark.range(300).select(F.col("id").alias("copy")).crossJoin(docs)
     assert rows(spans.analyzed_once(copies, RULES, ["copy", "doc_id"])) == rows(spans.analyzed(copies, RULES, ["copy", "doc_id"]))
