@@ -123,7 +123,8 @@ TOGETHER = 32  # fragments of one pattern
 
 class Finder:
     """Places of many fragments in texts: as re.finditer of flexible(f) for each f. Fragments that can begin with the same character share a
-    pattern that consumes it and looks ahead for each of them, so a text is gone through once for all of them."""
+    pattern that consumes it, looks ahead for any of them and then for each, so a text is gone through once for all of them and stops only where
+    one is found; a fragment that shares its first characters with no other has its own pattern."""
 
     def __init__(self, fragments: Iterable[str], script: Older) -> None:
         self.alone: dict[str, re.Pattern] = {}
@@ -136,12 +137,15 @@ class Finder:
             rest = _continued(pieces, f, script)
             for of in {a for a, _ in pieces[0]}:
                 first.setdefault(of, {})[f] = "(?:" + "|".join(b for a, b in pieces[0] if a == of) + ")" + rest
+        lonely = {f for of in first.values() for f in of} - {f for of in first.values() if len(of) > 1 for f in of}
+        self.alone |= {f: re.compile(flexible(f, script)) for f in lonely}
         self.shared: list[tuple[list[str], re.Pattern]] = []
         for c, of in first.items():
-            names = list(of)
+            names = [f for f in of if f not in lonely]
             for k in range(0, len(names), TOGETHER):
                 part = names[k : k + TOGETHER]
-                self.shared.append((part, re.compile(re.escape(c) + "".join(f"(?=({of[f]})|)" for f in part))))
+                any_of, each = "|".join(of[f] for f in part), "".join(f"(?=({of[f]})|)" for f in part)
+                self.shared.append((part, re.compile(f"{re.escape(c)}(?={any_of}){each}")))
 
     def found(self, text: str, wanted: set[str]) -> dict[str, list[tuple[int, int]]]:
         """Start and end of all leftmost, non-overlapping matches of each wanted fragment, in order."""

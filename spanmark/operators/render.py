@@ -59,6 +59,14 @@ def joined(text: str, at: int) -> bool:
 def cuts(text: str, layer: list[tuple[int, int, str]], pauses: str = cp.PAUSE_MARKS) -> list[tuple[int, int, str | None]]:
     """The pieces of a text, (start, end, rule or None): ends lie behind stacked marks, pause marks stand alone."""
     out, at = [], 0
+    if not text or max(text) < FIRST_JOINING:  # no stacked marks and no pauses
+        for start, end, rule in layer:
+            end = min(len(text), end)
+            if start >= at:
+                out += [(at, start, None)] if start > at else []
+                out += [(start, end, rule)] if start < end else []
+                at = max(start, end)
+        return out + ([(at, len(text), None)] if at < len(text) else [])
     for start, end, rule in layer:
         start, end = cluster_end(text, start), min(len(text), cluster_end(text, end))
         if start < at:
