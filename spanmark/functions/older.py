@@ -119,12 +119,13 @@ def flexible(fragment: str, script: Older) -> str:
 
 
 TOGETHER = 32  # fragments of one pattern
+CROWD = 4  # fragments with one first character from which a shared pattern takes less time than theirs
 
 
 class Finder:
     """Places of many fragments in texts: as re.finditer of flexible(f) for each f. Fragments that can begin with the same character share a
     pattern that consumes it, looks ahead for any of them and then for each, so a text is gone through once for all of them and stops only where
-    one is found; a fragment that shares its first characters with no other has its own pattern."""
+    one is found; a fragment that shares its first characters with few others has its own pattern."""
 
     def __init__(self, fragments: Iterable[str], script: Older) -> None:
         self.alone: dict[str, re.Pattern] = {}
@@ -137,7 +138,7 @@ class Finder:
             rest = _continued(pieces, f, script)
             for of in {a for a, _ in pieces[0]}:
                 first.setdefault(of, {})[f] = "(?:" + "|".join(b for a, b in pieces[0] if a == of) + ")" + rest
-        lonely = {f for of in first.values() for f in of} - {f for of in first.values() if len(of) > 1 for f in of}
+        lonely = {f for of in first.values() for f in of} - {f for of in first.values() if len(of) >= CROWD for f in of}
         self.alone |= {f: re.compile(flexible(f, script)) for f in lonely}
         self.shared: list[tuple[list[str], re.Pattern]] = []
         for c, of in first.items():

@@ -37,6 +37,7 @@ def test_finder_equals_a_plain_loop_over_marked_texts():
     texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 60))) for _ in range(300)]
     fragments = {"".join(rng.choice(chars) for _ in range(rng.randint(1, 4))) for _ in range(150)} | {cp.FATHA + cp.SHADDA + N, cp.DAMMATAN + cp.SHADDA, S, S + N, N + W}
     finder = fo.Finder(fragments, fo.OLDER_UTHMANI)
+    assert finder.shared and finder.alone
     for t in texts:
         assert finder.found(t, fragments) == plain(t, fragments, fo.OLDER_UTHMANI)
 
