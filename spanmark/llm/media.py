@@ -1,9 +1,11 @@
 """Operator 6: media columns with audio features.
 
 A text's bytes, padded with 0 up to a positive multiple of 64, become 8-bit mono samples of a WAV
-file, one binary column of a written table. The table is read again: samples are resampled by a
-polyphase filter, turned into overlapped log-mel frames, and segmented by energy with hysteresis.
-Features are tensors of one fixed shape (FRAMES x BANDS, float16) with their time spans.
+file, one binary column of a written table. The table is read again: samples are resampled at 3/4 of
+their rate by a polyphase filter (three phases), turned into overlapped log-mel frames, and segmented by
+energy with hysteresis. Features are written as a second table, in which each file has an Arrow stream
+of tensors of one fixed shape (FRAMES x BANDS, float16) with their time spans; `tensors` gives a row
+for each, and digests are taken from what that table holds.
 
 Null text is empty; repeated rows are files of their own, equal texts have equal values; a null
 doc_id is kept; other columns are ignored; an empty table gives an empty one. Frames are made a
@@ -17,19 +19,24 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, slices
+from .common import slices, written
 
-RATE, LOW_RATE = 16_000, 8_000
+RATE, LOW_RATE = 16_000, 12_000
 FRAME, HOP, BANDS, FRAMES = 512, 256, 24, 16
 UNIT = 64
 MEDIA = "doc_id long, n_bytes long, media binary"
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors array<binary>, spans array<array<double>>, segments array<array<double>>"
+TOLD = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+FEATURES = TOLD + ", segments array<array<double>>, tensors binary"
+TENSORS = "doc_id long, media_sha256 string, k long, begin double, end double, tensor array<float>"
+KIND = pa.fixed_shape_tensor(pa.float16(), [FRAMES, BANDS])
+SPANNED = pa.schema([("tensor", KIND), ("begin", pa.float64()), ("end", pa.float64())])
 
 
 def to_wav(data: bytes) -> bytes:
@@ -108,23 +115,36 @@ def segments(energy: np.ndarray, high: float = 1.0, low: float = -1.0) -> np.nda
     return edge.reshape(-1, 2)
 
 
-def features(payload: bytes) -> tuple[list[bytes], list[list[float]], list[list[float]]]:
-    """Tensors (float16 bytes, FRAMES x BANDS), their time spans and the sounding segments, in seconds."""
+def features(payload: bytes) -> tuple[pa.RecordBatch, list[list[float]]]:
+    """Tensors with the time span of each, and the sounding segments, in seconds."""
     x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
-    mel, energy = log_mel(resample(x, 1, RATE // LOW_RATE))
+    common = gcd(RATE, LOW_RATE)
+    mel, energy = log_mel(resample(x, LOW_RATE // common, RATE // common))
     n, step, seconds = len(mel), HOP / LOW_RATE, len(payload) / RATE
-    full = np.full((-(-n // FRAMES) * FRAMES, BANDS), -6, np.float32)  # -6: the floor of log_mel, silence
+    count = -(-n // FRAMES)
+    full = np.full((count * FRAMES, BANDS), -6, np.float16)  # -6: the floor of log_mel, silence
     full[:n] = mel
-    tensors = [t.tobytes() for t in full.astype("<f2").reshape(-1, FRAMES * BANDS)]
-    spans = [[k * FRAMES * step, min(seconds, (k + 1) * FRAMES * step)] for k in range(len(tensors))]
-    return tensors, spans, [[a * step, min(seconds, b * step)] for a, b in segments(energy).tolist()]
+    begin = np.arange(count) * FRAMES * step
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(full.reshape(-1)), FRAMES * BANDS)
+    columns = [pa.ExtensionArray.from_storage(KIND, flat), pa.array(begin), pa.array(np.minimum(seconds, begin + FRAMES * step))]
+    return pa.RecordBatch.from_arrays(columns, schema=SPANNED), [[a * step, min(seconds, b * step)] for a, b in segments(energy).tolist()]
 
 
-def tensor_array(tensors: pa.Array) -> pa.Array:
-    """A column of tensors as Arrow's fixed-shape tensor type."""
-    kind = pa.fixed_shape_tensor(pa.float16(), [FRAMES, BANDS])
-    flat = np.frombuffer(b"".join(tensors.to_pylist()), "<f2")
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(flat), FRAMES * BANDS))
+def to_stream(tensors: pa.RecordBatch) -> bytes:
+    """Tensors and their time spans as an Arrow stream, which says their type and shape."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, SPANNED) as stream:
+        stream.write_batch(tensors)
+    return out.getvalue().to_pybytes()
+
+
+def from_stream(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tensors (count, FRAMES, BANDS) and where each begins and ends, out of an Arrow stream of that shape."""
+    with pa.ipc.open_stream(data) as stream:
+        if stream.schema != SPANNED:
+            raise ValueError(f"not a stream of {FRAMES} x {BANDS} tensors with spans: {stream.schema}")
+        batch = stream.read_next_batch()
+    return batch["tensor"].to_numpy_ndarray(), batch["begin"].to_numpy(), batch["end"].to_numpy()
 
 
 def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,17 +155,13 @@ def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_media(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The written table of WAV files: doc_id, n_bytes, media."""
-    import uuid
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    path = f"{shared_folder(spark)}/media-{uuid.uuid4().hex}"
-    rows.mapInArrow(_media, MEDIA).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(MEDIA).parquet(path)
+    return written(spark, rows.mapInArrow(_media, MEDIA), "media", "zstd")
 
 
-def read_features(media: DataFrame) -> DataFrame:
-    """Digests and features of the stored files."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.list_(pa.float64())), pa.list_(pa.list_(pa.float64()))]
+def write_features(spark: SparkSession, media: DataFrame) -> DataFrame:
+    """The written table of the stored files' digests, segments and tensors (an Arrow stream a file)."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.float64())), pa.binary()]
     names = [c.split()[0] for c in FEATURES.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,13 +169,39 @@ def read_features(media: DataFrame) -> DataFrame:
             rows = []
             for doc_id, n, m in zip(b["doc_id"].to_pylist(), b["n_bytes"].to_pylist(), b["media"].to_pylist()):
                 payload = from_wav(m)
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), *features(payload)))
+                tensors, sounding = features(payload)
+                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), sounding, to_stream(tensors)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return media.mapInArrow(read, FEATURES)
+    return written(spark, media.mapInArrow(read, FEATURES), "features", "zstd")
+
+
+def tensors(features_of: DataFrame) -> DataFrame:
+    """A row for each tensor of the written table: its file, its number, its time span and its values, frame by frame."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc_id, sha, data in zip(b["doc_id"], b["media_sha256"], b["tensors"].to_pylist()):
+                values, begin, end = from_stream(data)
+                flat = pa.array(values.reshape(-1).astype(np.float32))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * (FRAMES * BANDS)), flat)
+                yield pa.RecordBatch.from_arrays([pa.repeat(doc_id, len(values)), pa.repeat(sha, len(values)), pa.array(np.arange(len(values))), pa.array(begin), pa.array(end), lists], names=[c.split()[0] for c in TENSORS.split(", ")])
+
+    return features_of.select("doc_id", "media_sha256", "tensors").mapInArrow(rows, TENSORS)
 
 
 def media_digests(features_of: DataFrame) -> DataFrame:
-    """The features of each row as one digest beside the media's own."""
-    told = F.concat_ws(":", F.hex(F.aggregate("tensors", F.lit(b""), lambda a, t: F.unhex(F.sha2(F.concat(a, t), 256)))), F.size("tensors").cast("string"), F.to_json("segments"))
-    return features_of.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.sha2(told, 256).alias("feature"))
+    """Each row's stored tensors, their spans and its segments as one digest, beside the media's own."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for data, sounding in zip(b["tensors"].to_pylist(), b["segments"].to_pylist()):
+                told = hashlib.sha256()
+                for part in (*from_stream(data), np.array(sounding, float)):
+                    told.update(np.ascontiguousarray(part).astype(part.dtype.newbyteorder("<")).tobytes())
+                out.append(told.hexdigest())
+            kept = [c.split()[0] for c in TOLD.split(", ")]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(out, pa.string())], names=[*kept, "feature"])
+
+    return features_of.mapInArrow(digests, TOLD + ", feature string")

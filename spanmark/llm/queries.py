@@ -10,7 +10,7 @@ from .jaccard import jaccard_components
 from .language import predict_languages
 from .manifest import document_manifest
 from .outliers import judge_quality
-from .media import media_digests, read_features, write_media
+from .media import media_digests, write_features, write_media
 from .packing import pack_documents
 from .quality import classify
 from .substrings import find_repeats
@@ -43,7 +43,7 @@ def op5_quality(spark, sf_dir):
 
 
 def op6_media(spark, sf_dir):
-    return media_digests(read_features(write_media(spark, documents(spark, sf_dir))))
+    return media_digests(write_features(spark, write_media(spark, documents(spark, sf_dir))))
 
 
 def op7_packing(spark, sf_dir):
