@@ -1,27 +1,41 @@
 """Operator 9: URL filters. Suffix rules first; elsewhere a path-template tree per host.
 
 The tree is built level by level over counts, never over pages. A segment is first spelt with its
-digit runs as {n}. Then, node by node, a child that does not differ statistically from its
-siblings together (two-proportion z test of its labelled share of blocked pages), or that has too
-little support in a node of many children, is generalised into the wildcard *; the rest stay
-literal. A template is rejected if it has labelled pages and their blocked share, smoothed towards
+digit runs as {n}. At each node of the tree:
+* of more than `many` children, those with fewer than `support` pages are a variable segment, the wildcard *;
+* the others are branches. In the order of their labelled share of blocked pages, each is tested against
+  the branch before it (two-proportion z test on pooled counts) and merged into it unless they differ;
+  branches without labels merge with each other only. Shares are taken on a grid of GRID steps of the
+  arc sine of their root, so a node has at most GRID + 1 of them, however many children it has;
+* a merged branch of one child keeps its segment; of several it is *, or *k if the node has others (its
+  k-th in order, *0 without labels).
+A node of one path keeps what is left of it, and one of fewer than `support` pages with one verdict ends as
+**; all others are parted further, however deep, so a tree takes as many rounds as its supported or mixed
+nodes are deep.
+
+A template is rejected if it has labelled pages and their blocked share, smoothed towards
 its host's, which is smoothed towards one half, reaches `reject`; without labels nothing is
 rejected. Labels are the verdicts of the rules themselves.
 
 Null url, or one without "://": host and path are empty, no rule fits, the verdict is that of the
-template of the empty host. Repeated page_ids are judged row by row; other columns are ignored;
-an empty table gives an empty one. Segments past `depth` are one segment, the wildcard **.
+template of the empty host. Repeated page_ids and null ones are judged row by row; other columns are ignored;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, written
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-SALTS = 16
+SALTS, SHARE = 16, 1000  # a key with over 1 / SHARE of the rows is hot, so fewer than SHARE keys are
+GRID = 64
+COUNTS = ("n", "labelled", "blocked")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -41,56 +55,96 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def _at(level: int) -> Column:
-    return F.get("segments", F.lit(level))
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], salt_of: Column, weight: str) -> DataFrame:
+    """left join right, a written table with one row a key and the number of its left rows as `weight`.
+
+    The left rows of hot keys are spread over SALTS; only the right rows of these are copied."""
+    code, total = F.xxhash64(*keys), right.agg(F.sum(weight)).first()[0] or 0
+    hot = code.isin([r[0] for r in right.where(F.col(weight) * SHARE > total).select(code).collect()])
+    salted = right.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop(weight)
+    salt = F.when(hot, F.pmod(F.xxhash64(salt_of), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    return left.withColumn("salt", salt).join(salted, [*keys, "salt"], "left").drop("salt")
+
+
+def _sums(*more: Column) -> list[Column]:
+    return [*(F.sum(c).alias(c) for c in COUNTS), *more]
+
+
+def _merged(branches: Column, z: float) -> Column:
+    """branches: (share, labelled, blocked, members) of a node by rising share. (share, grp, size) of each, where those
+    of a group don't differ one after another from what was merged before, and size counts a group's members."""
+    start = F.expr("named_struct('out', cast(array() as array<struct<share: int, grp: int, members: long>>), 'grp', 0, 'labelled', 0L, 'blocked', 0L)")
+
+    def step(acc, x):
+        pooled = (acc["blocked"] + x["blocked"]) / (acc["labelled"] + x["labelled"])
+        spread = F.sqrt(pooled * (1 - pooled) * (1 / acc["labelled"] + 1 / x["labelled"]))
+        apart = (acc["labelled"] == 0) | (F.abs(acc["blocked"] / acc["labelled"] - x["blocked"] / x["labelled"]) > z * spread)
+        apart = (x["share"] >= 0) & apart  # without labels: group 0
+        grp = acc["grp"] + apart.cast("int")
+        out = F.concat(acc["out"], F.array(F.struct(x["share"].alias("share"), grp.alias("grp"), x["members"].alias("members"))))
+        held = [F.when(apart, x[c]).otherwise(acc[c] + x[c]).alias(c) for c in ("labelled", "blocked")]
+        return F.struct(out.alias("out"), grp.alias("grp"), *held)
+
+    groups = F.aggregate(branches, start, step, lambda acc: acc["out"])
 
+    def sized(g, every):
+        size = F.aggregate(F.filter(every, lambda o: o["grp"] == g["grp"]), F.lit(0).cast("long"), lambda n, o: n + o["members"])
+        return F.struct(g["share"].alias("share"), g["grp"].alias("grp"), size.alias("size"))
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str], salt_of: Column) -> DataFrame:
-    """left join right, whose rows are few for each key, with the rows of a hot key spread over SALTS."""
-    salted = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("salt", F.pmod(F.xxhash64(salt_of), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"], "left").drop("salt")
+    return F.transform(groups, lambda g: sized(g, groups))
 
 
-def build_tree(spark: SparkSession, paths: DataFrame, depth: int = 4, many: int = 8, support: int = 20, z: float = 1.96) -> DataFrame:
+def build_tree(spark: SparkSession, paths: DataFrame, many: int = 8, support: int = 20, z: float = 1.96) -> DataFrame:
     """paths: host, path, segments, n, labelled, blocked, a row for each distinct host and path.
 
-    Returns the same rows with `template`, an array of literals and wildcards."""
-    rows = paths.withColumn("template", F.lit("").cast("string"))
-    for level in range(depth):
-        rows = rows.withColumn("segment", _at(level))
-        child = rows.where(F.col("segment").isNotNull()).groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
-        child = written(spark, child, "url-children")  # one row for each distinct child, read twice below
-        node = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), *(F.sum(c).alias("all_" + c) for c in ("n", "labelled", "blocked")))
-        both = _joined(child, node, ["host", "template"], F.col("segment"))
-        others, others_blocked = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
-        pooled = F.try_divide("all_blocked", "all_labelled")
-        spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "labelled") + F.try_divide(F.lit(1), others)))
-        gap = F.abs(F.try_divide("blocked", "labelled") - F.try_divide(others_blocked, others))
-        # with labels on one side only, nothing shows that the two are alike; with none at all they may merge
-        differs = F.coalesce(gap > z * spread, (F.col("labelled") > 0) != (others > 0))
-        thin = (F.col("children") > many) & (F.col("n") < support)
-        alone = F.col("children") == 1
-        token = F.when(alone & ~F.col("segment").contains("{n}"), F.col("segment")).when(thin | ~differs, F.lit("*")).otherwise(F.col("segment"))
-        names = both.select("host", "template", "segment", token.alias("token"))
-        rows = _joined(rows, names, ["host", "template", "segment"], F.col("path"))
-        rows = rows.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "token"))).drop("segment", "token")
-        rows = written(spark, rows, f"url-level-{level}")
-    return rows.withColumn("template", F.concat("template", F.when(F.size("segments") > depth, F.lit("/**")).otherwise(F.lit(""))))
-
-
-def judge(spark: SparkSession, pages: DataFrame, rules=RULES, depth: int = 4, strength: float = 4.0, reject: float = 0.6) -> DataFrame:
+    Returns the same rows with `template`, a path of literals and wildcards."""
+    here = ["host", "template"]
+    rows = written(spark, paths.select("*", F.lit("").alias("template"), (F.size("segments") == 0).alias("ended")), "url-level")
+    ended, level = [], 0
+    while True:
+        ended.append(rows.where("ended").drop("ended"))
+        rows = rows.where(~F.col("ended"))
+        if not rows.head(1):
+            break
+        rows = rows.withColumn("segment", F.get("segments", F.lit(level)))
+        children = written(spark, rows.groupBy(*here, "segment").agg(*_sums(F.count(F.lit(1)).alias("paths"))), "url-children")
+        nodes = children.groupBy(*here).agg(*_sums(F.sum("paths").alias("paths"), F.count(F.lit(1)).alias("children")))
+        one_verdict = (F.col("labelled") == 0) | ((F.col("labelled") == F.col("n")) & ((F.col("blocked") == 0) | (F.col("blocked") == F.col("n"))))
+        closes = F.when(F.col("paths") == 1, "rest").when((F.col("n") < support) & one_verdict, "**")
+        nodes = written(spark, nodes.select(*here, "children", closes.alias("closes")), "url-nodes")
+        both = _joined(children, nodes.withColumn("brothers", F.col("children")), here, F.col("segment"), "children")
+        arc = F.round(F.asin(F.sqrt((F.col("blocked") + 0.5) / (F.col("labelled") + 1))) * (2 / math.pi) * GRID).cast("int")
+        both = both.withColumns({"thin": (F.col("brothers") > many) & (F.col("n") < support), "share": F.when(F.col("labelled") > 0, arc).otherwise(F.lit(-1))})
+        both = written(spark, both, "url-branches")
+        shares = both.where(~F.col("thin") & F.col("closes").isNull()).groupBy(*here, "share").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), F.count(F.lit(1)).alias("members"))
+        merged = shares.groupBy(*here).agg(F.sum("members").alias("branches"), F.array_sort(F.collect_list(F.struct("share", "labelled", "blocked", "members"))).alias("found"))
+        groups = written(spark, merged.select(*here, "branches", F.col("branches").alias("known"), _merged(F.col("found"), z).alias("groups")), "url-groups")
+        mine = F.get(F.filter("groups", lambda g: g["share"] == F.col("share")), F.lit(0))
+        several = F.when(mine["size"] == F.col("brothers"), F.lit("*")).otherwise(F.concat(F.lit("*"), mine["grp"].cast("string")))
+        token = F.when(F.col("closes").isNotNull(), F.lit(None).cast("string")).when(F.col("thin"), F.lit("*")).when(mine["size"] == 1, F.col("segment")).otherwise(several)
+        named = _joined(both, groups, here, F.col("segment"), "known").select(*here, "segment", "closes", token.alias("token"), "paths")
+        rows = _joined(rows, written(spark, named, "url-tokens"), [*here, "segment"], F.col("path"), "paths")
+        level += 1
+        rest = F.when(F.col("closes") == "rest", F.array_join(F.slice("segments", level, F.size("segments")), "/")).otherwise(F.coalesce("token", "closes"))
+        over = F.col("closes").isNotNull() | (F.size("segments") <= level)
+        rows = written(spark, rows.select(*paths.columns, F.concat("template", F.lit("/"), rest).alias("template"), over.alias("ended")), "url-level")
+    return reduce(DataFrame.union, ended)
+
+
+def judge(spark: SparkSession, pages: DataFrame, rules=RULES, strength: float = 4.0, reject: float = 0.6, many: int = 8, support: int = 20, z: float = 1.96) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, template and its smoothed purity."""
     host, path = host_and_path(F.col("url"))
     seen = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path")).select("*", *(c.alias(k) for c, k in zip(rule_columns(F.col("host"), F.col("path"), rules), ("rule", "ruled"))))
     seen = seen.select(*(c if c == "page_id" else F.coalesce(c, F.lit("")).alias(c) if c in ("host", "path") else F.col(c) for c in seen.columns))
     paths = seen.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     paths = paths.withColumn("segments", F.filter(F.split(F.regexp_replace("path", "[0-9]+", "{n}"), "/"), lambda s: s != ""))
-    tree = build_tree(spark, paths, depth)
-    sums = [F.sum(c).alias(c) for c in ("labelled", "blocked")]
-    hosts = tree.groupBy("host").agg(*sums).select("host", ((F.col("blocked") + strength / 2) / (F.col("labelled") + strength)).alias("host_rate"))
-    templates = _joined(tree.groupBy("host", "template").agg(*sums), hosts, ["host"], F.col("template"))
-    templates = templates.select("host", "template", "labelled", ((F.col("blocked") + strength * F.col("host_rate")) / (F.col("labelled") + strength)).alias("purity"))
-    judged = _joined(tree.select("host", "path", "template"), templates, ["host", "template"], F.col("path"))
-    out = _joined(seen, judged, ["host", "path"], F.col("page_id"))
-    verdict = F.coalesce("ruled", F.when((F.col("labelled") > 0) & (F.col("purity") >= reject), F.lit("block")).otherwise(F.lit("allow")))
+    tree = written(spark, build_tree(spark, paths, many, support, z).drop("segments"), "url-tree")
+    templates = written(spark, tree.groupBy("host", "template").agg(*_sums(F.count(F.lit(1)).alias("paths"))).drop("n"), "url-templates")
+    hosts = templates.groupBy("host").agg(((F.sum("blocked") + strength / 2) / (F.sum("labelled") + strength)).alias("host_rate"), F.count(F.lit(1)).alias("templates"))
+    rated = _joined(templates, written(spark, hosts, "url-hosts"), ["host"], F.col("template"), "templates")
+    purity = (F.col("blocked") + strength * F.col("host_rate")) / (F.col("labelled") + strength)
+    rated = written(spark, rated.select("host", "template", purity.alias("purity"), (F.col("labelled") > 0).alias("told"), "paths"), "url-purity")
+    judged = _joined(tree.select("host", "path", "template", "n"), rated, ["host", "template"], F.col("path"), "paths")
+    out = _joined(seen, written(spark, judged, "url-judged"), ["host", "path"], F.monotonically_increasing_id(), "n")
+    verdict = F.coalesce("ruled", F.when(F.col("told") & (F.col("purity") >= reject), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

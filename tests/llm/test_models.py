@@ -2,6 +2,9 @@
 
 import hashlib
 import re
+import zlib
+
+import numpy as np
 
 from spanmark.llm.decontaminate import decontaminate
 from spanmark.llm.language import predict_languages
