@@ -32,6 +32,7 @@ from .fm_index import FMIndex
 GRAM = 8
 HOT = 20_000
 SHARD_WORDS = 100_000
+BATCH_WORDS = 1 << 18  # a segment has under two windows of words, however long its text
 BASE = "doc_id long, text_code long, n_words long, whole_sha256 string, minimisers array<long>"
 
 
@@ -113,11 +114,15 @@ def _segments(batches: Iterator[pa.RecordBatch], window: int, with_codes: bool)
         h2 = range_codes(mix(w.codes ^ np.uint64(0x452821E638D01377)), begin, end).view(np.int64)
         if with_codes:
             key = np.where(hot[first], h1, w.value[first].view(np.int64))
-            size = end - begin
-            ends = np.cumsum(size)
-            flat = w.codes[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-            codes = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((8 * np.r_[0, ends]).astype(np.int32)), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h1), pa.array(h2), codes], names=["key", "h1", "h2", "codes"])
+            ends = np.r_[0, np.cumsum(end - begin)]
+            at = 0
+            while at < len(begin):  # so many segments at a time that their words stay under BATCH_WORDS
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + BATCH_WORDS, "right")) - 1)
+                offsets = ends[at : to + 1] - ends[at]
+                flat = w.codes[np.repeat(begin[at:to] - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])]
+                codes = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer((8 * offsets).astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([pa.array(key[at:to]), pa.array(h1[at:to]), pa.array(h2[at:to]), codes], names=["key", "h1", "h2", "codes"])
+                at = to
         else:
             uid = np.asarray(b["uid"])[w.text[first]]
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (uid, w.start[first], m, h1, h2)], names=["uid", "start", "windows", "h1", "h2"])

@@ -10,7 +10,8 @@ import pytest
 
 from spanmark.llm.common import BLOCK_BYTES, slices, word_codes
 from spanmark.llm.fm_index import FMIndex
-from spanmark.llm.substrings import find_repeats
+from spanmark.llm import substrings
+from spanmark.llm.substrings import Windows, find_repeats
 
 
 def test_index_counts_windows():
@@ -38,6 +39,20 @@ def test_codes_and_slices_do_not_depend_on_blocks():
     assert all(p.num_rows == 1 or sum(len(x or "") for x in p["text"].to_pylist()) <= 10 for p in parts)
 
 
+@pytest.mark.parametrize("most", [1, 71, 400])
+def test_segments_come_in_bounded_batches(monkeypatch, most):
+    """A text of equal words has a segment for each window; they leave in batches of bounded size, none lost, in order."""
+    texts = pa.array(["x " * 3000, "a b c " * 300, "", "one two"])
+    value = Windows(texts, 35)
+    lists = [sorted({int(v) for v in value.value[value.text == k].view(np.int64)}) for k in range(4)]
+    batch = pa.RecordBatch.from_pydict({"uid": pa.array([1, 2, 3, 4]), "text": texts, "wanted": pa.array(lists, pa.list_(pa.int64())), "frequent": pa.array([lists[0], [], [], []], pa.list_(pa.int64()))})
+    whole = pa.Table.from_batches(substrings._segments(iter([batch]), 35, True)).to_pylist()
+    monkeypatch.setattr(substrings, "BATCH_WORDS", most)
+    parts = list(substrings._segments(iter([batch]), 35, True))
+    assert pa.Table.from_batches(parts).to_pylist() == whole and len(whole) >= 2966
+    assert all(p.num_rows == 1 or sum(map(len, p["codes"].to_pylist())) <= 8 * most for p in parts) and len(parts) > 100
+
+
 def brute(rows, window):
     split = [(t or "").encode().split() for _, t in rows]
     seen = Counter(tuple(w[i : i + window]) for w in split for i in range(len(w) - window + 1))
