@@ -249,7 +249,9 @@ def _against(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFram
     """The written table pairs (pivot, node) with the shingles of both."""
     rows = pairs.count()
     mine = fewer(spark, pairs.join(sets.select("node", "shingles"), "node"), rows, PAIRS)
-    both = mine.join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot")
+    # pivots are few: only their sets are shuffled where the planner can broadcast the pivots, else the two joins share an exchange
+    its = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles")).join(pairs.select("pivot").distinct(), "pivot", "left_semi")
+    both = mine.join(its, "pivot")
     return fewer(spark, both.select("pivot", "node", "shingles", "pivot_shingles"), rows, PAIRS)
 
 
