@@ -107,8 +107,11 @@ class ChunkEncoder(dict):
         if plain is not None:
             first = np.zeros(len(key), np.int64)
             first[ends[:-1]] = 1
-            both, key = np.unique(2 * key + first, return_inverse=True)
-            words = [words[k >> 1] if k & 1 else " " + words[k >> 1] for k in both.tolist()]
+            both = 2 * key + first
+            used = np.zeros(2 * len(words), bool)
+            used[both] = True
+            key = (np.cumsum(used) - 1)[both]
+            words = [words[k >> 1] if k & 1 else " " + words[k >> 1] for k in np.flatnonzero(used).tolist()]
         pool = [self[w] for w in words]
         size = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
         begin = np.cumsum(size) - size

@@ -133,3 +133,18 @@ def test_sum_of_squares_fills_bins():
     bins = sum_of_squares(size, 1024)
     fill = np.bincount(bins, size)
     assert fill.max() <= 1024 and len(fill) <= size.sum() / 1024 * 1.02
+
+
+def test_packing_encodes_a_megabyte_together(monkeypatch):
+    """Texts of 3 MB go to the encoder in a few calls, so that a word which they share is looked up a few times."""
+    import pyarrow as pa
+
+    calls, own = [], encoder("byte_bpe_50k.json")
+    many = type(own).encode_many
+    monkeypatch.setattr(type(own), "encode_many", lambda self, texts: calls.append(len(texts)) or many(self, texts))
+    texts = [f"some words of text {i} " * 50 for i in range(3000)]
+    size = sum(map(len, texts))
+    out = list(packing._pieces(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "text": texts})]), "byte_bpe_50k.json", None, 2, 1024))
+    assert sum(calls) == 3000 and len(calls) <= -(-size // (1 << 20)) + 1
+    first = out[0].to_pylist()[0]
+    assert (first["length"], first["ids_crc32"]) == (len(direct("byte_bpe_50k.json", texts[0])) + 1, crc(direct("byte_bpe_50k.json", texts[0]) + [2]))
