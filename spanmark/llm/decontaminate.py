@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, written
+from .common import LOWER, UPPER, scratch, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
@@ -94,7 +94,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, window
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     of_items = written(spark, item_windows(items, window), "item-windows")
     windows = written(spark, of_items.select("window").distinct().select(F.monotonically_increasing_id().alias("wid"), "window"), "windows")
-    hits = written(spark, find_windows(spark, docs, windows), "hits")
+    with scratch(spark, "hits"):
+        hits = written(spark, find_windows(spark, docs, windows), "hits")
     spans = F.array_sort(F.collect_set(F.when(F.col("wid").isNotNull(), F.struct("start", "n"))))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit"))
 

@@ -36,10 +36,10 @@ from functools import cache, reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, grams, marked, mix, partitions, release, slices, trimmed, word_codes, written
+from .common import bitmap_of, grams, marked, mix, partitions, passing, release, scratch, slices, trimmed, word_codes, written
 
 LEAF_NODES = 256
 SETS = "doc_id long, text_code long, code long, n long, h1 long, h2 long, sketch binary, wide binary"
@@ -110,7 +110,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             h1.append(mix(x ^ _SEEDS[0]).sum(dtype=np.uint64))
             h2.append(mix(x ^ _SEEDS[1]).sum(dtype=np.uint64))
             told.append(sketch(x))
-            more.append(sketch(x, 1 << len(x).bit_length() - 1) if len(x) > LONG else None)
+            more.append(sketch(x, wide_cells(len(x))) if len(x) > LONG else None)
         columns = [pa.array(size, pa.int64()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2)), pa.array(told, pa.binary()), pa.array(more, pa.binary())]
         yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_code"], b["code"], *columns], names=["doc_id", "text_code", "code", "n", "h1", "h2", "sketch", "wide"])
 
@@ -132,13 +132,31 @@ class _Once:
 FREQUENT = 64
 
 
-def _packed(sig: np.ndarray, others: dict[str, np.ndarray], parts: int) -> pa.RecordBatch:
-    """Signatures with what goes along, as one row for each part they go to. Of a signature that a batch has FREQUENT
-    times only the least and the greatest by the last of `others` go there: enough for the part to see that it is
+SIG_BYTES, CODE_BYTES = 5, 6  # of a signature beside its part, and of a code
+
+
+def low_bytes(x: np.ndarray, size: int) -> bytes:
+    """The `size` low bytes of each 64-bit number."""
+    return x.view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def from_low_bytes(raw: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    return out.view(np.int64)[:, 0]
+
+
+def part_of(sig: np.ndarray, parts: int) -> np.ndarray:
+    return (((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def _packed(sig: np.ndarray, codes: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Signatures with their codes, as one row for each part they go to. Of a signature that a batch has FREQUENT
+    times only those of the least and the greatest code go there: enough for the part to see that it is
     shared. The rest goes to a part beyond `parts` which takes all as shared, so no part grows with a frequent
-    signature."""
-    part = (((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-    by = np.lexsort((list(others.values())[-1], sig))
+    signature; whole signatures go there, since the part that they are of is not the row's."""
+    part = part_of(sig, parts)
+    by = np.lexsort((codes, sig))
     begin = np.flatnonzero(np.r_[True, sig[by][1:] != sig[by][:-1]]) if len(sig) else np.empty(0, np.int64)
     size = np.diff(np.r_[begin, len(sig)])
     many = np.repeat(size >= FREQUENT, size)
@@ -147,8 +165,14 @@ def _packed(sig: np.ndarray, others: dict[str, np.ndarray], parts: int) -> pa.Re
     order = np.argsort(part, kind="stable")
     used, first = np.unique(part[order], return_index=True)
     ends = np.r_[first, len(sig)]
-    columns = [[x[order[a:z]].tobytes() for a, z in zip(ends[:-1], ends[1:])] for x in (sig, *others.values())]
-    return pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "sigs", *others])
+    told = [low_bytes(sig[order[a:z]], SIG_BYTES if p < parts else 8) for p, a, z in zip(used, ends[:-1], ends[1:])]
+    theirs = [low_bytes(codes[order[a:z]], CODE_BYTES) for a, z in zip(ends[:-1], ends[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(used), pa.array(told, pa.binary()), pa.array(theirs, pa.binary())], names=["part", "sigs", "codes"])
+
+
+def _low(code: str) -> Column:
+    """What a part knows of a code. Nodes whose codes are equal in it are taken as candidates alike."""
+    return F.col(code).bitwiseAND(F.lit((1 << 8 * CODE_BYTES) - 1))
 
 
 def _signed(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, parts: int) -> Iterator[pa.RecordBatch]:
@@ -159,15 +183,18 @@ def _signed(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, parts
         if not b.num_rows:
             continue
         sigs = [signatures(x, num, den) if len(x) else x for part in slices(b) for x in shingles(part["text"], n)]
-        yield _packed(np.concatenate(sigs), {"codes": np.repeat(np.asarray(b["text_code"]), [len(s) for s in sigs])}, parts)
+        yield _packed(np.concatenate(sigs), np.repeat(np.asarray(b["text_code"]), [len(s) for s in sigs]), parts)
 
 
 def _shared(parts: int):
     def shared(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """The signatures of a part that two texts or more have: region, text_code."""
-        sig = np.frombuffer(b"".join(rows["sigs"]), np.int64)
-        code = np.frombuffer(b"".join(rows["codes"]), np.int64)
-        if key[0] < parts:
+        """The signatures of a part that two texts or more have: region, code (CODE_BYTES of it)."""
+        inner = key[0] < parts
+        sig = from_low_bytes(b"".join(rows["sigs"]), SIG_BYTES if inner else 8)
+        part = key[0] if inner else part_of(sig.view(np.uint64), parts)
+        sig = part << 8 * SIG_BYTES | sig & (1 << 8 * SIG_BYTES) - 1  # the same for the frequent and the others
+        code = from_low_bytes(b"".join(rows["codes"]), CODE_BYTES)
+        if inner:
             order = np.lexsort((code, sig))
             sig, code = sig[order], code[order]
             new = np.r_[True, (sig[1:] != sig[:-1]) | (code[1:] != code[:-1])]
@@ -175,7 +202,7 @@ def _shared(parts: int):
             same = sig[1:] == sig[:-1]
             kept = np.r_[same, False] | np.r_[False, same]
             sig, code = sig[kept], code[kept]
-        out = pd.DataFrame({"region": sig, "text_code": code})
+        out = pd.DataFrame({"region": sig, "code": code})
         release()
         return out
 
@@ -213,10 +240,11 @@ def _fetched(spark: SparkSession, docs: DataFrame, wanted: DataFrame, n: int) ->
     code of its own row (doc_id and text), so its copies, which have other ids, are not moved."""
     bitmap = bitmap_of(wanted, "code")
     found = docs.select("doc_id", "text", "text_code", "code").mapInArrow(lambda it: trimmed(_wanted_sets(it, n, bitmap)), "doc_id long, text_code long, code long, n long, shingles binary")
-    f, w = found.alias("f"), wanted.alias("w")
-    same = F.col("f.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("f.text_code") == F.col("w.text_code"))
-    rows = f.join(w, (F.col("f.code") == F.col("w.code")) & same).select("w.node", "w.code", "n", "shingles").dropDuplicates(["code", "node"])
-    return written(spark, rows.select("node", "n", "shingles"), "shingles")
+    # joined by the code alone, so that sets are shuffled once: copies of a row meet where the join has put them
+    of = wanted.groupBy("code").agg(F.collect_list(F.struct("node", "doc_id", "text_code")).alias("of"))
+    rows = found.join(of, "code").select("*", F.explode("of").alias("w"))
+    rows = rows.where(F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("text_code") == F.col("w.text_code")))
+    return written(spark, rows.select("w.node", "code", "n", "shingles").dropDuplicates(["code", "node"]).select("node", "n", "shingles"), "shingles")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -256,14 +284,29 @@ def _against(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFram
 
 
 def sketch(x: np.ndarray, cells: int = CELLS) -> bytes:
-    """How many shingles fall into each of a power of two of hash cells, up to 255. The L1 distance of two sketches
-    is never more than the number of shingles in which the sets differ."""
-    return np.minimum(np.bincount((x & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+    """How many shingles fall into each of a power of two of hash cells, up to 255; two cells to a byte where no count
+    is over 15. The L1 distance of two sketches is never more than the number of shingles in which the sets differ."""
+    n = np.minimum(np.bincount((x & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8)
+    return (n if n.max() > 15 else n[::2] | n[1::2] << 4).tobytes()
+
+
+def counted(sketches: list[bytes], cells: int = CELLS) -> np.ndarray:
+    """The counts of sketches of so many cells, a row for each."""
+    out, halved = np.empty((len(sketches), cells), np.uint8), np.array([len(s) < cells for s in sketches], bool)
+    out[~halved] = np.frombuffer(b"".join(s for s in sketches if len(s) == cells), np.uint8).reshape(-1, cells)
+    both = np.frombuffer(b"".join(s for s in sketches if len(s) < cells), np.uint8).reshape(-1, cells // 2)
+    out[halved] = np.stack([both & 15, both >> 4], 2).reshape(-1, cells)
+    return out
+
+
+def wide_cells(n: int) -> int:
+    """The cells of the wide sketch of n shingles."""
+    return 1 << int(n).bit_length() - 1
 
 
-def folded(wide: bytes, cells: int) -> np.ndarray:
-    """A sketch of more cells as one of `cells`."""
-    return np.frombuffer(wide, np.uint8).reshape(-1, cells).sum(0, dtype=np.int32)[None]
+def folded(wide: bytes, n: int, cells: int) -> np.ndarray:
+    """The wide sketch of n shingles as one of `cells`."""
+    return counted([wide], wide_cells(n)).reshape(-1, cells).sum(0, dtype=np.int32)[None]
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -289,7 +332,7 @@ def _near(spark: SparkSession, pairs: DataFrame, sketches: DataFrame, may_be_nea
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("x", "y"))
+            x, y = (counted(b[c].to_pylist()) for c in ("x", "y"))
             ok = may_be_near(x, np.asarray(b["n"]), y, np.asarray(b["m"]))
             yield b.select(["pivot", "node", "n", "m"]).take(pa.array(np.flatnonzero(ok)))
 
@@ -297,8 +340,8 @@ def _near(spark: SparkSession, pairs: DataFrame, sketches: DataFrame, may_be_nea
         for b in batches:
             ok = []
             for x, n, y, m in zip(b["x"].to_pylist(), np.asarray(b["n"]), b["y"].to_pylist(), np.asarray(b["m"])):
-                cells = min(len(x), len(y))
-                ok.append(bool(may_be_near(folded(x, cells), n, folded(y, cells), m)[0]))
+                cells = wide_cells(min(n, m))
+                ok.append(bool(may_be_near(folded(x, n, cells), n, folded(y, m, cells), m)[0]))
             yield b.select(["pivot", "node"]).take(pa.array(np.flatnonzero(ok), pa.int64()))
 
     def both(pairs: DataFrame, column: str) -> DataFrame:
@@ -361,11 +404,11 @@ def _differences(spark: SparkSession, pairs: DataFrame, sets: DataFrame, num: in
 
 
 def _resigned(batches: Iterator[pa.RecordBatch], num: int, den: int, seed: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Signatures of another seed, packed: part, sigs, codes (of nodes)."""
+    """Signatures of another seed, packed: part, sigs, codes."""
     for b in batches:
         sigs = [signatures(np.frombuffer(x, np.uint64), num, den, seed) for x in b["shingles"].to_pylist()]
         if b.num_rows:
-            yield _packed(np.concatenate(sigs), {"codes": np.repeat(np.asarray(b["node"]), [len(s) for s in sigs])}, parts)
+            yield _packed(np.concatenate(sigs), np.repeat(np.asarray(b["code"]), [len(s) for s in sigs]), parts)
 
 
 def _cells(spark: SparkSession, cells: DataFrame, sets: DataFrame, sketches: DataFrame, num: int, den: int, seed: int) -> DataFrame:
@@ -395,12 +438,15 @@ def _cells(spark: SparkSession, cells: DataFrame, sets: DataFrame, sketches: Dat
     if not sieved:
         return shared.union(near)
     # links of members that are both far from the pivot; who is linked with it is near
-    total = sets.agg(F.sum("n")).first()[0] or 0
+    apart_from = cells.where("not linked").withColumn("code", F.xxhash64("node"))
+    own = sets.select("n", "shingles", F.xxhash64("node").alias("code"))
+    own = own.mapInArrow(passing(bitmap_of(apart_from.select("code").distinct(), "code"), "code"), own.schema)
+    total = own.agg(F.sum("n")).first()[0] or 0
     parts = max(1, int(0.6 * total / PART_SIGNATURES))
-    again = sets.select("node", "shingles").mapInArrow(lambda it: trimmed(_resigned(it, num, den, seed, parts)), "part long, sigs binary, codes binary")
-    again = again.groupBy("part").applyInPandas(_shared(parts), "region long, text_code long").select(F.col("region").alias("sig"), F.col("text_code").alias("node"))
+    again = own.mapInArrow(lambda it: trimmed(_resigned(it, num, den, seed, parts)), "part long, sigs binary, codes binary")
+    again = again.groupBy("part").applyInPandas(_shared(parts), "region long, code long").withColumnRenamed("region", "sig")
     again = again.coalesce(min(2 * parts, partitions(spark)))  # parts, and those of the frequent, are groups: more tasks have no rows
-    far = cells.where("not linked").join(again, "node").select(F.xxhash64("pivot", "sig").alias("region"), "node", "label")
+    far = apart_from.withColumn("code", _low("code")).join(again, "code").select(F.xxhash64("pivot", "sig").alias("region"), "node", "label")
     return shared.union(near).union(far)
 
 
@@ -431,7 +477,7 @@ def _by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarr
     left = None
     for b in batches:
         rows = {c: np.asarray(b[c]) for c in b.schema.names if c != "sketch"}
-        rows["sketch"] = np.frombuffer(b"".join(b["sketch"].to_pylist()), np.uint8).reshape(-1, CELLS)
+        rows["sketch"] = counted(b["sketch"].to_pylist())
         if left is not None:
             rows = {c: np.concatenate([left[c], rows[c]]) for c in rows}
         if not len(rows["region"]):
@@ -478,9 +524,9 @@ def _roots(spark: SparkSession, docs: DataFrame, nodes: DataFrame, n: int, num:
     total = nodes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, int(0.6 * total / PART_SIGNATURES))
     signed = docs.select("text", "text_code").mapInArrow(lambda it: trimmed(_signed(it, n, num, den, parts)), "part long, sigs binary, codes binary")
-    shared = signed.groupBy("part").applyInPandas(_shared(parts), "region long, text_code long")
+    shared = signed.groupBy("part").applyInPandas(_shared(parts), "region long, code long")
     shared = shared.coalesce(min(2 * parts, partitions(spark)))
-    return _merged(spark, shared.join(nodes.select("text_code", "node").distinct(), "text_code").select("region", "node").distinct())
+    return _merged(spark, shared.join(nodes.select(_low("text_code").alias("code"), "node").distinct(), "code").select("region", "node").distinct())
 
 
 def _of_region(left: DataFrame, right: DataFrame, limit: int) -> DataFrame:
@@ -569,8 +615,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, n: int = 3, num: in
     key = ["n", "h1", "h2"]
     distinct = sets.where("n > 0").groupBy(*key).agg(F.min("rid").alias("node"), F.min("doc_id").alias("first"))
     nodes = written(spark, sets.where("n > 0").select("rid", "doc_id", "text_code", "code", *key).join(distinct, key), "nodes")
-    edges = links(spark, docs, nodes, sets.select(F.col("rid").alias("node"), "n", "sketch", "wide"), n, num, den)
-    labels = table(spark, components(spark, edges), "labels")
+    with scratch(spark, "components"):
+        edges = links(spark, docs, nodes, sets.select(F.col("rid").alias("node"), "n", "sketch", "wide"), n, num, den)
+        labels = table(spark, components(spark, edges), "components")
     told = nodes.join(labels, "node", "left").select("rid", "first", F.coalesce("label", "node").alias("label"))
     told = told.join(sets.select("rid", "doc_id"), "rid")
     smallest = told.groupBy("label").agg(F.min("first").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("stays"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import bitmap_of, grams, mix, passing, range_codes, release, runs_of, slices, trimmed, without, word_codes, written
+from .common import bitmap_of, grams, mix, passing, range_codes, release, runs_of, scratch, slices, trimmed, without, word_codes, written
 from .fm_index import FMIndex
 
 GRAM = 8
@@ -182,6 +182,11 @@ class Repeats:
 
 def find_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, hot: int = HOT, shard_words: int = SHARD_WORDS, carried: tuple[str, ...] = ()) -> Repeats:
     """Find what repeats in docs (doc_id, text); the columns `carried` come with the changed documents, in `rest`."""
+    with scratch(spark, "minimisers", "wanted", "picked", "removed"):
+        return _found(spark, docs, window, hot, shard_words, carried)
+
+
+def _found(spark: SparkSession, docs: DataFrame, window: int, hot: int, shard_words: int, carried: tuple[str, ...]) -> Repeats:
     rest = F.struct(*(F.lit(None).cast("int").alias(c) if c == "text" else F.col(c) for c in carried)) if carried else F.struct(F.lit(None).cast("int").alias("none"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest")).select("*", F.xxhash64("text").alias("text_code"))
     base = docs.select("doc_id", "text", "text_code").mapInArrow(lambda it: trimmed(_base(it, window)), BASE)
@@ -216,6 +221,7 @@ def find_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, hot: in
 
 def without_repeats(spark: SparkSession, docs: DataFrame, window: int = 35) -> DataFrame:
     """docs with the repeated words removed: changed texts are their kept words joined by one space, others stay as they are."""
-    found = find_repeats(spark, docs, window, carried=tuple(docs.columns))
+    with scratch(spark, "wanted", "picked", "removed"):  # the table of all documents' minimisers is not used
+        found = find_repeats(spark, docs, window, carried=tuple(docs.columns))
     new = found.changed.select(*(F.col("kept").alias(c) if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
     return without(docs, found.affected).union(new)

@@ -99,3 +99,53 @@ def test_a_long_passage_in_common(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = jaccard.jaccard_components(spark, docs, 3, 90, 100).select("doc_id", "component_id").collect()
     assert dict(map(tuple, found)) == dict(enumerate(root)) and 1 < len(set(root)) < len(texts)
+
+
+def test_signatures_are_packed_in_few_bytes():
+    """Texts that share a signature are found from its part's rows, the frequent ones too, and rows hold 11 bytes a signature."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    parts = 7
+    sigs = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+    sigs[:200], sigs[200:400] = sigs[0], sigs[1000:1200]
+    codes = rng.integers(-(2**63), 2**63, 4000)
+    b = jaccard._packed(sigs, codes, parts).to_pandas()
+    inner = b[b.part < parts]
+    assert inner.sigs.map(len).sum() + inner.codes.map(len).sum() == 11 * inner.codes.map(len).sum() // 6
+    found = pd.concat(jaccard._shared(parts)((p,), rows) for p, rows in b.groupby("part"))
+    got = found.groupby("region").code.agg(frozenset)
+    low = codes & ((1 << 48) - 1)
+    want = {frozenset(low[:200].tolist())} | {frozenset((a, z)) for a, z in zip(low[200:400].tolist(), low[1000:1200].tolist())}
+    assert set(got) == want
+
+
+def test_sketches_are_exact():
+    rng = np.random.default_rng(4)
+    for n in (3, 200, 700, 5000, 40_000):
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for cells in (jaccard.CELLS, jaccard.wide_cells(max(len(x), 2))):
+            want = np.minimum(np.bincount((x & np.uint64(cells - 1)).astype(int), minlength=cells), 255)
+            raw = jaccard.sketch(x, cells)
+            assert jaccard.counted([raw], cells)[0].tolist() == want.tolist()
+            assert len(raw) == (cells if want.max() > 15 else cells // 2)
+
+
+def test_sets_are_shuffled_once(spark):
+    """Fetching the sets of nodes takes no second exchange of them, and copies of a row are one."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "f g h i j"), (None, "k l m n o")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.xxhash64("text").alias("text_code")).select("*", F.xxhash64("doc_id", "text_code").alias("code"))
+    wanted = docs.select("doc_id", "text_code", "code").distinct().select(F.monotonically_increasing_id().alias("node"), "*")
+    seen, own = [], jaccard.written
+    jaccard.written = lambda s, df, name: seen.append(df) or own(s, df, name)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = jaccard._fetched(spark, docs, wanted, 3).collect()
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        jaccard.written = own
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r["n"] for r in got) == [3, 3, 3] and len({r["node"] for r in got}) == 3
+    assert sum("Exchange" in line and "shingles" in line for line in plan.split("\n")) == 0 and plan.count("Exchange hashpartitioning(code") <= 2
