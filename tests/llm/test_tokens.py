@@ -148,3 +148,29 @@ def test_packing_encodes_a_megabyte_together(monkeypatch):
     assert sum(calls) == 3000 and len(calls) <= -(-size // (1 << 20)) + 1
     first = out[0].to_pylist()[0]
     assert (first["length"], first["ids_crc32"]) == (len(direct("byte_bpe_50k.json", texts[0])) + 1, crc(direct("byte_bpe_50k.json", texts[0]) + [2]))
+
+
+def test_letter_runs_need_no_whole_encoding():
+    """Chunks of letters, marks after them and line breaks are put together from letter runs, each encoded once."""
+    import pyarrow as pa
+
+    from spanmark.llm.tokens import ChunkEncoder
+
+    texts = ["Das war.\nEnde, OFEN!! für$$$ x### don't", "war war.\nDas\n\nüber?! (so)", "über", "", "'s a's' b'\n'tis <s>ü</s>.", "one.\ntwo three .\nfour"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        enc = ChunkEncoder(name, most=8)  # generations change while a text is encoded
+        ids, offsets = enc.encode_many(pa.array(texts))
+        for k, text in enumerate(texts):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == direct(name, text), (name, text)
+    enc, whole = ChunkEncoder("byte_bpe_50k.json"), []
+
+    class Counted:
+        def encode(self, text, **kw):
+            whole.append(text)
+            return library.encode(text, **kw)
+
+    library = enc.tokenizer
+    for e in (enc, getattr(enc, "spaced", enc)):
+        e.tokenizer = Counted()
+    enc.encode_many(pa.array(texts[:1] * 3))
+    assert sorted(whole) == sorted([" ", "\n", "!!", "$$$", "###", ".", ",", " don't"]), whole
