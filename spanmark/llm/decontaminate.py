@@ -19,11 +19,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, scratch, written
+from .common import LOWER, UPPER, fewer, scratch, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
 BLOCK_BYTES = 16 << 20
+WINDOWS = 1 << 15  # to a task
 
 
 def words_of(text: Column) -> Column:
@@ -66,16 +67,18 @@ def find_windows(spark: SparkSession, docs: DataFrame, windows: DataFrame, block
     shingled = windows.select("wid", "window", F.transform("window", lambda x: F.xxhash64(x)).alias("h"), F.least(F.lit(SHINGLE), n).alias("k"))
     places = shingled.select("wid", "window", "h", "k", F.explode(F.sequence(F.lit(0), n - F.col("k"))).alias("off"))
     by_size = reduce(lambda c, k: F.when(F.col("k") == k, _key(F.col("h"), F.col("off"), k)).otherwise(c), range(1, SHINGLE + 1), F.lit(None).cast("long"))
-    places = written(spark, places.select("wid", "k", "off", by_size.alias("key")), "window-shingles")
+    n_windows = windows.count()
+    places = written(spark, fewer(spark, places.select("wid", "k", "off", by_size.alias("key")), n_windows, WINDOWS), "window-shingles")
     sizes = sorted(r["k"] for r in places.select("k").distinct().collect()) or [SHINGLE]  # three values at most
-    wanted = written(spark, places.select("key").distinct(), "shingles")
-    blocks = -(-8 * wanted.count() // block_bytes) or 1
+    wanted = written(spark, fewer(spark, places.select("key").distinct(), places.count()), "shingles")
+    n_wanted = wanted.count()
+    blocks = -(-8 * n_wanted // block_bytes) or 1
     part = lambda df, i: df.where(F.pmod(F.xxhash64("key", F.lit("block")), F.lit(blocks)) == i) if blocks > 1 else df
     found = [_positions(docs, sizes).select("key").join(F.broadcast(part(wanted, i)), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n")) for i in range(blocks)]
-    counts = written(spark, reduce(DataFrame.unionAll, found), "shingle-counts")
+    counts = written(spark, fewer(spark, reduce(DataFrame.unionAll, found), n_wanted), "shingle-counts")
     # a window of which a shingle occurs nowhere can't occur; of the others the rarest shingle is the prefix
     rarest = places.join(counts, "key", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "off")).alias("p")).where("p.n > 0")
-    prefix = written(spark, rarest.join(windows, "wid").select("p.key", "p.off", "wid", "window"), "prefixes")
+    prefix = written(spark, fewer(spark, rarest.join(windows, "wid").select("p.key", "p.off", "wid", "window"), n_windows, WINDOWS), "prefixes")
     total = prefix.agg(F.sum(F.octet_length(F.array_join("window", " ")) + 16 * F.size("window") + 64)).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     hits = []
@@ -92,8 +95,10 @@ def find_windows(spark: SparkSession, docs: DataFrame, windows: DataFrame, block
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """Per document: doc_id, text_code, n_words, n_hit, n_items, items_sha256, contaminated, items (sorted ids)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    of_items = written(spark, item_windows(items, window), "item-windows")
-    windows = written(spark, of_items.select("window").distinct().select(F.monotonically_increasing_id().alias("wid"), "window"), "windows")
+    n_words = items.agg(F.sum(F.size(words_of(F.col("text").cast("string"))).cast("long"))).first()[0] or 0  # and no more windows
+    of_items = written(spark, fewer(spark, item_windows(items, window), n_words, WINDOWS), "item-windows")
+    windows = fewer(spark, of_items.select("window").distinct(), of_items.count(), WINDOWS)
+    windows = written(spark, windows.select(F.monotonically_increasing_id().alias("wid"), "window"), "windows")
     with scratch(spark, "hits"):
         hits = written(spark, find_windows(spark, docs, windows), "hits")
     spans = F.array_sort(F.collect_set(F.when(F.col("wid").isNotNull(), F.struct("start", "n"))))

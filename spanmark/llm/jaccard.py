@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, grams, marked, mix, partitions, passing, release, scratch, slices, trimmed, word_codes, written
+from .common import bitmap_of, fewer, grams, marked, mix, partitions, passing, release, scratch, slices, trimmed, word_codes, written
 
 LEAF_NODES = 256
 SETS = "doc_id long, text_code long, code long, n long, h1 long, h2 long, sketch binary, wide binary"
@@ -209,14 +209,7 @@ def _shared(parts: int):
     return shared
 
 
-ROWS, SKETCHES, PAIRS = 1 << 18, 1 << 13, 1 << 12  # to a task: rows of numbers, of sketches, of two sets
-
-
-def fewer(spark: SparkSession, df: DataFrame, rows: int, each: int = ROWS) -> DataFrame:
-    """df in tasks of `each` rows, where a shuffle would make more of them than that. Rows that fit one task are
-    grouped and joined without any shuffle."""
-    tasks = max(1, -(-rows // each))
-    return df.coalesce(tasks) if tasks < partitions(spark) else df
+SKETCHES, PAIRS = 1 << 13, 1 << 12  # to a task: rows of sketches, of two sets
 
 
 def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

@@ -32,6 +32,7 @@ from .tokens import encoder
 CAPACITY = 1024
 PER_BUCKET = 20_000
 ENCODED_BYTES = 1 << 20  # of text encoded together: the more, the fewer of its words are new
+REMEMBERED = 200_000  # chunks of text in a generation: workers stay, and hold them for as long
 FULL_ENOUGH, LEAST_CLOSED = 0.99, 0.25
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, rid long, sequence_id long, offset long"
@@ -43,7 +44,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[int]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], name: str, folder: str | None, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
-    enc = encoder(name, folder)
+    enc = encoder(name, folder, REMEMBERED)
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
     for batch in (x for b in batches for x in slices(b, most=ENCODED_BYTES)):
         ids, offsets = enc.encode_many(batch["text"])

@@ -158,9 +158,9 @@ class _Spaced(ChunkEncoder):
 _LOADED: dict[tuple, ChunkEncoder] = {}
 
 
-def encoder(name: str, folder: str | None = None) -> ChunkEncoder:
+def encoder(name: str, folder: str | None = None, most: int = 400_000) -> ChunkEncoder:
     """One encoder a worker process."""
-    key = (name, folder)
+    key = (name, folder, most)
     if key not in _LOADED:
-        _LOADED[key] = ChunkEncoder(name, folder)
+        _LOADED[key] = ChunkEncoder(name, folder, most)
     return _LOADED[key]

@@ -42,6 +42,28 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate(spark, docs.limit(0), bench).collect() == []
 
 
+def test_decontamination_writes_few_files(spark, monkeypatch):
+    """With 211 shuffle partitions that nothing merges, tables of a few windows are a file each."""
+    from spanmark.llm import common, decontaminate as d
+
+    files, own = {}, common.written
+    monkeypatch.setattr(d, "written", lambda s, df, name, *a: files.setdefault(name, own(s, df, name, *a)))
+    settings = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(40)], "item_id int, text string")
+        docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(5, 25))) for i in range(40)], "doc_id long, text string")
+        got = decontaminate(spark, docs, items)
+        assert {tuple(r) for r in got.select("n_words", "n_hit", "n_items").collect()} == {(20, 20, 1)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    written = {name: len(files[name].inputFiles()) for name in ("item-windows", "windows", "window-shingles", "shingles", "shingle-counts", "prefixes")}
+    assert set(written.values()) == {1}, written
+
+
 def test_language_on_odd_rows(spark):
     rows = [(i, f"the house and {i} of the river walks" if i % 2 else f"la maison et {i} de la rivière où", "en" if i % 2 else "fr") for i in range(200)]
     rows += [(300, None, "en"), (301, "", None), (302, "123 !!", "en"), (304, "\u00bd \u00b2 \u2460", "en"), (5, "the house and 5 of the river walks", "en"), (None, "the river and the house", "fr"), (303, "the house " * 200_000, None)]
