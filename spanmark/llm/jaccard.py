@@ -210,6 +210,7 @@ def _shared(parts: int):
 
 
 SKETCHES, PAIRS = 1 << 13, 1 << 12  # to a task: rows of sketches, of two sets
+FILTERED = 1 << 14  # pairs; beyond these, sets are filtered by a bitmap before they are shuffled
 
 
 def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -269,9 +270,19 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 def _against(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The written table pairs (pivot, node) with the shingles of both."""
     rows = pairs.count()
-    mine = fewer(spark, pairs.join(sets.select("node", "shingles"), "node"), rows, PAIRS)
-    # pivots are few: only their sets are shuffled where the planner can broadcast the pivots, else the two joins share an exchange
-    its = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles")).join(pairs.select("pivot").distinct(), "pivot", "left_semi")
+
+    def of(column: str) -> DataFrame:
+        """The sets of the nodes that stand in a column. Below FILTERED the planner may broadcast the pairs instead, and no set is shuffled."""
+        own = sets.select("node", "shingles")
+        if rows <= FILTERED:
+            return own
+        bitmap = bitmap_of(pairs.select(F.xxhash64(column).alias("code")).distinct(), "code")
+        coded = own.withColumn("code", F.xxhash64("node"))
+        return coded.mapInArrow(passing(bitmap, "code"), coded.schema).drop("code")
+
+    mine = fewer(spark, pairs.join(of("node"), "node"), rows, PAIRS)
+    # pivots are few: only their sets are shuffled
+    its = of("pivot").select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles")).join(pairs.select("pivot").distinct(), "pivot", "left_semi")
     both = mine.join(its, "pivot")
     return fewer(spark, both.select("pivot", "node", "shingles", "pivot_shingles"), rows, PAIRS)
 
@@ -431,16 +442,35 @@ def _cells(spark: SparkSession, cells: DataFrame, sets: DataFrame, sketches: Dat
     if not sieved:
         return shared.union(near)
     # links of members that are both far from the pivot; who is linked with it is near
-    apart_from = cells.where("not linked").withColumn("code", F.xxhash64("node"))
+    apart_from = cells.where("not linked").groupBy("node").agg(F.min("label").alias("label"), F.collect_set(F.hash("pivot")).alias("pivots")).withColumn("code", F.xxhash64("node"))
     own = sets.select("n", "shingles", F.xxhash64("node").alias("code"))
-    own = own.mapInArrow(passing(bitmap_of(apart_from.select("code").distinct(), "code"), "code"), own.schema)
+    own = own.mapInArrow(passing(bitmap_of(apart_from.select("code"), "code"), "code"), own.schema)
     total = own.agg(F.sum("n")).first()[0] or 0
     parts = max(1, int(0.6 * total / PART_SIGNATURES))
     again = own.mapInArrow(lambda it: trimmed(_resigned(it, num, den, seed, parts)), "part long, sigs binary, codes binary")
     again = again.groupBy("part").applyInPandas(_shared(parts), "region long, code long").withColumnRenamed("region", "sig")
     again = again.coalesce(min(2 * parts, partitions(spark)))  # parts, and those of the frequent, are groups: more tasks have no rows
-    far = apart_from.withColumn("code", _low("code")).join(again, "code").select(F.xxhash64("pivot", "sig").alias("region"), "node", "label")
-    return shared.union(near).union(far)
+    again = again.join(apart_from.select(_low("code").alias("code"), "node", "label"), "code").select("sig", "node", "label")
+    return shared.union(near).union(_parted(spark, table(spark, again, "signed-again"), apart_from.select("node", "pivots")))
+
+
+def _parted(spark: SparkSession, again: DataFrame, cells: DataFrame) -> DataFrame:
+    """The regions (region, node, label) of the written table again (sig, node, label) and cells (node, pivots): who has a signature and a
+    pivot in common. Members have many pivots and signatures, but those that share both are mostly of one label: such regions go
+    in the task that makes them, and none of a signature of one label is made. Of signatures that very many have, none is
+    dropped here, so that no task holds one. Pivots that share a hash count as one, which makes their regions larger."""
+    own, limit = Window.partitionBy("sig", "pivot"), _limit(spark, again.count())
+    told = again.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+    told = table(spark, told.select("sig", "k"), "signatures")
+    large = F.broadcast(told.where(F.col("k") > limit).select("sig"))
+    rest = again.join(large, "sig", "left_anti").join(told.where(F.col("k") <= limit).select("sig"), "sig")
+
+    def each(rows: DataFrame) -> DataFrame:
+        return rows.select("sig", "node", "label", F.explode("pivots").alias("pivot"))
+
+    rest = each(rest.join(cells, "node").repartition("sig")).withColumn("x", F.min("label").over(own)).withColumn("y", F.max("label").over(own))
+    some = each(again.join(large, "sig").join(cells, "node"))
+    return rest.where("x < y").drop("x", "y").unionByName(some).select(F.xxhash64("pivot", "sig").alias("region"), "node", "label")
 
 
 AT_ONCE = 4096
@@ -514,9 +544,12 @@ def _roots(spark: SparkSession, docs: DataFrame, nodes: DataFrame, n: int, num:
     """The root regions (region, node, k): nodes that share a signature, equal regions once.
 
     Signatures go to their parts packed, about PART_SIGNATURES to a part; a part keeps those that texts share."""
+    nodes = nodes.where("rid = node").select("node", "n", "text_code", "code")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     parts = max(1, int(0.6 * total / PART_SIGNATURES))
-    signed = docs.select("text", "text_code").mapInArrow(lambda it: trimmed(_signed(it, n, num, den, parts)), "part long, sigs binary, codes binary")
+    # of texts with equal sets one is signed, so a signature that only they have is not shared (where the bitmap is full: most of them)
+    mine = passing(bitmap_of(nodes.select("code"), "code"), "code")
+    signed = docs.select("text", "text_code", "code").mapInArrow(lambda it: trimmed(_signed(mine(it), n, num, den, parts)), "part long, sigs binary, codes binary")
     shared = signed.groupBy("part").applyInPandas(_shared(parts), "region long, code long")
     shared = shared.coalesce(min(2 * parts, partitions(spark)))
     return _merged(spark, shared.join(nodes.select(_low("text_code").alias("code"), "node").distinct(), "code").select("region", "node").distinct())

@@ -149,3 +149,38 @@ def test_sets_are_shuffled_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(r["n"] for r in got) == [3, 3, 3] and len({r["node"] for r in got}) == 3
     assert sum("Exchange" in line and "shingles" in line for line in plan.split("\n")) == 0 and plan.count("Exchange hashpartitioning(code") <= 2
+
+
+@pytest.mark.parametrize("limit", [2, 1000])
+def test_far_members_are_parted_by_signature_and_pivot(spark, monkeypatch, limit):
+    """Regions of one label are not made, but of signatures that more than `limit` have: those go on to be joined with all."""
+    rng = random.Random(limit)
+    monkeypatch.setattr(jaccard, "_limit", lambda *_: limit)
+    cells = [(n, sorted(rng.sample(range(6), rng.randint(1, 4)))) for n in range(40)]
+    label = {n: n // 5 * 5 for n in range(40)}
+    again = [(s, n, label[n]) for s in range(30) for n in sorted(rng.sample(range(40), rng.randint(2, 6)) if s % 3 else range(s, s + 3))]
+    of, want, dropped = dict(cells), set(), 0
+    for s in range(30):
+        nodes = [n for x, n, _ in again if x == s]
+        if len({label[n] for n in nodes}) < 2:
+            dropped += 1
+            continue
+        for p in range(6):
+            inside = tuple(n for n in nodes if p in of[n])
+            if inside and (len({label[n] for n in inside}) > 1 or len(nodes) > limit):
+                want.add((s, p, inside))
+    rows = spark.createDataFrame(again, "sig long, node long, label long")
+    found = {}
+    for r in jaccard._parted(spark, rows, spark.createDataFrame(cells, "node long, pivots array<int>")).collect():
+        assert r.label == label[r.node]
+        found.setdefault(r.region, []).append(r.node)
+    assert sorted(tuple(sorted(x)) for x in found.values()) == sorted(x for *_, x in want) and dropped
+
+
+def test_sets_of_pairs_are_filtered_before_they_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FILTERED", 3)
+    sets = spark.createDataFrame([(n, 2, np.array([n, n + 1], np.uint64).tobytes()) for n in range(500)], "node long, n long, shingles binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (7, 8), (7, 1)], "pivot long, node long")
+    got = {(r.pivot, r.node): (np.frombuffer(r.pivot_shingles, np.uint64)[0], np.frombuffer(r.shingles, np.uint64)[0]) for r in jaccard._against(spark, pairs, sets).collect()}
+    assert got == {(p, n): (p, n) for p, n in [(1, 2), (1, 3), (7, 8), (7, 1)]}
+    assert jaccard._against(spark, pairs, sets)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
