@@ -13,17 +13,19 @@ from functools import cache
 from html import escape
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanmark.functions import codepoints as cp
-from spanmark.functions.normalize import in_parts
+from spanmark.functions.normalize import parts_of
 from spanmark.operators.spans import LAYER, _found, first_come, layered
 
 # fixed: colours of topics, in HTML and as the terminal's 256
 COLOURS = {"tafkheem-tarqeeq": "#c2410c", "letter-relations": "#7e22ce", "noon-tanween": "#0369a1", "meem-sakinah": "#0f766e", "mushaddadatan": "#a16207", "madd": "#be123c", "qalqalah": "#15803d"}
 TERMINAL = {"tafkheem-tarqeeq": 166, "letter-relations": 98, "noon-tanween": 32, "meem-sakinah": 30, "mushaddadatan": 136, "madd": 161, "qalqalah": 28}
 RESET = "\x1b[0m"
+DRAWN = 1 << 17  # code points that are drawn together; with an element for each span a rendering is some twenty times as long as its text
 FIRST_JOINING = "\u0600"  # no letter before it is of the script that joins
 
 
@@ -150,22 +152,22 @@ def annotated(passages: DataFrame, rules: list[tuple[str, str]], key: str = "doc
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b["text of the passage"].to_pylist()
-            out: list[str | None] = []
-            for begin, stop in in_parts(texts):
-                row, rule, start, end = _found(texts[begin:stop], compiled)
-                layers: list[list[tuple]] = [[] for _ in range(begin, stop)]
+            of_passage = b["text of the passage"]
+            for begin, stop in parts_of(pc.fill_null(pc.utf8_length(of_passage), 0).to_pylist(), DRAWN):
+                texts = of_passage.slice(begin, stop - begin).to_pylist()
+                row, rule, start, end = _found(texts, compiled)
+                layers: list[list[tuple]] = [[] for _ in texts]
                 stay = first_come(start, end, row)
                 opens = [opening[rule[k]] for k in stay]
                 if describe and stay:
-                    of = [pa.array([rule[k] for k in stay]), pa.array([start[k] for k in stay], pa.int64()), pa.array([end[k] for k in stay], pa.int64()), pa.array([texts[begin + row[k]][start[k] : end[k]] for k in stay])]
+                    of = [pa.array([rule[k] for k in stay]), pa.array([start[k] for k in stay], pa.int64()), pa.array([end[k] for k in stay], pa.int64()), pa.array([texts[row[k]][start[k] : end[k]] for k in stay])]
                     said = describe(pa.RecordBatch.from_arrays(of, names=["rule_id", "start_at", "end_at", "slice"])).to_pylist()
                     opens = [o if t is None else tag(rule[k], {rule[k]: (told.get(rule[k], ("",))[0], t)}, colours) for k, o, t in zip(stay, opens, said, strict=True)]
                 for n, k in enumerate(stay):
                     layers[row[k]].append((start[k], end[k], rule[k] if terminal else n))
                 draw = (lambda t, layer: ansi(t, layer, told, colours)) if terminal else (lambda t, layer, opens=opens: html(t, layer, opens.__getitem__))
-                out += [None if t is None else draw(t, layer) for t, layer in zip(texts[begin:stop], layers, strict=True)]
-            yield pa.RecordBatch.from_arrays([b[key], pa.array(out, pa.string())], names=[key, name])
+                out = [None if t is None else draw(t, layer) for t, layer in zip(texts, layers, strict=True)]
+                yield pa.RecordBatch.from_arrays([b[key].slice(begin, stop - begin), pa.array(out, pa.string())], names=[key, name])
 
     rows = passages.select(key, F.col(text).cast("string").alias("text of the passage"))
     return rows.mapInArrow(drawn, passages.select(key).schema.add(name, "string"))

@@ -129,6 +129,20 @@ def test_describe_is_asked_once_for_many_spans(spark, docs):
     assert re.findall('title="([^"]*)"', got[0]) == ["th&lt;0", "a vowel", "dh&lt;4", "a vowel"]
 
 
+@pytest.mark.parametrize("more", [{}, {"terminal": True}, {"describe": lambda of: of["slice"]}])
+def test_renderings_leave_in_parts(spark, monkeypatch, more):
+    """A rendering is many times as long as its text, so those of a whole batch are never held together."""
+    held = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, draw, schema: held.append(draw) or self)
+    texts = [None, "", *("this dhow said the oath " * 2000 for _ in range(40)), "th " * 200_000, None]
+    render.annotated(spark.createDataFrame([], "doc_id long, text string"), RULES, **more)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text of the passage"])
+    out = list(held[0](iter([batch, batch.slice(0, 0)])))
+    assert [x for b in out for x in b["doc_id"].to_pylist()] == list(range(len(texts)))
+    assert [x is None for b in out for x in b[1].to_pylist()] == [t is None for t in texts]
+    assert max(sum(len(texts[k] or "") for k in b["doc_id"].to_pylist()[:-1]) for b in out) < 1 << 17
+
+
 def test_what_lies_between_two_editions(spark):
     b, shadda, fatha = chr(0x628), cp.SHADDA, cp.FATHA
     left = spark.createDataFrame([(1, b + shadda + fatha), (2, "x" + chr(0x657)), (3, "th q"), (4, "same th"), (5, "gone"), (6, None)], "ref int, text string")
