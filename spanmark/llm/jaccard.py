@@ -571,6 +571,11 @@ def _limit(spark: SparkSession, rows: int) -> int:
 def _merged(spark: SparkSession, members: DataFrame) -> DataFrame:
     """The written table (region, node, k) of regions of two nodes or more, one of those with the same nodes. If
     members have labels, regions with one label only go."""
+    with scratch(spark, "regions"):
+        return _of_two(spark, members)
+
+
+def _of_two(spark: SparkSession, members: DataFrame) -> DataFrame:
     members = table(spark, members, "members")
     rows = members.count()
     counts = [F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
@@ -623,7 +628,8 @@ def links(spark: SparkSession, docs: DataFrame, nodes: DataFrame, sketches: Data
         label, of = F.coalesce("label", "node"), F.coalesce("of", "pivot")
         cells = cells.join(labels, "node", "left").join(named, "pivot", "left").join(linked, ["pivot", "node"], "left")
         cells = table(spark, cells.select("pivot", "node", label.alias("label"), (label == of).alias("inside"), F.coalesce("linked", F.lit(False)).alias("linked")), "cells")
-        regions = _merged(spark, _cells(spark, cells, shingled, sketches, num, den, len(pools)))
+        with scratch(spark, "regions"):
+            regions = _merged(spark, _cells(spark, cells, shingled, sketches, num, den, len(pools)))
     leaves = _merged(spark, reduce(DataFrame.union, pools)).join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label")).join(sketches.drop("wide"), "node")
     pairs = written(spark, _dealt(leaves).mapInArrow(_leaf(num, den), "pivot long, node long").distinct(), "pairs")
     pairs = table(spark, _near(spark, fewer(spark, pairs, pairs.count()), sketches, may_link), "close")

@@ -184,3 +184,16 @@ def test_sets_of_pairs_are_filtered_before_they_are_shuffled(spark, monkeypatch)
     got = {(r.pivot, r.node): (np.frombuffer(r.pivot_shingles, np.uint64)[0], np.frombuffer(r.shingles, np.uint64)[0]) for r in jaccard._against(spark, pairs, sets).collect()}
     assert got == {(p, n): (p, n) for p, n in [(1, 2), (1, 3), (7, 8), (7, 1)]}
     assert jaccard._against(spark, pairs, sets)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+
+
+def test_merged_regions_leave_one_table(spark, tmp_path, monkeypatch):
+    """What they were made of would stay on disk until the last round."""
+    import os
+
+    from spanmark.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda _: f"file://{tmp_path}/shared")
+    rows = [(1, 5), (1, 6), (2, 5), (2, 6), (3, 7), (4, 6), (4, 7)]
+    got = jaccard._merged(spark, spark.createDataFrame(rows, "region long, node long")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 5, 2), (1, 6, 2), (4, 6, 2), (4, 7, 2)]
+    assert [x.rpartition("-")[0] for x in os.listdir(f"{tmp_path}/shared")] == ["regions"]
